@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,27 +77,6 @@ def is_held_out(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
-class Interned(dict):
-    """word bytes -> value of ``make``; forgets all when it holds ``limit`` words, which bounds its memory."""
-
-    def __init__(self, make: Callable[[bytes], int], limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = self.make(word)
-        return value
-
-
-def word_hash(word: bytes) -> int:
-    """64-bit hash of a word, the same in every process."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def text_bytes(texts: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null as empty."""
     return [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]
@@ -111,3 +91,79 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+#: Fixed values of the word hash: a seed for the value of each byte, and an odd base with its inverse mod 2**64.
+_BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_SPACE_AT = re.compile(rb"[ \t-\r]")
+SEGMENT = 2 << 20
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x, dtype=np.uint64)])) for x in (_BASE, _INVERSE)]
+    return _powers[0], _powers[1]
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of ``buf``: sums of byte value times base ** place, shifted to place 0 and mixed.
+
+    It depends on the bytes of the span alone. All of it is array arithmetic, with no loop over words."""
+    up, down = _power_tables(len(buf))
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[buf] * up[: len(buf)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts])
+
+
+def segments(raw: bytes, size: int = SEGMENT) -> Iterator[bytes]:
+    """``raw`` in runs of about ``size``, cut only before white space."""
+    at = 0
+    while len(raw) - at > size:
+        found = _SPACE_AT.search(raw, at + size)
+        if not found:
+            break
+        yield raw[at : found.start()]
+        at = found.start()
+    yield raw[at:] if at else raw
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words between ASCII white space, text after text; and the number of words of each text.
+
+    Long texts are taken in segments, so the working arrays stay near ``SEGMENT`` bytes times a constant."""
+    parts: list[np.ndarray] = []
+    counts = np.zeros(len(raws), dtype=np.int64)
+    group: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if not group:
+            return
+        buf = np.frombuffer(b"\n" + b"\n".join(group) + b"\n", dtype=np.uint8)
+        space = _IS_SPACE[buf]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        parts.append(hash_spans(buf, starts, ends))
+        bounds = np.cumsum([0, *(len(g) + 1 for g in group)])
+        np.add.at(counts, owners, np.diff(np.searchsorted(starts, bounds)))
+        group.clear()
+        owners.clear()
+        size = 0
+
+    for i, raw in enumerate(raws):
+        for piece in segments(raw):
+            group.append(piece)
+            owners.append(i)
+            size += len(piece)
+            if size >= SEGMENT:
+                flush()
+    flush()
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), counts

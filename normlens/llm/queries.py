@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from normlens.llm import packing
-from normlens.llm import mixing
+from normlens.llm import html_text, langid, licences, media, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +17,54 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.fingerprint(media.encode_wav(_table(spark, sf_dir, "documents"))).drop("fp_time", "fp_hash")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).drop("n_lines", "n_kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
+    for found, form in licences.SPELLINGS:
+        out = f"replace({out}, {_quoted(found)}, {_quoted(form)})"
+    return f"trim(regexp_replace({out}, {_quoted(licences.NOT_WORD)}, ' ', 'g'))"
+
+
+OP1_SQL = f"""
+WITH known(license_id, form) AS (
+  SELECT license_id, {_canonical_sql("body")}
+  FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(licences.KNOWN.items()))}) t(license_id, body)),
+digests AS (SELECT sha256(form) AS known_digest, min(license_id) AS license_id FROM known WHERE form <> '' GROUP BY 1),
+own AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, digest, license_id, license_id IS NOT NULL AS matched FROM own LEFT JOIN digests ON digest = known_digest
+"""
+
 OP7_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -77,8 +116,9 @@ FROM final
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op7_mixing": op7_mixing}
+    found = [op1_license_scan, op2_packing, op3_media, op4_html_text, op7_mixing, op9_language_id, op10_quality]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op1_license_scan": OP1_SQL, "op7_mixing": OP7_SQL}
