@@ -29,6 +29,8 @@ PIECES_SCHEMA = (
 #: Characters at which str.split() splits although the tokenizer does not see white space there.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Words whose composition, case and classes are beyond doubt: visible Latin below the combining marks.
+#: Characters of text whose words are looked up together.
+LEARN_CHARS = 4 << 20
 PLAIN = re.compile("[\n!-~\u00a1-\u012f\u0131-\u024f]+")
 
 
@@ -68,10 +70,10 @@ class WordTokenizer:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def part_ids(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of pre-tokens, those of earlier calls included while there is room to keep them."""
-        missing = list(parts.difference(self.parts))
-        out = self.parts if len(self.parts) + len(missing) <= self.limit else {p: self.parts[p] for p in parts if p in self.parts}
+    def part_ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of pre-tokens. They are kept while there is room; the commonest come first."""
+        out = list(map(self.parts.get, parts))
+        missing = list({p for p, x in zip(parts, out, strict=True) if x is None})
         if not missing:
             return out
         ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, dtype=self.dtype)
@@ -79,41 +81,62 @@ class WordTokenizer:
         if len(cuts) != len(missing):
             raise ValueError("pre-tokens and end-of-word ids differ in number")
         raw = ids.tobytes()
-        out.update(zip(missing, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-        return out
-
-    def word_ids(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words, in the cache itself while there is room (the commonest words come first)."""
-        new = list(words.difference(self.words))
-        out = self.words if len(self.words) + len(new) <= self.limit else {w: self.words[w] for w in words if w in self.words}
-        if not new:
-            return out
-        joined = "\n".join(new)
+        new = dict(zip(missing, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        if len(self.parts) + len(new) <= self.limit:
+            self.parts.update(new)
+        return [new[p] if x is None else x for p, x in zip(parts, out, strict=True)]
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words that the cache lacks; it takes them in while there is room."""
+        out = {}
+        joined = "\n".join(words)
         if not PLAIN.fullmatch(joined):
-            out.update((w, self.whole(w)) for w in new if not PLAIN.fullmatch(w))
-            new = [w for w in new if PLAIN.fullmatch(w)]
-            joined = "\n".join(new)
-        lower = joined.lower().split("\n") if new else []
-        letters = {w: x for w, x in zip(new, lower, strict=True) if x.isalpha()}
-        mixed = {w: self.pattern.findall(x) for w, x in zip(new, lower, strict=True) if not x.isalpha()}
-        ids = self.part_ids(set(letters.values()).union(*mixed.values()))
-        out.update(zip(letters, map(ids.__getitem__, letters.values()), strict=True))
-        out.update((w, b"".join([ids[p] for p in found])) for w, found in mixed.items())
+            out = {w: self.whole(w) for w in words if not PLAIN.fullmatch(w)}
+            words = [w for w in words if w not in out]
+            joined = "\n".join(words)
+        found, owner = [], []
+        for i, x in enumerate(joined.lower().split("\n") if words else []):
+            if x.isalpha():
+                found.append(x)
+                owner.append(i)
+            else:
+                parts = self.pattern.findall(x)
+                found += parts
+                owner += [i] * len(parts)
+        ids = self.part_ids(found)
+        at = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        out.update((w, ids[a] if b == a + 1 else b"".join(ids[a:b])) for w, a, b in zip(words, at, at[1:], strict=False))
+        if len(self.words) + len(out) <= self.limit:
+            self.words.update(out)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of ``dtype``."""
         out: list[bytes] = []
-        some: list[list[str] | None] = []
+        words: list[str] = []
+        ends: list[int | None] = []
         size = start = 0
         for i, text in enumerate(texts):
-            odd = not self.by_words or NOT_SPACE.search(text) or any(x in text for x in self.specials)
-            some.append(None if odd else text.split())
+            if not self.by_words or NOT_SPACE.search(text) or any(x in text for x in self.specials):
+                ends.append(None)
+            else:
+                words += text.split()
+                ends.append(len(words))
             size += len(text)
-            if size >= 1 << 20 or i == len(texts) - 1:
-                ids = self.word_ids(set().union(*(w for w in some if w))) if self.by_words else {}
-                out += [self.whole(texts[start + k]) if w is None else b"".join([ids[x] for x in w]) for k, w in enumerate(some)]
-                size, start, some = 0, i + 1, []
+            if size >= LEARN_CHARS or i == len(texts) - 1:
+                ids = list(map(self.words.get, words))
+                missing = [k for k, x in enumerate(ids) if x is None]
+                new = self.learn(list({words[k] for k in missing}))
+                for k in missing:
+                    ids[k] = new[words[k]]
+                last = 0
+                for k, end in enumerate(ends):
+                    if end is None:
+                        out.append(self.whole(texts[start + k]))
+                    else:
+                        out.append(b"".join(ids[last:end]))
+                        last = end
+                size, start, words, ends = 0, i + 1, [], []
         return out
 
 
