@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm import html_text, langid, licences, media, minhash, mixing, packing, quality, topk
+from normlens.llm import html_text, langid, licences, lm, media, minhash, mixing, packing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, topk.query_of(F.col("vec_id"))).drop("depth")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -138,7 +142,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}
 
 
 def queries() -> dict:
-    found = [op1_license_scan, op2_packing, op3_media, op4_html_text, op5_topk, op7_mixing, op8_near_dup, op9_language_id, op10_quality]
+    found = [op1_license_scan, op2_packing, op3_media, op4_html_text, op5_topk, op6_lm_score, op7_mixing, op8_near_dup, op9_language_id, op10_quality]
     return {f.__name__: f for f in found}
 
 
