@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -62,6 +63,11 @@ def forget(df: DataFrame) -> None:
     _quiet_remove(df.sparkSession, df._normlens_path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marks a table of few columns for broadcast if it is counted to hold at most ``rows`` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def row_batches(it: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``max_bytes`` at most (a longer single row stays whole)."""
     for batch in it:

@@ -189,6 +189,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCORE_SCHEMA)
 
 
+def filter_rows(docs: DataFrame, model: Model, least: float, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of the rows whose language is known with a score of ``least`` or more; ``text`` is one of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in row_batches(batches, 4 << 20):
+            lang, score = scorer.texts(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)]))
+
+    rows = docs.select(*columns)
+    return rows.mapInArrow(run, rows.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the documents outside the held-out fold and predicts every document."""
     return predict(docs, fit(docs))

@@ -194,6 +194,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     return docs.select("doc_id", "text").mapInArrow(run, SCORE_SCHEMA)
 
 
+def filter_rows(docs: DataFrame, model: tuple[np.ndarray, float], least: float, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of the rows whose score is ``least`` or more; ``text`` is one of them."""
+    weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches, 4 << 20):
+            yield batch.filter(pa.array(score_texts(text_bytes(batch.column(at)), shared.value, bias) >= least))
+
+    rows = docs.select(*columns)
+    return rows.mapInArrow(run, rows.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled rows outside the held-out fold and scores every document."""
     return score(docs, fit(docs, labels))
