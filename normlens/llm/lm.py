@@ -31,7 +31,7 @@ from normlens.llm.common import forget, is_held_out, materialise, mix64, row_bat
 FOLDS = 10  # remainder 0 is held out of all training; remainder DEV tunes the mixture weights
 DEV = 1
 ALPHA = 0.1
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 2_000_000
 CONTEXT_BUCKETS = 40
 RATIO_BINS = 128  # quarter octaves of bigram estimate over base, from 2**-8 on
