@@ -1,9 +1,17 @@
-"""All queries and their DuckDB counterparts."""
+"""All queries of the library proper and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from normlens.plans import file_queries, geometry_queries, metric_queries, scoring_queries
+
+
+def _all() -> dict:
+    return scoring_queries.QUERIES | metric_queries.QUERIES | file_queries.QUERIES | geometry_queries.QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _all().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
