@@ -30,7 +30,7 @@ CLASSES = 64  # byte classes: padding, the commonest bytes of the sample, and on
 VECTOR = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-EPOCHS, BATCH, RATE = 6, 64, 0.004
+EPOCHS, STEPS, BATCH, RATE = 6, 800, 64, 0.004  # passes: EPOCHS, or as many more as small samples need for STEPS
 UNKNOWN = "und"
 BLOCK = 512  # windows scored at once
 LETTER = re.compile(r"[^\W\d_]")
@@ -65,7 +65,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> Model:
+def train(rows: list[tuple[str, str]], epochs: int | None = None, seed: int = 5) -> Model:
     """The network of (text, language) rows. With one language only, that language is always predicted."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
@@ -82,7 +82,7 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> M
     for w in WIDTHS:
         p[f"f{w}"], p[f"b{w}"] = rng.normal(0, (2 / (w * VECTOR)) ** 0.5, (w * VECTOR, FILTERS)), np.zeros(FILTERS)
     first, second, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    for _ in range(epochs):
+    for _ in range(epochs or min(max(EPOCHS, -(-STEPS * BATCH // len(x))), 200)):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             pick = order[at : at + BATCH]

@@ -25,7 +25,7 @@ FOLDS = 5
 THRESHOLD = 0.3
 #: Learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-EPOCHS = 6
+EPOCHS, UPDATES = 6, 30_000  # passes over the rows: EPOCHS, or as many more as small samples need for UPDATES
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -92,8 +92,9 @@ def weighted(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, index, np.sqrt(count / total[text])
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias by FTRL-proximal over the rows in turn. One class alone gives that class's constant."""
+def train(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, float]:
+    """Weights and bias by FTRL-proximal over the rows in turn, again and again."""
+    epochs = min(max(EPOCHS, -(-UPDATES // len(rows))), 200)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
