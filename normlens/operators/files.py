@@ -98,18 +98,30 @@ def seeded_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def seeded_rank(rows: DataFrame, by: str, seed: int, key: str) -> DataFrame:
+    """Adds _rank and _n: each row's place in its group's seeded order, and the group's size.
+
+    The order's hash is uniform, so its first digits cut a group of any size into 4096 even runs: ranks are
+    places within a run plus the sizes of the runs before. No task sorts a whole group."""
+    ordered = rows.withColumn("_order", seeded_order(seed, F.col(key))).withColumn("_run", F.substring("_order", 1, 3))
+    sizes = ordered.groupBy(F.col(by).alias("_by"), F.col("_run").alias("_at")).agg(F.count(F.lit(1)).alias("_size"))
+    group = Window.partitionBy("_by")
+    before = F.coalesce(F.sum("_size").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_by", "_at", before.alias("_before"), F.sum("_size").over(group).alias("_n"))
+    joined = ordered.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_run") == F.col("_at")))
+    place = F.row_number().over(Window.partitionBy(by, "_run").orderBy("_order", key))
+    return joined.withColumn("_rank", place + F.col("_before")).drop("_order", "_run", "_by", "_at", "_before")
+
+
 def stratified_split(files: DataFrame, by: str = "defect_type", fraction: float = 0.5, seed: int = 42, key: str = "path") -> DataFrame:
     """Adds part: 'validation' or 'test', a seeded draw within each type.
 
     A type of n files gives round(n * fraction) of them (half to even), at least 1 and at most n - 1, to
-    validation; a type of one file goes to test. Types are cut by rank, so a type sorts in one task; rows there
-    are reduced to type, order and key first."""
-    order = Window.partitionBy(by).orderBy("_order", key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    ranked = files.withColumn("_order", seeded_order(seed, F.col(key))).withColumn("_rank", F.row_number().over(order)).withColumn("_n", n)
+    validation; a type of one file goes to test."""
+    ranked = seeded_rank(files, by, seed, key)
     wanted = F.least(F.greatest(F.bround(F.col("_n") * F.lit(fraction)), F.lit(1)), F.col("_n") - 1)
     part = F.when((F.col("_n") > 1) & (F.col("_rank") <= wanted), "validation").otherwise("test")
-    return ranked.withColumn("part", part).drop("_order", "_rank", "_n")
+    return ranked.withColumn("part", part).drop("_rank", "_n")
 
 
 def make_manifest(files: DataFrame, masks: DataFrame | None = None, strict: bool = True) -> DataFrame:

@@ -1,8 +1,9 @@
 """Ranking metrics over scored rows: curves, areas and threshold choices.
 
-Every operator first adds up rows by distinct score, which is a map-side combined aggregate; the windows
-that follow run over distinct scores only, not over rows. For continuous scores ``score_digits`` bounds
-their number. Rows with a null score or truth take no part.
+Every operator first adds up rows by distinct score, which is a map-side combined aggregate. Running sums
+over the distinct scores are taken in two levels, within ``BINS`` equal bins of the score range and over
+the bins' totals, so that no task sees all scores even if every row has its own. Rows with a null score or
+truth take no part; NaN counts as the highest score.
 """
 
 from __future__ import annotations
@@ -20,39 +21,63 @@ def by_score(rows: DataFrame, score: str = "score", truth: str = "y_true") -> Da
     return usable.groupBy(F.col(score).alias("score")).agg(pos.alias("pos"), (F.count(F.lit(1)) - pos).alias("neg"))
 
 
+BINS = 4096
+
+
 def cumulative(rows: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
-    """score, tp, fp (rows at or above the score), n_pos, n_neg, for each distinct score."""
+    """score, pos, neg (rows at the score), tp, fp (rows at or above it), n_pos, n_neg, for each distinct score."""
+    counts = by_score(rows, score, truth)
+    plain = ~F.isnan(F.col("score").cast("double"))
+    ends = counts.where(plain).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    span = (F.col("hi") - F.col("lo")).cast("double")
+    place = F.when(plain & (span > 0), F.least(F.floor((F.col("score") - F.col("lo")) / span * BINS), F.lit(BINS - 1)))
+    binned = counts.crossJoin(F.broadcast(ends)).withColumn("bin", F.coalesce(place, F.when(plain, F.lit(0)).otherwise(F.lit(BINS))).cast("int"))
     every = Window.partitionBy(F.lit(0))
-    down = every.orderBy(F.desc("score"))
-    return by_score(rows, score, truth).select(
+    higher = every.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = binned.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    tops = tops.select(
+        F.col("bin").alias("of_bin"),
+        F.coalesce(F.sum("p").over(higher), F.lit(0)).alias("pos_above"),
+        F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("neg_above"),
+        F.sum("p").over(every).alias("n_pos"),
+        F.sum("n").over(every).alias("n_neg"),
+    )
+    down = Window.partitionBy("bin").orderBy(F.desc("score"))
+    return binned.join(F.broadcast(tops), F.col("bin") == F.col("of_bin")).select(
         "score",
-        F.sum("pos").over(down).alias("tp"),
-        F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(every).alias("n_pos"),
-        F.sum("neg").over(every).alias("n_neg"),
+        "pos",
+        "neg",
+        (F.sum("pos").over(down) + F.col("pos_above")).alias("tp"),
+        (F.sum("neg").over(down) + F.col("neg_above")).alias("fp"),
+        "n_pos",
+        "n_neg",
     )
 
 
 def auroc(rows: DataFrame, by: list[str] | None = None, score: str = "score", truth: str = "y_true") -> DataFrame:
     """Probability that a positive scores above a negative, ties counting half; null with one class only.
 
-    With ``by``, one row for each group (null groups included)."""
+    With ``by``, one row for each group (null groups included), whose distinct scores one task sorts."""
+    area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg")).cast("double"))
     keys = by or []
+    if not keys:
+        curve = cumulative(rows, score, truth)
+        won = F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("neg") / 2)
+        sums = curve.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("pos", "n_pos"), ("neg", "n_neg"), (won, "won"))])
+        return sums.select("n_pos", "n_neg", area.alias("auroc"))
     usable = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
     pos = F.sum(F.when(F.col(truth).cast("int") == 1, 1).otherwise(0))
     counts = usable.groupBy(*keys, F.col(score).alias("score")).agg(pos.alias("pos"), (F.count(F.lit(1)) - pos).alias("neg"))
-    below = Window.partitionBy(*keys or [F.lit(0)]).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     won = counts.withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
     totals = won.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
-    area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg")).cast("double"))
     return totals.select(*keys, F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.coalesce("n_neg", F.lit(0)).alias("n_neg"), area.alias("auroc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Sum over falling distinct scores of the gain in recall times the precision; null without positives."""
     curve = cumulative(rows)
-    before = F.coalesce(F.lag("tp").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))), F.lit(0))
-    gain = (F.col("tp") - before) / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    gain = F.col("pos") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     return curve.select(F.when(F.col("n_pos") > 0, gain).alias("gain")).agg(F.sum("gain").alias("average_precision"))
 
 
