@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from normlens.functions.vectors import concat_features
 from normlens.operators import errors, geometry
 from normlens.plans.bindings import GRID_SQL, IMAGES_SQL, LETTERBOX_SQL, grid, images
 from normlens.session import table
@@ -89,6 +90,25 @@ def pixel_normalize(spark, sf_dir):
     return rows.select("image_id", *[F.round(geometry.normalized_pixel(F.col("pixel"), c), 6).alias(f"c{c}") for c in range(3)])
 
 
+def anomaly_map(spark, sf_dir):
+    """Patch values enlarged to a pixel map, scaled to its range; how much of each image is at or above half of it."""
+    pixels = geometry.bilinear_upsample(grid(spark, sf_dir).where("image_id < 100"), 8, 4)
+    rows = geometry.min_max(pixels, "image_id", "value").withColumn("scaled", F.round("scaled", 6))
+    return rows.groupBy("image_id").agg(F.sum((F.col("scaled") >= 0.5).cast("int")).alias("n_hot"), F.round(F.max("value"), 6).alias("peak"))
+
+
+def patch_positions(spark, sf_dir):
+    """Row and column of each patch number, and the length of two layers' descriptors together."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id < 50").select(F.posexplode("embedding").alias("patch", "x"), "vec_id", "embedding")
+    row, col = geometry.row_col(F.col("patch"), 8)
+    return rows.select("vec_id", "patch", row.alias("row"), col.alias("col"), F.size(concat_features(F.col("embedding"), F.col("embedding"))).alias("dims"))
+
+
+def formatted_report(spark, sf_dir):
+    rows = geometry.letterbox(images(spark, sf_dir))
+    return rows.select("image_id", F.format_string("%.4f", F.round("scale", 4)).alias("scale"), F.format_string("%.6f", F.col("width").cast("double")).alias("width"))
+
+
 def streaming_scores(spark, sf_dir):
     return scorer.score_table_as_stream(spark, sf_dir)
 
@@ -129,5 +149,13 @@ SELECT defect_type, count(*) AS total, count(*) FILTER (hit) AS tp, count(*) FIL
     "min_max_normalize": (min_max_normalize, f"""WITH {GRID_SQL}, e AS (SELECT *, value - min(value) OVER w AS low, max(value) OVER w - min(value) OVER w AS span FROM grid WINDOW w AS (PARTITION BY image_id))
 SELECT image_id, "row", col, round(low / (span + 1e-8), 6) AS scaled, round(low / (span + 1e-8), 6) AS overlay FROM e"""),
     "pixel_normalize": (pixel_normalize, "SELECT p_partkey AS image_id, round(((p_partkey % 256) / 255.0::DOUBLE - 0.485) / 0.229, 6) AS c0, round(((p_partkey % 256) / 255.0::DOUBLE - 0.456) / 0.224, 6) AS c1, round(((p_partkey % 256) / 255.0::DOUBLE - 0.406) / 0.225, 6) AS c2 FROM part"),
+    "anomaly_map": (anomaly_map, f"""WITH {GRID_SQL},
+axis AS (SELECT t::INT AS t, s::INT AS s, greatest(0.0, 1 - abs(greatest(0.0, least(7.0, (t + 0.5) / 4 - 0.5)) - s)) AS w FROM range(32) a(t), range(8) b(s)),
+used AS (SELECT * FROM axis WHERE w > 0),
+pixels AS (SELECT image_id, r.t AS y, c.t AS x, sum(r.w * c.w * value) AS value FROM grid JOIN used r ON r.s = grid."row" JOIN used c ON c.s = grid.col WHERE image_id < 100 GROUP BY ALL),
+scaled AS (SELECT image_id, value, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8), 6) AS scaled FROM pixels WINDOW w AS (PARTITION BY image_id))
+SELECT image_id, count(*) FILTER (scaled >= 0.5) AS n_hot, round(max(value), 6) AS peak FROM scaled GROUP BY image_id"""),
+    "patch_positions": (patch_positions, "SELECT vec_id, (i - 1)::INT AS patch, ((i - 1) // 8)::INT AS row, ((i - 1) % 8)::INT AS col, 2 * len(embedding) AS dims FROM embeddings, range(1, 65) t(i) WHERE vec_id < 50"),
+    "formatted_report": (formatted_report, f"WITH {LETTERBOX_SQL} SELECT image_id, printf('%.4f', round(scale, 4)) AS scale, printf('%.6f', width::DOUBLE) AS width FROM boxed"),
     "streaming_scores": (streaming_scores, None),
 }

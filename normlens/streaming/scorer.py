@@ -29,6 +29,14 @@ def responses(requests: DataFrame, bank: DataFrame, threshold: float, ready: boo
     return answered.unionByName(refused.select("request_id", F.lit(400).alias("status"), *nothing))
 
 
+def health(bank: DataFrame, threshold: float | None) -> DataFrame:
+    """One row: status ('ok' or 'not ready'), http status, size and dimensions of the bank, threshold."""
+    sums = bank.agg(F.count("v").alias("bank_vectors"), F.max(F.size("v")).alias("dims"))
+    ready = (F.col("bank_vectors") > 0) & F.lit(threshold is not None)
+    value = F.lit(threshold).cast("double").alias("threshold")
+    return sums.select(F.when(ready, "ok").otherwise("not ready").alias("status"), F.when(ready, 200).otherwise(503).alias("code"), "bank_vectors", "dims", value)
+
+
 def score_stream(stream: DataFrame, bank: DataFrame, threshold: float, out: str, checkpoint: str):
     """Starts a query that answers a stream of requests in micro-batches and appends Parquet files to ``out``.
 

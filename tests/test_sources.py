@@ -97,6 +97,7 @@ def test_responses(spark):
     requests = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, []), (5, [float("nan"), 1.0])], "request_id long, v array<double>")
     got = {r.request_id: (r.status, r.prediction) for r in scorer.responses(requests, bank, 0.5).collect()}
     assert got == {1: (200, "good"), 2: (200, "defect"), 3: (400, None), 4: (400, None), 5: (400, None)}
+    assert tuple(scorer.health(bank, 0.5).first()) == ("ok", 200, 1, 2, 0.5) and scorer.health(bank.where("id > 1"), 0.5).first().code == 503
     assert {r.status for r in scorer.responses(requests, bank, 0.5, ready=False).collect()} == {503}
 
 
