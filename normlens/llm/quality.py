@@ -104,10 +104,12 @@ def train(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, float]:
         return np.where((np.abs(z[i]) <= L1) & (i != bias), 0.0, w)
 
     data = []
-    text, index, value = weighted([raw for raw, _ in rows])
-    cuts = np.searchsorted(text, np.arange(len(rows) + 1))
-    for (_, label), a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
-        data.append((np.append(index[a:b], bias), np.append(value[a:b], 1.0), label))
+    for at in range(0, len(rows), 200):  # a few texts at a time: their features take many times their bytes
+        some = rows[at : at + 200]
+        text, index, value = weighted([raw for raw, _ in some])
+        cuts = np.searchsorted(text, np.arange(len(some) + 1))
+        for (_, label), a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+            data.append((np.append(index[a:b], bias).astype(np.int32), np.append(value[a:b], 1.0).astype(np.float32), label))
     for _ in range(epochs):
         for index, value, label in data:
             w = weight(index)
