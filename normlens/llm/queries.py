@@ -129,6 +129,23 @@ FROM final
 """
 
 
+OP8_SQL = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {minhash.WORDS} THEN list_transform(range(1, len(w) - {minhash.WORDS - 2}), lambda i: array_to_string(w[i:i + {minhash.WORDS - 1}], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE {minhash.UNDER} * i >= {minhash.OVER} * (p.n + q.n - i)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, w.y FROM reached r JOIN ways w ON w.x = r.other),
+found AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, f.component_id, d.doc_id = f.component_id AS kept
+FROM documents d JOIN found f USING (doc_id) LEFT JOIN sizes z USING (doc_id)
+"""
+
+
 OP5_SQL = f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -147,4 +164,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_license_scan": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_near_dup": OP8_SQL}
