@@ -46,11 +46,13 @@ def nearest(queries: DataFrame, bank: DataFrame, limit_bytes: int = BROADCAST_BY
     Both sides have id and v (arrays of doubles of one length); rows with a null vector are left out. An empty bank
     gives no rows."""
     queries, bank = (df.select("id", "v").where(F.col("v").isNotNull()) for df in (queries, bank))
+    bank = bank.persist()  # measured first, then collected or dealt; a lost block is computed again
     size = bank.agg(F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))).first()[0]
     if size == 0:
         return queries.sparkSession.createDataFrame([], OUT_SCHEMA)
     if size <= limit_bytes:
         rows = bank.orderBy("id").toArrow()
+        bank.unpersist()
         shared = bank.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), matrix(rows["v"].combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

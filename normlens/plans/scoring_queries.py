@@ -108,7 +108,7 @@ def coreset_score(spark, sf_dir):
 def clean_pipeline_report(spark, sf_dir):
     """Bank, scores, a threshold frozen on validation, and the report of both parts."""
     rows = _images(spark, sf_dir).withColumn("score", F.round("score", 6))
-    rows = rows.select("image_id", "part", "y_true", "score")
+    rows = rows.select("image_id", "part", "y_true", "score").persist()  # one row an image, read four times below
     frozen = metrics.best_f1_threshold(rows.where("part = 'validation'")).select("threshold")
     marked = rows.crossJoin(F.broadcast(frozen))
     counts = metrics.counts_at(marked, F.col("threshold"), ["part", "threshold"])
