@@ -20,10 +20,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once a row: inside a lambda a plain column is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(v: Column, eps: float = EPS) -> Column:
     """v / max(|v|, eps), in double."""
     d = as_double(v)
-    return F.transform(d, lambda x: x / F.greatest(norm(d), F.lit(eps)))
+    return let(F.greatest(norm(d), F.lit(eps)), lambda n: F.transform(d, lambda x: x / n))
 
 
 def distance(similarity: Column) -> Column:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normlens.functions.vectors import as_double, let
+
 
 def median_fingerprint(v: Column) -> Column:
     """64-bit fingerprint of a 64-component vector: bit i is set where component i is above the median."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    s = F.array_sort(d)
-    middle = (F.element_at(s, 32) + F.element_at(s, 33)) / 2
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get(d, i) > middle, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    bit = lambda d, m: lambda i: F.when(F.get(d, i) > m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    middle = lambda d: let(F.array_sort(d), lambda s: (F.element_at(s, 32) + F.element_at(s, 33)) / 2)
+    bits = lambda d: let(middle(d), lambda m: F.transform(F.sequence(F.lit(0), F.lit(63)), bit(d, m)))
+    return F.aggregate(let(as_double(v), bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def distance(a: Column, b: Column) -> Column:
