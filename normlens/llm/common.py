@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,19 +64,45 @@ def forget(df: DataFrame) -> None:
     _quiet_remove(df.sparkSession, df._normlens_path)
 
 
+#: What operators keep in a Python worker between tasks: a name, and how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_between_tasks(owner: str, drop: Callable[[], None]) -> None:
+    _kept[owner] = drop
+
+
+def give_back(owner: str | None = None) -> None:
+    """Drops what operators other than ``owner`` keep in this worker, and returns free memory to the system.
+
+    Workers outlive tasks and serve one operator after the other; without this their caches add up."""
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name)()
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return
+    trim(0)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """Marks a table of few columns for broadcast if it is counted to hold at most ``rows`` rows; else joins shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def row_batches(it: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``max_bytes`` at most (a longer single row stays whole)."""
+def row_batches(it: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``max_bytes`` at most (a longer single row stays whole).
+
+    Before and after, memory that only other operators (not ``owner``) want is given back."""
+    give_back(owner)
     for batch in it:
         if batch.num_rows == 0:
             continue
         step = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    give_back(owner)
 
 
 def is_held_out(doc_id: int | None, modulus: int) -> int:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import forget, is_held_out, materialise, mix64, row_batches, text_bytes, word_hashes
+from normlens.llm.common import forget, give_back, is_held_out, materialise, mix64, row_batches, text_bytes, word_hashes
 
 FOLDS = 10  # remainder 0 is held out of all training; remainder DEV tunes the mixture weights
 DEV = 1
@@ -159,6 +159,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+    give_back()
 
 
 def ask(table: DataFrame, unigram_bits: int, bigram_bits: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import materialise, row_batches
+from normlens.llm.common import keep_between_tasks, materialise, row_batches
 
 TOKENS_SCHEMA = "doc_id long, part int, part_offset long, doc_tokens long, ids binary"
 PIECES_SCHEMA = (
@@ -30,7 +30,7 @@ PIECES_SCHEMA = (
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Words whose composition, case and classes are beyond doubt: visible Latin below the combining marks.
 #: Characters of text whose words are looked up together.
-LEARN_CHARS = 4 << 20
+LEARN_CHARS = 1 << 20
 PLAIN = re.compile("[\n!-~\u00a1-\u012f\u0131-\u024f]+")
 
 
@@ -45,7 +45,7 @@ class WordTokenizer:
     special token or characters on whose class the two sides differ, are encoded as they are.
     """
 
-    def __init__(self, path: str, cache_limit: int = 500_000):
+    def __init__(self, path: str, cache_limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -65,7 +65,7 @@ class WordTokenizer:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.limit = cache_limit
+        self.limit = cache_limit  # of words; parts get three quarters of it
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -82,7 +82,7 @@ class WordTokenizer:
             raise ValueError("pre-tokens and end-of-word ids differ in number")
         raw = ids.tobytes()
         new = dict(zip(missing, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-        if len(self.parts) + len(new) <= self.limit:
+        if len(self.parts) + len(new) <= self.limit * 3 // 4:
             self.parts.update(new)
         return [new[p] if x is None else x for p, x in zip(parts, out, strict=True)]
 
@@ -147,6 +147,7 @@ def coder_for(path: str) -> WordTokenizer:
     """One for each Python worker, so that later tasks find the words of earlier ones."""
     if path not in _CODERS:
         _CODERS[path] = WordTokenizer(path)
+        keep_between_tasks("packing", _CODERS.clear)
     return _CODERS[path]
 
 
@@ -159,7 +160,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
         coder = coder_for(tokenizer_path)
         end = np.array([end_id], dtype=coder.dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
-        for batch in row_batches(batches):
+        for batch in row_batches(batches, 4 << 20, owner="packing"):
             coded = [x + end for x in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
             sizes = np.array([len(x) for x in coded], dtype=np.int64) // coder.dtype.itemsize
             ends = before + np.cumsum(sizes)
@@ -190,7 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         before += row["n"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_batches(batches):
+        for batch in row_batches(batches, 4 << 20, owner="packing"):
             doc_id, part, at, n = (batch.column(i).to_pylist() for i in range(4))
             rows: list[tuple] = []
             for i, raw in enumerate(batch.column(4).to_pylist()):

@@ -226,3 +226,17 @@ def test_word_hashes_against_split():
         assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
     assert b"".join(segments(raws[-2], 1000)) == raws[-2]
+
+
+def test_workers_give_back_what_other_operators_kept():
+    import pyarrow as pa
+
+    from normlens.llm import common
+
+    dropped = []
+    common.keep_between_tasks("packing", lambda: dropped.append("packing"))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c" * 100])], names=["text"])
+    assert sum(b.num_rows for b in common.row_batches([batch], 50, owner="packing")) == 3 and not dropped
+    assert [b.num_rows for b in common.row_batches([batch, batch.slice(0, 0)], 50)] == [1, 1, 1] and dropped == ["packing"]
+    common.give_back()
+    assert dropped == ["packing"]
