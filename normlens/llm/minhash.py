@@ -2,12 +2,11 @@
 
 Each document becomes the set of its 5-word shingles (64-bit hashes) and a MinHash sketch. Equal sets collapse
 to one node first. Each tree of the forest orders the nodes by a run of MinHash values of its own; nodes whose
-longest common prefix is at least ``MIN_DEPTH`` values form a region of candidates. A region that holds too
-much for one task goes deeper, by further values in several branches, until it fits: the depth adapts to the
-region. Inside a region short signatures are compared, and what may be near is joined to clusters (a star for
-each region, never all pairs). A small cluster then gets each member's full set once, and its links are
-confirmed there. A larger one is cut into slices, and each pair of slices is a task that reports stars. One
-beyond ``CLUSTER_MOST`` confirms its links region by region. Stars of several tasks are joined again.
+common prefix is ``MIN_DEPTH`` values form a region of candidates. Inside a region short signatures are compared,
+and what may be near is joined to clusters (a star for each region, never all pairs); a region that holds too
+much for one task joins as a whole. Clusters only say what is to be compared, so joining too much loses nothing.
+A small cluster then gets each member's full set once, and its links are confirmed there. A larger one, of any
+size, is cut into slices, and each pair of slices is a task that reports stars. Stars of several tasks are joined again.
 """
 
 from __future__ import annotations
@@ -28,12 +27,9 @@ TREES = 24
 MIN_DEPTH = 4
 SHORT = 64  # values of the short signature, 8 bits each; the last SHORT of all values
 VALUES = 128
-BRANCHES = (2, 2)  # of the first levels below a large region; then one
-MAX_DEPTH = MIN_DEPTH + 12
 REGION_ROWS = 4_096
 CLUSTER_ROWS = 200
 CLUSTER_SHINGLES = 2_000_000  # of all sets in one task
-CLUSTER_MOST = 100_000
 SLICES = 12
 #: Share of equal short values from which a pair is confirmed: 3.4 standard errors below the threshold.
 NEAR = 0.567
@@ -44,7 +40,6 @@ _MULTIPLIERS = mix64(np.arange(101, 101 + VALUES, dtype=np.uint64)).astype(np.ui
 _OFFSETS = mix64(np.arange(501, 501 + VALUES, dtype=np.uint64)).astype(np.uint32)
 _TREE_FACTORS = mix64(np.arange(1001, 1001 + MIN_DEPTH, dtype=np.uint64)) | np.uint64(1)
 SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, regions array<long>, short binary"
-ROW_SCHEMA = "region long, node long, short binary"
 
 
 def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
@@ -145,36 +140,18 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def forest(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
-    """region, node, short: each node's row in a region of every tree.
+def candidates(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
+    """a, b: stars of the nodes that may be near in a region of some tree.
 
-    Regions above ``region_rows`` lend their nodes to one or more deeper regions (``BRANCHES``) for each further value. A region
-    that is still too large at ``MAX_DEPTH`` agrees in so many values that its nodes are alike: it is dealt
-    over slices, and its smallest node joins every slice, so that all of them hang together.
-    """
+    A region above ``region_rows`` is one star of all its nodes: their links are looked for in pairs of slices."""
     rows = nodes.select(F.explode("regions").alias("region"), "node", "short")
-    done: DataFrame | None = None
-    for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
-        large = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > region_rows)
-        large = materialise(large, "large-regions")
-        if large.isEmpty():
-            break
-        marked = broadcast_if_small(large)
-        fitting = rows.join(marked, "region", "left_anti")
-        done = fitting if done is None else done.unionByName(fitting)
-        inside = rows.join(marked, "region")
-        if depth == MAX_DEPTH:
-            slices = F.ceil(F.col("n") / F.lit(region_rows / 2)).cast("long")
-            own = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), slices)))
-            rows = inside.select("region", "node", "short", F.explode(own).alias("slice")).select(F.xxhash64("region", "slice").alias("region"), "node", "short")
-            break
-        level = depth - MIN_DEPTH
-        branch = F.explode(F.sequence(F.lit(0), F.lit((BRANCHES[level] if level < len(BRANCHES) else 1) - 1))).alias("branch")
-        # Which values come next differs from region to region, so that trees stay different orders.
-        at = F.pmod(F.xxhash64("region", "branch"), F.lit(SHORT)).cast("int") + 1
-        deeper = inside.select("region", "node", "short", branch)
-        rows = materialise(deeper.select(F.xxhash64("region", "branch", F.substring("short", at, F.lit(1))).alias("region"), "node", "short"), "deeper-regions")
-    return rows if done is None else done.unionByName(rows)
+    large = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > region_rows)
+    large = materialise(large, "large-regions")
+    if large.isEmpty():
+        return by_key(rows, "region").mapInArrow(near_stars, "a long, b long")
+    marked = broadcast_if_small(large)
+    compared = by_key(rows.join(marked, "region", "left_anti"), "region").mapInArrow(near_stars, "a long, b long")
+    return compared.unionByName(rows.join(marked, "region").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
 
 
 def region_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -256,19 +233,6 @@ def near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs_batch(out)
 
 
-def near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each region that have a near pair there."""
-    for region, node, short in shared_regions(batches):
-        wanted: set[int] = set()
-        for i, others in near_pairs(short):
-            wanted.add(i)
-            wanted.update(others.tolist())
-        if wanted:
-            some = sorted(wanted)
-            columns = [pa.array([region] * len(some), pa.int64()), pa.array(node[some]), pa.array([short[i].tobytes() for i in some], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["region", "node", "short"])
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets overlap enough."""
     if UNDER * min(len(a), len(b)) < OVER * max(len(a), len(b)):
@@ -365,22 +329,22 @@ def components(links: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, region_rows: int = REGION_ROWS, cluster_rows: int = CLUSTER_ROWS, cluster_most: int = CLUSTER_MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, region_rows: int = REGION_ROWS, cluster_rows: int = CLUSTER_ROWS, cluster_most: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     component_id is the smallest doc_id among the documents reachable by links, itself included; kept says
     that it is the row's own. Null and empty texts and texts without words have an empty set and link with
     nothing. Repeated rows have equal results. A row with a null id takes part in links but cannot name a
-    component, and is not kept. Extra columns of ``docs`` are not looked at; an empty table gives no rows.
+    component, and is not kept. Extra columns of ``docs`` are not looked at; an empty table gives no rows. ``cluster_most`` has no effect:
+    callers may still give it, but clusters of all sizes are confirmed in the same way.
     """
     sketches = materialise(sketch(docs), "sketches")
     nodes = sketches.where(F.col("node").isNotNull()).groupBy("node")
     nodes = nodes.agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("short").alias("short"), F.any_value("regions").alias("regions"))
     nodes = materialise(nodes, "nodes")
 
-    maybe = by_key(forest(nodes, region_rows), "region").mapInArrow(near_stars, "a long, b long")
-    clusters = materialise(components(maybe), "clusters")
-    members = clusters.join(nodes.select("node", "least_id", "n_shingles", "short", "regions"), "node")
+    clusters = materialise(components(candidates(nodes, region_rows)), "clusters")
+    members = clusters.join(nodes.select("node", "least_id", "n_shingles", "short"), "node")
     members = materialise(members, "members")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     large = materialise(sizes.where((F.col("n") > cluster_rows) | ((F.col("n") > 2) & (F.col("shingles") > CLUSTER_SHINGLES))), "large-clusters")
@@ -392,10 +356,7 @@ def near_duplicates(docs: DataFrame, region_rows: int = REGION_ROWS, cluster_row
     several = not large.isEmpty()
     if several:
         marked = members.join(broadcast_if_small(large), "root").drop("n_shingles")
-        tasks = tasks.unionByName(sliced(marked.where(F.col("n") <= cluster_most)))
-        if not large.where(F.col("n") > cluster_most).isEmpty():
-            near = by_key(forest(marked.where(F.col("n") > cluster_most), region_rows), "region").mapInArrow(near_members, ROW_SCHEMA)
-            tasks = tasks.unionByName(near.select(F.col("region").alias("task"), "node", "short", F.lit(2).alias("side")))
+        tasks = tasks.unionByName(sliced(marked))
     shipped = tasks.join(sets, "node").select("task", "node", "short", "side", "shingles")
     links = by_key(shipped, "task").mapInArrow(confirm, "a long, b long")
     if several:

@@ -208,6 +208,20 @@ def test_near_duplicates(spark, limits):
     assert all(r.kept == (r.doc_id == r.component_id) and r.component_id >= want[r.doc_id][1] for r in got)
 
 
+@pytest.mark.parametrize("limits", [{"region_rows": 4}, {"cluster_rows": 3, "cluster_most": 5, "region_rows": 4}])
+def test_large_groups_lose_no_link(spark, limits):
+    """Chains, in which each document has links to its neighbours only, and groups of copies: not one row differs."""
+    rng = random.Random(12)
+    rows = near_rows()[:-9]
+    for _ in range(3):
+        words = [f"c{rng.randint(0, 10**6)}" for _ in range(1000)]
+        rows += [(len(rows) + k, " ".join(words[12 * k : 12 * k + 120])) for k in range(60)]
+    want = brute_components(rows)
+    got = minhash.near_duplicates(documents(spark, [(i, t, "s") for i, t in rows]), **limits).collect()
+    assert len(got) == len(rows)
+    assert [r.doc_id for r in got if (r.n_shingles, r.component_id, r.kept) != (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)] == []
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(documents(spark, [(1, "a", "s")]).where("doc_id < 0")).count() == 0
     got = minhash.near_duplicates(documents(spark, [(None, "a b c d e f", "s"), (4, "a b c d e f", "s"), (None, None, "s")])).collect()
