@@ -21,11 +21,19 @@ def valid_cells(spark, sf_dir):
     return rows.groupBy("image_id").agg(F.sum((F.col("valid_ratio") >= 0.5).cast("int")).alias("n_valid"), F.round(F.sum("valid_ratio"), 6).alias("area"))
 
 
-def cell_ratios(spark, sf_dir):
-    rows = geometry.valid_cells(geometry.letterbox(images(spark, sf_dir).where("image_id <= 40")))
+def _cell_ratios(of):
+    rows = geometry.valid_cells(geometry.letterbox(of))
     return rows.select("image_id", "row", "col", F.round("valid_ratio", 6).alias("valid_ratio"))
 
 
+def cell_ratios(spark, sf_dir):
+    return _cell_ratios(images(spark, sf_dir).where("image_id <= 40"))
+
+
+def cell_ratios_whole(spark, sf_dir):
+    return _cell_ratios(images(spark, sf_dir))
+
+
 def _crop(spark, sf_dir):
     """Defect pixels before and after resizing the shorter side and cropping the centre, on the resized canvas."""
     rows = geometry.resize_shorter(images(spark, sf_dir))
@@ -76,8 +84,16 @@ def strided_sample(spark, sf_dir):
     return geometry.strided(grid(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+def _upsampled(cells):
+    return geometry.bilinear_upsample(cells, 8, 2).withColumn("value", F.round("value", 6))
+
+
 def bilinear_upsample(spark, sf_dir):
-    return geometry.bilinear_upsample(grid(spark, sf_dir).where("image_id < 100"), 8, 2).withColumn("value", F.round("value", 6))
+    return _upsampled(grid(spark, sf_dir).where("image_id < 100"))
+
+
+def bilinear_upsample_whole(spark, sf_dir):
+    return _upsampled(grid(spark, sf_dir))
 
 
 def min_max_normalize(spark, sf_dir):
@@ -90,20 +106,36 @@ def pixel_normalize(spark, sf_dir):
     return rows.select("image_id", *[F.round(geometry.normalized_pixel(F.col("pixel"), c), 6).alias(f"c{c}") for c in range(3)])
 
 
-def anomaly_map(spark, sf_dir):
+def _anomaly_map(cells):
     """Patch values enlarged to a pixel map, scaled to its range; how much of each image is at or above half of it."""
-    pixels = geometry.bilinear_upsample(grid(spark, sf_dir).where("image_id < 100"), 8, 4)
+    pixels = geometry.bilinear_upsample(cells, 8, 4)
     rows = geometry.min_max(pixels, "image_id", "value").withColumn("scaled", F.round("scaled", 6))
     return rows.groupBy("image_id").agg(F.sum((F.col("scaled") >= 0.5).cast("int")).alias("n_hot"), F.round(F.max("value"), 6).alias("peak"))
 
 
-def patch_positions(spark, sf_dir):
+def anomaly_map(spark, sf_dir):
+    return _anomaly_map(grid(spark, sf_dir).where("image_id < 100"))
+
+
+def anomaly_map_whole(spark, sf_dir):
+    return _anomaly_map(grid(spark, sf_dir))
+
+
+def _patch_positions(vectors):
     """Row and column of each patch number, and the length of two layers' descriptors together."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 50").select(F.posexplode("embedding").alias("patch", "x"), "vec_id", "embedding")
+    rows = vectors.select(F.posexplode("embedding").alias("patch", "x"), "vec_id", "embedding")
     row, col = geometry.row_col(F.col("patch"), 8)
     return rows.select("vec_id", "patch", row.alias("row"), col.alias("col"), F.size(concat_features(F.col("embedding"), F.col("embedding"))).alias("dims"))
 
 
+def patch_positions(spark, sf_dir):
+    return _patch_positions(table(spark, sf_dir, "embeddings").where("vec_id < 50"))
+
+
+def patch_positions_whole(spark, sf_dir):
+    return _patch_positions(table(spark, sf_dir, "embeddings"))
+
+
 def formatted_report(spark, sf_dir):
     rows = geometry.letterbox(images(spark, sf_dir))
     return rows.select("image_id", F.format_string("%.4f", F.round("scale", 4)).alias("scale"), F.format_string("%.6f", F.col("width").cast("double")).alias("width"))
@@ -159,3 +191,10 @@ SELECT image_id, count(*) FILTER (scaled >= 0.5) AS n_hot, round(max(value), 6)
     "formatted_report": (formatted_report, f"WITH {LETTERBOX_SQL} SELECT image_id, printf('%.4f', round(scale, 4)) AS scale, printf('%.6f', width::DOUBLE) AS width FROM boxed"),
     "streaming_scores": (streaming_scores, None),
 }
+# The same over whole tables; the queries above look at a few ids.
+QUERIES |= {
+    "cell_ratios_whole": (cell_ratios_whole, QUERIES["cell_ratios"][1].replace("image_id <= 40 AND ", "")),
+    "bilinear_upsample_whole": (bilinear_upsample_whole, UPSAMPLE_SQL.replace(" WHERE image_id < 100", "")),
+    "anomaly_map_whole": (anomaly_map_whole, QUERIES["anomaly_map"][1].replace(" WHERE image_id < 100", "")),
+    "patch_positions_whole": (patch_positions_whole, QUERIES["patch_positions"][1].replace(" WHERE vec_id < 50", "")),
+}

@@ -55,14 +55,22 @@ def pair_best_match(spark, sf_dir):
     return found.orderBy("similarity", "query_id").limit(5).select("query_id", "bank_id", F.round("similarity", 6).alias("similarity"), F.round("anomaly", 6).alias("anomaly"))
 
 
-def cosine_pairs(spark, sf_dir):
+def _cosine_pairs(vectors):
     from normlens.functions.vectors import dot
 
-    rows = units(spark, sf_dir).where("ordinal = 0").select("id", "label", "v")
+    rows = vectors.select("id", "label", "v")
     a, b = rows.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("v").alias("vb"))
     return a.join(b, (F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
+def cosine_pairs(spark, sf_dir):
+    return _cosine_pairs(units(spark, sf_dir).where("ordinal = 0"))
+
+
+def cosine_pairs_whole(spark, sf_dir):
+    return _cosine_pairs(units(spark, sf_dir))
+
+
 def search_consistency(spark, sf_dir):
     rows = units(spark, sf_dir)
     queries, whole = rows.where("part <> 'bank'"), rows.where("part = 'bank'")
@@ -198,3 +206,5 @@ SELECT part, threshold, tn, fp, fn, tp, round(tp / (tp + fp), 6) AS "precision",
     "top_false_positives": (_worst("FP"), WORST_SQL.format("FP", "DESC")),
     "top_false_negatives": (_worst("FN"), WORST_SQL.format("FN", "ASC")),
 }
+# The same over all patches; the query above looks at the first image of each label.
+QUERIES |= {"cosine_pairs_whole": (cosine_pairs_whole, QUERIES["cosine_pairs"][1].replace(" WHERE a.ordinal = 0 AND b.ordinal = 0", ""))}
