@@ -2,8 +2,8 @@
 
 Markup is stripped to lines (one for each block element); lines of menus, forms and the like carry no
 length. Lengths are summed over sliding windows of lines; where the sum surges the main text begins, where
-it dives the text ends, and all lines between are kept. Elements that name the article themselves
-(``article``, ``main``) bound the region; without one, the distribution alone decides.
+it dives the text ends, and all lines between are kept. Lines in elements that name the article themselves
+(``article``, ``main``) weigh more; around them lines count where they surge by themselves.
 Pages are independent: one Arrow pass, no shuffle.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from normlens.llm.common import row_batches
 
 WINDOW = 3  # lines whose lengths are summed
-SURGE = 80  # characters of text in a window at which the main text begins, without an article element
+SURGE = 80  # characters of text in a window at which the main text begins; a line in an article element weighs as much more
 TEXT_SCHEMA = "page_id long, url string, text string, n_chars long, n_lines long, n_kept long"
 
 # Elements whose content is never text of the article.
@@ -82,7 +82,6 @@ class Lines:
         self.stack: list[tuple[str, bool, bool]] = []  # name, skipped, in the article
         self.parts: list[str] = []
         self.linked = 0
-        self.has_article = False
         at = 0
         for m in TOKEN.finditer(page):
             if m.start() > at:
@@ -134,9 +133,8 @@ class Lines:
             return
         found = marks(attrs) if attrs else frozenset()
         if name in ("article", "main"):
-            if not found & (COMMENTS | {"hidden", "related", "recommended"}) and not self.below_comments():
-                self.has_article = True
-                skipped, article = False, True
+            if not found & (COMMENTS | {"hidden", "related", "recommended"}):
+                article = True  # below a skipped element it stays skipped
             else:
                 skipped = True
         elif name in BOILERPLATE or found:
@@ -147,9 +145,6 @@ class Lines:
             skipped = True  # a header inside the article gives its headings only
         self.stack.append((name, skipped, article))
 
-    def below_comments(self) -> bool:
-        return any(skipped and article for _, skipped, article in self.stack)
-
     def end_open(self, name: str, bounds: set[str]) -> None:
         """Ends an element that the next start tag closes without an end tag of its own."""
         for i in range(len(self.stack) - 1, -1, -1):
@@ -195,15 +190,16 @@ def regions(weight: np.ndarray, surge: int = SURGE, window: int = WINDOW) -> lis
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The main text, the number of lines of the page and of lines kept. Null and empty pages give ''."""
     lines = Lines(page or "")
-    if lines.has_article:
-        weight = np.where(lines.inside, np.maximum(1, [len(t) for t in lines.text]), 0) if lines.text else np.zeros(0)
-        keep = [i for a, b in regions(weight, 1, 1) for i in range(a, b)]
-    else:
-        weight = np.array(lines.weight, dtype=np.int64)
-        runs = regions(weight)
-        if not runs and len(weight):  # a short page has no surge: all its lines that are not links
-            runs = [(0, len(weight))]
-        keep = [i for a, b in runs for i in range(a, b) if lines.weight[i] > 0]
+    weight, inside = np.array(lines.weight, dtype=np.int64), np.array(lines.inside, dtype=bool)
+    if inside.any():
+        around, surges = np.where(inside, 0, weight), np.zeros(len(weight), dtype=bool)
+        for a, b in regions(around):
+            surges[a:b] = True
+        weight = np.where(inside, SURGE + np.array([len(t) for t in lines.text]), np.where(surges, around, 0))
+    runs = regions(weight)
+    if not runs and len(weight):  # a short page has no surge: all its lines that are not links
+        runs = [(0, len(weight))]
+    keep = [i for a, b in runs for i in range(a, b) if weight[i] > 0]
     return "\n".join(lines.text[i] for i in keep), len(lines.text), len(keep)
 
 

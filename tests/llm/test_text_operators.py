@@ -140,6 +140,16 @@ def test_html_article():
         assert html_text.main_text(page)[0] == text
 
 
+def test_html_body_beside_an_article_card():
+    body = [("A body in plain divs that goes on for a while. " * 4 + f"Part {i}.") for i in range(4)]
+    divs = "".join(f"<div>{t}</div>" for t in body)
+    card = "<article><h3>Card</h3><p>Another story of the day</p></article>"
+    for before, after in [("<aside>", "</aside>"), ("<nav>", "</nav>"), ("<div class=sidebar>", "</div>")]:
+        assert html_text.main_text(f"<body>{divs}{before}{card}{after}</body>")[0] == "\n".join(body)
+    assert html_text.main_text(f"<body>{divs}{card}</body>")[0] == "\n".join([*body, "Card", "Another story of the day"])
+    assert html_text.main_text(f"<body><p>Home<p>News{card}<p>End</body>")[0] == "Card\nAnother story of the day"
+
+
 def test_surge_and_dive():
     weight = np.array([0, 3, 0, 0, 0, 50, 60, 0, 0, 70, 0, 0, 0, 4])
     assert html_text.regions(weight) == [(5, 10)]
