@@ -3,7 +3,8 @@
 Markup is stripped to lines (one for each block element); lines of menus, forms and the like carry no
 length. Lengths are summed over sliding windows of lines; where the sum surges the main text begins, where
 it dives the text ends, and all lines between are kept. Lines in elements that name the article themselves
-(``article``, ``main``) weigh more; around them lines count where they surge by themselves.
+(``article``, ``main``) weigh more; around them lines count where they surge by themselves. A name or a form
+only makes its lines weigh nothing while they are the smaller part: what holds most of the page's text is not skipped.
 Pages are independent: one Arrow pass, no shuffle.
 """
 
@@ -43,6 +44,8 @@ MARKS = frozenset(
 )
 COMMENTS = frozenset("comment comments commentlist reply replies disqus respond responses reviews".split())
 NEGATED = frozenset("with has no without not".split())
+# Elements that are skipped only while they hold the smaller part of the page's text.
+WRAPPERS = frozenset("form fieldset header".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -54,8 +57,11 @@ CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def marks(attrs: str) -> frozenset[str]:
-    """Boilerplate words among an element's class, id and role names; "hidden" if it is not shown."""
+def marks(attrs: str, tag: str = "div", article: bool = False) -> frozenset[str]:
+    """Boilerplate words among an element's class, id and role names; "hidden" if it is not shown.
+
+    What follows a negation does not count. The names of headings say what they are about, as do ids of sections
+    by their parts; in the article only whole names count, and ids of sections not at all."""
     found: set[str] = set()
     for name, *values in ATTRIBUTE.findall(attrs):
         value, name = next((v for v in values if v), ""), name.lower()
@@ -64,11 +70,16 @@ def marks(attrs: str) -> frozenset[str]:
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 found.add("hidden")
-        elif name in ("class", "id", "role"):
+        elif tag not in HEADINGS and not (name == "id" and tag == "section" and article):
             for one in value.split():
                 parts = NAME_PARTS.split(CAMEL.sub(r"\1-\2", one).lower())
-                if parts[0] not in NEGATED:
-                    found.update(MARKS.intersection(parts))
+                if article or (name == "id" and tag == "section"):
+                    parts = [one.lower()]
+                for part in parts:
+                    if part in NEGATED:
+                        break
+                    if part in MARKS:
+                        found.add(part)
     return frozenset(found)
 
 
@@ -79,7 +90,9 @@ class Lines:
         self.text: list[str] = []
         self.weight: list[int] = []
         self.inside: list[bool] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # name, skipped, in the article
+        self.skips: list[tuple[int, ...]] = []  # of each line, the elements that skip it
+        self.kinds: list[str] = []  # of each skipping element
+        self.stack: list[tuple[str, tuple[int, ...], bool]] = []  # name, elements that skip it, in the article
         self.parts: list[str] = []
         self.linked = 0
         at = 0
@@ -91,12 +104,39 @@ class Lines:
                 (self.close if m["close"] else self.open)(m["name"].lower(), m["attrs"])
         self.add(page[at:])
         self.flush()
+        self.settle()
+
+    def settle(self) -> None:
+        """Takes out the skipped lines, but not those of names and forms that hold most of the page's text.
+
+        Comments hold it only where no other text surges, and what lies beside an article never does."""
+        if not self.kinds:
+            return
+        size = [len(t) for t in self.text]
+        held = [0] * len(self.kinds)
+        for n, skips in zip(size, self.skips, strict=True):
+            if not any(self.kinds[k] == "always" for k in skips):
+                for k in skips:
+                    held[k] += n
+        total = sum(n for n, skips in zip(size, self.skips, strict=True) if not any(self.kinds[k] == "always" for k in skips))
+        own = sum(n for n, skips in zip(size, self.skips, strict=True) if not skips)
+        gone = {k for k, kind in enumerate(self.kinds) if kind == "always" or 2 * held[k] <= total or (kind == "comments" and own >= SURGE)}
+        if any(inside and not skips for inside, skips in zip(self.inside, self.skips, strict=True)):
+            gone |= {k for inside, skips in zip(self.inside, self.skips, strict=True) if not inside for k in skips}
+        keep = [i for i, skips in enumerate(self.skips) if gone.isdisjoint(skips)]
+        self.text, self.weight, self.inside = ([column[i] for i in keep] for column in (self.text, self.weight, self.inside))
+
+    def state(self) -> tuple[tuple[int, ...], bool]:
+        return self.stack[-1][1:] if self.stack else ((), False)
 
-    def state(self) -> tuple[bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False)
+    def skip(self, skipped: tuple[int, ...], kind: str) -> tuple[int, ...]:
+        if any(self.kinds[k] == "always" for k in skipped):
+            return skipped
+        self.kinds.append(kind)
+        return (*skipped, len(self.kinds) - 1)
 
     def add(self, raw: str) -> None:
-        if self.state()[0]:
+        if any(self.kinds[k] == "always" for k in self.state()[0]):
             return
         self.parts.append(raw)
         if any(name == "a" for name, _, _ in self.stack[-4:]):
@@ -110,6 +150,7 @@ class Lines:
                 self.text.append(text)
                 self.weight.append(max(0, len(text) - 2 * self.linked))
                 self.inside.append(self.state()[1])
+                self.skips.append(self.state()[0])
             self.parts.clear()
         self.linked = 0
 
@@ -131,18 +172,18 @@ class Lines:
         if name in ("html", "body"):
             self.stack.append((name, skipped, article))
             return
-        found = marks(attrs) if attrs else frozenset()
+        found = marks(attrs, name, article) if attrs else frozenset()
         if name in ("article", "main"):
             if not found & (COMMENTS | {"hidden", "related", "recommended"}):
                 article = True  # below a skipped element it stays skipped
             else:
-                skipped = True
-        elif name in BOILERPLATE or found:
-            skipped = True
-        elif name == "header":
-            skipped = skipped or not article
+                skipped = self.skip(skipped, "always" if "hidden" in found else "comments")
+        elif "hidden" in found or (name in BOILERPLATE and name not in WRAPPERS):
+            skipped = self.skip(skipped, "always")
+        elif found or (name in WRAPPERS and not (name == "header" and article)):
+            skipped = self.skip(skipped, "comments" if found & COMMENTS else "wrapper")
         elif article and name not in HEADINGS and any(n == "header" for n, _, _ in self.stack) and name in ("p", "div", "ul"):
-            skipped = True  # a header inside the article gives its headings only
+            skipped = self.skip(skipped, "always")  # a header inside the article gives its headings only
         self.stack.append((name, skipped, article))
 
     def end_open(self, name: str, bounds: set[str]) -> None:

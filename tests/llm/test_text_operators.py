@@ -150,6 +150,19 @@ def test_html_body_beside_an_article_card():
     assert html_text.main_text(f"<body><p>Home<p>News{card}<p>End</body>")[0] == "Card\nAnother story of the day"
 
 
+def test_html_names_do_not_take_the_text():
+    text = [("The text of the page goes on for a while here. " * 4 + f"Part {i}.") for i in range(3)]
+    inner = f'<h2 id="privacy">Privacy</h2><section id="search-algorithms"><p>{text[0]}</section><div class="legal-history"><p>{text[1]}</div><section id=notice><p>{text[2]}</section>'
+    assert html_text.main_text(f"<article>{inner}<div class=related><p>Read also</div></article>")[0] == "\n".join(["Privacy", *text])
+    body = "".join(f"<p>{t}" for t in text)
+    for attrs in ("class='page-with-sidebar'", "class='header-fixed search'", "id=form role=search", "class=reviews"):
+        page = f"<body><div {attrs}><nav>Menu</nav><div class=sidebar>Side</div><div>{body}</div></div></body>"
+        assert html_text.main_text(page)[0] == "\n".join(text)
+    assert html_text.main_text(f"<form><article>{body}</article><div class=cookie-notice>We use</div></form>")[0] == "\n".join(text)
+    comments = f"<div class=comments>{body * 3}</div>"
+    assert html_text.main_text(f"<body><div>{body}</div>{comments}</body>")[0] == "\n".join(text)
+
+
 def test_surge_and_dive():
     weight = np.array([0, 3, 0, 0, 0, 50, 60, 0, 0, 70, 0, 0, 0, 4])
     assert html_text.regions(weight) == [(5, 10)]
