@@ -9,8 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Lines that name holders, not terms.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;>.|-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Words that go on after "copyright" inside a sentence; another word is a holder's name.
+NOT_HOLDERS = (
+    "a act all and any are as at claim claims condition conditions disclaimer disclaimers for from has holder holders in information "
+    "infringement interest interests is it law laws licence license licenses licensee licensor management may notice notices of on or "
+    "owner owners ownership permission permissions protection right rights shall statement statements status subject that the this "
+    "to treaty under which with work works"
+).split()
+
+
+def _other_word(words: list[str], ended: str = "") -> str:
+    """A pattern of any word but these; without look-around, so that it means the same in Java and RE2."""
+    firsts = sorted({w[0] for w in words if w})
+    ways = [f"[^\\W{''.join(firsts)}]\\w*"] + [f + _other_word([w[1:] for w in words if w[:1] == f], r"\b") for f in firsts]
+    return "(?:" + "|".join(ways if "" in words or not ended else [*ways, ended]) + ")"
+
+
+_HOLDER = (
+    r"(?:copyright[ \t:]*(?:\(c\)|©|[0-9])|copyright[ \t:]+(?:by[ \t]|the[ \t][^\n]*\b(?:authors|contributors|developers|team|foundation|project)\b|"
+    r"[^\x00-\x7F]|" + _other_word(NOT_HOLDERS) + r")"
+    r"|\(c\)[ \t]*(?:copyright|[0-9])|©|all rights reserved)[^\n]*"
+)
+_PREFIX = r"[ \t#*/;>.|-]*"
+_TITLE = (
+    r"(?:the[ \t]+)?(?:mit|isc|expat|0bsd|(?:bsd[ \t]+)?zero[ -]clause[ \t]+bsd|bsd[ \t]+zero[ -]clause|"
+    r"(?:new[ \t]+|modified[ \t]+|revised[ \t]+|simplified[ \t]+)?bsd(?:[ -][23][ -]clause)?|[23][ -]clause[ \t]+bsd)[ \t]+"
+    r'(?:"?(?:new|revised|modified|simplified)"?[ \t]+)?licen[sc]e(?:[ \t]*\((?:mit|isc|expat|0bsd|bsd-[23]-clause)\))?'
+)
+# A short licence's title on the first line, and lines that name holders or years, not terms.
+COPYRIGHT_LINE = rf"\A[ \t\r\n#*/=-]*{_TITLE}[^a-z0-9\n]*(?:\n[ \t\r\n#*/;>.|=-]*{_HOLDER})*(?:\n|\z)|(^|\n){_PREFIX}{_HOLDER}"
 # Spellings that count as the same, each with the form it takes.
 SPELLINGS = (
     ("licence", "license"),
@@ -77,7 +104,7 @@ KNOWN = {
 
 
 def canonical(text: Column) -> Column:
-    """The text's canonical form: lower case, no copyright lines, one spelling, words parted by one space."""
+    """The text's canonical form: lower case, no title or copyright lines, one spelling, words parted by one space."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
     for found, form in SPELLINGS:
         out = F.replace(out, F.lit(found), F.lit(form))

@@ -6,13 +6,14 @@ import random
 import wave
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from normlens.llm import html_text, langid, licences, media, packing, quality
 from normlens.llm.common import WORD, segments, word_hashes
-from normlens.llm.queries import tokenizer_path
+from normlens.llm.queries import OP1_SQL, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "Word, another  word!\n" * 20_000
@@ -53,6 +54,28 @@ def test_licence_forms(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def wrapped(text, width):
+    import textwrap
+
+    return textwrap.fill(text, width)
+
+
+def test_licence_files(spark):
+    """Files as they are shipped: a title, holders, hard-wrapped terms of which lines begin with copyright."""
+    heads = {"MIT": "MIT License\n\nCopyright (c) 2020 A. Person\n\n", "ISC": "ISC License (ISC)\nCopyright 2004-2010 by X, Inc. (\"X\")\nCopyright (c) 1995 Y\n\n", "BSD-3-Clause": "BSD 3-Clause License\r\n\r\nCopyright Jane Doe\nAll rights reserved.\n\n"}
+    cases = [(k, head + wrapped(licences.KNOWN[k], w)) for k, head in heads.items() for w in range(40, 100)]
+    isc = licences.KNOWN["ISC"].replace("the above copyright", "the above\ncopyright").replace(" and this permission", "\nand this permission")
+    cases += [("ISC", isc), ("MIT", "The MIT License (MIT)\n\nCopyright The X Authors\n" + licences.KNOWN["MIT"])]
+    cases += [(None, "MIT License without commercial use\n" + licences.KNOWN["MIT"]), (None, "MIT License"), (None, isc.replace("copyright notice", "copyright owner"))]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licences.scan(rows).collect()}
+    assert [(i, k, got[i]) for i, (k, _) in enumerate(cases) if got[i] != k] == []
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(cases)])
+    assert dict(con.execute(f"SELECT doc_id, license_id FROM ({OP1_SQL})").fetchall()) == got
+
+
 def test_tokenizer_cache_gives_the_same_ids():
     coder = packing.WordTokenizer(tokenizer_path(), cache_limit=50)
     rng = random.Random(1)
