@@ -6,6 +6,8 @@ with built-in string functions; the SHA-256 of that form is joined to the digest
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,8 @@ KNOWN = {
     ),
     "MIT-notice": "Released under the MIT License.",
 }
+# The full texts as published, by file name. Ids without -text are those of the notices above.
+KNOWN |= {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "known").glob("*.txt"))}
 
 
 def canonical(text: Column) -> Column:

@@ -76,6 +76,16 @@ def test_licence_files(spark):
     assert dict(con.execute(f"SELECT doc_id, license_id FROM ({OP1_SQL})").fetchall()) == got
 
 
+def test_licence_full_texts(spark):
+    names = ["Apache-2.0-text", "CC0-1.0-text", "GPL-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "LGPL-3.0-text", "MPL-2.0-text"]
+    texts = [licences.KNOWN[n] for n in names]
+    assert all(len(t) > 5_000 for t in texts)
+    reflowed = ["\n\n".join(wrapped(" ".join(p.split()), 100) for p in t.split("\n\n")) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts + [texts[0].replace("Licensor", "licensor").upper()] + reflowed[:1])), "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licences.scan(rows).collect()}
+    assert [got[i] for i in range(9)] == [*names, names[0], names[0]]
+
+
 def test_tokenizer_cache_gives_the_same_ids():
     coder = packing.WordTokenizer(tokenizer_path(), cache_limit=50)
     rng = random.Random(1)
