@@ -35,16 +35,19 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Equal rows of one id count once."""
-    found = materialise(minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "kept")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    rest = docs.select(*COLUMNS).join(broadcast_if_small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = found.where("kept").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
-    if again.isEmpty():
-        return rest
-    again = broadcast_if_small(again)
-    repeated = rest.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(repeated)
+    """One document of each group: the one with the smallest id, null ids last. Equal rows of one id count once.
+
+    With repeated or null ids every different row takes part for itself, by a number in the order of ids."""
+    rows = docs.select(*COLUMNS)
+    repeated = rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    key = "doc_id"
+    if not repeated.isEmpty():
+        key = "row"
+        order = (F.col("doc_id").asc_nulls_last(), F.sha2("text", 256))
+        rows = materialise(rows.dropDuplicates(["doc_id", "text"]).orderBy(*order).withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    gone = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")), "gone")
+    return rows.join(broadcast_if_small(gone), F.col(key) == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

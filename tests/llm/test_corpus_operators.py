@@ -243,6 +243,15 @@ def test_threshold_is_exact():
     assert minhash.linked(a, np.arange(1, 8, dtype=np.uint64)) and not minhash.linked(a, np.arange(2, 9, dtype=np.uint64))  # 6/8 and 5/9
 
 
+def test_near_duplicates_go_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, one), (2, one + " more"), (2, two), (2, two), (3, None), (None, three), (None, three + " end"), (None, one), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()]
+    third = [x for x in left if x[1] in (three, three + " end")]
+    assert len(third) == 1 and sorted(map(repr, left)) == sorted(map(repr, [(1, one), (2, two), (3, None), (None, None), *third]))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "language id", "minhash near-dedup", "mixing sources", "packing"]
