@@ -1,12 +1,19 @@
 """Near-duplicates by a MinHash LSH forest, confirmed on full shingle sets.
 
-Each document becomes the set of its 5-word shingles (64-bit hashes) and a MinHash sketch. Equal sets collapse
-to one node first. Each tree of the forest orders the nodes by a run of MinHash values of its own; nodes whose
-common prefix is ``MIN_DEPTH`` values form a region of candidates. Inside a region short signatures are compared,
-and what may be near is joined to clusters (a star for each region, never all pairs); a region that holds too
-much for one task joins as a whole. Clusters only say what is to be compared, so joining too much loses nothing.
-A small cluster then gets each member's full set once, and its links are confirmed there. A larger one, of any
-size, is cut into slices, and each pair of slices is a task that reports stars. Stars of several tasks are joined again.
+Each document becomes the set of its 5-word shingles (64-bit hashes) and ``VALUES`` MinHash values. Equal sets
+collapse to one node first. Then:
+
+1. Forest. Each tree is one sorted order of all nodes, by eight MinHash values that begin with four of its own.
+   Neighbours in an order whose longest common prefix is ``MIN_DEPTH`` values or more are candidates; a run of
+   them is a region. A region that is too dense for one piece is cut deeper, where its neighbours' common prefix
+   is shortest, until each piece fits.
+2. Pieces. Signatures of 128 half bytes are compared within each piece; what may be near joins to clusters.
+   Pieces of one region, and regions that reach across tasks, then meet slice by slice, but only where their
+   clusters differ. So cuts lose no candidates, and a region of copies costs no more than its size.
+3. Links. Each cluster's full sets are compared: in one task, or in slices with a few pivots in each. Slices
+   whose texts are still in different groups then meet in pairs, until every pair of different groups has met.
+
+Tasks are bounded at every step. Only stars (smallest member, other member) leave them, never all pairs.
 """
 
 from __future__ import annotations
@@ -16,30 +23,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens.llm.common import broadcast_if_small, forget, give_back, materialise, mix64, row_batches, text_bytes, word_hashes
 
 WORDS = 5
 OVER, UNDER = 75, 100  # linked if UNDER * intersection >= OVER * union
-TREES = 24
-MIN_DEPTH = 4
-SHORT = 64  # values of the short signature, 8 bits each; the last SHORT of all values
-VALUES = 128
-REGION_ROWS = 4_096
-CLUSTER_ROWS = 200
-CLUSTER_SHINGLES = 2_000_000  # of all sets in one task
-SLICES = 12
-#: Share of equal short values from which a pair is confirmed: 3.4 standard errors below the threshold.
-NEAR = 0.567
+TREES = 32
+MIN_DEPTH = 4  # values of 16 bits; an order goes on to twice as many
+VALUES = TREES * MIN_DEPTH
+#: Half bytes, one of each value, that must agree in two signatures: 4.8 standard errors below the mean at the threshold.
+NEAR = 75
+REGION_ROWS = 4_096  # nodes compared in one piece
+SLICE_ROWS = 16_384  # signatures in one slice of a region that was cut
+CONFIRM_ROWS = 2_048  # full sets in one slice of a cluster,
+CONFIRM_SHINGLES = 1_000_000  # and shingles
+PIVOTS = 3
+HUB_EDGES = 200  # of one node; what is looked up for such nodes is broadcast
 
 _SHINGLE_FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _LENGTH_TERMS = mix64(np.arange(WORDS + 1, dtype=np.uint64) + np.uint64(901))
 _MULTIPLIERS = mix64(np.arange(101, 101 + VALUES, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _OFFSETS = mix64(np.arange(501, 501 + VALUES, dtype=np.uint64)).astype(np.uint32)
-_TREE_FACTORS = mix64(np.arange(1001, 1001 + MIN_DEPTH, dtype=np.uint64)) | np.uint64(1)
-SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, regions array<long>, short binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, values binary, short binary"
+PAIR_SCHEMA = "a long, b long"
 
 
 def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
@@ -65,8 +74,8 @@ def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
 
 
 def minhash(sets: list[np.ndarray], block: int = 1 << 16) -> np.ndarray:
-    """The least permuted hash under each of ``VALUES`` permutations, for sets that are not empty."""
-    out = np.empty((len(sets), VALUES), dtype=np.uint32)
+    """The low 16 bits of the least permuted hash under each of ``VALUES`` permutations, for sets that are not empty."""
+    out = np.empty((len(sets), VALUES), dtype=np.uint16)
     at = 0
     while at < len(sets):
         to, size = at + 1, len(sets[at])
@@ -84,15 +93,16 @@ def minhash(sets: list[np.ndarray], block: int = 1 << 16) -> np.ndarray:
     return out
 
 
-def tree_regions(values: np.ndarray) -> np.ndarray:
-    """For each tree the hash of its number and its first ``MIN_DEPTH`` values."""
-    own = values[:, : TREES * MIN_DEPTH].reshape(-1, TREES, MIN_DEPTH).astype(np.uint64)
-    mixed = mix64((mix64(own) * _TREE_FACTORS).sum(axis=2) + np.arange(TREES, dtype=np.uint64))
-    return mixed.view(np.int64)
+def short_signature(values: np.ndarray) -> np.ndarray:
+    """The low half byte of each value, two to a byte."""
+    low = (values & np.uint16(15)).astype(np.uint8)
+    return low[:, ::2] << 4 | low[:, 1::2]
 
 
-def short_signature(values: np.ndarray) -> np.ndarray:
-    return values[:, -SHORT:].astype(np.uint8)
+def half_bytes(short: list[bytes]) -> np.ndarray:
+    """Signatures as columns: one row for each value, so that one is compared with many by adding up rows."""
+    packed = np.frombuffer(b"".join(short), dtype=np.uint8).reshape(-1, VALUES // 2)
+    return np.ascontiguousarray(np.hstack([packed >> 4, packed & 15]).T)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -101,26 +111,22 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (the set's digest), regions, short signature of each row; null for an empty set."""
+    """doc_id, n_shingles, node (the set's digest), MinHash values, short signature; the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches, 4 << 20):
             sets = shingle_sets(text_bytes(batch.column(1)))
-            full = [s for s in sets if len(s)]
-            values = minhash(full)
-            where, short = tree_regions(values), short_signature(values)
-            has = np.array([len(s) > 0 for s in sets])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(has * TREES)]).astype(np.int32))
-            found = iter(range(len(full)))
+            values = minhash([s for s in sets if len(s)])
+            whole, short = iter(values.astype("<u2")), iter(short_signature(values))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(where.reshape(-1), pa.int64())),
-                    pa.array([short[next(found)].tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(whole).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(short).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "regions", "short"],
+                names=["doc_id", "n_shingles", "node", "values", "short"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
@@ -140,63 +146,116 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def candidates(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
-    """a, b: stars of the nodes that may be near in a region of some tree.
+def branches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node and tree, its place in the tree's order: the first four values, and the next four.
+
+    A tree begins with four values of its own and goes on with those of another."""
+    own = values.reshape(-1, TREES, MIN_DEPTH).astype(np.uint64)
+    first = np.zeros(own.shape[:2], dtype=np.uint64)
+    for j in range(MIN_DEPTH):
+        first = first << np.uint64(16) | own[:, :, j]
+    return first.view(np.int64), np.roll(first, -7, axis=1).view(np.int64)
+
+
+def forest(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
+    """piece, node, region: the candidates of all trees.
+
+    All nodes are sorted by tree and values, dealt over tasks by ranges of that order. Runs of neighbours that
+    share ``MIN_DEPTH`` values are regions, cut to pieces of at most ``region_rows``. A row has a piece if it has
+    company there, and a region if that was cut, or might go on in another task (the first and last of each)."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(-1, VALUES)
+            first, then = branches(values)
+            tree = np.tile(np.arange(TREES, dtype=np.int32), len(values))
+            columns = [tree, first.reshape(-1), then.reshape(-1), np.repeat(batch.column(0).to_numpy(), TREES)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "hi", "lo", "node"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, begun = TaskContext.get().partitionId() << 36, False
+        for (tree, hi, lo, node), last in whole_regions(batches):
+            new = np.concatenate([[True], (tree[1:] != tree[:-1]) | (hi[1:] != hi[:-1])])
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(node)))
+            marked = sizes > region_rows
+            for at, n in zip(starts[marked].tolist(), sizes[marked].tolist(), strict=True):
+                new[[at + x for x in cut_places(lo[at : at + n], region_rows)]] = True
+            marked[0] |= not begun
+            marked[-1] |= last
+            begun = True
+            run = np.cumsum(new) - 1
+            has_piece = np.bincount(run)[run] > 1
+            has_region = np.repeat(marked, sizes)
+            region = np.repeat(mix64(mix64(hi[starts]) + tree[starts].astype(np.uint64)).view(np.int64), sizes)
+            keep = has_piece | has_region
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((number + run)[keep], mask=~has_piece[keep]), pa.array(node[keep]), pa.array(region[keep], mask=~has_region[keep])],
+                names=["piece", "node", "region"],
+            )
+            number += int(run[-1]) + 1
 
-    A region above ``region_rows`` is one star of all its nodes: their links are looked for in pairs of slices."""
-    rows = nodes.select(F.explode("regions").alias("region"), "node", "short")
-    large = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > region_rows)
-    large = materialise(large, "large-regions")
-    if large.isEmpty():
-        return by_key(rows, "region").mapInArrow(near_stars, "a long, b long")
-    marked = broadcast_if_small(large)
-    compared = by_key(rows.join(marked, "region", "left_anti"), "region").mapInArrow(near_stars, "a long, b long")
-    return compared.unionByName(rows.join(marked, "region").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    order = ["tree", "hi", "lo", "node"]
+    rows = nodes.select("node", "values").mapInArrow(places, "tree int, hi long, lo long, node long")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pieces, "piece long, node long, region long")
 
 
-def region_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """region, node and short signatures of whole regions; rows come sorted by region."""
-    kept: tuple[np.ndarray, ...] | None = None
+def whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bool]]:
+    """The rows as arrays of four columns that hold whole regions; and whether these are the last."""
+    held: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        short = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, SHORT)
-        now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), short)
-        if kept is not None:
-            now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
-        last = int(np.searchsorted(now[0], now[0][-1]))
-        if last:
-            yield tuple(x[:last] for x in now)
-        kept = tuple(x[last:] for x in now)
-    if kept is not None:
-        yield kept
+        now = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+        other = np.flatnonzero((now[0] != now[0, -1]) | (now[1] != now[1, -1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield np.concatenate([*held, now[:, :cut]], axis=1), False
+            held = []
+        elif held and (held[0][:2, 0] != now[:2, 0]).any():
+            yield np.concatenate(held, axis=1), False
+            held = []
+        held.append(now[:, cut:])
+    if held:
+        yield np.concatenate(held, axis=1), True
     give_back()
 
 
-def shared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each region of two nodes or more."""
-    for region, node, short in region_blocks(batches):
-        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
-        ends = np.append(starts[1:], len(region))
-        many = ends - starts > 1
-        for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            yield int(region[a]), node[a:b], short[a:b]
-
-
-def near_pairs(short: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, the later rows that agree in ``NEAR`` of the values or more."""
-    least = NEAR * SHORT
-    for i in range(len(short) - 1):
-        near = np.flatnonzero(np.count_nonzero(short[i + 1 :] == short[i], axis=1) >= least)
-        if len(near):
-            yield i, near + i + 1
+def cut_places(lo: np.ndarray, most: int) -> list[int]:
+    """Where a region's pieces begin. Cuts go between neighbours with the shortest common prefix that leaves pieces
+    of at most ``most`` rows; neighbours with all values in common are cut by number."""
+    code, out = lo.view(np.uint64), []
+
+    def split(a: int, b: int, depth: int) -> None:
+        if depth == MIN_DEPTH:
+            out.extend(range(a, b, most))
+            return
+        level = code[a:b] >> np.uint64(16 * (MIN_DEPTH - 1 - depth))
+        starts = [a, *(np.flatnonzero(level[1:] != level[:-1]) + a + 1).tolist()]
+        begin = None
+        for s, e in zip(starts, [*starts[1:], b], strict=True):
+            if e - s > most:
+                if begin is not None:
+                    out.append(begin)
+                begin = None
+                split(s, e, depth + 1)
+            elif begin is None:
+                begin = s
+            elif e - begin > most:
+                out.append(begin)
+                begin = s
+        if begin is not None:
+            out.append(begin)
+
+    split(0, len(lo), 0)
+    return out
 
 
 class Groups:
     """Connected groups of 0..n-1, by labels, so that whole arrays can be compared at once."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
 
     def join(self, i: int, others: np.ndarray) -> None:
         found = np.unique(self.label[others])
@@ -214,32 +273,23 @@ class Groups:
         return list(dict.fromkeys(zip(least[other].tolist(), name[other].tolist(), strict=True)))
 
 
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
-
+def near_pairs(short: np.ndarray, side: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row, the rows after it of other labels that agree in ``NEAR`` values or more.
 
-def near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What may be near inside each region, as stars."""
-    out: list[tuple[int, int]] = []
-    for _, node, short in shared_regions(batches):
-        groups = Groups(len(node))
-        for i, others in near_pairs(short):
-            groups.join(i, others)
-        out += groups.stars(node)
-        if len(out) > 10_000:
-            yield _pairs_batch(out)
-            out = []
-    if out:
-        yield _pairs_batch(out)
+    Rows are sorted by side: those of side 0 meet those of side 1, and those of side 2 meet each other.
+    ``label`` is read at each step, so it may change between them."""
+    n, first = short.shape[1], int(np.count_nonzero(side == 0))
+    for i in range(first or n - 1):
+        at = max(first, i + 1)
+        rest = short[:, at:] == short[:, i, None]
+        same = np.add.reduce(rest.view(np.uint8), axis=0, dtype=np.uint8)
+        near = np.flatnonzero((same >= NEAR) & (label[at:] != label[i]))
+        if len(near):
+            yield i, near + at
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets overlap enough."""
-    if UNDER * min(len(a), len(b)) < OVER * max(len(a), len(b)):
-        return False
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return UNDER * common >= OVER * (len(both) - common)
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
@@ -264,16 +314,37 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     give_back()
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links confirmed on full sets within each region, cluster or pair of slices, as stars.
+def near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What may be near inside each task's group, as stars. Columns: task, side, node, label, short."""
+    out: list[tuple[int, int]] = []
+    for _, side, node, label, short in runs(batches):
+        if len(node) > 1:
+            groups = Groups(np.unique(label, return_inverse=True)[1])
+            for i, others in near_pairs(half_bytes(short), np.array(side), groups.label):
+                groups.join(i, others)
+            out += groups.stars(np.array(node))
+        if len(out) > 10_000:
+            yield _pairs_batch(out)
+            out = []
+    if out:
+        yield _pairs_batch(out)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets overlap enough."""
+    if UNDER * min(len(a), len(b)) < OVER * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return UNDER * common >= OVER * (len(both) - common)
+
 
-    Rows of side 0 meet those of side 1, and rows of side 2 meet each other."""
-    for _, node, short, side, shingles in runs(batches):
-        values, sides = np.frombuffer(b"".join(short), dtype=np.uint8).reshape(-1, SHORT), np.array(side)
+def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links confirmed on full sets inside each task's group, as stars. Columns: task, side, node, label, short, shingles."""
+    for _, side, node, label, short, shingles in runs(batches):
         sets = [np.frombuffer(s, dtype="<u8") for s in shingles]
-        groups = Groups(len(sets))
-        for i, others in near_pairs(values):
-            others = others[(sides[others] != sides[i]) | (sides[i] == 2)]
+        groups = Groups(np.unique(label, return_inverse=True)[1])
+        for i, others in near_pairs(half_bytes(short), np.array(side), groups.label):
             while len(others := others[groups.label[others] != groups.label[i]]):
                 if linked(sets[i], sets[others[0]]):
                     groups.join(i, others[:1])
@@ -283,44 +354,88 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs_batch(pairs)
 
 
-def sliced(members: DataFrame) -> DataFrame:
-    """task, node, short, side: every two slices of a cluster meet in one task, and each slice meets itself.
+def by_task(rows: DataFrame) -> DataFrame:
+    return rows.repartition("task").sortWithinPartitions("task", "side")
+
 
-    ``members`` has the cluster's n and shingles; no task holds more than about two slices of each."""
-    count = F.greatest(F.lit(SLICES), F.ceil(F.col("n") / REGION_ROWS), F.ceil(F.col("shingles") / F.lit(CLUSTER_SHINGLES / 2))).cast("long")
-    own = members.withColumn("slices", count).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
-    every = own.select("root", "node", "short", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other"))
+def crossed(members: DataFrame) -> DataFrame | None:
+    """task, side, node, label: all that has one key but different labels meets in some task; None if nothing does.
+
+    ``members`` has key, label, node and load, the share of a slice that a node fills. Labels that fill half a
+    slice get slices of their own, which do not meet each other; the other labels are dealt over slices whole."""
+    labels = members.groupBy("key", "label").agg(F.sum("load").alias("load"))
+    labels = materialise(labels.withColumn("own", F.when(F.col("load") > 0.5, F.ceil("load")).otherwise(F.lit(0)).cast("long")), "cross-labels")
+    keys = labels.groupBy("key").agg(
+        F.count(F.lit(1)).alias("labels"), F.ceil(F.sum(F.when(F.col("own") == 0, F.col("load")).otherwise(F.lit(0.0)))).cast("long").alias("rest"), F.sum("own").alias("owned")
+    )
+    keys = materialise(keys.where("labels > 1").drop("labels"), "cross-keys")
+    if keys.isEmpty():
+        return None
+    before = F.sum("own").over(Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
+    big = materialise(labels.where("own > 0").select("key", "label", "own", F.coalesce(before, F.lit(0)).alias("before")), "cross-own")
+    placed = members.join(broadcast_if_small(keys), "key").join(broadcast_if_small(big), ["key", "label"], "left")
+    begin = F.col("rest") + F.col("before")
+    dealt = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("label"), F.greatest("rest", F.lit(1)))).otherwise(begin + F.pmod(F.xxhash64("node"), F.col("own")))
+    every = placed.withColumn("slice", dealt).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") + F.col("owned") - 1)))
+    every = every.where(F.col("own").isNull() | (F.col("other") < begin) | (F.col("other") >= begin + F.col("own")))
     side = F.when(F.col("slice") == F.col("other"), 2).when(F.col("slice") < F.col("other"), 0).otherwise(1)
-    return every.select(F.xxhash64("root", F.least("slice", "other"), F.greatest("slice", "other")).alias("task"), "node", "short", side.alias("side"))
+    return every.select(F.xxhash64("key", F.least("slice", "other"), F.greatest("slice", "other")).alias("task"), side.alias("side"), "node", "label")
 
 
-def by_key(rows: DataFrame, key: str) -> DataFrame:
-    return rows.repartition(key).sortWithinPartitions(key)
+def near_clusters(nodes: DataFrame, region_rows: int = REGION_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """node and root of all that the forest finds and signatures call near, joined to clusters."""
+    found = materialise(forest(nodes, region_rows), "forest")
+    short = nodes.select("node", "short")
+    inside = found.where(F.col("piece").isNotNull()).select(F.col("piece").alias("task"), F.lit(2).alias("side"), "node", F.col("node").alias("label"))
+    stars = by_task(inside.join(short, "node").select("task", "side", "node", "label", "short")).mapInArrow(near_stars, PAIR_SCHEMA)
+    clusters = materialise(components(stars), "clusters")
+    across = found.where(F.col("region").isNotNull()).join(clusters, "node", "left")
+    across = across.select(F.col("region").alias("key"), "node", F.coalesce("root", "node").alias("label"), F.lit(1 / slice_rows).alias("load"))
+    tasks = crossed(materialise(across, "across"))
+    if tasks is None:
+        return clusters
+    more = by_task(tasks.join(short, "node").select("task", "side", "node", "label", "short")).mapInArrow(near_stars, PAIR_SCHEMA)
+    return components(more.unionByName(clusters.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def _content(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the m of their u. What hubs look up is broadcast, so a hub's edges never meet in one task."""
+    least = materialise(least, "least")
+    hubs = least.where(F.col("n") > HUB_EDGES).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("u", "m"), "u")
+    hubs = broadcast_if_small(hubs)
+    others = edges.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= HUB_EDGES).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of a link, by star rounds.
 
-    ``links`` has columns a and b. A hub's neighbours are never gathered: each round takes minima by node and
-    joins them back. The number of rounds grows with the logarithm of the nodes."""
+    ``links`` has columns a and b; rows with a null or with a = b name no node. A hub's neighbours are never
+    gathered: each round takes minima by node, and looks those of hubs up in a small table. The number of rounds
+    grows with the logarithm of the nodes."""
+    links = links.where("a <> b")
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     content = _content(edges)
+    count = F.count(F.lit(1)).alias("n")
     while content[0]:
         # Large star: every larger neighbour of u goes to the least neighbour of u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), count)
+        large = with_least(both.where(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours go to the least of them.
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small_least, "u")
+        large = materialise(large, "large-star")
+        moved = with_least(large, large.groupBy("u").agg(F.min("v").alias("m"), count))
         arrows = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         after = moved.select(arrows).select("e.*").where(F.col("u") != F.col("v")).distinct()
         after = materialise(after, "links")
         forget(edges)
+        forget(large)
         edges, before = after, content
         content = _content(edges)
         if content == before:
@@ -329,43 +444,70 @@ def components(links: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, region_rows: int = REGION_ROWS, cluster_rows: int = CLUSTER_ROWS, cluster_most: int | None = None) -> DataFrame:
+def confirmed_links(docs: DataFrame, members: DataFrame, confirm_rows: int = CONFIRM_ROWS) -> DataFrame:
+    """root and node (root <> node) of the groups that links on full sets make inside each cluster.
+
+    ``members`` has root (the cluster), node, least_id, n_shingles and short."""
+    members = materialise(members.withColumn("load", F.lit(1 / confirm_rows) + F.col("n_shingles") / F.lit(float(CONFIRM_SHINGLES))), "members")
+    pivots = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)]))
+    sizes = members.groupBy("root").agg(F.sum("load").alias("total"), F.count(F.lit(1)).alias("n"), pivots.alias("pivots"))
+    large = materialise(sizes.where("total > 1 AND n > 2").select("root", F.ceil("total").cast("long").alias("slices"), "pivots"), "large-clusters")
+
+    def links(tasks: DataFrame) -> DataFrame:
+        """Stars of the confirmed links of each task; only texts that some task wants are read."""
+        wanted = materialise(tasks.select("node").distinct().join(members.select("node", "least_id"), "node").select("least_id").distinct(), "wanted")
+        own = docs.select("doc_id", "text").join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
+        sets = full_sets(own).groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+        shipped = tasks.join(members.select("node", "short"), "node").join(sets, "node")
+        return by_task(shipped.select("task", "side", "node", "label", "short", "shingles")).mapInArrow(confirm, PAIR_SCHEMA)
+
+    two = F.lit(2).alias("side")
+    marked = broadcast_if_small(large)
+    tasks = members.join(marked, "root", "left_anti").select(F.col("root").alias("task"), two, "node", F.col("node").alias("label"))
+    several = not large.isEmpty()
+    if several:
+        slice_of = lambda place: F.xxhash64("root", place).alias("task")
+        dealt = members.join(marked, "root").select(slice_of(F.pmod(F.xxhash64("node"), F.col("slices"))), two, "node", F.col("node").alias("label"))
+        every = large.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        shown = every.select(slice_of(F.col("place")), two, F.explode("pivots").alias("node")).withColumn("label", F.col("node"))
+        tasks = tasks.unionByName(dealt.unionByName(shown).distinct())
+    found = materialise(links(tasks), "confirmed")
+    named = found.select(F.col("a").alias("root"), F.col("b").alias("node"))
+    if not several:
+        return named
+    named = materialise(components(found), "named")
+    groups = members.join(marked, "root").select(F.col("root").alias("key"), "node", "load").join(named, "node", "left")
+    groups = materialise(groups.select("key", "node", F.coalesce("root", "node").alias("label"), "load"), "groups")
+    rest = crossed(groups)
+    named = named.where("node <> root").select("root", "node")
+    if rest is None:
+        return named
+    more = links(materialise(rest, "rest"))
+    return components(more.unionByName(named.select(F.col("root").alias("a"), F.col("node").alias("b")))).where("node <> root").select("root", "node")
+
+
+def near_duplicates(
+    docs: DataFrame, region_rows: int = REGION_ROWS, slice_rows: int = SLICE_ROWS, confirm_rows: int = CONFIRM_ROWS
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     component_id is the smallest doc_id among the documents reachable by links, itself included; kept says
     that it is the row's own. Null and empty texts and texts without words have an empty set and link with
     nothing. Repeated rows have equal results. A row with a null id takes part in links but cannot name a
-    component, and is not kept. Extra columns of ``docs`` are not looked at; an empty table gives no rows. ``cluster_most`` has no effect:
-    callers may still give it, but clusters of all sizes are confirmed in the same way.
+    component, and is not kept. Extra columns of ``docs`` are not looked at; an empty table gives no rows. The
+    three limits bound what one task holds; the result does not depend on them.
     """
     sketches = materialise(sketch(docs), "sketches")
     nodes = sketches.where(F.col("node").isNotNull()).groupBy("node")
-    nodes = nodes.agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("short").alias("short"), F.any_value("regions").alias("regions"))
+    any_of = lambda name: F.any_value(name).alias(name)
+    nodes = nodes.agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), any_of("values"), any_of("short"))
     nodes = materialise(nodes, "nodes")
 
-    clusters = materialise(components(candidates(nodes, region_rows)), "clusters")
+    clusters = near_clusters(nodes, region_rows, slice_rows)
     members = clusters.join(nodes.select("node", "least_id", "n_shingles", "short"), "node")
-    members = materialise(members, "members")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
-    large = materialise(sizes.where((F.col("n") > cluster_rows) | ((F.col("n") > 2) & (F.col("shingles") > CLUSTER_SHINGLES))), "large-clusters")
-
-    ids = members.select(F.col("least_id").alias("member_id")).distinct()
-    own = docs.select("doc_id", "text").join(broadcast_if_small(ids), F.col("doc_id").eqNullSafe(F.col("member_id")), "left_semi")
-    sets = full_sets(own).groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-    tasks = members.join(broadcast_if_small(large), "root", "left_anti").select(F.col("root").alias("task"), "node", "short", F.lit(2).alias("side"))
-    several = not large.isEmpty()
-    if several:
-        marked = members.join(broadcast_if_small(large), "root").drop("n_shingles")
-        tasks = tasks.unionByName(sliced(marked))
-    shipped = tasks.join(sets, "node").select("task", "node", "short", "side", "shingles")
-    links = by_key(shipped, "task").mapInArrow(confirm, "a long, b long")
-    if several:
-        named = components(links).where("node <> root").select("root", "node")
-    else:
-        named = links.select(F.col("a").alias("root"), F.col("b").alias("node"))
-    named = materialise(named, "named")
+    named = materialise(confirmed_links(docs, members, confirm_rows), "named")
     ends = named.unionByName(named.select("root", F.col("root").alias("node")).distinct())
-    least = ends.join(members.select("node", "least_id"), "node")
+    least = ends.join(nodes.select("node", "least_id"), "node")
     roots = least.groupBy("root").agg(F.min("least_id").alias("of_links"))
     found = nodes.select("node", "least_id").join(ends.join(roots, "root").select("node", "of_links"), "node", "left")
     found = materialise(found.select("node", F.coalesce("of_links", "least_id").alias("found")), "components")
