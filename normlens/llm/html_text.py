@@ -2,17 +2,18 @@
 
 Markup is stripped to lines (one for each block element); lines of menus, forms and the like carry no
 length. Lengths are summed over sliding windows of lines; where the sum surges the main text begins, where
-it dives the text ends, and all lines between are kept. Lines in elements that name the article themselves
-(``article``, ``main``) weigh more; around them lines count where they surge by themselves. A name or a form
-only makes its lines weigh nothing while they are the smaller part: what holds most of the page's text is not skipped.
-Pages are independent: one Arrow pass, no shuffle.
+it dives the text ends, and all lines between are kept. The same windows decide on every page. In elements that
+name the article themselves (``article``, ``main``) a character counts ``INSIDE`` times, and linked ones once;
+around them lines count where they surge by themselves. A name or a form only makes its lines weigh nothing while
+they are the smaller part: what holds most of the page's text is not skipped.
+Pages are independent: one Arrow pass, no shuffle, in time that grows with the page's length.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from normlens.llm.common import row_batches
 
 WINDOW = 3  # lines whose lengths are summed
-SURGE = 80  # characters of text in a window at which the main text begins; a line in an article element weighs as much more
+SURGE = 80  # characters of text in a window at which the main text begins
+INSIDE = 8  # times that a character in an article element counts
 TEXT_SCHEMA = "page_id long, url string, text string, n_chars long, n_lines long, n_kept long"
 
-# Elements whose content is never text of the article.
+# Elements whose content is never text of the article. To the page's end, if the first six have no end tag.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "select")
+TO_END = frozenset(RAW[:6])
 BOILERPLATE = frozenset("nav footer aside form button dialog menu head audio video canvas fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -47,11 +50,10 @@ NEGATED = frozenset("with has no without not".split())
 # Elements that are skipped only while they hold the smaller part of the page's text.
 WRAPPERS = frozenset("form fieldset header".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
+OPENING = re.compile(r"<(?=[a-z/!?])", re.IGNORECASE)
+NAME = re.compile(r"[a-z][a-z0-9:-]*", re.IGNORECASE)
+STOP = re.compile(r">|=\s*([\"'])?")  # in a tag: its end, or a value with its quote
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
@@ -83,6 +85,53 @@ def marks(attrs: str, tag: str = "div", article: bool = False) -> frozenset[str]
     return frozenset(found)
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page from left to right: ("text", text, ""), ("open", name, attributes) and ("close", name, ""), names in lower case.
+
+    Comments, declarations and the content of ``RAW`` elements are left out. Each search either finds something and
+    goes on behind it, or fails and is not made again, so the time grows with the page's length whatever it holds."""
+    at, quoted, unclosed = 0, True, set()
+    while opening := OPENING.search(page, at):
+        start = opening.start()
+        if start > at:
+            yield "text", page[at:start], ""
+        close = page.startswith("</", start)
+        name = NAME.match(page, start + 1 + close)
+        if not name:
+            before, after = next(m for m in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")) if page.startswith(m[0], start))
+            end = page.find(after, start + len(before))
+            at = end + len(after) if end >= 0 else len(page)
+            continue
+        end, pos = -1, name.end()
+        while quoted and (stop := STOP.search(page, pos)):
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            pos = page.find(stop[1], stop.end()) + 1 if stop[1] else stop.end()
+            if not pos:
+                break
+        if end < 0:  # no end outside quotes: from here on quotes mean nothing
+            quoted = False
+            end = page.find(">", name.end())
+        if end < 0:
+            return
+        at, tag, attrs = end + 1, name[0].lower(), page[name.end() : end]
+        if close or tag not in RAW_END or tag in unclosed:
+            yield "close" if close else "open", tag, attrs
+        elif not (attrs.endswith("/") and tag in ("svg", "math")):
+            found = RAW_END[tag].search(page, at)
+            if found:
+                end = page.find(">", found.end())
+                at = end + 1 if end >= 0 else len(page)
+            elif tag in TO_END:
+                return
+            else:
+                unclosed.add(tag)
+                yield "open", tag, attrs
+    if at < len(page):
+        yield "text", page[at:], ""
+
+
 class Lines:
     """The page's lines: text, the length that counts for the distribution, and whether inside the article."""
 
@@ -90,19 +139,20 @@ class Lines:
         self.text: list[str] = []
         self.weight: list[int] = []
         self.inside: list[bool] = []
-        self.skips: list[tuple[int, ...]] = []  # of each line, the elements that skip it
+        self.skips: list[int] = []  # of each line, the innermost skipping element, or -1
         self.kinds: list[str] = []  # of each skipping element
-        self.stack: list[tuple[str, tuple[int, ...], bool]] = []  # name, elements that skip it, in the article
+        self.around: list[int] = []  # of each skipping element, the one around it, or -1
+        self.stack: list[tuple[str, int, bool]] = []  # name, innermost element that skips it, in the article
+        self.places: dict[str, list[int]] = {}  # of each name, its places in the stack
         self.parts: list[str] = []
         self.linked = 0
-        at = 0
-        for m in TOKEN.finditer(page):
-            if m.start() > at:
-                self.add(page[at : m.start()])
-            at = m.end()
-            if m["name"]:
-                (self.close if m["close"] else self.open)(m["name"].lower(), m["attrs"])
-        self.add(page[at:])
+        for kind, value, attrs in tokens(page):
+            if kind == "text":
+                self.add(value)
+            elif kind == "open":
+                self.open(value, attrs)
+            else:
+                self.close(value)
         self.flush()
         self.settle()
 
@@ -112,31 +162,44 @@ class Lines:
         Comments hold it only where no other text surges, and what lies beside an article never does."""
         if not self.kinds:
             return
-        size = [len(t) for t in self.text]
-        held = [0] * len(self.kinds)
-        for n, skips in zip(size, self.skips, strict=True):
-            if not any(self.kinds[k] == "always" for k in skips):
-                for k in skips:
-                    held[k] += n
-        total = sum(n for n, skips in zip(size, self.skips, strict=True) if not any(self.kinds[k] == "always" for k in skips))
-        own = sum(n for n, skips in zip(size, self.skips, strict=True) if not skips)
-        gone = {k for k, kind in enumerate(self.kinds) if kind == "always" or 2 * held[k] <= total or (kind == "comments" and own >= SURGE)}
-        if any(inside and not skips for inside, skips in zip(self.inside, self.skips, strict=True)):
-            gone |= {k for inside, skips in zip(self.inside, self.skips, strict=True) if not inside for k in skips}
-        keep = [i for i, skips in enumerate(self.skips) if gone.isdisjoint(skips)]
+        held, beside = [0] * len(self.kinds), [False] * len(self.kinds)
+        total = own = 0
+        for text, inside, k in zip(self.text, self.inside, self.skips, strict=True):
+            total += len(text)
+            if k < 0:
+                own += len(text)
+            else:
+                held[k] += len(text)
+                beside[k] |= not inside
+        for k in range(len(self.kinds) - 1, -1, -1):  # what lies inside came later
+            if self.around[k] >= 0:
+                held[self.around[k]] += held[k]
+                beside[self.around[k]] |= beside[k]
+        article = any(inside and k < 0 for inside, k in zip(self.inside, self.skips, strict=True))
+        gone: list[bool] = []
+        for k, kind in enumerate(self.kinds):
+            small = 2 * held[k] <= total or (kind == "comments" and own >= SURGE) or (article and beside[k])
+            gone.append(small or (self.around[k] >= 0 and gone[self.around[k]]))
+        keep = [i for i, k in enumerate(self.skips) if k < 0 or not gone[k]]
         self.text, self.weight, self.inside = ([column[i] for i in keep] for column in (self.text, self.weight, self.inside))
 
-    def state(self) -> tuple[tuple[int, ...], bool]:
-        return self.stack[-1][1:] if self.stack else ((), False)
+    def state(self) -> tuple[int, bool]:
+        return self.stack[-1][1:] if self.stack else (-1, False)
+
+    def hidden(self) -> bool:
+        """Whether what follows is skipped whatever it holds."""
+        k = self.state()[0]
+        return k >= 0 and self.kinds[k] == "always"
 
-    def skip(self, skipped: tuple[int, ...], kind: str) -> tuple[int, ...]:
-        if any(self.kinds[k] == "always" for k in skipped):
-            return skipped
+    def skip(self, around: int, kind: str) -> int:
+        if around >= 0 and self.kinds[around] == "always":
+            return around
         self.kinds.append(kind)
-        return (*skipped, len(self.kinds) - 1)
+        self.around.append(around)
+        return len(self.kinds) - 1
 
     def add(self, raw: str) -> None:
-        if any(self.kinds[k] == "always" for k in self.state()[0]):
+        if self.hidden():
             return
         self.parts.append(raw)
         if any(name == "a" for name, _, _ in self.stack[-4:]):
@@ -154,6 +217,15 @@ class Lines:
             self.parts.clear()
         self.linked = 0
 
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element with one of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, place: int) -> None:
+        for name, _, _ in self.stack[place:]:
+            self.places[name].pop()
+        del self.stack[place:]
+
     def open(self, name: str, attrs: str) -> None:
         if name in BLOCKS:
             self.flush()
@@ -169,41 +241,34 @@ class Lines:
         elif name == "tr":
             self.end_open("tr", {"table"})
         skipped, article = self.state()
-        if name in ("html", "body"):
-            self.stack.append((name, skipped, article))
-            return
-        found = marks(attrs, name, article) if attrs else frozenset()
-        if name in ("article", "main"):
-            if not found & (COMMENTS | {"hidden", "related", "recommended"}):
-                article = True  # below a skipped element it stays skipped
-            else:
-                skipped = self.skip(skipped, "always" if "hidden" in found else "comments")
-        elif "hidden" in found or (name in BOILERPLATE and name not in WRAPPERS):
-            skipped = self.skip(skipped, "always")
-        elif found or (name in WRAPPERS and not (name == "header" and article)):
-            skipped = self.skip(skipped, "comments" if found & COMMENTS else "wrapper")
-        elif article and name not in HEADINGS and any(n == "header" for n, _, _ in self.stack) and name in ("p", "div", "ul"):
-            skipped = self.skip(skipped, "always")  # a header inside the article gives its headings only
+        if name not in ("html", "body"):
+            found = marks(attrs, name, article) if attrs else frozenset()
+            if name in ("article", "main"):
+                if not found & (COMMENTS | {"hidden", "related", "recommended"}):
+                    article = True  # below a skipped element it stays skipped
+                else:
+                    skipped = self.skip(skipped, "always" if "hidden" in found else "comments")
+            elif "hidden" in found or name in RAW_END or (name in BOILERPLATE and name not in WRAPPERS):
+                skipped = self.skip(skipped, "always")
+            elif found or (name in WRAPPERS and not (name == "header" and article)):
+                skipped = self.skip(skipped, "comments" if found & COMMENTS else "wrapper")
+            elif article and name in ("p", "div", "ul") and self.places.get("header"):
+                skipped = self.skip(skipped, "always")  # a header inside the article gives its headings only
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, skipped, article))
 
     def end_open(self, name: str, bounds: set[str]) -> None:
         """Ends an element that the next start tag closes without an end tag of its own."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in bounds:
-                return
+        place = self.last((name,))
+        if place >= 0 and place >= self.last(bounds - {name}):
+            self.cut(place)
 
-    def close(self, name: str, _: str) -> None:
+    def close(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in ("article", "main", "body") and name in ("p", "b", "i", "em", "strong", "a", "span"):
-                return
+        place = self.last((name,))
+        if place >= 0 and not (name in ("p", "b", "i", "em", "strong", "a", "span") and place < self.last(("article", "main", "body"))):
+            self.cut(place)
 
 
 def regions(weight: np.ndarray, surge: int = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -236,7 +301,7 @@ def main_text(page: str | None) -> tuple[str, int, int]:
         around, surges = np.where(inside, 0, weight), np.zeros(len(weight), dtype=bool)
         for a, b in regions(around):
             surges[a:b] = True
-        weight = np.where(inside, SURGE + np.array([len(t) for t in lines.text]), np.where(surges, around, 0))
+        weight = np.where(inside, np.maximum(INSIDE * weight, [len(t) for t in lines.text]), np.where(surges, around, 0))
     runs = regions(weight)
     if not runs and len(weight):  # a short page has no surge: all its lines that are not links
         runs = [(0, len(weight))]
@@ -245,7 +310,10 @@ def main_text(page: str | None) -> tuple[str, int, int]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_lines, n_kept for every row; null html is an empty page with text ''."""
+    """page_id, url, text, n_chars, n_lines, n_kept for every row; null html is an empty page with text ''.
+
+    Ids and urls are passed on as they are, null too; repeated rows give repeated results. Extra columns are not
+    looked at; an empty table gives no rows. A page of any length is taken whole, by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches):

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import wave
 import zlib
 
@@ -202,6 +203,82 @@ def test_surge_and_dive():
     assert html_text.regions(np.zeros(0)) == [] and html_text.regions(np.zeros(3)) == []
 
 
+def slow_main_text(lines):
+    """The distribution by loops, over (text, linked characters, in the article) of each line that is not skipped."""
+    weigh = lambda t, linked: max(0, len(t) - 2 * linked)
+
+    def kept(weights):
+        out, on = [], False
+        for i in range(len(weights)):
+            window = sum(weights[i : i + 3])
+            on = (on and window > 0) or (window >= 80 and weights[i] > 0)
+            out.append(on)
+        return out
+
+    weights = [weigh(t, n) for t, n, _ in lines]
+    if any(inside for _, _, inside in lines):
+        surges = kept([0 if inside else w for w, (_, _, inside) in zip(weights, lines, strict=True)])
+        weights = [max(8 * w, len(t)) if inside else (w if on else 0) for w, (t, _, inside), on in zip(weights, lines, surges, strict=True)]
+    keep = kept(weights)
+    if not any(keep):
+        keep = [True] * len(lines)
+    return "\n".join(t for (t, _, _), on, w in zip(lines, keep, weights, strict=True) if on and w > 0)
+
+
+def test_html_against_loops():
+    """Random pages, of which every other has no article or main element, against a slow version."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    shown = 0
+    for number in range(300):
+        html, lines = ["<html><head><title>no</title><style>p > a { }</style></head><body>"], []
+        for part in range(rng.randint(1, 6)):
+            box = rng.choice(["div", "section"]) if number % 2 else rng.choice(["article", "main", "div"])
+            html.append(f"<{box}>")
+            for _ in range(rng.randint(0, 7)):
+                kind, text = rng.choice(["p", "p", "h2", "link", "short", "nav", "li", "script"]), words(rng.randint(1, 25))
+                if kind == "link":
+                    html.append(f"<p><a href='/x?a=1>2'>{text}</a></p>")
+                    lines.append((text, len(text), box in ("article", "main")))
+                elif kind == "nav":
+                    html.append(f"<nav><a>{text[:20]}</a></nav>")
+                elif kind == "script":
+                    html.append(f"<script>if (a < b) {{ '{text}' }}</script>")
+                else:
+                    text = text.split()[0] if kind == "short" else text
+                    tag = {"short": "p"}.get(kind, kind)
+                    html.append(f"<{tag} class=\"c{part}\">{text.replace(' ', ' &nbsp;', 1)}</{tag}>")
+                    lines.append((text, 0, box in ("article", "main")))
+            html.append(f"</{box}>")
+        want = slow_main_text(lines)
+        assert html_text.main_text("".join(html))[0] == want, number
+        shown += want != "\n".join(t for t, _, _ in lines)
+    assert shown > 100
+
+
+@pytest.mark.parametrize("bad", ["<a b=\"x\" c='", "<script ", "<select>", "<span></b>", "<div class=ad>", "<", "<!--", "<a b=", "<td><tr>", "<svg>", "<article><header><p>"])
+def test_html_time_grows_with_the_length(bad):
+    def seconds(n):
+        began = time.process_time()
+        html_text.main_text("<p>x</p>" + bad * (n // len(bad)))
+        return time.process_time() - began
+
+    assert seconds(1_000_000) < 6  # a scan for each mark would take hours
+
+
+def test_html_broken_marks():
+    for page, want in {
+        "<p>one</p><p class=it's>two</p><p>don't</p>": "one\ntwo\ndon't",
+        "<p>1 < 2</p><p title='a > b'>x</p>": "1 < 2\nx",
+        "<p>a</p><p title=\"open>b</p>": "a\nb",
+        "<p>a</p><svg viewBox='0 0 1 1'/><p>b</p>": "a\nb",
+        "<p>a</p><!-- <p>gone</p>": "a",
+        "<p>a</p><script>gone": "a",
+        "<p>a</p><select><option>gone</option>": "a",
+    }.items():
+        assert html_text.main_text(page)[0] == want, page
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>" + "z" * 300_000, "t")], "page_id long, url string, html string, text string")
     got = sorted(html_text.extract(rows).collect(), key=lambda r: (r.page_id or 0, r.n_chars))
