@@ -1,8 +1,8 @@
 """Language identification: a byte convolutional network in numpy.
 
 Bytes map to classes, classes to small vectors; filters of several widths run over fixed-length windows,
-each filter keeps its maximum, and a softmax layer names the language. Training (Adam, on the driver) sees a
-bounded sample of labelled windows. For scoring, vectors and filters fold into tables over pairs of byte
+each filter keeps its maximum, and a softmax layer names the language. Training (Adam, on the driver) sees the
+whole texts of a bounded sample of labelled rows. For scoring, vectors and filters fold into tables over pairs of byte
 classes, so a window costs table look-ups and additions. A text's prediction is the mean over all its
 windows; texts are independent, so nothing is shuffled but the sample.
 """
@@ -18,19 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import is_held_out, row_batches
-from normlens.llm.quality import bounded_sample, held_out
+from normlens.llm.common import is_held_out, materialise, row_batches
+from normlens.llm.quality import held_out, sampled_ids, within
 
 FOLDS, HELD = 3, 1
-#: The most labelled rows that a model is fitted on, and the characters taken from the middle of each.
+#: A model is fitted on about this many labelled rows at most, of which the driver holds at most so many bytes.
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 768
+SAMPLE_BYTES = 32 << 20
 WINDOW = 256
 CLASSES = 64  # byte classes: padding, the commonest bytes of the sample, and one for all others
 VECTOR = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-EPOCHS, STEPS, BATCH, RATE = 6, 800, 64, 0.004  # passes: EPOCHS, or as many more as small samples need for STEPS
+STEPS, BATCH, RATE = 800, 64, 0.004  # updates, each by windows that come in a random order until all were used
 UNKNOWN = "und"
 BLOCK = 512  # windows scored at once
 LETTER = re.compile(r"[^\W\d_]")
@@ -65,54 +65,65 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], epochs: int | None = None, seed: int = 5) -> Model:
+def initial(languages: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Random parameters: vectors v, filters f and offsets b of each width, output o and its offset ob."""
+    p = {"v": rng.normal(0, 0.5, (CLASSES, VECTOR)), "o": rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, languages)), "ob": np.zeros(languages)}
+    for w in WIDTHS:
+        p[f"f{w}"], p[f"b{w}"] = rng.normal(0, (2 / (w * VECTOR)) ** 0.5, (w * VECTOR, FILTERS)), np.zeros(FILTERS)
+    return p
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of the windows ``x`` with languages ``y``, and its gradient by each parameter."""
+    n, seen, pooled, best = len(x), p["v"][x], [], []
+    for w in WIDTHS:
+        patches = np.lib.stride_tricks.sliding_window_view(seen, w, axis=1).transpose(0, 1, 3, 2).reshape(n, WINDOW - w + 1, w * VECTOR)
+        response = patches @ p[f"f{w}"] + p[f"b{w}"]
+        where = response.argmax(axis=1)
+        best.append((where, patches))
+        pooled.append(np.take_along_axis(response, where[:, None, :], axis=1)[:, 0])
+    hidden = np.hstack(pooled)
+    active = np.maximum(hidden, 0)
+    error = _softmax(active @ p["o"] + p["ob"])
+    loss = -np.log(error[np.arange(n), y]).mean()
+    error[np.arange(n), y] -= 1
+    error /= n
+    grad = {"o": active.T @ error, "ob": error.sum(0), "v": np.zeros_like(p["v"])}
+    back = (error @ p["o"].T) * (hidden > 0)
+    for k, w in enumerate(WIDTHS):
+        g, (where, patches) = back[:, k * FILTERS : (k + 1) * FILTERS], best[k]
+        at_best = patches[np.arange(n)[:, None], where]  # (n, FILTERS, w * VECTOR)
+        grad[f"f{w}"], grad[f"b{w}"] = np.einsum("nf,nfk->kf", g, at_best), g.sum(0)
+        to_vectors = (g[:, :, None] * p[f"f{w}"].T[None]).reshape(n, FILTERS, w, VECTOR)
+        bytes_at = x[np.arange(n)[:, None, None], where[:, :, None] + np.arange(w)]
+        np.add.at(grad["v"], bytes_at.ravel(), to_vectors.reshape(-1, VECTOR))
+    return float(loss), grad
+
+
+def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) -> Model:
     """The network of (text, language) rows. With one language only, that language is always predicted."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     raws = [as_bytes(t) for t, _ in rows]
-    counts = np.bincount(np.frombuffer(b"".join(raws), dtype=np.uint8), minlength=256)
+    counts = sum(np.bincount(np.frombuffer(r, dtype=np.uint8), minlength=256) for r in raws)
     classes = np.full(256, CLASSES - 1, dtype=np.uint8)
     common = np.argsort(-counts, kind="stable")[: CLASSES - 2]
     classes[common] = np.arange(1, CLASSES - 1)
     cut = [windows(r, classes) for r in raws]
-    x = np.concatenate(cut)
     y = np.repeat([languages.index(lang) for _, lang in rows], [len(c) for c in cut])
-
-    p = {"v": rng.normal(0, 0.5, (CLASSES, VECTOR)), "o": rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(languages))), "ob": np.zeros(len(languages))}
-    for w in WIDTHS:
-        p[f"f{w}"], p[f"b{w}"] = rng.normal(0, (2 / (w * VECTOR)) ** 0.5, (w * VECTOR, FILTERS)), np.zeros(FILTERS)
-    first, second, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    for _ in range(epochs or min(max(EPOCHS, -(-STEPS * BATCH // len(x))), 200)):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            pick = order[at : at + BATCH]
-            xb, yb, n = x[pick], y[pick], len(pick)
-            seen, pooled, best = p["v"][xb], [], []
-            for w in WIDTHS:
-                patches = np.lib.stride_tricks.sliding_window_view(seen, w, axis=1).transpose(0, 1, 3, 2).reshape(n, WINDOW - w + 1, w * VECTOR)
-                response = patches @ p[f"f{w}"] + p[f"b{w}"]
-                where = response.argmax(axis=1)
-                best.append((where, patches))
-                pooled.append(np.take_along_axis(response, where[:, None, :], axis=1)[:, 0])
-            hidden = np.hstack(pooled)
-            active = np.maximum(hidden, 0)
-            error = _softmax(active @ p["o"] + p["ob"])
-            error[np.arange(n), yb] -= 1
-            error /= n
-            grad = {"o": active.T @ error, "ob": error.sum(0), "v": np.zeros_like(p["v"])}
-            back = (error @ p["o"].T) * (hidden > 0)
-            for k, w in enumerate(WIDTHS):
-                g, (where, patches) = back[:, k * FILTERS : (k + 1) * FILTERS], best[k]
-                at_best = patches[np.arange(n)[:, None], where]  # (n, FILTERS, w * VECTOR)
-                grad[f"f{w}"], grad[f"b{w}"] = np.einsum("nf,nfk->kf", g, at_best), g.sum(0)
-                to_vectors = (g[:, :, None] * p[f"f{w}"].T[None]).reshape(n, FILTERS, w, VECTOR)
-                bytes_at = xb[np.arange(n)[:, None, None], where[:, :, None] + np.arange(w)]
-                np.add.at(grad["v"], bytes_at.ravel(), to_vectors.reshape(-1, VECTOR))
-            step += 1
-            for k, g in grad.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                p[k] = p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    x = np.concatenate(cut)
+    p = initial(len(languages), rng)
+    first, second = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
+    order, at = rng.permutation(len(x)), 0
+    for step in range(1, steps + 1):
+        if at >= len(order):
+            order, at = rng.permutation(len(x)), 0
+        pick = order[at : at + BATCH]
+        at += BATCH
+        for k, g in gradients(p, x[pick], y[pick])[1].items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            p[k] = p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return Model(languages, classes, p["v"], [p[f"f{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["o"], p["ob"])
 
 
@@ -157,23 +168,30 @@ class Scorer:
         return lang, score
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model of the documents outside the held-out fold that have a text and a language.
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of the documents outside the held-out fold that have an id, a text with a letter and a language.
 
-    The driver holds at most about ``sample_rows`` passages of ``SAMPLE_CHARS`` characters."""
+    Whole texts are taken, of about ``sample_rows`` ids, one row of each. If they are more than ``sample_bytes``
+    together, rows are left out until they fit; the driver holds no more than that."""
     usable = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
-    learn = docs.where(usable & (held_out(F.col("doc_id"), FOLDS) != HELD))
-    start = F.greatest(F.lit(1), F.length("text") / 2 - SAMPLE_CHARS // 2).cast("int")
-    passage = F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS))
-    rows = bounded_sample(learn.withColumn("text", passage), learn.select(F.col("doc_id").alias("sample_id")), ["text", "lang"], sample_rows)
-    rows = [(r["text"], r["lang"]) for r in rows if LETTER.search(r["text"])]
+    learn = docs.where(usable & (held_out(F.col("doc_id"), FOLDS) != HELD)).select("doc_id", "text", "lang")
+    kept = sampled_ids(learn.select("doc_id").distinct(), sample_rows)
+    one = F.min(F.struct("text", "lang")).alias("row")
+    table = materialise(learn.join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "row.*"), "language-sample")
+    ids = within([tuple(r) for r in table.select("doc_id", F.octet_length("text")).collect()], sample_bytes)
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    found = {r["doc_id"]: (r["text"], r["lang"]) for r in table.join(chosen, "doc_id").toLocalIterator()}
+    rows = [found[i] for i in ids if LETTER.search(found[i][0])]
     if not rows:
         return Model([], np.zeros(256, dtype=np.uint8), np.zeros((CLASSES, VECTOR)), [np.zeros((w * VECTOR, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS)] * 3, np.zeros((len(WIDTHS) * FILTERS, 1)), np.zeros(1))
     return train(rows)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; null and letterless texts are ``und`` with score 0."""
+    """doc_id, held_out, lang_pred, score for every row; null and letterless texts are ``und`` with score 0.
+
+    Repeated rows have equal results. A null id is passed on, and is in the held-out fold if '' is. Extra columns
+    are not looked at; an empty table gives no rows. Texts of any length are scored whole, by all their windows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

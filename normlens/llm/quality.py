@@ -1,9 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
 Words are runs of one character class (letters, digits, signs), so that decoration and shouting are words
-too. A text's features are its hashed words and word pairs, weighted by their share of the text. Training
-runs on the driver over a bounded sample of labelled rows; scoring is a sparse dot product for each text,
-in Arrow batches, with nothing shuffled but the sample.
+too. A text's features are its hashed words and word pairs, weighted by their share of the text. Whole texts of
+a bounded sample of labelled rows become sparse features on the executors; training runs on the driver. Scoring
+is a sparse dot product for each text, in Arrow batches, with nothing shuffled but the sample.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import SEGMENT, hash_spans, is_held_out, mix64, row_batches, segments, text_bytes
+from normlens.llm.common import SEGMENT, hash_spans, is_held_out, materialise, mix64, row_batches, segments, text_bytes
 
-#: The most labelled rows that a model is fitted on, and the most bytes of one text that the fit looks at.
+#: A model is fitted on about this many labelled rows at most, of which the driver holds at most so many features.
 SAMPLE_ROWS = 6_000
-SAMPLE_BYTES = 20_000
+SAMPLE_FEATURES = 10_000_000
 BITS = 18
 FOLDS = 5
 THRESHOLD = 0.3
@@ -27,6 +27,7 @@ THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 EPOCHS, UPDATES = 6, 30_000  # passes over the rows: EPOCHS, or as many more as small samples need for UPDATES
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
+EXAMPLE_SCHEMA = "doc_id long, quality int, n long, index binary, value binary"
 
 
 def _classes() -> np.ndarray:
@@ -92,9 +93,17 @@ def weighted(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, index, np.sqrt(count / total[text])
 
 
-def train(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, float]:
-    """Weights and bias by FTRL-proximal over the rows in turn, again and again."""
-    epochs = min(max(EPOCHS, -(-UPDATES // len(rows))), 200)
+def examples(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Indices and values of each text, with the bias, whose index is ``1 << BITS`` and value 1."""
+    text, index, value = weighted(raws)
+    cuts = np.searchsorted(text, np.arange(len(raws) + 1))
+    bias = 1 << BITS
+    return [(np.append(index[a:b], bias).astype(np.int32), np.append(value[a:b], 1.0).astype(np.float32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def train(data: list[tuple[np.ndarray, np.ndarray, int]], epochs: int | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by FTRL-proximal over the (indices, values, label) rows in turn, again and again."""
+    epochs = epochs or min(max(EPOCHS, -(-UPDATES // len(data))), 200)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
@@ -103,13 +112,6 @@ def train(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, float]:
         w = shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
         return np.where((np.abs(z[i]) <= L1) & (i != bias), 0.0, w)
 
-    data = []
-    for at in range(0, len(rows), 200):  # a few texts at a time: their features take many times their bytes
-        some = rows[at : at + 200]
-        text, index, value = weighted([raw for raw, _ in some])
-        cuts = np.searchsorted(text, np.arange(len(some) + 1))
-        for (_, label), a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-            data.append((np.append(index[a:b], bias).astype(np.int32), np.append(value[a:b], 1.0).astype(np.float32), label))
     for _ in range(epochs):
         for index, value, label in data:
             w = weight(index)
@@ -133,49 +135,65 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def bounded_sample(docs: DataFrame, ids: DataFrame, columns: list[str], rows: int) -> list:
-    """About ``rows`` rows of ``docs`` whose id is in ``ids`` (all, if fewer), in an order that follows from the ids.
-
-    Ids are kept by a hash below a bound that follows from their number; ids of repeated rows count once."""
-    ids = ids.distinct()
+def sampled_ids(ids: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the rows of ``ids`` (all, if fewer), which has each doc_id once: those with a hash below a bound."""
     total = ids.count()
-    place = F.xxhash64("sample_id", F.lit(17))
     bound = int(-(2**63) + 2**64 * min(1.0, rows / max(1, total)))
-    kept = ids if rows >= total else ids.where(place < F.lit(bound))
-    first = docs.join(F.broadcast(kept), F.col("doc_id") == F.col("sample_id")).select("doc_id", *columns)
-    return sorted(first.collect(), key=lambda r: (is_held_out(r[0], 1 << 32), r[0], str(r[1])))
+    return ids if rows >= total else ids.where(F.xxhash64("doc_id", F.lit(17)) < F.lit(bound))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
+def within(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """The ids of (id, size) pairs taken in an order that follows from the ids, as long as their sizes sum to ``most``."""
+    total, out = 0, []
+    for i, n in sorted(sizes, key=lambda s: (is_held_out(s[0], 1 << 32), s[0])):
+        if total + n <= most:
+            total += n
+            out.append(i)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> tuple[np.ndarray, float]:
     """The model of the labels outside the held-out fold.
 
-    Rows with a null id, label or text teach nothing. The driver holds at most about ``sample_rows`` texts of
-    ``SAMPLE_BYTES`` bytes (a stretch from the middle of longer ones)."""
-    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (held_out(F.col("doc_id"), FOLDS) != 0))
-    marks: dict[int, int] = {}
-    for row in labelled_sample(ids, sample_rows):
-        marks[row[0]] = row[1]
-    keys = docs.sparkSession.createDataFrame([(k,) for k in marks], "sample_id long")
-    start = F.greatest(F.lit(1), (F.length("text") - SAMPLE_BYTES // 2) / 2).cast("int")
-    text = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring(F.col("text"), start, F.lit(SAMPLE_BYTES // 2)))
-    own = docs.where(F.col("text").isNotNull()).withColumn("text", text)
-    rows = bounded_sample(own, keys, ["text"], sample_rows)
-    data = [(r["text"].encode(), marks[r["doc_id"]]) for r in rows]
-    if not data:
-        return np.zeros(1 << BITS, dtype=np.float32), 0.0
-    return train(data)
+    Rows with a null id, label or text teach nothing; an id labelled twice has its larger label, and of its texts
+    one is used. Whole texts are taken, of about ``sample_rows`` ids. If all their features are more than
+    ``sample_features``, rows are left out until they fit. The driver holds these features, and no text."""
+    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (held_out(F.col("doc_id"), FOLDS) != 0))
+    marks = materialise(marks.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "labels")
+    kept = F.broadcast(sampled_ids(marks, sample_rows))
+    own = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(kept, "doc_id")
+    own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches, 4 << 20):
+            found = examples(text_bytes(batch.column(2)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(pa.int64()),
+                    batch.column(1),
+                    pa.array([len(i) for i, _ in found], pa.int64()),
+                    pa.array([i.tobytes() for i, _ in found], pa.binary()),
+                    pa.array([v.tobytes() for _, v in found], pa.binary()),
+                ],
+                names=["doc_id", "quality", "n", "index", "value"],
+            )
 
-def labelled_sample(labels: DataFrame, rows: int) -> list:
-    """About ``rows`` (doc_id, label) pairs by a hash of the id; an id labelled twice keeps its larger label."""
-    total = labels.count()
-    bound = int(-(2**63) + 2**64 * min(1.0, rows / max(1, total)))
-    kept = labels if rows >= total else labels.where(F.xxhash64("doc_id", F.lit(17)) < F.lit(bound))
-    return kept.groupBy("doc_id").agg(F.max("quality").alias("quality")).collect()
+    table = materialise(own.mapInArrow(run, EXAMPLE_SCHEMA), "quality-sample")
+    order = {i: k for k, i in enumerate(within([tuple(r) for r in table.select("doc_id", "n").collect()], sample_features))}
+    if not order:
+        return np.zeros(1 << BITS, dtype=np.float32), 0.0
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in order], "doc_id long"))
+    data: list = [None] * len(order)
+    for row in table.join(ids, "doc_id").toLocalIterator():
+        data[order[row["doc_id"]]] = (np.frombuffer(row["index"], dtype=np.int32), np.frombuffer(row["value"], dtype=np.float32), row["quality"])
+    return train(data)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; null and empty texts get the bias's score."""
+    """doc_id, held_out, score, predicted for every row; null and empty texts get the bias's score.
+
+    Repeated rows have equal results. A null id is passed on, and is not held out unless '' is. Extra columns are
+    not looked at; an empty table gives no rows. Texts of any length are scored whole, in segments."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import time
 import wave
@@ -313,7 +314,7 @@ def test_language(spark):
 
 
 def test_language_tables_equal_the_network():
-    model = langid.train([(r[1], r[2]) for r in labelled(60)], epochs=1)
+    model = langid.train([(r[1], r[2]) for r in labelled(60)], steps=10)
     x = np.concatenate([langid.windows(langid.as_bytes(r[1] * 4), model.classes) for r in labelled(6)])
     seen, pooled = model.vectors[x], []
     for w, f, o in zip(langid.WIDTHS, model.filters, model.offsets, strict=True):
@@ -324,6 +325,72 @@ def test_language_tables_equal_the_network():
     assert np.allclose(langid.Scorer(model).windows(x), want, atol=1e-4)
 
 
+def test_language_gradients():
+    """Each gradient against differences of the loss."""
+    rng = np.random.default_rng(4)
+    p = langid.initial(3, rng)
+    x, y = rng.integers(0, langid.CLASSES, (5, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    _, grad = langid.gradients(p, x, y)
+    for name, g in grad.items():
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(g), axis=None)[:6], g.shape), strict=True):
+            up, down = ({**p, name: p[name] + d * (np.indices(g.shape).T == at).all(-1).T} for d in (1e-5, -1e-5))
+            assert np.isclose(g[at], (langid.gradients(up, x, y)[0] - langid.gradients(down, x, y)[0]) / 2e-5, rtol=1e-3, atol=1e-6), name
+
+
+def test_classifiers_see_whole_texts_and_one_row_of_an_id(spark):
+    rows = [r[:5] for r in labelled(60)]
+    tail = [(2000 + i, "1 " * 640 + ("und nicht der die " if i % 2 else "the and that with ") * 30, "de" if i % 2 else "en", "s", None) for i in range(40)]
+    many = [(rows[1][0], f"{rows[1][1]} {i}", rows[1][2], "s", None) for i in range(300)]
+    docs = spark.createDataFrame(rows + tail + many, DOCS).withColumns({c: F.lit(1) for c in ("sample_id", "n", "quality", "row", "index", "value")})
+    labels = spark.createDataFrame([(r[0], int(r[2] == "en")) for r in rows + tail + many], "doc_id long, quality int").withColumn("text", F.lit("x"))
+    model = quality.fit(docs, labels)
+    want = quality.train([(*quality.examples([t.encode()])[0], int(lang == "en")) for i, t, lang in quality_sample(rows + tail + many)], None)
+    assert np.allclose(model[0], want[0], atol=1e-5) and np.isclose(model[1], want[1], atol=1e-5)
+    assert quality.fit(docs, labels, sample_features=10)[1] == 0.0
+    assert langid.fit(docs).languages == sorted({r[2] for r in rows + tail}) and langid.fit(docs, sample_bytes=1).languages == []
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert all(got[i] == lang for i, _, lang, *_ in tail)
+
+
+def quality_sample(rows):
+    """One text of each id outside the held-out fold, in the order of the fit."""
+    one = {}
+    for i, text, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            one[i] = min(one.get(i, (text, lang)), (text, lang))
+    return [(i, *one[i]) for i in sorted(one, key=lambda i: (zlib.crc32(str(i).encode()), i))]
+
+
+def quality_rows(rows):
+    return [(*e, r[5]) for e, r in zip(quality.examples([r[1].encode() for r in rows]), rows, strict=True)]
+
+
+def test_quality_training_against_loops():
+    """Leader-following by dictionaries, coordinate by coordinate."""
+    data = quality_rows(labelled(40))
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1 and i != 1 << quality.BITS:
+            return 0.0
+        return (math.copysign(quality.L1, z.get(i, 0.0)) * (z.get(i, 0.0) != 0) - z.get(i, 0.0)) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for index, value, label in data:
+            w = {int(i): weight(int(i)) for i in index}
+            p = 1 / (1 + math.exp(-sum(w[int(i)] * float(v) for i, v in zip(index, value, strict=True))))
+            for i, v in zip(index.tolist(), value.tolist(), strict=True):
+                g = (p - label) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    weights, bias = quality.train(data, epochs=2)
+    assert np.isclose(bias, weight(1 << quality.BITS), atol=1e-6)
+    assert all(np.isclose(weights[i], weight(i), atol=1e-6) for i in z if i != 1 << quality.BITS) and np.count_nonzero(weights) == sum(weight(i) != 0 for i in z if i != 1 << quality.BITS)
+    index, value, _ = data[0]
+    logit = bias + sum(float(weights[i]) * float(v) for i, v in zip(index[:-1], value[:-1], strict=True))
+    assert np.isclose(quality.score_texts([labelled(40)[0][1].encode()], weights, bias)[0], 1 / (1 + math.exp(-logit)), atol=1e-6)
+
+
 def test_quality(spark):
     rows = labelled()
     docs = spark.createDataFrame([r[:5] for r in rows] + [(1000, None, None, None, None), (1001, "", None, None, None), (None, "x", None, None, None)], DOCS).withColumn("quality", F.lit(9))
@@ -340,7 +407,7 @@ def test_quality(spark):
 
 def test_quality_scores_do_not_depend_on_the_batch():
     raws = [(r[1]).encode() for r in labelled(30)] + [b"", b"word " * 900_000]
-    model = quality.train([(r[1].encode(), r[5]) for r in labelled(60)])
+    model = quality.train(quality_rows(labelled(60)))
     together = quality.score_texts(raws, *model)
     assert np.allclose(together, [quality.score_texts([r], *model)[0] for r in raws])
 
