@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens.llm.common import broadcast_if_small, forget, give_back, materialise, mix64, row_batches, text_bytes, word_hashes
@@ -41,7 +41,9 @@ SLICE_ROWS = 16_384  # signatures in one slice of a region that was cut
 CONFIRM_ROWS = 2_048  # full sets in one slice of a cluster,
 CONFIRM_SHINGLES = 1_000_000  # and shingles
 PIVOTS = 3
-HUB_EDGES = 200  # of one node; what is looked up for such nodes is broadcast
+SPREAD = 8  # times as many slices, up to 16, for what needs only a few
+FEW_EDGES = 500_000  # up to so many, what nodes look up is broadcast; with more edges, that of hubs is
+HUB_EDGES = 200  # of one node
 
 _SHINGLE_FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _LENGTH_TERMS = mix64(np.arange(WORDS + 1, dtype=np.uint64) + np.uint64(901))
@@ -358,19 +360,25 @@ def by_task(rows: DataFrame) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task", "side")
 
 
+def slices_for(load: Column) -> Column:
+    """Number of slices, before rounding: the load itself, but a small load is spread over more tasks."""
+    return F.greatest(load, F.least(F.lit(16.0), load * SPREAD))
+
+
 def crossed(members: DataFrame) -> DataFrame | None:
     """task, side, node, label: all that has one key but different labels meets in some task; None if nothing does.
 
     ``members`` has key, label, node and load, the share of a slice that a node fills. Labels that fill half a
     slice get slices of their own, which do not meet each other; the other labels are dealt over slices whole."""
-    labels = members.groupBy("key", "label").agg(F.sum("load").alias("load"))
-    labels = materialise(labels.withColumn("own", F.when(F.col("load") > 0.5, F.ceil("load")).otherwise(F.lit(0)).cast("long")), "cross-labels")
-    keys = labels.groupBy("key").agg(
-        F.count(F.lit(1)).alias("labels"), F.ceil(F.sum(F.when(F.col("own") == 0, F.col("load")).otherwise(F.lit(0.0)))).cast("long").alias("rest"), F.sum("own").alias("owned")
-    )
-    keys = materialise(keys.where("labels > 1").drop("labels"), "cross-keys")
-    if keys.isEmpty():
+    labels = materialise(members.groupBy("key", "label").agg(F.sum("load").alias("load")), "cross-labels")
+    totals = labels.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("load").alias("total")).where("labels > 1")
+    totals = materialise(totals.select("key", (slices_for(F.col("total")) / F.col("total")).alias("factor")), "cross-totals")
+    if totals.isEmpty():
         return None
+    labels = labels.join(broadcast_if_small(totals), "key").withColumn("load", F.col("load") * F.col("factor"))
+    labels = materialise(labels.withColumn("own", F.when(F.col("load") > 0.5, F.ceil("load")).otherwise(F.lit(0)).cast("long")), "cross-loads")
+    rest = F.sum(F.when(F.col("own") == 0, F.col("load")).otherwise(F.lit(0.0)))
+    keys = materialise(labels.groupBy("key").agg(F.ceil(rest).cast("long").alias("rest"), F.sum("own").alias("owned")), "cross-keys")
     before = F.sum("own").over(Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
     big = materialise(labels.where("own > 0").select("key", "label", "own", F.coalesce(before, F.lit(0)).alias("before")), "cross-own")
     placed = members.join(broadcast_if_small(keys), "key").join(broadcast_if_small(big), ["key", "label"], "left")
@@ -402,13 +410,14 @@ def _content(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` with the m of their u. What hubs look up is broadcast, so a hub's edges never meet in one task."""
+def with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """``edges`` with the m of their u, from a table of u, m and n, the number of its edges.
+
+    A table of few rows is broadcast. Of a larger one only the hubs are, so a hub's edges never meet in one task."""
+    if few:
+        return edges.join(F.broadcast(least.select("u", "m")), "u")
     least = materialise(least, "least")
-    hubs = least.where(F.col("n") > HUB_EDGES).select("u", "m")
-    if hubs.isEmpty():
-        return edges.join(least.select("u", "m"), "u")
-    hubs = broadcast_if_small(hubs)
+    hubs = broadcast_if_small(least.where(F.col("n") > HUB_EDGES).select("u", "m"))
     others = edges.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= HUB_EDGES).select("u", "m"), "u")
     return edges.join(hubs, "u").unionByName(others)
 
@@ -427,15 +436,16 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of u goes to the least neighbour of u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), count)
-        large = with_least(both.where(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        few = content[0] <= FEW_EDGES
+        large = with_least(both.where(F.col("v") > F.col("u")), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours go to the least of them.
-        large = materialise(large, "large-star")
-        moved = with_least(large, large.groupBy("u").agg(F.min("v").alias("m"), count))
+        if not few:
+            large = materialise(large, "large-star")
+        moved = with_least(large, large.groupBy("u").agg(F.min("v").alias("m"), count), few)
         arrows = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         after = moved.select(arrows).select("e.*").where(F.col("u") != F.col("v")).distinct()
         after = materialise(after, "links")
         forget(edges)
-        forget(large)
         edges, before = after, content
         content = _content(edges)
         if content == before:
@@ -451,7 +461,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, confirm_rows: int = CON
     members = materialise(members.withColumn("load", F.lit(1 / confirm_rows) + F.col("n_shingles") / F.lit(float(CONFIRM_SHINGLES))), "members")
     pivots = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)]))
     sizes = members.groupBy("root").agg(F.sum("load").alias("total"), F.count(F.lit(1)).alias("n"), pivots.alias("pivots"))
-    large = materialise(sizes.where("total > 1 AND n > 2").select("root", F.ceil("total").cast("long").alias("slices"), "pivots"), "large-clusters")
+    sizes = sizes.select("root", F.ceil(slices_for(F.col("total"))).cast("long").alias("slices"), "pivots", "n")
+    large = materialise(sizes.where("slices > 1 AND n > 2").drop("n"), "large-clusters")
 
     def links(tasks: DataFrame) -> DataFrame:
         """Stars of the confirmed links of each task; only texts that some task wants are read."""
