@@ -1,10 +1,11 @@
 """Exact top-k by inner product: the threshold algorithm over sorted per-dimension lists.
 
-Vectors are dealt over shards and queries over blocks; each (shard, block) pair is one bounded task group. A
-shard keeps, for each dimension, its vectors sorted by that component. For one query the lists are read from
-their favourable end, in rounds of doubling depth; vectors seen for the first time are scored in full;
-reading stops when the bound, the sum over dimensions of query times the component at the current depth,
-cannot beat the k-th score (nor tie with it). Shards' winners meet by query, k rows from each shard.
+Vectors are dealt over shards of bounded size. A shard's task reads its vectors once, sorts them by each
+component into lists, and then takes the queries, all of them, as a stream. So candidates move once, and the
+copies of a query are as many as shards. For one query the lists are read from their favourable end, in rounds
+of doubling depth; vectors seen for the first time are scored in full; reading stops when the bound, the sum over
+dimensions of query times the component at the current depth, cannot beat the k-th score (nor tie with it).
+Shards' winners meet by query, k rows from each shard.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normlens.llm.common import give_back
+
 K = 5
 SCALE = 256
 EVERY = 50
-SHARD_ROWS = 16_384
-BLOCK_QUERIES = 1_024
+SHARD_ROWS = 131_072
+FEW_ROWS, SPREAD = 2_048, 16  # smaller tables take a shard for every FEW_ROWS, up to SPREAD
 FIRST_DEPTH = 16
 PAIR_SCHEMA = "query_id long, vec_id long, score long, depth long"
 
@@ -32,8 +35,8 @@ class Shard:
         order = np.argsort(ids, kind="stable")
         self.ids, whole = ids[order], vectors[order]
         self.most = int(np.abs(whole).max(initial=0))
-        self.whole = whole
         self.exact32 = whole.astype(np.float32)
+        self.whole = whole.astype(np.int32) if self.most < 1 << 31 else whole
         self.lists = np.ascontiguousarray(np.argsort(whole, axis=0, kind="stable").T.astype(np.int32))
 
     def top(self, query: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -41,7 +44,7 @@ class Shard:
         n, dims = self.whole.shape
         # 32-bit floats hold these sums exactly below 2**24, 64-bit integers otherwise.
         small = int(np.abs(query).sum()) * self.most < 1 << 24
-        table, q = (self.exact32, query.astype(np.float32)) if small else (self.whole, query)
+        table, q = (self.exact32, query.astype(np.float32)) if small else (self.whole.astype(np.int64), query)
         used = np.flatnonzero(query)
         rising = query[used] < 0  # such lists are read from their smallest component
         seen = np.zeros(n, dtype=bool)
@@ -79,44 +82,63 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     return F.when(vector.isNotNull() & good, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score (and depth, the most list entries read in any shard) for each query row.
 
     ``vectors`` has vec_id and an integer array ``v``; ``is_query`` picks the queries. Every row but those with
     the query's own id is a candidate. Rows with a null id or vector take no part; nor do rows whose length
     differs from the commonest (none score against it); an empty table gives no rows. A query id that occurs on
     several rows is searched once, by its smallest vector. Repeated candidate rows each count as a candidate.
-    Work grows with queries times vectors, in pairs of bounded blocks; nothing is broadcast.
+    Comparisons grow with queries times vectors, as they must; rows moved are the vectors once, and each query
+    once for each shard. A task holds about ``shard_rows`` vectors; nothing is broadcast or collected.
     """
-    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).select("vec_id", "v", is_query.alias("asks"))
     sizes = usable.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    dims = sizes["dims"] if sizes else 1
+    dims, n = (sizes["dims"], sizes["count"]) if sizes else (1, 0)
     usable = usable.where(F.size("v") == dims)
-    counts = usable.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // block_queries))
-
-    part = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    candidates = usable.select(F.col("vec_id").alias("candidate"), F.col("v").alias("c"), part(1, shards).alias("shard"), every(blocks).alias("block"))
-    queries = usable.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.select(F.col("vec_id").alias("own"), F.col("v").alias("q"), every(shards).alias("shard"), part(2, blocks).alias("block"))
-
-    def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            shard = Shard(left["candidate"].to_numpy(), np.stack(left["c"].to_numpy()).astype(np.int64))
-            for own, query in zip(right["own"], right["q"], strict=True):
-                best, scores, depth = shard.top(np.asarray(query, dtype=np.int64), own, k)
-                rows.append(pd.DataFrame({"query_id": own, "vec_id": shard.ids[best], "score": scores, "depth": depth}))
-        if not rows:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "depth")})
-        return pd.concat(rows, ignore_index=True)
-
-    found = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, PAIR_SCHEMA)
+    shards = max(1, -(-n // shard_rows), min(SPREAD, n // FEW_ROWS))
+
+    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
+    candidates = usable.select(shard.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
+    queries = usable.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).select(every, F.lit(1).alias("kind"), "vec_id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, lists = None, [], None
+        for number, kind, ids, v in blocks(batches, dims):
+            if number != current:
+                current, held, lists = number, [], None
+            if kind == 0:
+                held.append((ids, v))
+                continue
+            if held:
+                lists = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            if lists is not None:
+                found = [lists.top(q, own, k) for own, q in zip(ids.tolist(), v, strict=True)]
+                many = [len(best) for best, _, _ in found]
+                columns = [np.repeat(ids, many), lists.ids[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found]), np.repeat([f[2] for f in found], many)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score", "depth"])
+
+    rows = candidates.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = rows.mapInArrow(run, PAIR_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "depth")
 
 
+def blocks(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """shard, kind, ids and vectors of each run of rows with the same shard and kind, batch by batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, kind, ids = (batch.column(i).to_numpy() for i in range(3))
+        vectors = batch.column(3).flatten().to_numpy().reshape(-1, dims)
+        starts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True):
+            yield int(shard[a]), int(kind[a]), ids[a:b], vectors[a:b]
+    give_back()
+
+
 def query_of(vec_id: Column) -> Column:
     return vec_id % EVERY == 0
