@@ -1,6 +1,6 @@
 """Licence scans by canonical digest.
 
-Whole texts are brought to one canonical form (case, punctuation, copyright lines, equivalent spellings)
+Whole texts are brought to one canonical form (case, punctuation of any script, list marks, copyright lines, equivalent spellings)
 with built-in string functions; the SHA-256 of that form is joined to the digests of known licences.
 """
 
@@ -52,7 +52,9 @@ SPELLINGS = (
     ("whilst", "while"),
     ("https://", "http://"),
 )
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# A list's number or letter, at a line's start or after a sentence: "1.", "(a)", "2)". Bullets are signs like any other.
+LIST_MARK = r"(?:\A|\n|[.:;][ \t\r\n]+)[ \t#*/;>|-]*\(?(?:[0-9][0-9]?|[a-z])[.)][ \t\r\n]"
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{S}\p{Z}]+"
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
@@ -108,10 +110,11 @@ KNOWN |= {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent /
 
 
 def canonical(text: Column) -> Column:
-    """The text's canonical form: lower case, no title or copyright lines, one spelling, words parted by one space."""
+    """The text's canonical form: lower case, no title, copyright lines or list marks, one spelling, words parted by one space."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
     for found, form in SPELLINGS:
         out = F.replace(out, F.lit(found), F.lit(form))
+    out = F.regexp_replace(out, LIST_MARK, " ")
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
 
 

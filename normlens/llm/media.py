@@ -1,7 +1,7 @@
 """Media columns: lossless 8-bit WAV blobs in a binary column, and landmark fingerprints of their spectra.
 
-``encode_wav`` writes each text's bytes as a mono WAV with the wave module; ``fingerprint`` reads the blobs
-back, takes short-time Fourier transforms, and pairs spectral peaks into (time, hash) arrays. Rows are
+``encode_wav`` writes each text's bytes as a mono WAV with the wave module, ``store`` keeps the blobs as a table, and
+``fingerprint`` reads them back, takes short-time Fourier transforms, and pairs spectral peaks into (time, hash) arrays. Rows are
 independent, so nothing is shuffled, and a lost executor costs the recomputation of its own rows.
 
 The transform uses a Hann window and cosine tables rounded to whole numbers. Samples and tables are small
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from normlens.llm.common import row_batches, text_bytes
+from normlens.llm.common import materialise, row_batches, text_bytes
 
 UNIT = 192  # payloads are padded with spaces to a positive multiple of this
 RATE = 8000
@@ -60,7 +60,10 @@ def pad(raw: bytes, unit: int = UNIT) -> bytes:
 
 
 def encode_wav(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (UTF-8 bytes of the text; null as empty), media (the WAV blob). Extra columns are dropped."""
+    """doc_id, n_bytes (UTF-8 bytes of the text; null as empty), media (the WAV blob). Extra columns are dropped.
+
+    Repeated rows and null ids are kept, one row for one row; an empty table gives no rows. A text of any length
+    becomes one blob, so it has to fit in a binary value (2 GB)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches):
@@ -73,6 +76,11 @@ def encode_wav(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, WAV_SCHEMA)
 
 
+def store(docs: DataFrame) -> DataFrame:
+    """The blobs of ``encode_wav``, written to the shared folder as a table."""
+    return materialise(encode_wav(docs), "media")
+
+
 def transform_tables() -> np.ndarray:
     """WINDOW x 2 bins: rounded cosines, then sines, under a Hann window."""
     t = np.arange(WINDOW)

@@ -17,7 +17,8 @@ from normlens.llm.common import WORD, materialise
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # the mix holds 3/2 of all words
 MOST = 2  # times a document's or a source's size
-BLOCK = 64
+BLOCK = 64  # words, or fewer if the smallest source has not
+BLOCKS = 64  # of that size
 SHARD_DOCS = 2_000
 SEED = 7
 BROADCAST_SOURCES = 100_000
@@ -64,13 +65,13 @@ def sainte_lague(rows: DataFrame, by: list[str], key: str, votes: str, seats: st
 
     ``seats`` is the group's number of seats, a column. With n rows, V votes and M seats, all quotients
     above V / (M - n/2) win and none below V / (M + n/2) does; only the quotients between, about 2 n in
-    a group, are listed and ranked. Ties go to the smaller key (nulls last). No votes, no seats.
+    a group and two more of each row, are listed and ranked. Ties go to the smaller key (nulls last). No votes, no seats.
     """
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     v, m, n = F.col(votes).cast("double"), F.col(seats).cast("double"), F.col("_n").cast("double")
     share = F.when(F.col("_all") > 0, v / F.col("_all")).otherwise(F.lit(0.0))
-    sure = F.greatest(F.lit(0), F.ceil(share * (m - n / 2) - 0.5 - 1e-6)).cast("long")
-    most = F.greatest(F.lit(0), F.floor(share * (m + n / 2) + 0.5 + 1e-6)).cast("long")
+    sure = F.greatest(F.lit(0), F.ceil(share * (m - n / 2) - 1.5)).cast("long")  # a seat on either side covers rounding
+    most = F.greatest(F.lit(0), F.floor(share * (m + n / 2) + 1.5)).cast("long")
     bounds = (
         rows.withColumn("_all", F.sum(v).over(group))
         .withColumn("_n", F.count(F.lit(1)).over(group))
@@ -97,7 +98,8 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_docs: int =
     """doc_id, source, size, source_size, target (its source's), taken: words that the mix takes.
 
     Size counts words; a null text has none. Null is a source of its own, last in order. Each source gets a
-    target, each shard a quota of blocks of ``block`` words. In a shard, documents stand in the order of a
+    target, each shard a quota of blocks, all of ``block`` words, or of a ``BLOCKS``-th part of the smallest source
+    that has words, if that is less. In a shard, documents stand in the order of a
     seeded hash and are cut into blocks as one stream; each block is taken ``quota div blocks`` times and
     the first ``quota mod blocks`` of that order once more. So a document is taken at most ``MOST`` times
     its size, and a source misses its target by half a block a shard and one partial block a shard at most.
@@ -112,11 +114,13 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_docs: int =
     targets = targets.join(
         sources.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2"))
     ).drop("s2", "weight")
-    total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    blocks = F.ceil(F.lit(SHARE[0]) * total / F.lit(float(SHARE[1] * block)) - 0.5).cast("long")
+    every = Window.partitionBy(F.lit(0))
+    least = F.coalesce(F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(every), F.lit(0))
+    targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / BLOCKS))).cast("long"))
+    blocks = F.ceil(F.lit(SHARE[0]) * F.sum("source_size").over(every) / (F.lit(SHARE[1]) * F.col("block")).cast("double") - 0.5).cast("long")
     quotas = sainte_lague(targets.withColumn("blocks", blocks), [], "source", "target", "blocks", "quota")
     shards = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(float(shard_docs)))).cast("long")
-    quotas = quotas.select(F.col("source").alias("s2"), "source_size", "target", "quota", shards.alias("shards"))
+    quotas = quotas.select(F.col("source").alias("s2"), "source_size", "target", "quota", "block", shards.alias("shards"))
     if sources.count() <= BROADCAST_SOURCES:  # with more, the join shuffles and AQE splits hot sources
         quotas = F.broadcast(quotas)
 
@@ -135,10 +139,10 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_docs: int =
         (F.coalesce("source", F.lit("")) == F.col("k2")) & (F.col("source").isNull() == F.col("n2")) & (F.col("shard") == F.col("h2"))
     )
     joined = streamed.join(shard_quotas, match)
-    n_blocks = F.ceil(F.col("shard_size") / F.lit(float(block))).cast("long")
+    n_blocks = F.ceil(F.col("shard_size") / F.col("block").cast("double")).cast("long")
     quota = F.least(F.col("shard_quota"), F.lit(MOST) * n_blocks)
     times = F.when(n_blocks > 0, F.floor(quota / n_blocks)).otherwise(F.lit(0)).cast("long")
-    edge = (quota - times * n_blocks) * F.lit(block)
+    edge = (quota - times * n_blocks) * F.col("block")
     more = F.greatest(F.lit(0), F.least(F.col("size"), edge - F.col("at")))
     return joined.select(
         "doc_id", "source", "size", "source_size", "target", (times * F.col("size") + more).cast("long").alias("taken")

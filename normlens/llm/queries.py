@@ -27,7 +27,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.fingerprint(media.encode_wav(_table(spark, sf_dir, "documents"))).drop("fp_time", "fp_hash")
+    return media.fingerprint(media.store(_table(spark, sf_dir, "documents")))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,7 @@ def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
     for found, form in licences.SPELLINGS:
         out = f"replace({out}, {_quoted(found)}, {_quoted(form)})"
+    out = f"regexp_replace({out}, {_quoted(licences.LIST_MARK)}, ' ', 'g')"
     return f"trim(regexp_replace({out}, {_quoted(licences.NOT_WORD)}, ' ', 'g'))"
 
 
@@ -96,19 +97,20 @@ run AS (
   FROM weighed WINDOW w AS (ORDER BY source_size::DOUBLE / weight, rank)),
 level AS (SELECT arg_min(rest, ord) AS rest, arg_min(lft, ord) AS lft, min(ord) AS ord FROM run
           WHERE rest * weight < 4 * source_size * lft),
+block AS (SELECT greatest(1, least({mixing.BLOCK}, coalesce(min(source_size) FILTER (source_size > 0), 0) // {mixing.BLOCKS}))::BIGINT AS b FROM sources),
 targets AS (
-  SELECT r.source, r.source_size, r.shards, r.total, r.rank,
+  SELECT r.source, r.source_size, r.shards, r.total, r.rank, b,
          CASE WHEN r.ord >= l.ord THEN (l.rest * r.weight)::DOUBLE / (2 * l.lft)::DOUBLE ELSE (2 * r.source_size)::DOUBLE END AS target
-  FROM run r, level l),
-seats AS (SELECT *, ceil(3 * total / (2 * {mixing.BLOCK})::DOUBLE - 0.5)::BIGINT AS m FROM targets),
-votes AS (SELECT source, target, m, s FROM seats, range(0, 1 + (2 + ceil(target / {mixing.BLOCK}.0))::BIGINT) t(s)),
+  FROM run r, level l, block),
+seats AS (SELECT *, ceil(3 * total / (2 * b)::DOUBLE - 0.5)::BIGINT AS m FROM targets),
+votes AS (SELECT source, target, m, s FROM seats, range(0, 1 + (2 + ceil(target / b::DOUBLE))::BIGINT) t(s)),
 won AS (
   SELECT source, count(*) FILTER (place <= m) AS quota
   FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, source NULLS LAST) AS place FROM votes WHERE target > 0)
   GROUP BY source),
 quotas AS (SELECT t.*, coalesce(w.quota, 0) AS quota FROM targets t LEFT JOIN won w ON t.source IS NOT DISTINCT FROM w.source),
 placed AS (
-  SELECT d.*, q.source_size, q.target, q.quota, q.rank, ('0x' || substr(place, 1, 8))::BIGINT % q.shards AS shard
+  SELECT d.*, q.source_size, q.target, q.quota, q.rank, q.b, ('0x' || substr(place, 1, 8))::BIGINT % q.shards AS shard
   FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
 streamed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY rank, shard ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
@@ -120,11 +122,11 @@ shard_won AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY shard_size::DOUBLE / (2 * s + 1) DESC, shard) AS place FROM shard_votes)
   GROUP BY rank, shard),
 final AS (
-  SELECT d.*, ceil(z.shard_size / {mixing.BLOCK}.0)::BIGINT AS n, least(coalesce(w.shard_quota, 0), 2 * ceil(z.shard_size / {mixing.BLOCK}.0)::BIGINT) AS q
+  SELECT d.*, ceil(z.shard_size / b::DOUBLE)::BIGINT AS n, least(coalesce(w.shard_quota, 0), 2 * ceil(z.shard_size / b::DOUBLE)::BIGINT) AS q
   FROM streamed d JOIN shard_sizes z USING (rank, shard) LEFT JOIN shard_won w USING (rank, shard))
 SELECT doc_id, size, source_size, target,
        (CASE WHEN n > 0 THEN q // n ELSE 0 END * size
-        + greatest(0, least(size, CASE WHEN n > 0 THEN q % n ELSE 0 END * {mixing.BLOCK} - pos)))::BIGINT AS taken
+        + greatest(0, least(size, CASE WHEN n > 0 THEN q % n ELSE 0 END * b - pos)))::BIGINT AS taken
 FROM final
 """
 

@@ -56,8 +56,8 @@ def test_topk(spark, n, dims):
         rows += [(1000, None), (1050, [float("nan")] * dims), (1100, [float("inf")] * dims), (1150, [0.0] * dims), (1200, [None] * dims)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "score": F.lit(2)})
     v = df.select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
-    for shard_rows, block in ((16384, 1024), (40, 2)):
-        got = topk.search(v, topk.query_of(F.col("vec_id")), shard_rows=shard_rows, block_queries=block)
+    for shard_rows in (16384, 40):
+        got = topk.search(v, topk.query_of(F.col("vec_id")), shard_rows=shard_rows)
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
 
 
@@ -162,6 +162,16 @@ def test_sainte_lague(spark, seats):
     assert got == {k: sum(x == k for _, x in quotients) for k in votes}
 
 
+@pytest.mark.parametrize("words", [10, 30, 140])
+def test_mixing_reaches_small_targets(spark, words):
+    rows = [(i, "w " * 50, "a") for i in range(900)] + [(1000, "x " * (words // 2), "b"), (1001, "x " * (words - words // 2), "b")]
+    got = mixing.mix(documents(spark, rows), shard_docs=100).collect()
+    taken, target = sum(r.taken for r in got if r.doc_id >= 1000), {r.target for r in got if r.doc_id >= 1000}.pop()
+    assert abs(taken - target) <= max(1, 0.05 * target)
+    taken, target = sum(r.taken for r in got if r.doc_id < 1000), {r.target for r in got if r.doc_id < 1000}.pop()
+    assert abs(taken - target) <= 0.005 * target
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:

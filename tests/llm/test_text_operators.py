@@ -78,6 +78,24 @@ def test_licence_files(spark):
     assert dict(con.execute(f"SELECT doc_id, license_id FROM ({OP1_SQL})").fetchall()) == got
 
 
+def test_licence_signs_and_lists(spark):
+    """Curly quotes, long dashes, odd spaces and list marks of any kind are form, not terms."""
+    bsd, mit = licences.KNOWN["BSD-3-Clause"], licences.KNOWN["MIT"]
+    curly = mit.replace('(the "', "(the \u201c").replace('Software")', "Software\u201d)").replace('"AS IS"', "\u201cAS\u00a0IS\u201d").replace(", FITNESS", " \u2014 FITNESS")
+    marks = [("\n\n* ", "\n* ", "\n* "), ("\n\u2022 ", "\n\u2022 ", "\n\u2022 "), ("\n  (a) ", "\n  (b) ", "\n  (c) "), ("\n1)\t", "\n2)\t", "\n3)\t"), ("\n", "\n", "\n")]
+    cases = [("MIT", curly)]
+    for one, two, three in marks:
+        cases.append(("BSD-3-Clause", bsd.replace(" 1. ", one).replace(" 2. ", two).replace(" 3. ", three)))
+    cases += [(None, licences.KNOWN["GPL-3.0-only"].replace("3.", "2.")), ("GPL-3.0-only", licences.KNOWN["GPL-3.0-only"] + "\n"), (None, bsd.replace("Neither", "Either"))]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.digest) for r in licences.scan(rows).collect()}
+    assert [got[i][0] for i in range(len(cases))] == [k for k, _ in cases]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(cases)])
+    assert {i: (k, d) for i, k, d in con.execute(f"SELECT doc_id, license_id, digest FROM ({OP1_SQL})").fetchall()} == got
+
+
 def test_licence_full_texts(spark):
     names = ["Apache-2.0-text", "CC0-1.0-text", "GPL-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "LGPL-3.0-text", "MPL-2.0-text"]
     texts = [licences.KNOWN[n] for n in names]
