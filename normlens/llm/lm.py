@@ -1,18 +1,23 @@
 """Language-model scores by deleted interpolation of n-gram estimates.
 
-The model is a word bigram: P(w | h) mixes the maximum-likelihood bigram, the maximum-likelihood unigram and
-the smoothed unigram base, with weights by the frequency bucket of the context h. The weights come from
+The model is a word trigram: P(w | u v) mixes the maximum-likelihood trigram, bigram and unigram and the smoothed
+unigram base. The weights go by the frequency bucket of the longest context that was seen. They come from
 expectation-maximisation on a held-out part of the training documents, against counts of the other part.
 
 Counting and look-up are one exchange between text chunks and count buckets:
 
 1. Documents are read in chunks of about ``CHUNK_BYTES``; a chunk is written as its distinct word hashes and
    its words as indices into them.
-2. Each chunk asks for the counts of its distinct words and bigrams: one packed row for each bucket of keys,
-   with the chunk's own counts. A bucket adds up the counts of all chunks and answers each of them.
-3. A chunk and its answers meet again; it adds to the statistics of the mixture weights, or scores its texts.
-
-No task holds more than a chunk or a bucket; a very common word costs a bucket one entry for each chunk.
+2. Each chunk asks for the counts of its distinct words, bigrams and trigrams: one packed row for each bucket of
+   keys, with the chunk's own counts. A bucket adds up the counts of all chunks and answers each of them. A
+   trigram is a bigram with a ``TAG_BITS`` hash of the word after it. The keys of bigrams have ``SPARE_BITS`` more
+   than there are tokens, so about one in a million shares its key with another.
+3. A chunk and its answers meet again and are written as counts for each token.
+4. The tokens that tune the weights are written as their distinct counts. Each round of expectation-maximisation
+   is one pass over them, from which a few sums for each bucket return. Last, each chunk scores its texts.
+
+No task holds more than a chunk or a bucket; a very common word costs a bucket one entry for each chunk. Messages are
+as many as chunks times buckets while both are few, and never more than the chunks' distinct n-grams.
 """
 
 from __future__ import annotations
@@ -33,18 +38,19 @@ DEV = 1
 ALPHA = 0.1
 CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 2_000_000
-CONTEXT_BUCKETS = 40
-RATIO_BINS = 128  # quarter octaves of bigram estimate over base, from 2**-8 on
-UNIGRAM_CLASSES = 24
-ROUNDS = 40
+TAG_BITS, SPARE_BITS, LEAST_BITS = 24, 20, 40
+CONTEXT_BUCKETS = 40  # octaves of a context's frequency; first those of words, then those of bigrams
+ROUNDS = 20
 LEAST_WEIGHT = 1e-3  # of the base, so that no token has probability 0
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 CHUNK_SCHEMA = "chunk long, n_docs long, n_words long, ids binary, counts binary, vocabulary binary, words binary, n_unique long"
-ASK_SCHEMA = "bucket long, chunk long, n long, keys binary, fit binary, dev binary"
-ANSWER_SCHEMA = "chunk long, bucket long, n long, fit binary, dev binary, n_known long, n_known_fit long"
+ASK_SCHEMA = "bucket long, chunk long, n long, n_tri long, message binary"
+ANSWER_SCHEMA = "chunk long, bucket long, n long, n_tri long, message binary, n_known long, n_known_fit long"
+COUNTED_SCHEMA = "n_docs long, n_words long, n_unique long, ids binary, counts binary, words binary, word_counts binary, token_counts binary"
+SUMS = ("s0", "s1", "s2", "s3", "n")
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -61,12 +67,25 @@ def expand(raw: bytes, n: int, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(dtype)
 
 
-def squeeze_sorted(keys: np.ndarray) -> bytes:
-    return squeeze(np.diff(keys, prepend=np.zeros(1, dtype=np.uint64)))
+def pack(*arrays: np.ndarray) -> bytes:
+    """Several arrays in one compressed value."""
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
+    return pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+
+
+def unpack(raw: bytes, *shapes: tuple[int, str]) -> list[np.ndarray]:
+    sizes = [n * np.dtype(kind).itemsize for n, kind in shapes]
+    whole = np.frombuffer(pa.decompress(raw, decompressed_size=sum(sizes), codec="zstd", asbytes=True) if sum(sizes) else b"", dtype=np.uint8)
+    out, at = [], 0
+    for (n, kind), size in zip(shapes, sizes, strict=True):
+        out.append(np.ascontiguousarray(whole[at : at + size].reshape(-1, n).T).reshape(-1).view(kind) if n else np.zeros(0, dtype=kind))
+        at += size
+    return out
 
 
-def expand_sorted(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(expand(raw, n, "<u8"), dtype=np.uint64)
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys, which squeeze better; their running sums are the keys."""
+    return np.diff(keys, prepend=np.zeros(1, dtype=np.uint64))
 
 
 def parts_of(ids: list[int | None] | np.ndarray) -> np.ndarray:
@@ -124,14 +143,14 @@ class Chunk:
     owner: np.ndarray  # document of each token
     token: np.ndarray  # index into keys of each token; the last key is the end
     before: np.ndarray  # the same of the token before; len(keys) at a document's start
-    keys: np.ndarray  # hashes of the distinct tokens
+    keys: np.ndarray | None  # hashes of the distinct tokens, if they are wanted
 
     @staticmethod
     def read(row: dict) -> Chunk:
         n, words, unique = row["n_docs"], row["n_words"], row["n_unique"]
         known = expand(row["ids"], 2 * n, "<i8").reshape(-1, 2)
         counts = expand(row["counts"], n, "<i8")
-        keys = np.append(expand(row["vocabulary"], unique, "<u8"), END)
+        keys = np.append(expand(row["vocabulary"], unique, "<u8"), END) if row["vocabulary"] is not None else None
         ends = np.cumsum(counts + 1) - 1
         token = np.full(words + n, unique, dtype=np.int64)
         inner = np.ones(words + n, dtype=bool)
@@ -143,16 +162,18 @@ class Chunk:
         owner = np.repeat(np.arange(n), counts + 1)
         return Chunk([None if null else int(i) for i, null in known], owner, token, before, keys)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the distinct bigrams, sorted; the bigram of each token; and a token that has each bigram."""
-        code = self.before * (len(self.keys) + 1) + self.token
-        _, first, index = np.unique(code, return_index=True, return_inverse=True)
-        left = np.append(self.keys, START)[self.before[first]]
-        hashes = mix64(left * _LEFT + self.keys[self.token[first]] * _RIGHT)
-        order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        return hashes[order], rank[index], first[order]
+    def pairs(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of ``bits`` bits of the distinct bigrams, sorted; and which of them each token ends."""
+        left = np.append(self.keys, START)[self.before]
+        hashes = mix64(left * _LEFT + self.keys[self.token] * _RIGHT) >> np.uint64(64 - bits)
+        return np.unique(hashes, return_inverse=True)
+
+    def triples(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the distinct trigrams (bigram before, tag of the word), sorted; which tokens end one; and which."""
+        inner = np.flatnonzero(self.before <= len(self.keys) - 1)  # not the first of a document
+        tag = (self.keys >> np.uint64(64 - TAG_BITS))[self.token[inner]]
+        codes, index = np.unique(pair[inner - 1].astype(np.uint64) << np.uint64(TAG_BITS) | tag, return_inverse=True)
+        return codes, inner, index
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -162,65 +183,120 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     give_back()
 
 
-def ask(table: DataFrame, unigram_bits: int, bigram_bits: int) -> DataFrame:
+def ask(table: DataFrame, key_bits: int, unigram_bits: int, bigram_bits: int) -> DataFrame:
     """Each chunk's requests: for each bucket, sorted keys and the chunk's own counts of both training parts.
 
-    Buckets are the leading bits of a key; those of bigrams come after those of words."""
+    Buckets are the leading bits of a key; those of bigrams come after those of words. A bigram's bucket has its
+    trigrams too: how many, their tags, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk.read(row)
             part = parts_of(chunk.ids)[chunk.owner]
+
+            def tally(index: np.ndarray, part: np.ndarray, n: int) -> list[np.ndarray]:
+                return [np.bincount(index[part == k], minlength=n).astype("<u4") for k in (2, 1)]
+
+            def cuts(keys: np.ndarray, width: int, bits: int) -> list[int]:
+                edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits) if bits else np.zeros(0, dtype=np.uint64)
+                return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+
+            found = []
             order = np.argsort(chunk.keys, kind="stable")
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
-            pair_keys, pair, _ = chunk.pairs()
-            for keys, index, bits, base in ((chunk.keys[order], rank[chunk.token], unigram_bits, 0), (pair_keys, pair, bigram_bits, 1 << unigram_bits)):
-                fit = np.bincount(index[part == 2], minlength=len(keys)).astype("<u4")
-                dev = np.bincount(index[part == 1], minlength=len(keys)).astype("<u4")
-                edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, dtype=np.uint64)
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                found = [(base + k, row["chunk"], b - a, squeeze_sorted(keys[a:b]), squeeze(fit[a:b]), squeeze(dev[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                kinds = [pa.int64()] * 3 + [pa.binary()] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["bucket", "chunk", "n", "keys", "fit", "dev"]
-                )
+            keys, (fit, dev) = chunk.keys[order], tally(rank[chunk.token], part, len(order))
+            at = cuts(keys, 64, unigram_bits)
+            for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                if b > a:
+                    found.append((k, row["chunk"], b - a, 0, pack(steps(keys[a:b]), fit[a:b], dev[a:b])))
+            keys, pair = chunk.pairs(key_bits)
+            fit, dev = tally(pair, part, len(keys))
+            codes, inner, index = chunk.triples(pair)
+            tri_fit, tri_dev = tally(index, part[inner], len(codes))
+            many = np.bincount((codes >> np.uint64(TAG_BITS)).astype(np.int64), minlength=len(keys)).astype("<u4")
+            tags = (codes & np.uint64((1 << TAG_BITS) - 1)).astype("<u4")
+            first = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+            at = cuts(keys, key_bits, bigram_bits)
+            for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                if b > a:
+                    c, d = int(first[a]), int(first[b])
+                    blob = pack(steps(keys[a:b]), fit[a:b], dev[a:b], many[a:b], tags[c:d], tri_fit[c:d], tri_dev[c:d])
+                    found.append(((1 << unigram_bits) + k, row["chunk"], b - a, d - c, blob))
+            for at in range(0, len(found), 1000):
+                columns = zip(*found[at : at + 1000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["bucket", "chunk", "n", "n_tri", "message"])
 
     return table.mapInArrow(run, ASK_SCHEMA)
 
 
-def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def answerer(unigram_bits: int) -> Callable:
     """Adds up a bucket's counts over all chunks and answers each chunk; rows come sorted by bucket.
 
     Each answer also tells how many keys the bucket has (of all training, and of its counted part)."""
 
+    def sums(index: np.ndarray, columns: list[list[np.ndarray]], n: int) -> list[np.ndarray]:
+        return [np.bincount(index, weights=np.concatenate(c), minlength=n).astype("<u8") for c in columns]
+
     def reply(asked: list[dict]) -> pa.RecordBatch:
-        keys = np.concatenate([expand_sorted(r["keys"], r["n"]) for r in asked])
-        fit = np.concatenate([expand(r["fit"], r["n"], "<u4") for r in asked])
-        dev = np.concatenate([expand(r["dev"], r["n"], "<u4") for r in asked])
-        unique, index = np.unique(keys, return_inverse=True)
-        fit_sum = np.bincount(index, weights=fit, minlength=len(unique)).astype("<u8")
-        dev_sum = np.bincount(index, weights=dev, minlength=len(unique)).astype("<u8")
-        known, known_fit = int(np.count_nonzero(fit_sum + dev_sum)), int(np.count_nonzero(fit_sum))
-        rows, at = [], 0
+        words = asked[0]["bucket"] < 1 << unigram_bits
+        kinds = lambda r: [(r["n"], "<u8"), (r["n"], "<u4"), (r["n"], "<u4")] + ([] if words else [(r["n"], "<u4")] + [(r["n_tri"], "<u4")] * 3)
+        read = [unpack(r["message"], *kinds(r)) for r in asked]
+        unique, index = np.unique(np.concatenate([np.cumsum(m[0], dtype=np.uint64) for m in read]), return_inverse=True)
+        fit, dev = sums(index, [[m[1] for m in read], [m[2] for m in read]], len(unique))
+        known, known_fit = int(np.count_nonzero(fit + dev)), int(np.count_nonzero(fit))
+        if not words:
+            many, tags = np.concatenate([m[3] for m in read]), np.concatenate([m[4] for m in read])
+            triples, of = np.unique(np.repeat(index.astype(np.uint64), many) << np.uint64(TAG_BITS) | tags, return_inverse=True)
+            tri_fit, tri_dev = sums(of, [[m[5] for m in read], [m[6] for m in read]], len(triples))
+        rows, at, to = [], 0, 0
         for r in asked:
             own = index[at : at + r["n"]]
-            rows.append((r["chunk"], r["bucket"], r["n"], squeeze(fit_sum[own]), squeeze(dev_sum[own]), known, known_fit))
-            at += r["n"]
-        kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-            names=["chunk", "bucket", "n", "fit", "dev", "n_known", "n_known_fit"],
-        )
-
-    held: list[dict] = []
-    for row in rows_of(batches):
-        if held and row["bucket"] != held[0]["bucket"]:
+            back = [fit[own], dev[own]]
+            if not words:
+                third = of[to : to + r["n_tri"]]
+                back += [tri_fit[third], tri_dev[third]]
+            rows.append((r["chunk"], r["bucket"], r["n"], r["n_tri"], pack(*back), known, known_fit))
+            at, to = at + r["n"], to + r["n_tri"]
+        types = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in ANSWER_SCHEMA.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for row in rows_of(batches):
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield reply(held)
+                held = []
+            held.append(row)
+        if held:
             yield reply(held)
-            held = []
-        held.append(row)
-    if held:
-        yield reply(held)
+
+    return run
+
+
+def counter(key_bits: int, unigram_bits: int) -> Callable:
+    """A chunk and its answers, as the counts of each distinct word and of the bigram and trigram that each token ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            chunk = Chunk.read(row)
+            got = sorted(row["answers"], key=lambda a: a["bucket"])
+            own = [a for a in got if a["bucket"] < 1 << unigram_bits]
+            read = [unpack(a["message"], *[(a["n"], "<u8")] * 2) for a in own]
+            words = np.zeros((2, len(chunk.keys)), dtype="<u8")
+            words[:, np.argsort(chunk.keys, kind="stable")] = np.concatenate(read, axis=1)
+            own = [a for a in got if a["bucket"] >= 1 << unigram_bits]
+            read = [unpack(a["message"], *[(a["n"], "<u8")] * 2, *[(a["n_tri"], "<u8")] * 2) for a in own]
+            _, pair = chunk.pairs(key_bits)
+            _, inner, index = chunk.triples(pair)
+            tokens = np.zeros((4, len(chunk.token)), dtype="<u8")
+            for k in (0, 1):
+                tokens[k] = np.concatenate([m[k] for m in read])[pair]
+                tokens[2 + k, inner] = np.concatenate([m[2 + k] for m in read])[index]
+            columns = [[row[c]] for c in ("n_docs", "n_words", "n_unique", "ids", "counts", "words")] + [[pack(*words)], [pack(*tokens)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.binary()) for k, c in enumerate(columns)], names=[c.split()[0] for c in COUNTED_SCHEMA.split(", ")])
+
+    return run
 
 
 @dataclass
@@ -235,93 +311,138 @@ class Totals:
 
 @dataclass
 class Counted:
-    """A chunk with the counts of its tokens, their contexts and their bigrams."""
+    """A chunk's tokens with the counts of their words, contexts, bigrams and trigrams: counted part, tuning part."""
 
-    chunk: Chunk
-    pair: np.ndarray
-    pair_token: np.ndarray
-    words: np.ndarray  # (distinct tokens and start, 2): counted part, tuning part
+    ids: list
+    owner: np.ndarray
+    words: np.ndarray  # these four: (2, tokens)
+    before: np.ndarray
     pairs: np.ndarray
+    triples: np.ndarray
 
     @staticmethod
-    def read(row: dict, totals: Totals, unigram_bits: int) -> Counted:
-        chunk = Chunk.read(row)
-        order = np.argsort(chunk.keys, kind="stable")
-        _, pair, pair_token = chunk.pairs()
-        got = sorted(row["answers"], key=lambda a: a["bucket"])
-        join = lambda which, name: np.concatenate([expand(a[name], a["n"], "<u8") for a in which])
-        words = np.empty((len(order) + 1, 2), dtype=np.float64)
-        own = [a for a in got if a["bucket"] < 1 << unigram_bits]
-        words[order] = np.stack([join(own, "fit"), join(own, "dev")], axis=1)
-        words[len(order)] = totals.fit_docs, totals.docs - totals.fit_docs
-        own = [a for a in got if a["bucket"] >= 1 << unigram_bits]
-        return Counted(chunk, pair, pair_token, words, np.stack([join(own, "fit"), join(own, "dev")], axis=1).astype(np.float64))
-
-    def estimates(self, tokens: int, types: int, with_dev: bool) -> tuple[np.ndarray, ...]:
-        """For each distinct bigram: context bucket, bigram estimate, unigram estimate, base, count of its word."""
-        words = self.words.sum(axis=1) if with_dev else self.words[:, 0]
-        pairs = self.pairs.sum(axis=1) if with_dev else self.pairs[:, 0]
-        before, token = self.chunk.before[self.pair_token], self.chunk.token[self.pair_token]
-        context, count = words[before], words[token]
-        bigram = np.divide(pairs, context, out=np.zeros(len(pairs)), where=context > 0)
-        base = (count + ALPHA) / (tokens + ALPHA * (types + 1))
-        bucket = np.minimum(np.ceil(np.log2(context + 1)).astype(np.int64), CONTEXT_BUCKETS - 1)
-        return bucket, bigram, count / max(1, tokens), base, count
-
-
-def cells(counted: Counted, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's tuning tokens by cell: context bucket, class of the word's count, bin of bigram over base."""
-    part = parts_of(counted.chunk.ids)[counted.chunk.owner]
-    often = np.bincount(counted.pair[part == 1], minlength=len(counted.pairs))
-    bucket, bigram, _, base, count = counted.estimates(totals.fit_tokens, totals.fit_types, False)
-    kind = np.minimum(np.ceil(np.log2(count + 1)).astype(np.int64), UNIGRAM_CLASSES - 1)
-    ratio = np.zeros(len(bigram), dtype=np.int64)
-    seen = bigram > 0
-    ratio[seen] = np.clip(np.rint(4 * (np.log2(bigram[seen] / base[seen]) + 8)), 0, RATIO_BINS - 2).astype(np.int64) + 1
-    cell = (bucket * UNIGRAM_CLASSES + kind) * RATIO_BINS + ratio
-    sums = np.bincount(cell, weights=often, minlength=CONTEXT_BUCKETS * UNIGRAM_CLASSES * RATIO_BINS)
-    some = np.flatnonzero(sums)
-    return some, sums[some].astype(np.int64)
-
-
-def learn_weights(cell: np.ndarray, count: np.ndarray, totals: Totals, rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights (bigram, unigram, base) of each context bucket, by expectation-maximisation.
-
-    Estimates enter as ratios to the base: the bin's centre for bigrams, and for unigrams the ratio at the
-    class's middle count. Buckets without tuning tokens take the weights of all tokens together."""
-    bucket, rest = np.divmod(cell, UNIGRAM_CLASSES * RATIO_BINS)
-    kind, ratio = np.divmod(rest, RATIO_BINS)
-    word = np.where(kind == 0, 0.0, 0.75 * 2.0**kind)
-    scale = (totals.fit_tokens + ALPHA * (totals.fit_types + 1)) / max(1, totals.fit_tokens)
-    ratios = np.stack([np.where(ratio == 0, 0.0, 2.0 ** ((ratio - 1) / 4 - 8)), scale * word / (word + ALPHA), np.ones(len(cell))], axis=1)
-
-    def solve(which: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        weights, n = begin, count[which]
-        for _ in range(rounds):
-            share = ratios[which] * weights
-            share *= (n / share.sum(axis=1))[:, None]
-            weights = np.maximum(share.sum(axis=0) / n.sum(), [0, 0, LEAST_WEIGHT])
-            weights /= weights.sum()
-        return weights
-
-    even = np.full(3, 1 / 3)
-    overall = solve(np.arange(len(cell)), even) if len(cell) else even
-    out = np.tile(overall, (CONTEXT_BUCKETS, 1))
-    for b in np.unique(bucket):
-        out[b] = solve(np.flatnonzero(bucket == b), overall)
-    out[0] = [0, out[0, 1] + 1e-12, out[0, 2]]  # an unseen context has no bigrams
+    def read(row: dict, totals: Totals) -> Counted:
+        n, words, unique = row["n_docs"], row["n_words"], row["n_unique"]
+        chunk = Chunk.read({**row, "vocabulary": None})
+        of_words = np.stack(unpack(row["word_counts"], *[(unique + 1, "<u8")] * 2)).astype(np.float64)
+        of_words = np.hstack([of_words, [[totals.fit_docs], [totals.docs - totals.fit_docs]]])
+        tokens = np.stack(unpack(row["token_counts"], *[(words + n, "<u8")] * 4)).astype(np.float64)
+        return Counted(chunk.ids, chunk.owner, of_words[:, chunk.token], of_words[:, chunk.before], tokens[:2], tokens[2:])
+
+    def counts(self, with_dev: bool) -> np.ndarray:
+        """(5, tokens): the count of the word, of the word before, of the bigram, of the bigram before, of the trigram.
+
+        The first token of a document has no bigram before it."""
+        take = (lambda x: x.sum(axis=0)) if with_dev else (lambda x: x[0])
+        pair = take(self.pairs)
+        context = np.concatenate([[0.0], pair[:-1]])
+        context[np.concatenate([[True], self.owner[1:] != self.owner[:-1]])] = 0
+        return np.stack([take(self.words), take(self.before), pair, context, take(self.triples)])
+
+
+def octave(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(np.log2(n + 1)).astype(np.int64), CONTEXT_BUCKETS - 1)
+
+
+def estimates(counts: np.ndarray, tokens: int, types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token's longest seen context, and (4, tokens) estimates: base, unigram, bigram, trigram."""
+    word, before, pair, context, triple = counts
+    over = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+    bucket = np.where(context > 0, CONTEXT_BUCKETS + octave(context), octave(before))
+    base = (word + ALPHA) / (tokens + ALPHA * (types + 1))
+    return bucket, np.stack([base, word / max(1, tokens), over(pair, before), over(triple, context)])
+
+
+def tuning_tokens(counted: Counted) -> np.ndarray:
+    """(6, distinct): the counts, without the tuning part, of the chunk's tuning tokens; and how many have them."""
+    own = parts_of(counted.ids)[counted.owner] == DEV
+    counts, often = np.unique(counted.counts(False)[:, own], axis=1, return_counts=True)
+    return np.vstack([counts, often]).astype("<u8")
+
+
+def bucket_sums(tokens: np.ndarray, weights: np.ndarray, totals: Totals) -> np.ndarray:
+    """(buckets, 5): of each bucket's tokens the expected number that each estimate stands for, and their number.
+
+    Two more buckets are all contexts of one word, and all of two."""
+    often = tokens[5].astype(np.float64)
+    bucket, found = estimates(tokens[:5].astype(np.float64), totals.fit_tokens, totals.fit_types)
+    out = np.zeros((2 * CONTEXT_BUCKETS + 2, 5))
+    for of in (bucket, 2 * CONTEXT_BUCKETS + (bucket >= CONTEXT_BUCKETS)):
+        share = weights[of].T * found
+        share *= often / share.sum(axis=0)
+        for k in range(4):
+            out[:, k] += np.bincount(of, weights=share[k], minlength=len(out))
+        out[:, 4] += np.bincount(of, weights=often, minlength=len(out))
+    return out
+
+
+def first_weights() -> np.ndarray:
+    """Even weights (base, unigram, bigram, trigram) for each bucket; without a bigram before there is no trigram."""
+    out = np.full((2 * CONTEXT_BUCKETS + 2, 4), 1 / 4)
+    out[[*range(CONTEXT_BUCKETS), 2 * CONTEXT_BUCKETS]] = [1 / 3, 1 / 3, 1 / 3, 0]
+    return out
+
+
+def next_weights(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The weights after a round. Buckets without tuning tokens keep theirs."""
+    out = weights.copy()
+    some = sums[:, 4] > 0
+    new = np.maximum(sums[some, :4] / sums[some, 4:], [LEAST_WEIGHT, 0, 0, 0])
+    out[some] = new / new.sum(axis=1, keepdims=True)
+    return out
+
+
+def last_weights(weights: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Of each bucket; those that no tuning token was in take the weights of all contexts of their length."""
+    out = weights[:-2].copy()
+    for level in (0, 1):
+        own = slice(level * CONTEXT_BUCKETS, (level + 1) * CONTEXT_BUCKETS)
+        out[own] = np.where(seen[own, None], weights[own], weights[2 * CONTEXT_BUCKETS + level])
+    out[0] = [out[0, 0], out[0, 1] + 1e-12, 0, 0]  # an unseen word before has no bigrams
     out[0] /= out[0].sum()
     return out
 
 
-def exchange(docs: DataFrame) -> tuple[DataFrame, Totals, int]:
-    """chunks with their answers, the corpus totals, and the bits of word buckets."""
+def learn_weights(counted: DataFrame, totals: Totals, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights of each bucket, by expectation-maximisation over all tuning tokens; one pass for each round."""
+
+    def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            found = tuning_tokens(Counted.read(row, totals))
+            yield pa.RecordBatch.from_arrays([pa.array([found.shape[1]]), pa.array([pack(*found)], pa.binary())], names=["n", "tokens"])
+
+    table = materialise(counted.mapInArrow(tune, "n long, tokens binary").where("n > 0"), "lm-tuning")
+
+    def summing(weights: np.ndarray) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(weights), 5))
+            for row in rows_of(batches):
+                total += bucket_sums(np.stack(unpack(row["tokens"], *[(row["n"], "<u8")] * 6)), weights, totals)
+            some = np.flatnonzero(total[:, 4])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(5))], names=["bucket", *SUMS])
+
+        return run
+
+    weights, sums = first_weights(), np.zeros((2 * CONTEXT_BUCKETS + 2, 5))
+    for _ in range(rounds):
+        found = table.mapInArrow(summing(weights), "bucket long, " + ", ".join(f"{c} double" for c in SUMS))
+        for r in found.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in SUMS]).collect():
+            sums[r["bucket"]] = [r[c] for c in SUMS]
+        weights = next_weights(weights, sums)
+    forget(table)
+    return last_weights(weights, sums[:-2, 4] > 0)
+
+
+def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
+    """The chunks as counts of their tokens, and the corpus totals."""
     table = materialise(chunks(docs), "lm-chunks")
     sums = table.agg(F.sum("n_words").alias("words"), F.sum("n_docs").alias("docs"), F.sum("n_unique").alias("unique")).first()
     bits = lambda n: max(0, int(np.ceil(np.log2(max(1, n / BUCKET_ENTRIES)))))
-    unigram_bits, bigram_bits = bits(sums["unique"] or 0), bits((sums["words"] or 0) + (sums["docs"] or 0))
-    asked = ask(table, unigram_bits, bigram_bits).repartition("bucket").sortWithinPartitions("bucket")
-    answers = materialise(asked.mapInArrow(answer, ANSWER_SCHEMA), "lm-answers")
+    tokens = (sums["words"] or 0) + (sums["docs"] or 0)
+    unigram_bits, bigram_bits = bits(sums["unique"] or 0), bits(2 * tokens)
+    key_bits = min(64, max(LEAST_BITS, tokens.bit_length() + SPARE_BITS))
+    asked = ask(table, key_bits, unigram_bits, bigram_bits).repartition("bucket").sortWithinPartitions("bucket")
+    answers = materialise(asked.mapInArrow(answerer(unigram_bits), ANSWER_SCHEMA), "lm-answers")
     known = answers.where(F.col("bucket") < 1 << unigram_bits).groupBy("bucket").agg(F.max("n_known").alias("all"), F.max("n_known_fit").alias("fit"))
     types = known.agg(F.sum("all").alias("all"), F.sum("fit").alias("fit")).first()
 
@@ -335,11 +456,11 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, Totals, int]:
     tallies = table.select("n_docs", "ids", "counts").mapInArrow(count, "a long, b long, c long, d long")
     sums = tallies.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "abcd"]).first()
     totals = Totals(sums["a"], types["all"] or 0, sums["b"], types["fit"] or 0, sums["c"], sums["d"])
-    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "fit", "dev")).alias("answers"))
-    both = materialise(table.join(gathered, "chunk"), "lm-counted")
+    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "n_tri", "message")).alias("answers"))
+    counted = materialise(table.join(gathered, "chunk").mapInArrow(counter(key_bits, unigram_bits), COUNTED_SCHEMA), "lm-counted")
     forget(answers)
     forget(table)
-    return both, totals, unigram_bits
+    return counted, totals
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -348,41 +469,32 @@ def score(docs: DataFrame) -> DataFrame:
     The scores are log10 probabilities of the whole text with its end; a null text counts as empty (the end
     alone). Documents whose id has remainder 0 teach nothing; a null id counts as ''. Without any training
     document every token is unknown and all estimates fall back to the base. Repeated rows count each time.
+    Extra columns are not looked at; an empty table gives no rows. A text of any length is one chunk at most.
     """
-    both, totals, unigram_bits = exchange(docs)
-
-    def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            cell, count = cells(Counted.read(row, totals, unigram_bits), totals)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], names=["cell", "n"])
-
-    stats = both.mapInArrow(tune, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
-    weights = learn_weights(np.array([r["cell"] for r in stats], dtype=np.int64), np.array([r["n"] for r in stats], dtype=np.float64), totals)
-    return both.mapInArrow(scorer(weights, totals, unigram_bits), SCORE_SCHEMA)
+    counted, totals = exchange(docs)
+    return counted.mapInArrow(scorer(learn_weights(counted, totals), totals), SCORE_SCHEMA)
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scorer(weights: np.ndarray, totals: Totals, unigram_bits: int) -> Callable:
+def scorer(weights: np.ndarray, totals: Totals) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            counted = Counted.read(row, totals, unigram_bits)
-            chunk, n = counted.chunk, len(counted.chunk.ids)
-            bucket, bigram, unigram, base, count = counted.estimates(totals.tokens, totals.types, True)
-            w = weights[bucket]
-            mixed = np.log10(w[:, 0] * bigram + w[:, 1] * unigram + w[:, 2] * base)
-            add = lambda x: np.bincount(chunk.owner, weights=x, minlength=n)
-            tokens = np.bincount(chunk.owner, minlength=n)
+            counted = Counted.read(row, totals)
+            n, counts = len(counted.ids), counted.counts(True)
+            bucket, found = estimates(counts, totals.tokens, totals.types)
+            mixed = np.log10((weights[bucket].T * found).sum(axis=0))
+            add = lambda x: np.bincount(counted.owner, weights=x, minlength=n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(chunk.ids, pa.int64()),
-                    pa.array(parts_of(chunk.ids) == 0),
-                    pa.array(tokens, pa.int64()),
-                    pa.array(add(count[counted.pair] > 0).astype(np.int64)),
+                    pa.array(counted.ids, pa.int64()),
+                    pa.array(parts_of(counted.ids) == 0),
+                    pa.array(np.bincount(counted.owner, minlength=n), pa.int64()),
+                    pa.array(add(counts[0] > 0).astype(np.int64)),
                     pa.array([totals.tokens] * n, pa.int64()),
-                    pa.array(add(np.log10(base)[counted.pair])),
-                    pa.array(add(mixed[counted.pair])),
+                    pa.array(add(np.log10(found[0]))),
+                    pa.array(add(mixed)),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )

@@ -90,31 +90,112 @@ def test_language_model_base_and_weights(spark):
     assert alone.train_tokens == 0 and alone.n_known == 0 and math.isfinite(alone.score)
 
 
+def slow_model(rows):
+    """Counts by dictionaries, weights by a token-by-token EM, and the score of each text."""
+    part = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+    tokens = lambda t: ["<s>", *WORDS.findall((t or "").encode().lower()), None]
+
+    def counts(which):
+        one, two, three = Counter(), Counter(), Counter()
+        for i, t, _ in rows:
+            if which(part(i)):
+                w = tokens(t)
+                one.update(w)
+                two.update(zip(w, w[1:], strict=False))
+                three.update(zip(w, w[1:], w[2:], strict=False))
+        starts = one.pop("<s>", 0)
+        return one, two, three, starts, sum(one.values()), len(one)
+
+    def estimates(model, w, i):
+        one, two, three, starts, n, v = model
+        before = starts if i == 1 else one[w[i - 1]]
+        context = two[w[i - 2], w[i - 1]] if i > 1 else 0
+        base = (one[w[i]] + 0.1) / (n + 0.1 * (v + 1))
+        bucket = 40 + math.ceil(math.log2(context + 1)) if context else math.ceil(math.log2(before + 1))
+        return bucket, [base, one[w[i]] / n, two[w[i - 1], w[i]] / before if before else 0, three[w[i - 2], w[i - 1], w[i]] / context if context else 0]
+
+    fit, dev = counts(lambda p: p > 1), []
+    for i, t, _ in rows:
+        if part(i) == 1:
+            dev += [estimates(fit, tokens(t), k) for k in range(1, len(tokens(t)))]
+    groups = defaultdict(list)
+    for bucket, e in dev:
+        groups[bucket].append(e)
+        groups["two" if bucket >= 40 else "one"].append(e)
+    weights = {}
+    for bucket, own in groups.items():
+        short = bucket == "one" or (bucket != "two" and bucket < 40)
+        w = [1 / 3, 1 / 3, 1 / 3, 0] if short else [1 / 4] * 4
+        for _ in range(lm.ROUNDS):
+            total = [0.0] * 4
+            for e in own:
+                mixed = sum(a * b for a, b in zip(w, e, strict=True))
+                total = [s + a * b / mixed for s, a, b in zip(total, w, e, strict=True)]
+            w = [max(s / len(own), lm.LEAST_WEIGHT if k == 0 else 0) for k, s in enumerate(total)]
+            w = [a / sum(w) for a in w]
+        weights[bucket] = w
+    full, scores = counts(lambda p: p > 0), {}
+    for i, t, _ in rows:
+        w, scores[i] = tokens(t), 0.0
+        for k in range(1, len(w)):
+            bucket, e = estimates(full, w, k)
+            mix = weights.get(bucket, weights["two" if bucket >= 40 else "one"])
+            if bucket == 0:
+                mix = [mix[0] / (mix[0] + mix[1]), mix[1] / (mix[0] + mix[1]), 0, 0]
+            scores[i] += math.log10(sum(a * b for a, b in zip(mix, e, strict=True)))
+    return weights, scores
+
+
+def test_language_model_against_loops(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "on", "a", f"w{rng.randint(0, 200)}"]) for _ in range(rng.randint(0, 30))), "s") for i in range(400)]
+    rows += [(1000 + i, "A text that comes twice " + " ".join(f"t{i}x{k}" for k in range(12)), "s") for i in range(20) for _ in range(2)] + [(9000, None, "s"), (9001, "a\x1fb a\x1fb", "s")]
+    want, scores = slow_model(rows)
+    counted, totals = lm.exchange(documents(spark, rows))
+    got = lm.learn_weights(counted, totals)
+    assert all(np.allclose(got[b], w, atol=1e-6) for b, w in want.items() if isinstance(b, int) and b)
+    assert np.allclose(got.sum(axis=1), 1) and (got[:, 0] > 0).all()
+    for r in lm.score(documents(spark, rows)).collect():
+        assert r.score == pytest.approx(scores[r.doc_id], abs=1e-6)
+
+
 def test_mixture_sums_to_one(spark):
     """Over all known words and the one unknown, every context's probabilities sum to 1."""
     rows = [(i, " ".join("abcde"[(i * k) % 5] for k in range(1, 12)), "s") for i in range(60)]
-    both, totals, bits = lm.exchange(documents(spark, rows))
-    counted = [lm.Counted.read(r.asDict(recursive=True), totals, bits) for r in both.collect()]
-    assert totals.types == 6 and totals.tokens == sum(c.words[: len(c.chunk.keys)].sum() for c in counted[:1])
-    c = counted[0]
-    weights = lm.learn_weights(*[np.concatenate(x) for x in zip(*[lm.cells(k, totals) for k in counted], strict=True)], totals)
-    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all() and (weights[:, 2] > 0).all()
-    bucket, bigram, unigram, base, _ = c.estimates(totals.tokens, totals.types, True)
-    before = c.chunk.before[c.pair_token]
-    for h in np.unique(before):
-        own = before == h
-        w = weights[bucket[own][0]]
-        words = c.words.sum(axis=1)[: len(c.chunk.keys)]
-        smooth = (words + 0.1) / (totals.tokens + 0.1 * (totals.types + 1))
-        total = w[0] * bigram[own].sum() + w[1] * words.sum() / totals.tokens + w[2] * (smooth.sum() + 0.1 / (totals.tokens + 0.1 * (totals.types + 1)))
+    counted, totals = lm.exchange(documents(spark, rows))
+    weights = lm.learn_weights(counted, totals)
+    assert totals.types == 6 and np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all() and (weights[:, 0] > 0).all()
+    n, v = totals.tokens, totals.types
+    words = {}
+    contexts = defaultdict(dict)
+    for row in counted.collect():
+        c = lm.Counted.read(row.asDict(), totals)
+        counts = c.counts(True)
+        chunk = lm.Chunk.read({**row.asDict(), "vocabulary": None})
+        words |= dict(zip(chunk.token.tolist(), counts[0].tolist(), strict=True))
+        for k, (token, before) in enumerate(zip(chunk.token.tolist(), chunk.before.tolist(), strict=True)):
+            contexts[(chunk.before[k - 1] if counts[3][k] else None, before)][token] = counts[:, k]
+    assert len(contexts) > 5 and sum(words.values()) == n
+    for (_, last), own in contexts.items():
+        some = next(iter(own.values()))
+        bucket, _ = lm.estimates(some[:, None], n, v)
+        total = weights[bucket[0]][0] * 0.1 / (n + 0.1 * (v + 1))
+        for token, count in words.items():
+            c = own.get(token, np.array([count, some[1], 0, some[3], 0]))
+            if some[3] and token not in own:  # the bigram may still be known
+                c[2] = max((o[token][2] for (_, b), o in contexts.items() if b == last and token in o), default=0)
+            _, e = lm.estimates(np.array(c, dtype=float)[:, None], n, v)
+            total += float(weights[bucket[0]] @ e[:, 0])
         assert total == pytest.approx(1)
 
 
 def test_packed_arrays():
-    for a in (np.zeros(0, "<u8"), np.array([5, 2**63], "<u8"), np.arange(1000, dtype="<u4")):
+    arrays = [np.zeros(0, "<u8"), np.array([5, 2**63], "<u8"), np.arange(1000, dtype="<u4")]
+    for a in arrays:
         assert (lm.expand(lm.squeeze(a), len(a), a.dtype.str) == a).all()
-    keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 99).astype(np.uint64) * np.uint64(2))
-    assert (lm.expand_sorted(lm.squeeze_sorted(keys), 99) == keys).all()
+    assert all((a == b).all() for a, b in zip(lm.unpack(lm.pack(*arrays), *[(len(a), a.dtype.str) for a in arrays]), arrays, strict=True))
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 99, dtype=np.uint64))
+    assert (np.cumsum(lm.steps(keys), dtype=np.uint64) == keys).all()
 
 
 def waterfill(sizes):
