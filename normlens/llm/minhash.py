@@ -41,7 +41,7 @@ SLICE_ROWS = 16_384  # signatures in one slice of a region that was cut
 CONFIRM_ROWS = 2_048  # full sets in one slice of a cluster,
 CONFIRM_SHINGLES = 1_000_000  # and shingles
 PIVOTS = 3
-SPREAD = 8  # times as many slices, up to 16, for what needs only a few
+SPREAD = 16  # times as many slices, up to so many, for what needs only a few
 FEW_EDGES = 500_000  # up to so many, what nodes look up is broadcast; with more edges, that of hubs is
 HUB_EDGES = 200  # of one node
 
@@ -362,7 +362,7 @@ def by_task(rows: DataFrame) -> DataFrame:
 
 def slices_for(load: Column) -> Column:
     """Number of slices, before rounding: the load itself, but a small load is spread over more tasks."""
-    return F.greatest(load, F.least(F.lit(16.0), load * SPREAD))
+    return F.greatest(load, F.least(F.lit(float(SPREAD)), load * SPREAD))
 
 
 def crossed(members: DataFrame) -> DataFrame | None:
