@@ -56,6 +56,19 @@ def relative_to(path: Column, root: str) -> Column:
     return F.when(F.startswith(clean, F.lit(prefix)), F.substring(clean, F.lit(len(prefix) + 1), F.length(clean))).otherwise(clean)
 
 
+def is_mask(path: Column) -> Column:
+    """Whether any folder of the path holds ground truth."""
+    return F.array_contains(segments(path), "ground_truth")
+
+
+# Descriptions of channel counts, and that of all others.
+CHANNELS = {1: "Grayscale", 3: "RGB/BGR", 4: "RGBA/BGRA"}
+OTHER_CHANNELS = "Other"
+
+
 def channels_text(n: Column) -> Column:
     """Description of a channel count."""
-    return F.when(n == 1, "Grayscale").when(n == 3, "RGB/BGR").when(n == 4, "RGBA/BGRA").otherwise("Unknown")
+    out = F
+    for count, name in CHANNELS.items():
+        out = out.when(n == count, name)
+    return out.otherwise(OTHER_CHANNELS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from normlens.functions.vectors import l2_normalize
 
 PICKS_SCHEMA = "pick int, id long, similarity double"
+BANK_BYTES = 1 << 30  # of vectors that one task selects from
+PART_ROWS = 65_536
 
 
 def build_bank(patches: DataFrame, least_ratio: float = 0.5) -> DataFrame:
@@ -88,35 +92,52 @@ def greedy(ids: np.ndarray, vectors: np.ndarray, picks: int, start: int = 0) ->
 def farthest_first(bank: DataFrame, share: float = 0.10, picks: int | None = None, start_seed: int | None = None) -> DataFrame:
     """pick, id, similarity of a coreset of round(share * n) vectors of ``bank`` (id, unit vectors v).
 
-    Selection is sequential by nature, so the bank goes to one task: use it for banks that one worker holds (a bank of
-    a million vectors of 64 dimensions is half a GB), and ``distributed_coreset`` beyond. It starts at the smallest id, or
-    at the one that ``start_seed`` draws. An empty bank gives no rows."""
+    Selection is sequential by nature, so the bank goes to one task. Its size is checked first: above ``BANK_BYTES`` this
+    raises, and ``distributed_coreset`` is the way. It starts at the smallest id, or at the one that ``start_seed`` draws:
+    the first in the order of MD5 of seed and id. An empty bank gives no rows."""
+    size = bank.agg(F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()[0]
+    if size > BANK_BYTES:
+        raise ValueError(f"a bank of {size} bytes is more than one task selects from; use distributed_coreset")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         ids, vectors = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
         n = max(1, int(round(len(ids) * share))) if picks is None else picks
-        start = 0 if start_seed is None else int(np.random.default_rng(start_seed).integers(len(ids)))
+        start = 0 if start_seed is None else min(range(len(ids)), key=lambda i: hashlib.md5(f"{start_seed}|{ids[i]}".encode()).hexdigest())
         order, similarity = greedy(ids, vectors, n, start)
         return pd.DataFrame({"pick": np.arange(len(order), dtype=np.int32), "id": ids[order], "similarity": similarity})
 
     return bank.select("id", "v").where(F.col("v").isNotNull()).groupBy().applyInPandas(run, PICKS_SCHEMA)
 
 
-def distributed_coreset(bank: DataFrame, share: float = 0.10, parts: int = 64) -> DataFrame:
-    """An approximate farthest-first coreset of a large bank: greedy within each of ``parts`` hash parts, then
-    greedy over the union of twice the wanted share of each, for the final order."""
+def distributed_coreset(bank: DataFrame, share: float = 0.10, part_rows: int = PART_ROWS) -> DataFrame:
+    """pick, id, similarity of an approximate coreset of round(share * n) vectors of a bank of any size.
 
-    def local(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, vectors = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
-        order, _ = greedy(ids, vectors, max(1, int(round(2 * len(ids) * share))))
-        return pd.DataFrame({"id": ids[order], "v": list(vectors[order])})
+    Greedy within hash parts of about ``part_rows`` vectors, of which each keeps twice its share; then again over what
+    was kept, dealt anew, for the wanted number. A part's picks come in turn with those of the other parts, and a
+    similarity is to the picks before it in its part. What fits in one part is selected as ``farthest_first`` does."""
+
+    def greedy_by(rows: DataFrame, parts: int, salt: str, picks: Column) -> DataFrame:
+        def local(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("id")
+            ids, vectors = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
+            order, similarity = greedy(ids, vectors, int(rows["_picks"].iloc[0]))
+            return pd.DataFrame({"pick": np.arange(len(order)), "_part": rows["_part"].iloc[0], "id": ids[order], "similarity": similarity, "v": list(vectors[order])})
+
+        digest = F.md5(F.concat_ws("|", F.lit(salt), F.col("id").cast("string")))
+        dealt = rows.select("id", "v", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % parts).alias("_part"))
+        sizes = dealt.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        sized = dealt.join(sizes, F.col("_part") == F.col("_p")).withColumn("_picks", picks)
+        return sized.groupBy("_part").applyInPandas(local, "pick long, _part long, id long, similarity double, v array<double>")
 
     usable = bank.select("id", "v").where(F.col("v").isNotNull())
-    picks = max(1, round(usable.count() * share))
-    kept = usable.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).applyInPandas(local, "id long, v array<double>")
-    return farthest_first(kept, picks=picks)
+    n = usable.count()
+    wanted, parts = max(1, round(n * share)), max(1, -(-n // part_rows))
+    first = greedy_by(usable, parts, "1", F.least(F.col("_n"), F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(2 * share))))).select("id", "v")
+    kept = max(1, min(n, round(2 * share * n)))
+    last = max(1, -(-kept // part_rows))
+    second = greedy_by(first, last, "2", F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(wanted) / F.lit(kept))))
+    return second.select((F.col("pick") * last + F.col("_part")).cast("int").alias("pick"), "id", "similarity")
 
 
 def gather(bank: DataFrame, picks: DataFrame) -> DataFrame:

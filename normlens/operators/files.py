@@ -28,6 +28,17 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     return groups.where("n_files > 1")
 
 
+def duplicate_paths(files: DataFrame, most: int = 1_000) -> DataFrame:
+    """sha256, chunk, paths: the sorted paths of each group, as arrays of at most ``most``; large groups have several rows.
+
+    A group is dealt over runs of its paths' MD5, so that no task and no array holds a group of any size."""
+    groups = files.groupBy("sha256").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    runs = F.ceil(F.col("_n") / F.lit(most / 2)).cast("long")
+    run = F.when(F.col("_n") <= most, F.lit(0)).otherwise(F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long") % runs)
+    rows = files.select("sha256", "path").join(groups, "sha256").withColumn("chunk", run.cast("int"))
+    return rows.groupBy("sha256", "chunk").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
 def leakage_groups(files: DataFrame) -> DataFrame:
     """Digests present in both train and test."""
     return duplicate_groups(files).where("in_train AND in_test")

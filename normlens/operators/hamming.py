@@ -47,8 +47,11 @@ def bands(fingerprint: Column, n: int) -> Column:
 def banded_join(left: DataFrame, right: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
     """The result of ``theta_join`` by equality joins: pairs within ``most`` bits agree in at least one of ``most`` + 1 bands.
 
-    A pair is reported from the first band in which it agrees, so no distinct is needed. ``most`` is at most 63."""
+    A pair is reported from the first band in which it agrees, so no distinct is needed. Bands of few bits have so few
+    values that they would join more than all pairs; then ``theta_join`` compares all pairs of a ``by`` group once."""
     keys, n = by or [], most + 1
+    if n >= 2 ** (64 // n):
+        return theta_join(left, right, most, by)
     side = lambda df, p: df.select(*[F.col(k).alias(f"{p}{k}") for k in keys], F.col("id").alias(f"{p}id"), F.col("fingerprint").alias(f"{p}fp"), F.inline(bands(F.col("fingerprint"), n)).alias(f"{p}band", f"{p}bits"))
     a, b = side(left, "l_"), side(right, "r_")
     condition = (F.col("l_band") == F.col("r_band")) & (F.col("l_bits") == F.col("r_bits"))

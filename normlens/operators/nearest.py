@@ -40,18 +40,16 @@ def best_of(queries: np.ndarray, bank: np.ndarray, ids: np.ndarray) -> tuple[np.
     return where, best
 
 
-def nearest(queries: DataFrame, bank: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """query_id, bank_id, similarity: the bank vector with the greatest inner product for each query.
+def nearest(queries: DataFrame, bank: DataFrame, limit_bytes: int = BROADCAST_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, bank_id, similarity, and the columns ``keep`` of the query: the bank vector with the greatest inner product.
 
     Both sides have id and v (arrays of doubles of one length); rows with a null vector are left out. An empty bank
-    gives no rows."""
-    queries, bank = (df.select("id", "v").where(F.col("v").isNotNull()) for df in (queries, bank))
-    bank = bank.persist()  # measured first, then collected or dealt; a lost block is computed again
+    gives no rows. Against a broadcast bank the queries are not exchanged at all."""
+    queries = queries.select("id", "v", *keep).where(F.col("v").isNotNull())
+    bank = bank.select("id", "v").where(F.col("v").isNotNull()).persist()  # measured first, then collected or dealt
     size = bank.agg(F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))).first()[0]
-    if size == 0:
-        return queries.sparkSession.createDataFrame([], OUT_SCHEMA)
-    if size <= limit_bytes:
-        rows = bank.orderBy("id").toArrow()
+    if 0 < size <= limit_bytes:
+        rows = bank.toArrow().sort_by("id")
         bank.unpersist()
         shared = bank.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), matrix(rows["v"].combine_chunks())))
 
@@ -60,10 +58,17 @@ def nearest(queries: DataFrame, bank: DataFrame, limit_bytes: int = BROADCAST_BY
             for batch in batches:
                 if batch.num_rows:
                     where, best = best_of(matrix(batch.column(1)), vectors, ids)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(where), pa.array(best)], names=["query_id", "bank_id", "similarity"])
+                    columns = [batch.column(0).cast(pa.int64()), pa.array(where), pa.array(best), *(batch.column(2 + k) for k in range(len(keep)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "bank_id", "similarity", *keep])
 
-        return queries.mapInArrow(run, OUT_SCHEMA)
-    return blocked(queries, bank)
+        kinds = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keep)
+        return queries.mapInArrow(run, f"{OUT_SCHEMA}, {kinds}" if keep else OUT_SCHEMA)
+    if size == 0:
+        bank.unpersist()
+        found = queries.sparkSession.createDataFrame([], OUT_SCHEMA)
+    else:  # the bank stays cached for the blocks, and goes when nothing refers to it any more
+        found = blocked(queries, bank)
+    return found.join(queries.select(F.col("id").alias("query_id"), *keep), "query_id") if keep else found
 
 
 def blocked(queries: DataFrame, bank: DataFrame, bank_rows: int = BANK_ROWS * 8, query_rows: int = QUERY_ROWS) -> DataFrame:

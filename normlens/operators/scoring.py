@@ -13,8 +13,8 @@ def patch_scores(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """The query patches with bank_id, similarity and distance of their nearest bank vector.
 
     ``queries`` has id, v and what else is to be kept. Filter invalid patches first."""
-    found = nearest(queries, bank).withColumn("distance", distance(F.col("similarity")))
-    return queries.drop("v").join(found.withColumnRenamed("query_id", "id"), "id")
+    keep = tuple(c for c in queries.columns if c not in ("id", "v"))
+    return nearest(queries, bank, keep=keep).withColumn("distance", distance(F.col("similarity"))).withColumnRenamed("query_id", "id")
 
 
 def image_scores(patches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

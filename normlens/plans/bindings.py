@@ -5,28 +5,31 @@ Patches are embeddings, files are documents, scores are events, image sizes deri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.functions.vectors import as_double, l2_normalize
 from normlens.session import table
 
 BANK_LABELS = (0, 1, 2)
+IMAGE_IDS = 50
+LABEL_STEP = 10_000_000_000
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, v (doubles), label, ordinal, image_id, defect_type, normal, part (bank, validation, test)."""
+    """id, v (doubles), label, ordinal, image_id, defect_type, normal, part (bank, validation, test).
+
+    Fifty neighbouring ids hold one image of each label, of about five patches: a projection, without any exchange."""
     rows = table(spark, sf_dir, "embeddings")
-    order = Window.partitionBy("label").orderBy("vec_id")
     normal = F.col("label").isin(*BANK_LABELS)
     out = rows.select(
         F.col("vec_id").alias("id"),
         as_double(F.col("embedding")).alias("v"),
         "label",
-        F.floor((F.row_number().over(order) - 1) / 5).cast("long").alias("ordinal"),
+        F.floor(F.col("vec_id") / IMAGE_IDS).cast("long").alias("ordinal"),
     ).withColumns(
         {
-            "image_id": F.col("label").cast("long") * 100000 + F.col("ordinal"),
+            "image_id": F.col("label").cast("long") * LABEL_STEP + F.col("ordinal"),
             "normal": normal,
             "defect_type": F.when(normal, "good").otherwise(F.concat(F.lit("type_"), F.col("label").cast("string"))),
         }
@@ -35,10 +38,9 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("part", part)
 
 
-PATCHES_SQL = """
-ordered AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label,
-                   ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 5)::BIGINT AS ordinal FROM embeddings),
-patches AS (SELECT *, label::BIGINT * 100000 + ordinal AS image_id, label IN (0, 1, 2) AS normal,
+PATCHES_SQL = f"""
+ordered AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label, (vec_id // {IMAGE_IDS})::BIGINT AS ordinal FROM embeddings),
+patches AS (SELECT *, label::BIGINT * {LABEL_STEP} + ordinal AS image_id, label IN (0, 1, 2) AS normal,
                    CASE WHEN label IN (0, 1, 2) THEN 'good' ELSE 'type_' || label END AS defect_type,
                    CASE WHEN label IN (0, 1, 2) AND ordinal % 2 = 0 THEN 'bank' WHEN ordinal % 4 < 2 THEN 'validation' ELSE 'test' END AS part
             FROM ordered),
@@ -69,6 +71,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("path", F.concat_ws("/", "product", "split", "defect_type", F.concat("stem", suffix)))
 
 
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with contents: grey netpbm images 32 pixels wide, of the texts' bytes; every 23rd is broken."""
+    rows = files(spark, sf_dir)
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("own"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    height = F.greatest(F.lit(1), F.floor(F.length("raw") / 32)).cast("string")
+    head = F.concat(F.lit("P5\n32 "), height, F.lit("\n255\n")).cast("binary")
+    content = F.when(F.col("doc_id") % 23 == 0, F.lit("P5 broken").cast("binary")).otherwise(F.concat(head, F.col("raw"), F.repeat(F.lit(" "), 32).cast("binary")))
+    return rows.join(text, F.col("doc_id") == F.col("own")).withColumn("content", content).drop("own", "raw")
+
+
 SUFFIXES = (".png", ".JPG", ".jpeg", ".bmp", ".tif", ".tiff", ".txt")
 
 FILES_SQL = """

@@ -121,28 +121,32 @@ def missing_masks(spark, sf_dir):
 
 
 def _prints(spark, sf_dir):
-    rows = patches(spark, sf_dir).select("id", "part", hamming.median_fingerprint(F.col("v")).alias("fingerprint"))
+    rows = patches(spark, sf_dir).select("id", "part", (F.col("id") % 7).alias("product"), hamming.median_fingerprint(F.col("v")).alias("fingerprint"))
     return rows.where("part = 'bank'"), rows.where("part <> 'bank'")
 
 
 def near_dup_hamming(spark, sf_dir):
-    return hamming.theta_join(*_prints(spark, sf_dir), 20)
+    return hamming.theta_join(*_prints(spark, sf_dir), 20, ["product"])
 
 
 def near_dup_strict(spark, sf_dir):
-    return hamming.banded_join(*_prints(spark, sf_dir), 4)
+    return hamming.banded_join(*_prints(spark, sf_dir), 4, ["product"])
 
 
 def near_dup_blocked(spark, sf_dir):
-    return hamming.banded_join(*_prints(spark, sf_dir), 20)
+    return hamming.banded_join(*_prints(spark, sf_dir), 14, ["product"])
 
 
 def near_dup_histogram(spark, sf_dir):
-    return hamming.histogram(hamming.theta_join(*_prints(spark, sf_dir), 20))
+    return hamming.histogram(hamming.theta_join(*_prints(spark, sf_dir), 20, ["product"]))
 
 
 def near_dup_examples(spark, sf_dir):
-    return hamming.theta_join(*_prints(spark, sf_dir), 22).orderBy("distance", "left_id", "right_id").limit(20)
+    return hamming.theta_join(*_prints(spark, sf_dir), 22, ["product"]).orderBy("distance", "left_id", "right_id").limit(20)
+
+
+def duplicate_paths(spark, sf_dir):
+    return ops.duplicate_paths(files(spark, sf_dir)).select("sha256", "chunk", F.concat_ws("|", "paths").alias("paths"))
 
 
 GROUPS_SQL = f"""{FILES_SQL},
@@ -156,8 +160,8 @@ parted AS (SELECT *, CASE WHEN n > 1 AND rank <= least(greatest(round_even(n * 0
 PRINTS_SQL = f"""{PATCHES_SQL},
 mids AS (SELECT id, part, v, (list_sort(v)[32] + list_sort(v)[33]) / 2 AS mid FROM patches),
 prints AS (SELECT id, part, list_transform(v, lambda x: (x > mid)::INT) AS bits FROM mids),
-dists AS (SELECT a.id AS left_id, b.id AS right_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda p: xor(p[1], p[2])))::INT AS distance
-          FROM prints a, prints b WHERE a.part = 'bank' AND b.part <> 'bank')"""
+dists AS (SELECT a.id % 7 AS product, a.id AS left_id, b.id AS right_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda p: xor(p[1], p[2])))::INT AS distance
+          FROM prints a JOIN prints b ON a.id % 7 = b.id % 7 WHERE a.part = 'bank' AND b.part <> 'bank')"""
 
 QUERIES = {
     "path_parts": (path_parts, f"""WITH {FILES_SQL} SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension,
@@ -168,9 +172,10 @@ lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.png', '.jpg', '.jpeg', '.bm
     "attribute_counts": (attribute_counts, f"""WITH {FILES_SQL}, {IMAGES_SQL},
 e AS (SELECT 'extension' AS attribute, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS value, count(*) AS n FROM files GROUP BY ALL),
 r AS (SELECT 'resolution' AS attribute, width || 'x' || height AS value, count(*) AS n FROM imgs GROUP BY ALL ORDER BY n DESC, value LIMIT 20),
-c AS (SELECT 'channels' AS attribute, CASE image_id % 5 WHEN 1 THEN 'Grayscale' WHEN 3 THEN 'RGB/BGR' WHEN 4 THEN 'RGBA/BGRA' ELSE 'Unknown' END AS value, count(*) AS n FROM imgs GROUP BY ALL)
+c AS (SELECT 'channels' AS attribute, CASE image_id % 5 WHEN 1 THEN 'Grayscale' WHEN 3 THEN 'RGB/BGR' WHEN 4 THEN 'RGBA/BGRA' ELSE 'Other' END AS value, count(*) AS n FROM imgs GROUP BY ALL)
 FROM e UNION ALL FROM r UNION ALL FROM c"""),
     "exact_duplicate_groups": (exact_duplicate_groups, f"WITH {GROUPS_SQL} FROM groups"),
+    "duplicate_paths": (duplicate_paths, f"WITH {FILES_SQL} SELECT sha256, 0 AS chunk, string_agg(path, '|' ORDER BY path) AS paths FROM files GROUP BY sha256 HAVING count(*) > 1"),
     "leakage_groups": (leakage_groups, f"WITH {GROUPS_SQL} FROM groups WHERE in_train AND in_test"),
     "cross_group_duplicates": (cross_group_duplicates, f"WITH {GROUPS_SQL} FROM groups WHERE n_products > 1"),
     "duplicate_summary": (duplicate_summary, f"WITH {GROUPS_SQL} SELECT count(*) AS n_groups, coalesce(sum(n_files), 0)::BIGINT AS n_files, count(*) FILTER (in_train AND in_test) AS n_leaked, count(*) FILTER (n_products > 1) AS n_cross_product FROM groups"),
@@ -188,7 +193,7 @@ CASE WHEN defect_type = 'good' THEN '' ELSE 'ground_truth/' || defect_type || '/
     "missing_masks": (missing_masks, f"WITH {CLEAN_SQL} SELECT path AS image_path, defect_type FROM parted WHERE defect_type <> 'good' AND doc_id % 3 = 0"),
     "near_dup_hamming": (near_dup_hamming, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 20"),
     "near_dup_strict": (near_dup_strict, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 4"),
-    "near_dup_blocked": (near_dup_blocked, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 20"),
+    "near_dup_blocked": (near_dup_blocked, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 14"),
     "near_dup_histogram": (near_dup_histogram, f"WITH {PRINTS_SQL} SELECT distance, count(*) AS n_pairs FROM dists WHERE distance <= 20 GROUP BY distance"),
     "near_dup_examples": (near_dup_examples, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 22 ORDER BY distance, left_id, right_id LIMIT 20"),
 }

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from normlens.functions.vectors import concat_features
-from normlens.operators import errors, geometry
-from normlens.plans.bindings import GRID_SQL, IMAGES_SQL, LETTERBOX_SQL, grid, images
+from functools import partial
+
+from normlens.functions.vectors import concat_features, dot, l2_normalize
+from normlens.operators import errors, geometry, scoring
+from normlens.plans.bindings import FILES_SQL, GRID_SQL, IMAGES_SQL, LETTERBOX_SQL, PATCHES_SQL, grid, image_files, images, units
 from normlens.session import table
+from normlens.sources import pixels
 from normlens.streaming import scorer
 
+CELLS = partial(pixels.cell_statistics, grid=4)
+
 
 def letterbox_geometry(spark, sf_dir):
     rows = geometry.letterbox(images(spark, sf_dir))
@@ -21,17 +26,9 @@ def valid_cells(spark, sf_dir):
     return rows.groupBy("image_id").agg(F.sum((F.col("valid_ratio") >= 0.5).cast("int")).alias("n_valid"), F.round(F.sum("valid_ratio"), 6).alias("area"))
 
 
-def _cell_ratios(of):
-    rows = geometry.valid_cells(geometry.letterbox(of))
-    return rows.select("image_id", "row", "col", F.round("valid_ratio", 6).alias("valid_ratio"))
-
-
 def cell_ratios(spark, sf_dir):
-    return _cell_ratios(images(spark, sf_dir).where("image_id <= 40"))
-
-
-def cell_ratios_whole(spark, sf_dir):
-    return _cell_ratios(images(spark, sf_dir))
+    rows = geometry.valid_cells(geometry.letterbox(images(spark, sf_dir)))
+    return rows.select("image_id", "row", "col", F.round("valid_ratio", 6).alias("valid_ratio"))
 
 
 def _crop(spark, sf_dir):
@@ -84,16 +81,8 @@ def strided_sample(spark, sf_dir):
     return geometry.strided(grid(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
-def _upsampled(cells):
-    return geometry.bilinear_upsample(cells, 8, 2).withColumn("value", F.round("value", 6))
-
-
 def bilinear_upsample(spark, sf_dir):
-    return _upsampled(grid(spark, sf_dir).where("image_id < 100"))
-
-
-def bilinear_upsample_whole(spark, sf_dir):
-    return _upsampled(grid(spark, sf_dir))
+    return geometry.bilinear_upsample(grid(spark, sf_dir), 8, 2).withColumn("value", F.round("value", 6))
 
 
 def min_max_normalize(spark, sf_dir):
@@ -106,39 +95,93 @@ def pixel_normalize(spark, sf_dir):
     return rows.select("image_id", *[F.round(geometry.normalized_pixel(F.col("pixel"), c), 6).alias(f"c{c}") for c in range(3)])
 
 
-def _anomaly_map(cells):
+def _anomaly_map(cells, size):
     """Patch values enlarged to a pixel map, scaled to its range; how much of each image is at or above half of it."""
-    pixels = geometry.bilinear_upsample(cells, 8, 4)
+    pixels = geometry.bilinear_upsample(cells, size, 4)
     rows = geometry.min_max(pixels, "image_id", "value").withColumn("scaled", F.round("scaled", 6))
     return rows.groupBy("image_id").agg(F.sum((F.col("scaled") >= 0.5).cast("int")).alias("n_hot"), F.round(F.max("value"), 6).alias("peak"))
 
 
 def anomaly_map(spark, sf_dir):
-    return _anomaly_map(grid(spark, sf_dir).where("image_id < 100"))
+    return _anomaly_map(grid(spark, sf_dir), 8)
+
 
+def pair_anomaly_map(spark, sf_dir):
+    """Each image against one reference: 1 - best similarity of its 4 x 4 patches to the reference's, enlarged to a map.
 
-def anomaly_map_whole(spark, sf_dir):
-    return _anomaly_map(grid(spark, sf_dir))
+    The reference is one image of 16 patches, so its side of the join is of a fixed size."""
+    rows = table(spark, sf_dir, "embeddings")
+    patch = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(k.alias("cell"), l2_normalize(F.slice("embedding", k * 4 + 1, F.lit(4))).alias("v")))
+    cells = rows.select(F.col("vec_id").alias("image_id"), F.inline(patch))
+    first = rows.orderBy("vec_id").limit(1).select(patch.alias("patches"))
+    best = F.array_max(F.transform("patches", lambda p: F.round(dot(F.col("v"), p["v"]), 9)))
+    row, col = geometry.row_col(F.col("cell"), 4)
+    scored = cells.join(F.broadcast(first)).select("image_id", row.alias("row"), col.alias("col"), (1 - best).alias("value"))
+    return _anomaly_map(scored, 4)
 
 
-def _patch_positions(vectors):
+def patch_positions(spark, sf_dir):
     """Row and column of each patch number, and the length of two layers' descriptors together."""
-    rows = vectors.select(F.posexplode("embedding").alias("patch", "x"), "vec_id", "embedding")
+    rows = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("patch", "x"), "vec_id", "embedding")
     row, col = geometry.row_col(F.col("patch"), 8)
     return rows.select("vec_id", "patch", row.alias("row"), col.alias("col"), F.size(concat_features(F.col("embedding"), F.col("embedding"))).alias("dims"))
 
 
-def patch_positions(spark, sf_dir):
-    return _patch_positions(table(spark, sf_dir, "embeddings").where("vec_id < 50"))
+def formatted_report(spark, sf_dir):
+    rows = geometry.letterbox(images(spark, sf_dir))
+    return rows.select("image_id", F.format_string("%.4f", F.round("scale", 4)).alias("scale"), F.format_string("%.6f", F.col("width").cast("double")).alias("width"))
+
+
+def missed_recovered(spark, sf_dir):
+    """Of the images whose defect the crop lost, the 20 missed ones with the lowest scores, ascending."""
+    lost = _crop(spark, sf_dir)
+    scores = images(spark, sf_dir).select("image_id", "defect_type", F.lit(1).alias("y_true"), (F.pmod(F.col("image_id") * 31, F.lit(100)) / 100).alias("score"))
+    rows = errors.with_errors(errors.recovered(scores, lost, ["image_id"]), 0.5)
+    return errors.worst(rows, "FN", 20, "image_id").select("image_id", "defect_type", "score")
 
 
-def patch_positions_whole(spark, sf_dir):
-    return _patch_positions(table(spark, sf_dir, "embeddings"))
+def lost_examples(spark, sf_dir):
+    """The first 20 images whose defect the crop lost altogether."""
+    return _crop(spark, sf_dir).where("fully_lost").orderBy("image_id").limit(20).select("image_id", "defect_type", "original_pixels")
 
 
-def formatted_report(spark, sf_dir):
-    rows = geometry.letterbox(images(spark, sf_dir))
-    return rows.select("image_id", F.format_string("%.4f", F.round("scale", 4)).alias("scale"), F.format_string("%.6f", F.col("width").cast("double")).alias("width"))
+def image_attributes(spark, sf_dir):
+    """Size of each image file, by decoding it, or that it is corrupt."""
+    return pixels.attributes(image_files(spark, sf_dir))
+
+
+def corrupt_examples(spark, sf_dir):
+    return pixels.attributes(image_files(spark, sf_dir)).where("corrupt").orderBy("path").limit(20).select("path")
+
+
+def image_hashes(spark, sf_dir):
+    return pixels.fingerprints(image_files(spark, sf_dir))
+
+
+def _image_bank(spark, sf_dir):
+    good = image_files(spark, sf_dir).where("split = 'train' AND defect_type = 'good'")
+    rows = pixels.extract_patches(good, CELLS, 4).where("error IS NULL")
+    return rows.select(F.xxhash64("path", "patch").alias("id"), l2_normalize(F.col("v")).alias("v"))
+
+
+def image_file_scores(spark, sf_dir):
+    """From image files to scores: decoded, letterboxed, described by cells, and held against the normal ones' cells."""
+    rows = pixels.extract_patches(image_files(spark, sf_dir).where("split = 'test'"), CELLS, 4).where("error IS NULL")
+    queries = rows.select(F.col("patch").cast("long").alias("id"), F.col("path").alias("image_id"), l2_normalize(F.col("v")).alias("v"))
+    scored = scoring.image_scores(scoring.patch_scores(queries, _image_bank(spark, sf_dir)))
+    return scored.select(F.col("image_id").alias("path"), F.round("score", 6).alias("score"), "n_patches")
+
+
+def predict_requests(spark, sf_dir):
+    """Uploads of all kinds and the status that each gets."""
+    kind = F.when(F.col("doc_id") % 17 == 0, F.lit(None)).when(F.col("doc_id") % 17 == 1, "text/plain").otherwise("image/x-portable-graymap")
+    content = F.when(F.col("doc_id") % 19 == 0, F.lit("").cast("binary")).when(F.col("doc_id") % 19 == 1, F.lit(None)).otherwise(F.col("content"))
+    rows = image_files(spark, sf_dir).where("split = 'test'").select(F.col("doc_id").alias("request_id"), kind.alias("content_type"), content.alias("content"))
+    return scorer.predict(rows, _image_bank(spark, sf_dir), 0.2, CELLS, 4).select("request_id", "status", "detail", (F.col("prediction").isNotNull()).alias("has_prediction"))
+
+
+def service_health(spark, sf_dir):
+    return scorer.health(units(spark, sf_dir).where("part = 'bank'"), 1.1)
 
 
 def streaming_scores(spark, sf_dir):
@@ -161,12 +204,12 @@ cells AS (SELECT image_id, r::INT AS "row", c::INT AS col,
 UPSAMPLE_SQL = f"""WITH {GRID_SQL},
 axis AS (SELECT t::INT AS t, s::INT AS s, greatest(0.0, 1 - abs(greatest(0.0, least(7.0, (t + 0.5) / 2 - 0.5)) - s)) AS w FROM range(16) a(t), range(8) b(s)),
 used AS (SELECT * FROM axis WHERE w > 0)
-SELECT image_id, r.t AS "row", c.t AS col, round(sum(r.w * c.w * value), 6) AS value FROM grid JOIN used r ON r.s = grid."row" JOIN used c ON c.s = grid.col WHERE image_id < 100 GROUP BY ALL"""
+SELECT image_id, r.t AS "row", c.t AS col, round(sum(r.w * c.w * value), 6) AS value FROM grid JOIN used r ON r.s = grid."row" JOIN used c ON c.s = grid.col GROUP BY ALL"""
 
 QUERIES = {
     "letterbox_geometry": (letterbox_geometry, f"WITH {LETTERBOX_SQL} SELECT image_id, round(scale, 9) AS scale, new_width, new_height, pad_left, pad_top FROM boxed"),
     "valid_cells": (valid_cells, f"WITH {CELLS_SQL} SELECT image_id, count(*) FILTER (valid_ratio >= 0.5) AS n_valid, round(sum(valid_ratio), 6) AS area FROM cells GROUP BY image_id"),
-    "cell_ratios": (cell_ratios, f'WITH {CELLS_SQL} SELECT image_id, "row", col, round(valid_ratio, 6) AS valid_ratio FROM cells WHERE image_id <= 40 AND valid_ratio >= 0.5'),
+    "cell_ratios": (cell_ratios, f'WITH {CELLS_SQL} SELECT image_id, "row", col, round(valid_ratio, 6) AS valid_ratio FROM cells WHERE valid_ratio >= 0.5'),
     "crop_retention": (crop_retention, f"WITH {CROP_SQL} SELECT image_id, defect_type, original_pixels, cropped_pixels, round(retention_ratio, 6) AS retention_ratio, round(1 - retention_ratio, 6) AS loss_ratio, fully_lost FROM crops"),
     "crop_audit_summary": (crop_audit_summary, f"WITH {CROP_SQL} SELECT {SUMMARY_SQL} FROM crops"),
     "crop_audit_by_type": (crop_audit_by_type, f"WITH {CROP_SQL} SELECT defect_type, {SUMMARY_SQL} FROM crops GROUP BY defect_type"),
@@ -184,17 +227,36 @@ SELECT image_id, "row", col, round(low / (span + 1e-8), 6) AS scaled, round(low
     "anomaly_map": (anomaly_map, f"""WITH {GRID_SQL},
 axis AS (SELECT t::INT AS t, s::INT AS s, greatest(0.0, 1 - abs(greatest(0.0, least(7.0, (t + 0.5) / 4 - 0.5)) - s)) AS w FROM range(32) a(t), range(8) b(s)),
 used AS (SELECT * FROM axis WHERE w > 0),
-pixels AS (SELECT image_id, r.t AS y, c.t AS x, sum(r.w * c.w * value) AS value FROM grid JOIN used r ON r.s = grid."row" JOIN used c ON c.s = grid.col WHERE image_id < 100 GROUP BY ALL),
+pixels AS (SELECT image_id, r.t AS y, c.t AS x, sum(r.w * c.w * value) AS value FROM grid JOIN used r ON r.s = grid."row" JOIN used c ON c.s = grid.col GROUP BY ALL),
 scaled AS (SELECT image_id, value, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8), 6) AS scaled FROM pixels WINDOW w AS (PARTITION BY image_id))
 SELECT image_id, count(*) FILTER (scaled >= 0.5) AS n_hot, round(max(value), 6) AS peak FROM scaled GROUP BY image_id"""),
-    "patch_positions": (patch_positions, "SELECT vec_id, (i - 1)::INT AS patch, ((i - 1) // 8)::INT AS row, ((i - 1) % 8)::INT AS col, 2 * len(embedding) AS dims FROM embeddings, range(1, 65) t(i) WHERE vec_id < 50"),
+    "patch_positions": (patch_positions, "SELECT vec_id, (i - 1)::INT AS patch, ((i - 1) // 8)::INT AS row, ((i - 1) % 8)::INT AS col, 2 * len(embedding) AS dims FROM embeddings, range(1, 65) t(i)"),
     "formatted_report": (formatted_report, f"WITH {LETTERBOX_SQL} SELECT image_id, printf('%.4f', round(scale, 4)) AS scale, printf('%.6f', width::DOUBLE) AS width FROM boxed"),
-    "streaming_scores": (streaming_scores, None),
-}
-# The same over whole tables; the queries above look at a few ids.
-QUERIES |= {
-    "cell_ratios_whole": (cell_ratios_whole, QUERIES["cell_ratios"][1].replace("image_id <= 40 AND ", "")),
-    "bilinear_upsample_whole": (bilinear_upsample_whole, UPSAMPLE_SQL.replace(" WHERE image_id < 100", "")),
-    "anomaly_map_whole": (anomaly_map_whole, QUERIES["anomaly_map"][1].replace(" WHERE image_id < 100", "")),
-    "patch_positions_whole": (patch_positions_whole, QUERIES["patch_positions"][1].replace(" WHERE vec_id < 50", "")),
+    "pair_anomaly_map": (pair_anomaly_map, f"""WITH raw AS (SELECT vec_id AS image_id, k::INT AS cell, list_transform(embedding[k * 4 + 1:k * 4 + 4], lambda x: x::DOUBLE) AS v FROM embeddings, range(16) t(k)),
+unit AS (SELECT image_id, cell, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS v FROM raw),
+grid AS (SELECT a.image_id, (a.cell // 4)::INT AS "row", (a.cell % 4)::INT AS col, 1 - max(round(list_inner_product(a.v, b.v), 9)) AS value
+         FROM unit a, unit b WHERE b.image_id = (SELECT min(vec_id) FROM embeddings) GROUP BY ALL),
+axis AS (SELECT t::INT AS t, s::INT AS s, greatest(0.0, 1 - abs(greatest(0.0, least(3.0, (t + 0.5) / 4 - 0.5)) - s)) AS w FROM range(16) a(t), range(4) b(s)),
+used AS (SELECT * FROM axis WHERE w > 0),
+pixels AS (SELECT image_id, r.t AS y, c.t AS x, sum(r.w * c.w * value) AS value FROM grid JOIN used r ON r.s = grid."row" JOIN used c ON c.s = grid.col GROUP BY ALL),
+scaled AS (SELECT image_id, value, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8), 6) AS scaled FROM pixels WINDOW w AS (PARTITION BY image_id))
+SELECT image_id, count(*) FILTER (scaled >= 0.5) AS n_hot, round(max(value), 6) AS peak FROM scaled GROUP BY image_id"""),
+    "missed_recovered": (missed_recovered, f"WITH {CROP_SQL} SELECT image_id, defect_type, ((image_id * 31) % 100) / 100.0::DOUBLE AS score FROM crops WHERE fully_lost AND ((image_id * 31) % 100) / 100.0::DOUBLE < 0.5 ORDER BY score, image_id LIMIT 20"),
+    "lost_examples": (lost_examples, f"WITH {CROP_SQL} SELECT image_id, defect_type, original_pixels FROM crops WHERE fully_lost ORDER BY image_id LIMIT 20"),
+    "image_attributes": (image_attributes, f"WITH {FILES_SQL} SELECT path, CASE WHEN doc_id % 23 <> 0 THEN 32 END AS width, CASE WHEN doc_id % 23 <> 0 THEN greatest(1, n_bytes // 32)::INT END AS height, doc_id % 23 = 0 AS corrupt FROM files"),
+    "corrupt_examples": (corrupt_examples, f"WITH {FILES_SQL} SELECT path FROM files WHERE doc_id % 23 = 0 ORDER BY path LIMIT 20"),
+    "image_hashes": (image_hashes, None),
+    "image_file_scores": (image_file_scores, None),
+    # A patch is valid if the letterboxed image covers half of some cell of 64 x 64 pixels.
+    "predict_requests": (predict_requests, f"""WITH {FILES_SQL}, tall AS (SELECT *, greatest(1, n_bytes // 32) AS h FROM files WHERE split = 'test'),
+fitted AS (SELECT *, greatest(1, round_even(32 * least(8.0::DOUBLE, 256.0::DOUBLE / h), 0)::INT) AS nw, greatest(1, round_even(h * least(8.0::DOUBLE, 256.0::DOUBLE / h), 0)::INT) AS nh FROM tall),
+covered AS (SELECT *, list_max(list_transform([0, 64, 128, 192], lambda a: greatest(0, least(a + 64, (256 - nw) // 2 + nw) - greatest(a, (256 - nw) // 2)))) *
+                      list_max(list_transform([0, 64, 128, 192], lambda a: greatest(0, least(a + 64, (256 - nh) // 2 + nh) - greatest(a, (256 - nh) // 2)))) AS most FROM fitted),
+kinds AS (SELECT doc_id AS request_id, CASE WHEN doc_id % 17 < 2 THEN 'not an image' WHEN doc_id % 19 < 2 THEN 'empty' WHEN doc_id % 23 = 0 THEN 'undecodable'
+                 WHEN most < 2048 THEN 'failed: no valid patch' ELSE '' END AS detail FROM covered)
+SELECT request_id, CASE WHEN detail = '' THEN 200 WHEN detail LIKE 'failed%' THEN 500 ELSE 400 END AS status, detail, detail = '' AS has_prediction FROM kinds"""),
+    "service_health": (service_health, f"WITH {PATCHES_SQL} SELECT 'ok' AS status, 200 AS code, 'cpu' AS device, TRUE AS model_loaded, count(*) AS coreset_size, max(len(v))::INT AS dims, 1.1::DOUBLE AS threshold FROM units WHERE part = 'bank'"),
+    "streaming_scores": (streaming_scores, f"""WITH {PATCHES_SQL}, best AS (SELECT q.id, max(round(list_inner_product(q.v, b.v), 9)) AS s FROM units q, units b WHERE b.part = 'bank' GROUP BY q.id),
+away AS (SELECT id, sqrt(greatest(2 - 2 * s, 0)) AS d FROM best)
+SELECT id AS request_id, 200 AS status, CASE WHEN d >= 1.1 THEN 'defect' ELSE 'good' END AS prediction, round(d, 6) AS anomaly_score, 1.1::DOUBLE AS threshold FROM away"""),
 }

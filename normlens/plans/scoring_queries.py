@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.functions.vectors import l2_normalize, norm
+from normlens.functions.vectors import distance, dot, l2_normalize, norm
 from normlens.operators import bank, errors, metrics, nearest, scoring
 from normlens.plans.bindings import NEAREST_SQL, PATCHES_SQL, patches, units
 
@@ -55,20 +55,11 @@ def pair_best_match(spark, sf_dir):
     return found.orderBy("similarity", "query_id").limit(5).select("query_id", "bank_id", F.round("similarity", 6).alias("similarity"), F.round("anomaly", 6).alias("anomaly"))
 
 
-def _cosine_pairs(vectors):
-    from normlens.functions.vectors import dot
-
-    rows = vectors.select("id", "label", "v")
-    a, b = rows.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("v").alias("vb"))
-    return a.join(b, (F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
-
-
 def cosine_pairs(spark, sf_dir):
-    return _cosine_pairs(units(spark, sf_dir).where("ordinal = 0"))
-
-
-def cosine_pairs_whole(spark, sf_dir):
-    return _cosine_pairs(units(spark, sf_dir))
+    """Every two patches of one image."""
+    rows = units(spark, sf_dir).select("id", "image_id", "v")
+    a, b = rows.select(F.col("id").alias("a"), F.col("image_id").alias("ia"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("image_id").alias("ib"), F.col("v").alias("vb"))
+    return a.join(b, (F.col("ia") == F.col("ib")) & (F.col("a") < F.col("b"))).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
 def search_consistency(spark, sf_dir):
@@ -76,8 +67,6 @@ def search_consistency(spark, sf_dir):
     queries, whole = rows.where("part <> 'bank'"), rows.where("part = 'bank'")
     first = scoring.image_scores(scoring.patch_scores(queries, whole))
     found = nearest.blocked(queries, whole, 64, 256).withColumnRenamed("query_id", "id")
-    from normlens.functions.vectors import distance
-
     second = scoring.image_scores(queries.drop("v").join(found, "id").withColumn("distance", distance(F.col("similarity"))))
     return scoring.search_consistency(first, second, THRESHOLD).withColumn("max_difference", F.round("max_difference", 6))
 
@@ -99,11 +88,13 @@ def farthest_first(spark, sf_dir):
 
 
 def farthest_first_seeded(spark, sf_dir):
-    return bank.farthest_first(units(spark, sf_dir).where("part = 'bank'").select("id", "v"), 0.10, start_seed=42)
+    rows = units(spark, sf_dir).where("part = 'bank'").select("id", "v")
+    return bank.farthest_first(rows, 0.10, start_seed=42).select("pick", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def coreset_distributed(spark, sf_dir):
-    return bank.distributed_coreset(units(spark, sf_dir).where("normal").select("id", "v"), 0.10, 4)
+    rows = units(spark, sf_dir).where("part = 'bank'").select("id", "v")
+    return bank.distributed_coreset(rows, 0.10).select("pick", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def coreset_score(spark, sf_dir):
@@ -165,6 +156,21 @@ picks AS (
   WHERE pick + 1 < (SELECT k FROM target)),
 chosen AS (SELECT * FROM picks ORDER BY pick DESC LIMIT 1),
 core AS (SELECT (i - 1)::INT AS pick, ids[i] AS id, sims[i] AS similarity FROM chosen, range(1, len(ids) + 1) t(i))"""
+SEEDED_FIRST = "arg_min(id, md5('42|' || id)) AS first"
+# One part: twice the share first, of which the share is chosen again, from the smallest id. Equal to greedy over those kept.
+TWICE_SQL = GREEDY_SQL.replace("count(*) * 0.10", "count(*) * 0.20") + """,
+kept AS (SELECT * FROM units WHERE id IN (SELECT id FROM core)),
+target2 AS (SELECT greatest(1, round_even((SELECT count(*) FROM bank) * 0.10, 0)::INT) AS k, min(id) AS first FROM kept),
+near2 AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.v, b.v), 9) AS s FROM kept a, kept b),
+picks2 AS (
+  SELECT 0 AS pick, [first] AS ids, [NULL::DOUBLE] AS sims FROM target2
+  UNION ALL
+  SELECT pick + 1, list_append(ids, nxt.a), list_append(sims, nxt.m)
+  FROM picks2, LATERAL (SELECT n.a, max(n.s) AS m FROM near2 n WHERE list_contains(picks2.ids, n.b) AND NOT list_contains(picks2.ids, n.a)
+                        GROUP BY n.a ORDER BY m, n.a LIMIT 1) nxt
+  WHERE pick + 1 < (SELECT k FROM target2)),
+chosen2 AS (SELECT * FROM picks2 ORDER BY pick DESC LIMIT 1)
+SELECT (i - 1)::INT AS pick, ids[i] AS id, round(sims[i], 6) AS similarity FROM chosen2, range(1, len(ids) + 1) t(i)"""
 
 QUERIES = {
     "l2_normalize": (l2_normalized, f"WITH {PATCHES_SQL} SELECT p.id, round(sqrt(list_inner_product(p.v, p.v)), 6) AS length, round(sqrt(list_inner_product(u.v, u.v)), 9) AS unit_length, round(u.v[1], 6) AS first FROM patches p JOIN units u ON p.id = u.id"),
@@ -176,16 +182,22 @@ QUERIES = {
     "pair_best_match": (pair_best_match, f"""WITH {PATCHES_SQL}, pairs AS (SELECT q.id AS query_id, b.id AS bank_id, round(list_inner_product(q.v, b.v), 9) AS s FROM units q, units b WHERE q.label = 3 AND b.label = 0 AND b.ordinal = 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, bank_id) AS place FROM pairs)
 SELECT query_id, bank_id, round(s, 6) AS similarity, round(1 - s, 6) AS anomaly FROM best WHERE place = 1 ORDER BY s, query_id LIMIT 5"""),
-    "cosine_pairs": (cosine_pairs, f"WITH {PATCHES_SQL} SELECT a.id AS a, b.id AS b, round(list_inner_product(a.v, b.v), 6) AS cosine FROM units a JOIN units b ON a.label = b.label AND a.id < b.id WHERE a.ordinal = 0 AND b.ordinal = 0"),
-    "search_consistency": (search_consistency, f"WITH {NEAREST_SQL} SELECT count(*) AS n_images, 0.0::DOUBLE AS max_difference, 1.0::DOUBLE AS agreement, TRUE AS consistent FROM images"),
+    "cosine_pairs": (cosine_pairs, f"WITH {PATCHES_SQL} SELECT a.id AS a, b.id AS b, round(list_inner_product(a.v, b.v), 6) AS cosine FROM units a JOIN units b ON a.image_id = b.image_id AND a.id < b.id"),
+    # The second search by differences of components, not by inner products.
+    "search_consistency": (search_consistency, f"""WITH {NEAREST_SQL},
+direct AS (SELECT q.id, q.image_id, min(sqrt(list_sum(list_transform(list_zip(q.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS d FROM units q, units b WHERE q.part <> 'bank' AND b.part = 'bank' GROUP BY ALL),
+second AS (SELECT image_id, max(d) AS b FROM direct GROUP BY image_id),
+both_scores AS (SELECT i.score AS a, s.b FROM images i JOIN second s USING (image_id))
+SELECT count(*) AS n_images, round(max(abs(a - b)), 6) AS max_difference, avg(((a >= {THRESHOLD}) = (b >= {THRESHOLD}))::INT)::DOUBLE AS agreement,
+       max(abs(a - b)) <= 1e-5 AND avg(((a >= {THRESHOLD}) = (b >= {THRESHOLD}))::INT) = 1 AS consistent FROM both_scores"""),
     "memory_bank_stats": (memory_bank_stats, f"WITH {PATCHES_SQL}, c AS (SELECT count(*) FILTER (normal) AS n_candidates, count(*) FILTER (part = 'bank') AS n_kept FROM patches) SELECT n_candidates, n_kept, round(n_kept / n_candidates, 6) AS keep_ratio, 64 AS dims, round(n_kept * 64 * 4 / 1048576, 6) AS size_mb FROM c"),
     "random_projection": (random_projection, f"""WITH {PATCHES_SQL},
 signs AS (SELECT j, i, CASE WHEN ('0x' || substr(md5('42|' || i || '|' || j), 1, 1))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM range(64) a(i), range(8) b(j)),
 raw AS (SELECT id, j, sum(v[i + 1] * s) / sqrt(8.0) AS x FROM units, signs GROUP BY id, j)
 SELECT id, j::INT AS dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12), 6) AS x FROM raw"""),
     "farthest_first": (farthest_first, f"WITH RECURSIVE {GREEDY_SQL} SELECT pick, id, round(similarity, 6) AS similarity FROM core"),
-    "farthest_first_seeded": (farthest_first_seeded, None),
-    "coreset_distributed": (coreset_distributed, None),
+    "farthest_first_seeded": (farthest_first_seeded, f"WITH RECURSIVE {GREEDY_SQL.replace('min(id) AS first', SEEDED_FIRST)} SELECT pick, id, round(similarity, 6) AS similarity FROM core"),
+    "coreset_distributed": (coreset_distributed, f"WITH RECURSIVE {TWICE_SQL}"),
     "coreset_score": (coreset_score, f"""WITH RECURSIVE {GREEDY_SQL},
 best AS (SELECT q.id, q.image_id, max(round(list_inner_product(q.v, b.v), 9)) AS s FROM units q, units b WHERE q.part <> 'bank' AND b.id IN (SELECT id FROM core) GROUP BY ALL)
 SELECT image_id, round(max(sqrt(greatest(2 - 2 * s, 0))), 6) AS score, count(*) AS n_patches FROM best GROUP BY image_id"""),
@@ -206,5 +218,3 @@ SELECT part, threshold, tn, fp, fn, tp, round(tp / (tp + fp), 6) AS "precision",
     "top_false_positives": (_worst("FP"), WORST_SQL.format("FP", "DESC")),
     "top_false_negatives": (_worst("FN"), WORST_SQL.format("FN", "ASC")),
 }
-# The same over all patches; the query above looks at the first image of each label.
-QUERIES |= {"cosine_pairs_whole": (cosine_pairs_whole, QUERIES["cosine_pairs"][1].replace(" WHERE a.ordinal = 0 AND b.ordinal = 0", ""))}

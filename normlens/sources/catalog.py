@@ -26,8 +26,8 @@ def read_images(spark: SparkSession, root: str, pattern: str | None = None, recu
 
 
 def product_images(images: DataFrame) -> DataFrame:
-    """The catalog without ground-truth masks."""
-    return images.where(F.col("split") != "ground_truth")
+    """The catalog without ground-truth masks, whatever other split their paths name."""
+    return images.where(~paths.is_mask(F.col("path")))
 
 
 def labelled(images: DataFrame) -> DataFrame:
@@ -35,6 +35,11 @@ def labelled(images: DataFrame) -> DataFrame:
     return images.withColumn("label", F.when(F.col("defect_type") == "good", 0).otherwise(1))
 
 
+def listed(images: DataFrame) -> DataFrame:
+    """The catalog in the order of its paths, sorted by ranges: no task sorts all of it."""
+    return images.orderBy("path")
+
+
 def inventory(images: DataFrame) -> DataFrame:
     """product, split, defect_type, n; with totals by product and split (nulls) as rollup rows."""
     return images.rollup("product", "split", "defect_type").agg(F.count(F.lit(1)).alias("n"))
@@ -42,5 +47,5 @@ def inventory(images: DataFrame) -> DataFrame:
 
 def masks(images: DataFrame, suffix: str = "_mask") -> DataFrame:
     """defect_type, stem of the image that each mask belongs to, and mask_path."""
-    rows = images.where(F.col("split") == "ground_truth")
+    rows = images.where(paths.is_mask(F.col("path")))
     return rows.select("defect_type", F.regexp_replace("stem", suffix + "$", "").alias("stem"), F.col("path").alias("mask_path"))

@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from normlens.operators.geometry import DEVIATION, MEAN
 
@@ -35,7 +37,7 @@ def _netpbm(content: bytes, mode: str) -> np.ndarray | None:
     if len(head) < 4 or head[3] != b"255":
         return None
     width, height, channels = int(head[1]), int(head[2]), 1 if head[0] == b"P5" else 3
-    start = content.index(b"255") + 4
+    start = content.index(b"255", len(b" ".join(head[:3]))) + 4
     raw = np.frombuffer(content, dtype=np.uint8, offset=start)
     if len(raw) < width * height * channels:
         return None
@@ -46,7 +48,7 @@ def _netpbm(content: bytes, mode: str) -> np.ndarray | None:
 
 
 def bilinear(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Resized with aligned pixel centres and repeated borders."""
+    """Floats enlarged or shrunk with aligned pixel centres and repeated borders, two neighbours an axis."""
     out = pixels.astype(np.float64)
     for axis, size in ((0, height), (1, width)):
         n = out.shape[axis]
@@ -57,23 +59,72 @@ def bilinear(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return out
 
 
+def triangle(x: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1 - np.abs(x))
+
+
+def lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+def resample_weights(n: int, size: int, kernel: Callable[[np.ndarray], np.ndarray], reach: float) -> np.ndarray:
+    """size x n weights: the kernel around each target pixel's centre, as wide as the target pixel where it shrinks."""
+    wide = max(1.0, n / size)
+    centre = (np.arange(size) + 0.5) * n / size
+    first, last = np.maximum(0, np.floor(centre - reach * wide + 0.5)), np.minimum(n, np.floor(centre + reach * wide + 0.5))
+    source = np.arange(n)
+    weights = kernel((source + 0.5 - centre[:, None]) / wide)
+    weights[(source < first[:, None]) | (source >= last[:, None])] = 0
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def resized(pixels: np.ndarray, height: int, width: int, kernel: Callable[[np.ndarray], np.ndarray] = triangle, reach: float = 1) -> np.ndarray:
+    """Bytes resized as imaging libraries do: filters widen where the image shrinks; first rows, then columns, each to whole bytes."""
+    whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    out = pixels.astype(np.float64)
+    if width != out.shape[1]:
+        out = whole(np.moveaxis(np.tensordot(out, resample_weights(out.shape[1], width, kernel, reach), axes=(1, 1)), -1, 1))
+    if height != out.shape[0]:
+        out = whole(np.moveaxis(np.tensordot(out, resample_weights(out.shape[0], height, kernel, reach), axes=(0, 1)), -1, 0))
+    return out.astype(np.uint8)
+
+
 def nearest(mask: np.ndarray, height: int, width: int) -> np.ndarray:
     rows = np.floor((np.arange(height) + 0.5) * mask.shape[0] / height).astype(int)
     columns = np.floor((np.arange(width) + 0.5) * mask.shape[1] / width).astype(int)
     return mask[rows][:, columns]
 
 
-def letterboxed(pixels: np.ndarray, target: int = 256) -> np.ndarray:
-    """Target x target x 3 floats, normalised; the border has the mean colour, which is 0 after normalising."""
+def letterboxed_bytes(pixels: np.ndarray, target: int = 256) -> np.ndarray:
+    """Target x target x 3 bytes: the image resized to fit, on a border of the mean colour in whole bytes."""
     height, width = pixels.shape[:2]
     scale = min(target / width, target / height)
     h, w = max(1, round(height * scale)), max(1, round(width * scale))
-    out = np.zeros((target, target, 3))
+    out = np.empty((target, target, 3), dtype=np.uint8)
+    out[:] = np.rint(255 * np.array(MEAN))
     top, left = (target - h) // 2, (target - w) // 2
-    out[top : top + h, left : left + w] = (bilinear(pixels, h, w) / 255 - MEAN) / DEVIATION
+    out[top : top + h, left : left + w] = resized(pixels, h, w)
     return out
 
 
+def normalised(pixels: np.ndarray) -> np.ndarray:
+    return (pixels / 255 - MEAN) / DEVIATION
+
+
+def letterboxed(pixels: np.ndarray, target: int = 256) -> np.ndarray:
+    """Target x target x 3 floats, normalised; the border too."""
+    return normalised(letterboxed_bytes(pixels, target))
+
+
+def centre_cropped(pixels: np.ndarray, shorter: int = 256, crop: int = 224, mask: bool = False) -> np.ndarray:
+    """The centred square after the shorter side is resized; a mask takes the nearest pixel, above 127 counts."""
+    height, width = pixels.shape[:2]
+    h, w = (int(shorter * height / width), shorter) if width <= height else (shorter, int(shorter * width / height))
+    out = (nearest(pixels, h, w) > 127).astype(np.uint8) if mask else resized(pixels, h, w)
+    top, left = round((h - crop) / 2), round((w - crop) / 2)
+    return out[top : top + crop, left : left + crop]
+
+
 def letterboxed_mask(mask: np.ndarray, target: int = 256) -> np.ndarray:
     """Target x target 0/1 values: nearest resize, border 0, above 127 counts."""
     height, width = mask.shape
@@ -86,9 +137,9 @@ def letterboxed_mask(mask: np.ndarray, target: int = 256) -> np.ndarray:
 
 
 def perceptual_hash(gray: np.ndarray, size: int = 8, factor: int = 4) -> int:
-    """64-bit hash: which of the lowest cosine coefficients of the shrunken image lie above their median."""
+    """64-bit hash: which of the lowest cosine coefficients of the image, shrunk with a Lanczos filter, lie above their median."""
     n = size * factor
-    small = bilinear(gray, n, n)
+    small = resized(gray, n, n, lanczos, 3).astype(np.float64)
     k = np.arange(n)
     basis = np.cos(np.pi * np.outer(k, 2 * k + 1) / (2 * n))
     low = (basis @ small @ basis.T)[:size, :size].reshape(-1)
@@ -120,19 +171,77 @@ def fingerprints(images: DataFrame) -> DataFrame:
     return images.select("path", "content").mapInPandas(run, "id string, fingerprint long")
 
 
-def extract_patches(images: DataFrame, features: Callable[[np.ndarray], np.ndarray], grid: int = 32, target: int = 256, least: float = 0.5) -> DataFrame:
-    """path, patch, v of each valid cell: ``features`` maps a letterboxed image to grid x grid x dims descriptors."""
-    size = target // grid
+def cell_statistics(batch: np.ndarray, grid: int = 32) -> np.ndarray:
+    """n x grid x grid x 12 descriptors without any learned part: each cell's mean and deviation of every channel, and
+    the mean size of its steps across and down. One deterministic extractor; a network's function takes its place."""
+    n, side = batch.shape[0], batch.shape[1] // grid
+    cells = lambda x: x.reshape(n, grid, side, grid, side, 3)
+    across, down = np.abs(np.diff(batch, axis=2, append=batch[:, :, -1:])), np.abs(np.diff(batch, axis=1, append=batch[:, -1:]))
+    parts = [cells(batch).mean(axis=(2, 4)), cells(batch).std(axis=(2, 4)), cells(across).mean(axis=(2, 4)), cells(down).mean(axis=(2, 4))]
+    return np.concatenate(parts, axis=-1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def valid_share(height: int, width: int, grid: int, target: int = 256) -> np.ndarray:
+    """grid x grid: the share of each cell that the letterboxed image covers."""
+    size = target // grid
+    mask = letterboxed_mask(np.full((height, width), 255, dtype=np.uint8), target)
+    return mask.reshape(grid, size, grid, size).mean(axis=(1, 3))
+
+
+def extract_patches(images: DataFrame, features: Callable[[np.ndarray], np.ndarray], grid: int = 32, target: int = 256, least: float = 0.5, batch: int = 16, key: str = "path") -> DataFrame:
+    """key, patch, v of each valid cell, and key, error of what gave none (patch and v null): "undecodable" or the failure.
+
+    ``features`` maps a batch of letterboxed images, n x target x target x 3, to n x grid x grid x dims descriptors."""
+    kind = images.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                some = frame.iloc[at : at + batch]
+                read = [(k, decode(bytes(c)) if c is not None else None) for k, c in zip(some[key], some["content"], strict=True)]
+                good = [(k, p) for k, p in read if p is not None]
+                bad = [(k, "undecodable") for k, p in read if p is None]
+                if good:
+                    try:
+                        vectors = features(np.stack([letterboxed(p, target) for _, p in good])).reshape(len(good), grid * grid, -1)
+                    except Exception as error:  # noqa: BLE001 - the answer to these requests, not the job's end
+                        bad += [(k, f"failed: {error}") for k, _ in good]
+                        good = []
+                for (k, p), found in zip(good, vectors if good else [], strict=True):
+                    cells = np.flatnonzero(valid_share(*p.shape[:2], grid, target).reshape(-1) >= least)
+                    if len(cells):
+                        yield pd.DataFrame({key: k, "patch": cells.astype(np.int32), "v": list(found[cells].astype(np.float64)), "error": None})
+                    else:
+                        bad.append((k, "failed: no valid patch"))
+                if bad:
+                    yield pd.DataFrame({key: [k for k, _ in bad], "patch": pd.array([None] * len(bad), "Int32"), "v": None, "error": [e for _, e in bad]})
+
+    return images.select(key, "content").mapInPandas(run, f"`{key}` {kind}, patch int, v array<double>, error string")
+
+
+def load_masks(manifest: DataFrame, files: DataFrame, missing: str = "none") -> DataFrame:
+    """image_path, width, height, mask (bytes of 0 and 1, row by row) of the manifest's defect images.
+
+    ``files`` has path and content. A mask that is not there gives nulls ("none"), ends the job ("raise") or leaves the
+    image out ("skip"); so does one that cannot be decoded."""
+    if missing not in ("none", "raise", "skip"):
+        raise ValueError(f"missing is none, raise or skip, not {missing}")
+    wanted = manifest.where("label = 1").select("image_path", "mask_path")
+    rows = wanted.join(files.select(F.col("path").alias("mask_path"), "content"), "mask_path", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                pixels = decode(bytes(content))
-                if pixels is None:
-                    continue
-                valid = letterboxed_mask(np.full(pixels.shape[:2], 255, dtype=np.uint8), target).reshape(grid, size, grid, size).mean(axis=(1, 3)).reshape(-1)
-                vectors = features(letterboxed(pixels, target)).reshape(grid * grid, -1)
-                cells = np.flatnonzero(valid >= least)
-                yield pd.DataFrame({"path": path, "patch": cells.astype(np.int32), "v": list(vectors[cells].astype(np.float64))})
-
-    return images.select("path", "content").mapInPandas(run, "path string, patch int, v array<double>")
+            out = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mask = None if content is None else decode(content, "L")
+                if mask is not None:
+                    out.append((path, mask.shape[1], mask.shape[0], (mask > 127).astype(np.uint8).tobytes()))
+                elif missing == "raise":
+                    raise ValueError(f"no mask for {path}")
+                elif missing == "none":
+                    out.append((path, None, None, None))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["image_path", "width", "height", "mask"])
+
+    return rows.select("image_path", "content").mapInArrow(run, "image_path string, width int, height int, mask binary")

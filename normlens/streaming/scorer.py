@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.functions.vectors import distance, l2_normalize
 from normlens.operators.nearest import nearest
-from normlens.operators.scoring import label_from_score
+from normlens.operators.scoring import image_scores, label_from_score, patch_scores
+from normlens.session import remove_folder, shared_dir
+from normlens.sources import pixels
 
 RESPONSE = "request_id long, status int, prediction string, anomaly_score double, threshold double"
 
@@ -29,12 +33,34 @@ def responses(requests: DataFrame, bank: DataFrame, threshold: float, ready: boo
     return answered.unionByName(refused.select("request_id", F.lit(400).alias("status"), *nothing))
 
 
+def predict(requests: DataFrame, bank: DataFrame, threshold: float, features: Callable, grid: int = 32, ready: bool = True) -> DataFrame:
+    """One answer for each upload (request_id, content_type, content): status, detail, prediction, anomaly_score, threshold.
+
+    503 if the bank is not ready; 400 for what is not declared an image, is empty or cannot be decoded; 500 if the
+    features fail or no patch is valid; else 200, with the greatest distance of a patch to its nearest bank vector."""
+    threshold_of = F.lit(float(threshold)).alias("threshold")
+    nothing = [F.lit(None).cast("string").alias("prediction"), F.lit(None).cast("double").alias("anomaly_score"), threshold_of]
+    if not ready:
+        return requests.select("request_id", F.lit(503).alias("status"), F.lit("not ready").alias("detail"), *nothing)
+    declared = F.coalesce(F.startswith("content_type", F.lit("image/")), F.lit(False))
+    empty = F.coalesce(F.octet_length("content") == 0, F.lit(True))
+    refused = requests.where(~declared | empty).select("request_id", F.lit(400).alias("status"), F.when(~declared, "not an image").otherwise("empty").alias("detail"), *nothing)
+    patches = pixels.extract_patches(requests.where(declared & ~empty), features, grid, key="request_id")
+    patches = patches.persist()  # the good ones and the bad ones; a lost block is computed again
+    bad = patches.where("error IS NOT NULL").select("request_id", F.when(F.col("error") == "undecodable", 400).otherwise(500).alias("status"), F.col("error").alias("detail"), *nothing)
+    queries = patches.where("error IS NULL").select(F.col("patch").cast("long").alias("id"), F.col("request_id").alias("image_id"), l2_normalize(F.col("v")).alias("v"))
+    scored = image_scores(patch_scores(queries, bank))
+    label = label_from_score(F.col("score"), F.lit(threshold)).alias("prediction")
+    good = scored.select(F.col("image_id").alias("request_id"), F.lit(200).alias("status"), F.lit("").alias("detail"), label, F.col("score").alias("anomaly_score"), threshold_of)
+    return good.unionByName(bad).unionByName(refused)
+
+
 def health(bank: DataFrame, threshold: float | None) -> DataFrame:
-    """One row: status ('ok' or 'not ready'), http status, size and dimensions of the bank, threshold."""
-    sums = bank.agg(F.count("v").alias("bank_vectors"), F.max(F.size("v")).alias("dims"))
-    ready = (F.col("bank_vectors") > 0) & F.lit(threshold is not None)
+    """One row: status ('ok' or 'not ready'), code, device, model_loaded, coreset_size, dims, threshold."""
+    sums = bank.agg(F.count("v").alias("coreset_size"), F.max(F.size("v")).alias("dims"))
+    ready = (F.col("coreset_size") > 0) & F.lit(threshold is not None)
     value = F.lit(threshold).cast("double").alias("threshold")
-    return sums.select(F.when(ready, "ok").otherwise("not ready").alias("status"), F.when(ready, 200).otherwise(503).alias("code"), "bank_vectors", "dims", value)
+    return sums.select(F.when(ready, "ok").otherwise("not ready").alias("status"), F.when(ready, 200).otherwise(503).alias("code"), F.lit("cpu").alias("device"), ready.alias("model_loaded"), "coreset_size", "dims", value)
 
 
 def score_stream(stream: DataFrame, bank: DataFrame, threshold: float, out: str, checkpoint: str):
@@ -52,7 +78,8 @@ def score_table_as_stream(spark: SparkSession, sf_dir: str, threshold: float = 1
     """The embeddings table replayed as a stream of requests against the bank of normal vectors; all answers."""
     from normlens.plans.bindings import units
 
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp").rstrip("/") + f"/normlens-stream-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/normlens-stream-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, spark, where)
     schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
     # A pattern, since a plain path must be a folder here and the table may be one file.
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")

@@ -147,6 +147,29 @@ def test_banded_join_equals_theta_join(spark):
     assert hamming.theta_join(frame(base), frame(flipped), 4).count() > 0
 
 
+def test_banded_join_leaves_small_bands_to_theta_join(spark):
+    rows = spark.createDataFrame([(i, (i * 2654435761) % (1 << 62), i % 2) for i in range(60)], "id long, fingerprint long, g int")
+    a, b = (sorted(map(tuple, f(rows, rows, 30, ["g"]).collect())) for f in (hamming.theta_join, hamming.banded_join))
+    assert a == b and "bits" not in hamming.banded_join(rows, rows, 30, ["g"])._jdf.queryExecution().toString()
+
+
+def test_coreset_of_many_parts(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = bank.distributed_coreset(rows, 0.1, part_rows=30).collect()
+    assert len({r.id for r in got}) == len(got) and abs(len(got) - 40) <= 6 and len({r.pick for r in got}) == len(got)
+    picked = v[[r.id for r in got]]
+    cover = (v @ picked.T).max(axis=1).min()
+    random_cover = np.median([(v @ v[rng.choice(400, len(got), replace=False)].T).max(axis=1).min() for _ in range(20)])
+    assert cover > random_cover
+    from unittest.mock import patch
+
+    with patch.object(bank, "BANK_BYTES", 100), pytest.raises(ValueError, match="distributed_coreset"):
+        bank.farthest_first(rows)
+
+
 def test_bilinear_against_numpy(spark):
     from normlens.sources.pixels import bilinear
 
