@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import re
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,32 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlens.session import remove_folder, shared_dir
+
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only a session without that setting (tests on one machine) gets a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="normlens-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def _quiet_remove(spark: SparkSession, path: str) -> None:
     try:
-        remove(spark, path)
+        remove_folder(spark, path)
     except Exception:  # noqa: BLE001 - the session has ended; the folder's owner clears it
         pass
 

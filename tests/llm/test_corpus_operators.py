@@ -343,6 +343,19 @@ def test_near_duplicates_go_by_row(spark):
     assert len(third) == 1 and sorted(map(repr, left)) == sorted(map(repr, [(1, one), (2, two), (3, None), (None, None), *third]))
 
 
+def test_stages_with_nulls_and_repeated_ids(spark):
+    """Every stage, on rows with null and repeated ids, null and empty texts, and extra columns of clashing names."""
+    good = [r.asDict() for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in good]
+    rows += [(None, rows[3][1] + " and more", "en", None, None), (5, rows[8][1] + " once more", None, "web", None), (5, None, None, None, None), (None, "", None, None, 0), (7, rows[7][1], rows[7][2], rows[7][3], None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("row", "copies", "gone", "mixed", "score", "first", "quality")})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, DIR)
+        assert "row" not in got.columns and got.count() > 0, name
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame([(1, "a b", "x", "s", 1), (1, "c d", "x", "t", 1), (None, "e f", "x", None, 1), (2, None, "x", "s", 1)], DOCS), DIR).collect())
+    assert set(mixed) <= {(1, "a b"), (1, "c d"), (None, "e f")} and 3 <= sum(mixed.values()) <= 6 and max(mixed.values()) <= 2
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "language id", "minhash near-dedup", "mixing sources", "packing"]
