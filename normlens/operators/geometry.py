@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normlens.operators.percentiles import with_percentiles
+
 TARGET = 256
 # Channel means and deviations of the usual natural-image normalisation.
 MEAN = (0.485, 0.456, 0.406)
@@ -72,16 +74,16 @@ def retention_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame
     """Counts of all, fully lost, below 0.9 and below 0.5; mean, median and least retention."""
     r = F.col("retention_ratio")
     total = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    return rows.groupBy(*by or []).agg(
+    sums = [
         F.count(F.lit(1)).alias("n"),
         total(F.col("fully_lost")).alias("n_lost"),
         total(r < 0.9).alias("n_below_90"),
         total(r < 0.5).alias("n_below_50"),
         F.avg(r).alias("mean_retention"),
-        F.percentile(r, F.lit(0.5)).alias("median_retention"),
         F.min(r).alias("min_retention"),
         F.avg(F.col("fully_lost").cast("double")).alias("lost_rate"),
-    )
+    ]
+    return with_percentiles(rows, by or [], "retention_ratio", {"median_retention": 0.5}, sums)
 
 
 def average_pool(grid: DataFrame, factor: int, key: str = "image_id", value: str = "value") -> DataFrame:

@@ -12,38 +12,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens.functions.rates import f1, ratio
+from normlens.operators.percentiles import binned, with_percentiles
 
 
-def by_score(rows: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
-    """score, pos, neg: rows of each class at each distinct score."""
+def by_score(rows: DataFrame, score: str = "score", truth: str = "y_true", by: list[str] | None = None) -> DataFrame:
+    """The ``by`` columns, and score, pos, neg: rows of each class at each distinct score."""
     usable = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
     pos = F.sum(F.when(F.col(truth).cast("int") == 1, 1).otherwise(0))
-    return usable.groupBy(F.col(score).alias("score")).agg(pos.alias("pos"), (F.count(F.lit(1)) - pos).alias("neg"))
+    return usable.groupBy(*by or [], F.col(score).alias("score")).agg(pos.alias("pos"), (F.count(F.lit(1)) - pos).alias("neg"))
 
 
-BINS = 4096
-
-
-def cumulative(rows: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
-    """score, pos, neg (rows at the score), tp, fp (rows at or above it), n_pos, n_neg, for each distinct score."""
-    counts = by_score(rows, score, truth)
-    plain = ~F.isnan(F.col("score").cast("double"))
-    ends = counts.where(plain).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    span = (F.col("hi") - F.col("lo")).cast("double")
-    place = F.when(plain & (span > 0), F.least(F.floor((F.col("score") - F.col("lo")) / span * BINS), F.lit(BINS - 1)))
-    binned = counts.crossJoin(F.broadcast(ends)).withColumn("bin", F.coalesce(place, F.when(plain, F.lit(0)).otherwise(F.lit(BINS))).cast("int"))
-    every = Window.partitionBy(F.lit(0))
+def cumulative(rows: DataFrame, score: str = "score", truth: str = "y_true", by: list[str] | None = None) -> DataFrame:
+    """The ``by`` columns, and score, pos, neg (rows at the score), tp, fp (rows at or above it), n_pos, n_neg, for each distinct score."""
+    by = by or []
+    marked = binned(by_score(rows, score, truth, by), by, "score")
+    every = Window.partitionBy(*by or [F.lit(0)])
     higher = every.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    tops = binned.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    tops = marked.groupBy(*by, "bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     tops = tops.select(
+        *[F.col(k).alias(f"_{k}") for k in by],
         F.col("bin").alias("of_bin"),
         F.coalesce(F.sum("p").over(higher), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("neg_above"),
         F.sum("p").over(every).alias("n_pos"),
         F.sum("n").over(every).alias("n_neg"),
     )
-    down = Window.partitionBy("bin").orderBy(F.desc("score"))
-    return binned.join(F.broadcast(tops), F.col("bin") == F.col("of_bin")).select(
+    down = Window.partitionBy(*by, "bin").orderBy(F.desc("score"))
+    match = F.col("bin") == F.col("of_bin")
+    for k in by:
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return marked.join(tops if by else F.broadcast(tops), match).select(
+        *by,
         "score",
         "pos",
         "neg",
@@ -57,21 +56,12 @@ def cumulative(rows: DataFrame, score: str = "score", truth: str = "y_true") ->
 def auroc(rows: DataFrame, by: list[str] | None = None, score: str = "score", truth: str = "y_true") -> DataFrame:
     """Probability that a positive scores above a negative, ties counting half; null with one class only.
 
-    With ``by``, one row for each group (null groups included), whose distinct scores one task sorts."""
-    area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg")).cast("double"))
+    With ``by``, one row for each group (null groups included)."""
     keys = by or []
-    if not keys:
-        curve = cumulative(rows, score, truth)
-        won = F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("neg") / 2)
-        sums = curve.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("pos", "n_pos"), ("neg", "n_neg"), (won, "won"))])
-        return sums.select("n_pos", "n_neg", area.alias("auroc"))
-    usable = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
-    pos = F.sum(F.when(F.col(truth).cast("int") == 1, 1).otherwise(0))
-    counts = usable.groupBy(*keys, F.col(score).alias("score")).agg(pos.alias("pos"), (F.count(F.lit(1)) - pos).alias("neg"))
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
-    totals = won.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
-    return totals.select(*keys, F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.coalesce("n_neg", F.lit(0)).alias("n_neg"), area.alias("auroc"))
+    area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg")).cast("double"))
+    won = F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("neg") / 2)
+    sums = cumulative(rows, score, truth, keys).groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("pos", "n_pos"), ("neg", "n_neg"), (won, "won"))])
+    return sums.select(*keys, "n_pos", "n_neg", area.alias("auroc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
@@ -134,6 +124,6 @@ def threshold_metrics(rows: DataFrame, threshold: float) -> DataFrame:
 def score_statistics(rows: DataFrame) -> DataFrame:
     """count, mean, median, min, max of the scores of each class."""
     s = F.col("score")
-    return rows.where(s.isNotNull() & F.col("y_true").isNotNull()).groupBy(F.col("y_true").cast("int").alias("y_true")).agg(
-        F.count(s).alias("n"), F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"), F.min(s).alias("min"), F.max(s).alias("max")
-    )
+    usable = rows.where(s.isNotNull() & F.col("y_true").isNotNull()).select(F.col("y_true").cast("int").alias("y_true"), "score")
+    sums = [F.count(s).alias("n"), F.avg(s).alias("mean"), F.min(s).alias("min"), F.max(s).alias("max")]
+    return with_percentiles(usable, ["y_true"], "score", {"median": 0.5}, sums).select("y_true", "n", "mean", "median", "min", "max")

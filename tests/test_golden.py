@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normlens.functions import paths
-from normlens.operators import bank, errors, files, geometry, hamming, latency, metrics, nearest, scoring, sweeps
+from normlens.operators import bank, errors, files, geometry, hamming, latency, metrics, nearest, percentiles, scoring, sweeps
 
 
 def scored(spark, rows):
@@ -170,6 +170,22 @@ def test_coreset_of_many_parts(spark):
         bank.farthest_first(rows)
 
 
+def test_percentiles_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0, 2.0, 7.5], 25), "c": np.array([3.0]), None: rng.exponential(size=64) * 1e6}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("d", None)]
+    shares = {"low": 0.0, "quarter": 0.25, "mid": 0.5, "high": 0.95, "top": 1.0}
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r for r in percentiles.percentiles(df, ["g"], "x", shares).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert [got[g][n] for n in shares] == pytest.approx([np.quantile(v, p) for p in shares.values()])
+    whole = percentiles.percentiles(df, [], "x", shares).first()
+    every = np.concatenate(list(groups.values()))
+    assert [whole[n] for n in shares] == pytest.approx([np.quantile(every, p) for p in shares.values()])
+    assert percentiles.with_percentiles(df, ["g"], "x", {"mid": 0.5}, [F.count("x").alias("n")]).where("g = 'd'").first().mid is None
+
+
 def test_bilinear_against_numpy(spark):
     from normlens.sources.pixels import bilinear
 
