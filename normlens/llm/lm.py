@@ -11,7 +11,7 @@ Counting and look-up are one exchange between text chunks and count buckets:
 2. Each chunk asks for the counts of its distinct words, bigrams and trigrams: one packed row for each bucket of
    keys, with the chunk's own counts. A bucket adds up the counts of all chunks and answers each of them. A
    trigram is a bigram with a ``TAG_BITS`` hash of the word after it. The keys of bigrams have ``SPARE_BITS`` more
-   than there are tokens, so about one in a million shares its key with another.
+   than there are tokens, so about one in 65,000 shares its key with another.
 3. A chunk and its answers meet again and are written as counts for each token.
 4. The tokens that tune the weights are written as their distinct counts. Each round of expectation-maximisation
    is one pass over them, from which a few sums for each bucket return. Last, each chunk scores its texts.
@@ -38,7 +38,8 @@ DEV = 1
 ALPHA = 0.1
 CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 2_000_000
-TAG_BITS, SPARE_BITS, LEAST_BITS = 24, 20, 40
+TAG_BITS, SPARE_BITS, LEAST_BITS = 24, 16, 40
+TASK_BUCKETS, TASK_CHUNKS = 4, 16  # of an exchange, about as many in one task
 CONTEXT_BUCKETS = 40  # octaves of a context's frequency; first those of words, then those of bigrams
 ROUNDS = 20
 LEAST_WEIGHT = 1e-3  # of the base, so that no token has probability 0
@@ -49,7 +50,7 @@ _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK_SCHEMA = "chunk long, n_docs long, n_words long, ids binary, counts binary, vocabulary binary, words binary, n_unique long"
 ASK_SCHEMA = "bucket long, chunk long, n long, n_tri long, message binary"
 ANSWER_SCHEMA = "chunk long, bucket long, n long, n_tri long, message binary, n_known long, n_known_fit long"
-COUNTED_SCHEMA = "n_docs long, n_words long, n_unique long, ids binary, counts binary, words binary, word_counts binary, token_counts binary"
+COUNTED_SCHEMA = "n_docs long, n_words long, n_unique long, ids binary, counts binary, words binary, word_counts binary, token_counts binary, known array<struct<bucket: long, n: long, fit: long>>"
 SUMS = ("s0", "s1", "s2", "s3", "n")
 
 
@@ -294,7 +295,12 @@ def counter(key_bits: int, unigram_bits: int) -> Callable:
                 tokens[k] = np.concatenate([m[k] for m in read])[pair]
                 tokens[2 + k, inner] = np.concatenate([m[2 + k] for m in read])[index]
             columns = [[row[c]] for c in ("n_docs", "n_words", "n_unique", "ids", "counts", "words")] + [[pack(*words)], [pack(*tokens)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.binary()) for k, c in enumerate(columns)], names=[c.split()[0] for c in COUNTED_SCHEMA.split(", ")])
+            known = [{"bucket": a["bucket"], "n": a["n_known"], "fit": a["n_known_fit"]} for a in got if a["bucket"] < 1 << unigram_bits]
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array([known], pa.list_(pa.struct([(c, pa.int64()) for c in ("bucket", "n", "fit")])))],
+                names=["n_docs", "n_words", "n_unique", "ids", "counts", "words", "word_counts", "token_counts", "known"],
+            )
 
     return run
 
@@ -411,7 +417,7 @@ def learn_weights(counted: DataFrame, totals: Totals, rounds: int = ROUNDS) -> n
             found = tuning_tokens(Counted.read(row, totals))
             yield pa.RecordBatch.from_arrays([pa.array([found.shape[1]]), pa.array([pack(*found)], pa.binary())], names=["n", "tokens"])
 
-    table = materialise(counted.mapInArrow(tune, "n long, tokens binary").where("n > 0"), "lm-tuning")
+    table = materialise(counted.drop("known").mapInArrow(tune, "n long, tokens binary").where("n > 0"), "lm-tuning")
 
     def summing(weights: np.ndarray) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,14 +442,19 @@ def learn_weights(counted: DataFrame, totals: Totals, rounds: int = ROUNDS) -> n
 def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
     """The chunks as counts of their tokens, and the corpus totals."""
     table = materialise(chunks(docs), "lm-chunks")
-    sums = table.agg(F.sum("n_words").alias("words"), F.sum("n_docs").alias("docs"), F.sum("n_unique").alias("unique")).first()
+    sums = table.agg(F.sum("n_words").alias("words"), F.sum("n_docs").alias("docs"), F.sum("n_unique").alias("unique"), F.count(F.lit(1)).alias("chunks")).first()
     bits = lambda n: max(0, int(np.ceil(np.log2(max(1, n / BUCKET_ENTRIES)))))
     tokens = (sums["words"] or 0) + (sums["docs"] or 0)
     unigram_bits, bigram_bits = bits(sums["unique"] or 0), bits(2 * tokens)
     key_bits = min(64, max(LEAST_BITS, tokens.bit_length() + SPARE_BITS))
-    asked = ask(table, key_bits, unigram_bits, bigram_bits).repartition("bucket").sortWithinPartitions("bucket")
-    answers = materialise(asked.mapInArrow(answerer(unigram_bits), ANSWER_SCHEMA), "lm-answers")
-    known = answers.where(F.col("bucket") < 1 << unigram_bits).groupBy("bucket").agg(F.max("n_known").alias("all"), F.max("n_known_fit").alias("fit"))
+    by_bucket = -(-((1 << unigram_bits) + (1 << bigram_bits)) // TASK_BUCKETS)
+    by_chunk = max(1, -(-sums["chunks"] // TASK_CHUNKS))
+    asked = ask(table, key_bits, unigram_bits, bigram_bits).repartition(by_bucket, "bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(answerer(unigram_bits), ANSWER_SCHEMA).repartition(by_chunk, "chunk").groupBy("chunk")
+    gathered = answers.agg(F.collect_list(F.struct("bucket", "n", "n_tri", "message", "n_known", "n_known_fit")).alias("answers"))
+    both = table.repartition(by_chunk, "chunk").join(gathered, "chunk")
+    counted = materialise(both.mapInArrow(counter(key_bits, unigram_bits), COUNTED_SCHEMA), "lm-counted")
+    known = counted.select(F.inline("known")).groupBy("bucket").agg(F.max("n").alias("all"), F.max("fit").alias("fit"))
     types = known.agg(F.sum("all").alias("all"), F.sum("fit").alias("fit")).first()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,9 +467,6 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
     tallies = table.select("n_docs", "ids", "counts").mapInArrow(count, "a long, b long, c long, d long")
     sums = tallies.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "abcd"]).first()
     totals = Totals(sums["a"], types["all"] or 0, sums["b"], types["fit"] or 0, sums["c"], sums["d"])
-    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "n_tri", "message")).alias("answers"))
-    counted = materialise(table.join(gathered, "chunk").mapInArrow(counter(key_bits, unigram_bits), COUNTED_SCHEMA), "lm-counted")
-    forget(answers)
     forget(table)
     return counted, totals
 
@@ -472,7 +480,7 @@ def score(docs: DataFrame) -> DataFrame:
     Extra columns are not looked at; an empty table gives no rows. A text of any length is one chunk at most.
     """
     counted, totals = exchange(docs)
-    return counted.mapInArrow(scorer(learn_weights(counted, totals), totals), SCORE_SCHEMA)
+    return counted.drop("known").mapInArrow(scorer(learn_weights(counted, totals), totals), SCORE_SCHEMA)
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
