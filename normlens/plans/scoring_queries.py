@@ -49,6 +49,13 @@ def nn_blocked(spark, sf_dir):
     return found.select(F.col("query_id").alias("id"), "bank_id", F.round("similarity", 6).alias("similarity"))
 
 
+def nn_lsh(spark, sf_dir):
+    """The nearest bank vector by hashing, which may miss some; see ``nn_distance`` for the exact one."""
+    rows = units(spark, sf_dir)
+    found = nearest.approximate(rows.where("part <> 'bank'"), rows.where("part = 'bank'"))
+    return found.select(F.col("query_id").alias("id"), "bank_id", F.round("similarity", 6).alias("similarity"))
+
+
 def pair_best_match(spark, sf_dir):
     rows = units(spark, sf_dir)
     found = scoring.pair_best_match(rows.where("label = 0 AND ordinal = 0"), rows.where("label = 3"))
@@ -179,6 +186,7 @@ QUERIES = {
     "predict_label": (predict_label, f"WITH {NEAREST_SQL} SELECT image_id, round(score, 6) AS score, CASE WHEN score >= {THRESHOLD} THEN 'defect' ELSE 'good' END AS prediction FROM images"),
     "topk_patches": (topk_patches, f"WITH {NEAREST_SQL} SELECT image_id, place2::INT AS place, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY distance DESC, id) AS place2 FROM distances) WHERE place2 <= 3"),
     "nn_blocked": (nn_blocked, f"WITH {NEAREST_SQL} SELECT id, bank_id, round(similarity, 6) AS similarity FROM nearest"),
+    "nn_lsh": (nn_lsh, None),
     "pair_best_match": (pair_best_match, f"""WITH {PATCHES_SQL}, pairs AS (SELECT q.id AS query_id, b.id AS bank_id, round(list_inner_product(q.v, b.v), 9) AS s FROM units q, units b WHERE q.label = 3 AND b.label = 0 AND b.ordinal = 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, bank_id) AS place FROM pairs)
 SELECT query_id, bank_id, round(s, 6) AS similarity, round(1 - s, 6) AS anomaly FROM best WHERE place = 1 ORDER BY s, query_id LIMIT 5"""),

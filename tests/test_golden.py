@@ -170,6 +170,13 @@ def test_coreset_of_many_parts(spark):
         bank.farthest_first(rows)
 
 
+def test_hashed_search_recall(spark):
+    from normlens.plans import registry
+
+    exact, hashed = ({r.id: r.bank_id for r in registry.queries()[q](spark, "/root/testdata/sf0.001").collect()} for q in ("nn_distance", "nn_lsh"))
+    assert set(hashed) <= set(exact) and np.mean([hashed.get(i) == b for i, b in exact.items()]) >= 0.9
+
+
 def test_percentiles_against_numpy(spark):
     rng = np.random.default_rng(9)
     groups = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0, 2.0, 7.5], 25), "c": np.array([3.0]), None: rng.exponential(size=64) * 1e6}
