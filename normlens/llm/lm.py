@@ -3,6 +3,8 @@
 The model is a word trigram: P(w | u v) mixes the maximum-likelihood trigram, bigram and unigram and the smoothed
 unigram base. The weights go by the frequency bucket of the longest context that was seen. They come from
 expectation-maximisation on a held-out part of the training documents, against counts of the other part.
+A training document is scored with its own counts deleted, so by the model of all others: else each would find
+itself in the counts, and only documents outside the training set would show how usual they are.
 
 Counting and look-up are one exchange between text chunks and count buckets:
 
@@ -321,6 +323,7 @@ class Counted:
 
     ids: list
     owner: np.ndarray
+    token: np.ndarray  # index of each token's word in the chunk
     words: np.ndarray  # these four: (2, tokens)
     before: np.ndarray
     pairs: np.ndarray
@@ -333,7 +336,7 @@ class Counted:
         of_words = np.stack(unpack(row["word_counts"], *[(unique + 1, "<u8")] * 2)).astype(np.float64)
         of_words = np.hstack([of_words, [[totals.fit_docs], [totals.docs - totals.fit_docs]]])
         tokens = np.stack(unpack(row["token_counts"], *[(words + n, "<u8")] * 4)).astype(np.float64)
-        return Counted(chunk.ids, chunk.owner, of_words[:, chunk.token], of_words[:, chunk.before], tokens[:2], tokens[2:])
+        return Counted(chunk.ids, chunk.owner, chunk.token, of_words[:, chunk.token], of_words[:, chunk.before], tokens[:2], tokens[2:])
 
     def counts(self, with_dev: bool) -> np.ndarray:
         """(5, tokens): the count of the word, of the word before, of the bigram, of the bigram before, of the trigram.
@@ -341,22 +344,40 @@ class Counted:
         The first token of a document has no bigram before it."""
         take = (lambda x: x.sum(axis=0)) if with_dev else (lambda x: x[0])
         pair = take(self.pairs)
-        context = np.concatenate([[0.0], pair[:-1]])
-        context[np.concatenate([[True], self.owner[1:] != self.owner[:-1]])] = 0
-        return np.stack([take(self.words), take(self.before), pair, context, take(self.triples)])
+        return np.stack([take(self.words), take(self.before), pair, self.one_before(pair, 0), take(self.triples)])
+
+    def one_before(self, x: np.ndarray, first: float) -> np.ndarray:
+        """``x`` of the token before, and ``first`` at the beginning of a document."""
+        out = np.concatenate([[first], x[:-1]]).astype(x.dtype)
+        out[1:][self.owner[1:] != self.owner[:-1]] = first
+        return out
+
+    def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same counts within each token's own document; and which tokens are the first of their word there."""
+        _, first, word, words = np.unique(self.owner * (int(self.token.max(initial=0)) + 1) + self.token, return_index=True, return_inverse=True, return_counts=True)
+        n = len(first) + 1
+        _, pair, pairs = np.unique(self.one_before(word, n - 1) * n + word, return_inverse=True, return_counts=True)
+        inner = np.flatnonzero(self.one_before(np.ones(len(word)), 0))
+        triples = np.zeros(len(word))
+        _, triple, often = np.unique(pair[inner - 1] * n + word[inner], return_inverse=True, return_counts=True)
+        triples[inner] = often[triple]
+        own_word, own_pair = words[word].astype(np.float64), pairs[pair].astype(np.float64)
+        return np.stack([own_word, self.one_before(own_word, 1), own_pair, self.one_before(own_pair, 0), triples]), first
 
 
 def octave(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(n + 1)).astype(np.int64), CONTEXT_BUCKETS - 1)
 
 
-def estimates(counts: np.ndarray, tokens: int, types: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each token's longest seen context, and (4, tokens) estimates: base, unigram, bigram, trigram."""
+def estimates(counts: np.ndarray, tokens: int | np.ndarray, types: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token's longest seen context, and (4, tokens) estimates: base, unigram, bigram, trigram.
+
+    ``tokens`` and ``types`` are the corpus's totals, or those that hold for each token."""
     word, before, pair, context, triple = counts
     over = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
     bucket = np.where(context > 0, CONTEXT_BUCKETS + octave(context), octave(before))
     base = (word + ALPHA) / (tokens + ALPHA * (types + 1))
-    return bucket, np.stack([base, word / max(1, tokens), over(pair, before), over(triple, context)])
+    return bucket, np.stack([base, word / np.maximum(1, tokens), over(pair, before), over(triple, context)])
 
 
 def tuning_tokens(counted: Counted) -> np.ndarray:
@@ -475,7 +496,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
     The scores are log10 probabilities of the whole text with its end; a null text counts as empty (the end
-    alone). Documents whose id has remainder 0 teach nothing; a null id counts as ''. Without any training
+    alone). base_score takes all training tokens; score takes those of other documents (or rows). Documents whose id has remainder 0 teach nothing; a null id counts as ''. Without any training
     document every token is unknown and all estimates fall back to the base. Repeated rows count each time.
     Extra columns are not looked at; an empty table gives no rows. A text of any length is one chunk at most.
     """
@@ -491,9 +512,15 @@ def scorer(weights: np.ndarray, totals: Totals) -> Callable:
         for row in rows_of(batches):
             counted = Counted.read(row, totals)
             n, counts = len(counted.ids), counted.counts(True)
-            bucket, found = estimates(counts, totals.tokens, totals.types)
+            add = lambda x, of=counted.owner: np.bincount(of, weights=x, minlength=n)
+            own, first = counted.own_counts()
+            teaches = parts_of(counted.ids) > 0
+            own *= teaches[counted.owner]
+            alone = add(counts[0, first] == own[0, first], counted.owner[first])  # words of this document alone
+            others = totals.tokens - np.bincount(counted.owner, minlength=n) * teaches
+            bucket, found = estimates(counts - own, others[counted.owner], (totals.types - alone * teaches)[counted.owner])
             mixed = np.log10((weights[bucket].T * found).sum(axis=0))
-            add = lambda x: np.bincount(counted.owner, weights=x, minlength=n)
+            base = np.log10((counts[0] + ALPHA) / (totals.tokens + ALPHA * (totals.types + 1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(counted.ids, pa.int64()),
@@ -501,7 +528,7 @@ def scorer(weights: np.ndarray, totals: Totals) -> Callable:
                     pa.array(np.bincount(counted.owner, minlength=n), pa.int64()),
                     pa.array(add(counts[0] > 0).astype(np.int64)),
                     pa.array([totals.tokens] * n, pa.int64()),
-                    pa.array(add(np.log10(found[0]))),
+                    pa.array(add(base)),
                     pa.array(add(mixed)),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

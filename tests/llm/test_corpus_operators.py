@@ -136,9 +136,16 @@ def slow_model(rows):
         weights[bucket] = w
     full, scores = counts(lambda p: p > 0), {}
     for i, t, _ in rows:
-        w, scores[i] = tokens(t), 0.0
+        w, scores[i], model = tokens(t), 0.0, full
+        if part(i):  # without this document
+            one, two, three = (c.copy() for c in full[:3])
+            one.subtract(w[1:])
+            two.subtract(zip(w, w[1:], strict=False))
+            three.subtract(zip(w, w[1:], w[2:], strict=False))
+            one = Counter({a: b for a, b in one.items() if b})
+            model = (one, two, three, full[3] - 1, sum(one.values()), len(one))
         for k in range(1, len(w)):
-            bucket, e = estimates(full, w, k)
+            bucket, e = estimates(model, w, k)
             mix = weights.get(bucket, weights["two" if bucket >= 40 else "one"])
             if bucket == 0:
                 mix = [mix[0] / (mix[0] + mix[1]), mix[1] / (mix[0] + mix[1]), 0, 0]
