@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from normlens.functions.vectors import dot
 DIGITS = 9
 BROADCAST_BYTES = 64 << 20
 BANK_ROWS = 8_192
-QUERY_ROWS = 16_384
+QUERY_ROWS = 1_048_576
 OUT_SCHEMA = "query_id long, bank_id long, similarity double"
 
 
@@ -74,23 +73,40 @@ def nearest(queries: DataFrame, bank: DataFrame, limit_bytes: int = BROADCAST_BY
 
 
 def blocked(queries: DataFrame, bank: DataFrame, bank_rows: int = BANK_ROWS * 8, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """``nearest`` for banks of any size: every pair of a bank block and a query block is one task group."""
+    """``nearest`` for banks of any size: every block of the bank meets every block of queries in one group of rows.
+
+    A group's bank vectors come first and are held; its queries pass by in batches. So a task holds one bank block,
+    whatever the number of queries."""
     blocks = lambda df, rows: max(1, -(-df.count() // rows))
     n_bank, n_query = blocks(bank, bank_rows), blocks(queries, query_rows)
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = queries.select(F.col("id").alias("q"), F.col("v").alias("qv"), part(n_query).alias("query_block"), every(n_bank).alias("bank_block"))
-    right = bank.select(F.col("id").alias("b"), F.col("v").alias("bv"), every(n_query).alias("query_block"), part(n_bank).alias("bank_block"))
-    keys = ["query_block", "bank_block"]
-
-    def run(_: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "bank_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        b = b.sort_values("b")
-        where, best = best_of(np.stack(q["qv"].to_numpy()), np.stack(b["bv"].to_numpy()), b["b"].to_numpy())
-        return pd.DataFrame({"query_id": q["q"].to_numpy(), "bank_id": where, "similarity": best})
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, OUT_SCHEMA)
+    kept = bank.select((part(n_bank) * n_query).alias("block"), every(n_query).alias("group"), F.lit(0).alias("kind"), "id", "v")
+    asked = queries.select(every(n_bank).alias("block"), part(n_query).alias("group"), F.lit(1).alias("kind"), "id", "v")
+    kept = kept.select((F.col("block") + F.col("group")).alias("pair"), "kind", "id", "v")
+    asked = asked.select((F.col("block") * n_query + F.col("group")).alias("pair"), "kind", "id", "v")
+    rows = kept.unionByName(asked).repartition(n_bank * n_query, "pair").sortWithinPartitions("pair", "kind", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, vectors = None, [], []
+        for batch in batches:
+            pair, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((pair[1:] != pair[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pair)], strict=True):
+                if at == to:
+                    continue
+                some = batch.slice(at, to - at)
+                if pair[at] != current:
+                    current, ids, vectors = pair[at], [], []
+                if kind[at] == 0:
+                    ids.append(some.column(2).to_numpy())
+                    vectors.append(matrix(some.column(3)))
+                elif ids:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    where, best = best_of(matrix(some.column(3)), vectors[0], ids[0])
+                    yield pa.RecordBatch.from_arrays([some.column(2), pa.array(where), pa.array(best)], names=["query_id", "bank_id", "similarity"])
+
+    found = rows.mapInArrow(run, OUT_SCHEMA)
     best = found.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("bank_id")).alias("minus"))).alias("best"))
     return best.select("query_id", (-F.col("best.minus")).alias("bank_id"), F.col("best.similarity").alias("similarity"))
 
