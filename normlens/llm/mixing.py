@@ -4,7 +4,8 @@ Everything here is DataFrame expressions. Sizes are summed by source and by shar
 come from the weights by water-filling; whole blocks go to sources, then to each source's shards, by the
 highest quotients v / (2 s + 1); last, each shard takes its quota from its documents in a seeded order.
 Only (document, size) rows move, and the only windows are over a shard's documents, a source's shards
-and the list of sources. A source of any size is dealt over as many shards as its documents need.
+and the list of sources. A source of n documents is dealt over shards of 2,000 or, if that is more, the root of n,
+so neither a shard's documents nor a source's shards are ever more than one task sorts.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_docs: int =
     targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / BLOCKS))).cast("long"))
     blocks = F.ceil(F.lit(SHARE[0]) * F.sum("source_size").over(every) / (F.lit(SHARE[1]) * F.col("block")).cast("double") - 0.5).cast("long")
     quotas = sainte_lague(targets.withColumn("blocks", blocks), [], "source", "target", "blocks", "quota")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(float(shard_docs)))).cast("long")
+    shards = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.greatest(F.lit(float(shard_docs)), F.sqrt("docs")))).cast("long")
     quotas = quotas.select(F.col("source").alias("s2"), "source_size", "target", "quota", "block", shards.alias("shards"))
     if sources.count() <= BROADCAST_SOURCES:  # with more, the join shuffles and AQE splits hot sources
         quotas = F.broadcast(quotas)

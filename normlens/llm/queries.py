@@ -88,7 +88,7 @@ WITH sized AS (
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM sized GROUP BY source),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, sum(source_size) OVER ()::BIGINT AS total,
-         ceil(docs / {mixing.SHARD_DOCS}.0)::BIGINT AS shards FROM sources),
+         ceil(docs / greatest({mixing.SHARD_DOCS}.0::DOUBLE, sqrt(docs)))::BIGINT AS shards FROM sources),
 weighed AS (SELECT *, [3, 1, 2][((rank - 1) % 3 + 1)::INT]::BIGINT AS weight FROM ranked),
 run AS (
   SELECT *, row_number() OVER w AS ord,
