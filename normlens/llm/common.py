@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import re
+import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -27,6 +28,10 @@ def _quiet_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables that this process wrote and still keeps, oldest first, with the thread that did.
+_tables: dict[str, tuple[SparkSession, int]] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
@@ -35,7 +40,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/normlens-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_quiet_remove, spark, path)
+    if not _tables:
+        atexit.register(forget_all)
+    _tables[path] = spark, threading.get_ident()
     out = spark.read.schema(df.schema).parquet(path)
     out._normlens_path = path
     return out
@@ -43,7 +50,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Removes a table that ``materialise`` wrote, once nothing reads it any more."""
-    _quiet_remove(df.sparkSession, df._normlens_path)
+    path = df._normlens_path
+    if path in _tables:
+        _quiet_remove(_tables.pop(path)[0], path)
+
+
+def forget_since(begun: set[str], *keep: DataFrame) -> None:
+    """Removes the tables that this thread wrote since ``begun = tables_now()``, but not those of ``keep``."""
+    kept = {df._normlens_path for df in keep}
+    for path in [p for p, (_, thread) in _tables.items() if thread == threading.get_ident() and p not in begun and p not in kept]:
+        _quiet_remove(_tables.pop(path)[0], path)
+
+
+def tables_now() -> set[str]:
+    return set(_tables)
+
+
+def forget_all() -> None:
+    for path in list(_tables):
+        _quiet_remove(_tables.pop(path)[0], path)
 
 
 #: What operators keep in a Python worker between tasks: a name, and how to drop it.

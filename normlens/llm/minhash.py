@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normlens.llm.common import broadcast_if_small, forget, give_back, materialise, mix64, row_batches, text_bytes, word_hashes
+from normlens.llm.common import broadcast_if_small, forget, forget_since, give_back, materialise, mix64, row_batches, tables_now, text_bytes, word_hashes
 
 WORDS = 5
 OVER, UNDER = 75, 100  # linked if UNDER * intersection >= OVER * union
@@ -508,6 +508,7 @@ def near_duplicates(
     component, and is not kept. Extra columns of ``docs`` are not looked at; an empty table gives no rows. The
     three limits bound what one task holds; the result does not depend on them.
     """
+    begun = tables_now()
     sketches = materialise(sketch(docs), "sketches")
     nodes = sketches.where(F.col("node").isNotNull()).groupBy("node")
     any_of = lambda name: F.any_value(name).alias(name)
@@ -522,6 +523,7 @@ def near_duplicates(
     roots = least.groupBy("root").agg(F.min("least_id").alias("of_links"))
     found = nodes.select("node", "least_id").join(ends.join(roots, "root").select("node", "of_links"), "node", "left")
     found = materialise(found.select("node", F.coalesce("of_links", "least_id").alias("found")), "components")
+    forget_since(begun, sketches, found)
     joined = sketches.select("doc_id", "n_shingles", "node").join(found, "node", "left")
     component = F.coalesce("found", "doc_id")
     return joined.select(
