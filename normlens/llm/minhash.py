@@ -370,18 +370,19 @@ def crossed(members: DataFrame) -> DataFrame | None:
 
     ``members`` has key, label, node and load, the share of a slice that a node fills. Labels that fill half a
     slice get slices of their own, which do not meet each other; the other labels are dealt over slices whole."""
-    labels = materialise(members.groupBy("key", "label").agg(F.sum("load").alias("load")), "cross-labels")
+    labels = members.groupBy("key", "label").agg(F.sum("load").alias("load"))
     totals = labels.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("load").alias("total")).where("labels > 1")
     totals = materialise(totals.select("key", (slices_for(F.col("total")) / F.col("total")).alias("factor")), "cross-totals")
     if totals.isEmpty():
         return None
     labels = labels.join(broadcast_if_small(totals), "key").withColumn("load", F.col("load") * F.col("factor"))
     labels = materialise(labels.withColumn("own", F.when(F.col("load") > 0.5, F.ceil("load")).otherwise(F.lit(0)).cast("long")), "cross-loads")
+    few = F.broadcast if labels.count() <= FEW_EDGES else (lambda df: df)
     rest = F.sum(F.when(F.col("own") == 0, F.col("load")).otherwise(F.lit(0.0)))
-    keys = materialise(labels.groupBy("key").agg(F.ceil(rest).cast("long").alias("rest"), F.sum("own").alias("owned")), "cross-keys")
+    keys = labels.groupBy("key").agg(F.ceil(rest).cast("long").alias("rest"), F.sum("own").alias("owned"))
     before = F.sum("own").over(Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
-    big = materialise(labels.where("own > 0").select("key", "label", "own", F.coalesce(before, F.lit(0)).alias("before")), "cross-own")
-    placed = members.join(broadcast_if_small(keys), "key").join(broadcast_if_small(big), ["key", "label"], "left")
+    big = labels.where("own > 0").select("key", "label", "own", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = members.join(few(keys), "key").join(few(big), ["key", "label"], "left")
     begin = F.col("rest") + F.col("before")
     dealt = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("label"), F.greatest("rest", F.lit(1)))).otherwise(begin + F.pmod(F.xxhash64("node"), F.col("own")))
     every = placed.withColumn("slice", dealt).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") + F.col("owned") - 1)))
@@ -402,7 +403,9 @@ def near_clusters(nodes: DataFrame, region_rows: int = REGION_ROWS, slice_rows:
     tasks = crossed(materialise(across, "across"))
     if tasks is None:
         return clusters
-    more = by_task(tasks.join(short, "node").select("task", "side", "node", "label", "short")).mapInArrow(near_stars, PAIR_SCHEMA)
+    more = materialise(by_task(tasks.join(short, "node").select("task", "side", "node", "label", "short")).mapInArrow(near_stars, PAIR_SCHEMA), "across-stars")
+    if more.isEmpty():
+        return clusters
     return components(more.unionByName(clusters.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
@@ -437,10 +440,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), count)
         few = content[0] <= FEW_EDGES
-        large = with_least(both.where(F.col("v") > F.col("u")), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_least(both.where(F.col("v") > F.col("u")), least, few).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours go to the least of them.
         if not few:
-            large = materialise(large, "large-star")
+            large = materialise(large.distinct(), "large-star")
         moved = with_least(large, large.groupBy("u").agg(F.min("v").alias("m"), count), few)
         arrows = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         after = moved.select(arrows).select("e.*").where(F.col("u") != F.col("v")).distinct()
@@ -493,7 +496,9 @@ def confirmed_links(docs: DataFrame, members: DataFrame, confirm_rows: int = CON
     named = named.where("node <> root").select("root", "node")
     if rest is None:
         return named
-    more = links(materialise(rest, "rest"))
+    more = materialise(links(materialise(rest, "rest")), "across-links")
+    if more.isEmpty():
+        return named
     return components(more.unionByName(named.select(F.col("root").alias("a"), F.col("node").alias("b")))).where("node <> root").select("root", "node")
 
 
