@@ -294,7 +294,7 @@ def near_rows():
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "a b"), (n + 4, "A  b\n"), (n + 5, rows[0][1]), (n + 6, rows[0][1] + " "), (n + 7, "b a"), (n + 8, "q " * 100_000)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"confirm_rows": 3}, {"confirm_rows": 3, "slice_rows": 5, "region_rows": 4}, {"confirm_rows": 2, "slice_rows": 2, "region_rows": 2}])
+@pytest.mark.parametrize("limits", [{}, {"confirm_rows": 3, "slice_rows": 5, "region_rows": 4}, {"confirm_rows": 2, "slice_rows": 2, "region_rows": 2}])
 def test_near_duplicates(spark, limits):
     rows = near_rows()
     want = brute_components(rows)
@@ -306,7 +306,7 @@ def test_near_duplicates(spark, limits):
     assert all(r.kept == (r.doc_id == r.component_id) and r.component_id >= want[r.doc_id][1] for r in got)
 
 
-@pytest.mark.parametrize("limits", [{"region_rows": 4}, {"confirm_rows": 3, "slice_rows": 4, "region_rows": 4}])
+@pytest.mark.parametrize("limits", [{"confirm_rows": 3, "slice_rows": 4, "region_rows": 4}])
 def test_large_groups_lose_no_link(spark, limits):
     """Chains, in which each document has links to its neighbours only, and groups of copies: not one row differs."""
     rng = random.Random(12)
