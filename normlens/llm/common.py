@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import threading
 import uuid
@@ -55,6 +56,12 @@ def forget(df: DataFrame) -> None:
         _quiet_remove(_tables.pop(path)[0], path)
 
 
+def clear_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the files of shuffles that nothing refers to any more: it does so once the driver has collected garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget_since(begun: set[str], *keep: DataFrame) -> None:
     """Removes the tables that this thread wrote since ``begun = tables_now()``, but not those of ``keep``."""
     kept = {df._normlens_path for df in keep}

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.llm.common import forget, give_back, is_held_out, materialise, mix64, row_batches, text_bytes, word_hashes
+from normlens.llm.common import clear_shuffles, forget, give_back, is_held_out, materialise, mix64, row_batches, text_bytes, word_hashes
 
 FOLDS = 10  # remainder 0 is held out of all training; remainder DEV tunes the mixture weights
 DEV = 1
@@ -52,7 +52,7 @@ _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK_SCHEMA = "chunk long, n_docs long, n_words long, ids binary, counts binary, vocabulary binary, words binary, n_unique long"
 ASK_SCHEMA = "bucket long, chunk long, n long, n_tri long, message binary"
 ANSWER_SCHEMA = "chunk long, bucket long, n long, n_tri long, message binary, n_known long, n_known_fit long"
-COUNTED_SCHEMA = "n_docs long, n_words long, n_unique long, ids binary, counts binary, words binary, word_counts binary, token_counts binary, known array<struct<bucket: long, n: long, fit: long>>"
+COUNTED_SCHEMA = "n_docs long, n_words long, n_unique long, ids binary, counts binary, words binary, word_counts binary, token_counts binary"
 SUMS = ("s0", "s1", "s2", "s3", "n")
 
 
@@ -297,12 +297,8 @@ def counter(key_bits: int, unigram_bits: int) -> Callable:
                 tokens[k] = np.concatenate([m[k] for m in read])[pair]
                 tokens[2 + k, inner] = np.concatenate([m[2 + k] for m in read])[index]
             columns = [[row[c]] for c in ("n_docs", "n_words", "n_unique", "ids", "counts", "words")] + [[pack(*words)], [pack(*tokens)]]
-            known = [{"bucket": a["bucket"], "n": a["n_known"], "fit": a["n_known_fit"]} for a in got if a["bucket"] < 1 << unigram_bits]
             kinds = [pa.int64()] * 3 + [pa.binary()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array([known], pa.list_(pa.struct([(c, pa.int64()) for c in ("bucket", "n", "fit")])))],
-                names=["n_docs", "n_words", "n_unique", "ids", "counts", "words", "word_counts", "token_counts", "known"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in COUNTED_SCHEMA.split(", ")])
 
     return run
 
@@ -438,7 +434,7 @@ def learn_weights(counted: DataFrame, totals: Totals, rounds: int = ROUNDS) -> n
             found = tuning_tokens(Counted.read(row, totals))
             yield pa.RecordBatch.from_arrays([pa.array([found.shape[1]]), pa.array([pack(*found)], pa.binary())], names=["n", "tokens"])
 
-    table = materialise(counted.drop("known").mapInArrow(tune, "n long, tokens binary").where("n > 0"), "lm-tuning")
+    table = materialise(counted.mapInArrow(tune, "n long, tokens binary").where("n > 0"), "lm-tuning")
 
     def summing(weights: np.ndarray) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,12 +467,14 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
     by_bucket = -(-((1 << unigram_bits) + (1 << bigram_bits)) // TASK_BUCKETS)
     by_chunk = max(1, -(-sums["chunks"] // TASK_CHUNKS))
     asked = ask(table, key_bits, unigram_bits, bigram_bits).repartition(by_bucket, "bucket").sortWithinPartitions("bucket")
-    answers = asked.mapInArrow(answerer(unigram_bits), ANSWER_SCHEMA).repartition(by_chunk, "chunk").groupBy("chunk")
-    gathered = answers.agg(F.collect_list(F.struct("bucket", "n", "n_tri", "message", "n_known", "n_known_fit")).alias("answers"))
+    answers = materialise(asked.mapInArrow(answerer(unigram_bits), ANSWER_SCHEMA), "lm-answers")
+    clear_shuffles(docs.sparkSession)  # the requests are the largest of all
+    known = answers.where(F.col("bucket") < 1 << unigram_bits).groupBy("bucket").agg(F.max("n_known").alias("all"), F.max("n_known_fit").alias("fit"))
+    types = known.agg(F.sum("all").alias("all"), F.sum("fit").alias("fit")).first()
+    gathered = answers.repartition(by_chunk, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "n_tri", "message")).alias("answers"))
     both = table.repartition(by_chunk, "chunk").join(gathered, "chunk")
     counted = materialise(both.mapInArrow(counter(key_bits, unigram_bits), COUNTED_SCHEMA), "lm-counted")
-    known = counted.select(F.inline("known")).groupBy("bucket").agg(F.max("n").alias("all"), F.max("fit").alias("fit"))
-    types = known.agg(F.sum("all").alias("all"), F.sum("fit").alias("fit")).first()
+    forget(answers)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -501,7 +499,7 @@ def score(docs: DataFrame) -> DataFrame:
     Extra columns are not looked at; an empty table gives no rows. A text of any length is one chunk at most.
     """
     counted, totals = exchange(docs)
-    return counted.drop("known").mapInArrow(scorer(learn_weights(counted, totals), totals), SCORE_SCHEMA)
+    return counted.mapInArrow(scorer(learn_weights(counted, totals), totals), SCORE_SCHEMA)
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
