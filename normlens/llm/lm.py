@@ -41,7 +41,6 @@ ALPHA = 0.1
 CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 2_000_000
 TAG_BITS, SPARE_BITS, LEAST_BITS = 24, 16, 40
-TASK_BUCKETS, TASK_CHUNKS = 4, 16  # of an exchange, about as many in one task
 CONTEXT_BUCKETS = 40  # octaves of a context's frequency; first those of words, then those of bigrams
 ROUNDS = 20
 LEAST_WEIGHT = 1e-3  # of the base, so that no token has probability 0
@@ -459,22 +458,16 @@ def learn_weights(counted: DataFrame, totals: Totals, rounds: int = ROUNDS) -> n
 def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
     """The chunks as counts of their tokens, and the corpus totals."""
     table = materialise(chunks(docs), "lm-chunks")
-    sums = table.agg(F.sum("n_words").alias("words"), F.sum("n_docs").alias("docs"), F.sum("n_unique").alias("unique"), F.count(F.lit(1)).alias("chunks")).first()
+    sums = table.agg(F.sum("n_words").alias("words"), F.sum("n_docs").alias("docs"), F.sum("n_unique").alias("unique")).first()
     bits = lambda n: max(0, int(np.ceil(np.log2(max(1, n / BUCKET_ENTRIES)))))
     tokens = (sums["words"] or 0) + (sums["docs"] or 0)
     unigram_bits, bigram_bits = bits(sums["unique"] or 0), bits(2 * tokens)
     key_bits = min(64, max(LEAST_BITS, tokens.bit_length() + SPARE_BITS))
-    by_bucket = -(-((1 << unigram_bits) + (1 << bigram_bits)) // TASK_BUCKETS)
-    by_chunk = max(1, -(-sums["chunks"] // TASK_CHUNKS))
-    asked = ask(table, key_bits, unigram_bits, bigram_bits).repartition(by_bucket, "bucket").sortWithinPartitions("bucket")
+    asked = ask(table, key_bits, unigram_bits, bigram_bits).repartition("bucket").sortWithinPartitions("bucket")
     answers = materialise(asked.mapInArrow(answerer(unigram_bits), ANSWER_SCHEMA), "lm-answers")
-    clear_shuffles(docs.sparkSession)  # the requests are the largest of all
+    del asked
     known = answers.where(F.col("bucket") < 1 << unigram_bits).groupBy("bucket").agg(F.max("n_known").alias("all"), F.max("n_known_fit").alias("fit"))
     types = known.agg(F.sum("all").alias("all"), F.sum("fit").alias("fit")).first()
-    gathered = answers.repartition(by_chunk, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "n_tri", "message")).alias("answers"))
-    both = table.repartition(by_chunk, "chunk").join(gathered, "chunk")
-    counted = materialise(both.mapInArrow(counter(key_bits, unigram_bits), COUNTED_SCHEMA), "lm-counted")
-    forget(answers)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -486,6 +479,10 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
     tallies = table.select("n_docs", "ids", "counts").mapInArrow(count, "a long, b long, c long, d long")
     sums = tallies.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "abcd"]).first()
     totals = Totals(sums["a"], types["all"] or 0, sums["b"], types["fit"] or 0, sums["c"], sums["d"])
+    clear_shuffles(docs.sparkSession)  # the requests, the largest of all, go before chunks are exchanged
+    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "n_tri", "message")).alias("answers"))
+    counted = materialise(table.join(gathered, "chunk").mapInArrow(counter(key_bits, unigram_bits), COUNTED_SCHEMA), "lm-counted")
+    forget(answers)
     forget(table)
     return counted, totals
 
