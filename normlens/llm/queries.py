@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm import html_text, langid, licences, lm, media, minhash, mixing, packing, quality, topk
+from normlens.llm import decontaminate, filter_audit, html_text, langid, licences, lm, media, minhash, mixing, packing, quality, topk, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", whitening.integer_vector(F.col("embedding")).alias("x"))
+    return whitening.whiten(vectors)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -160,10 +173,61 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}
 """
 
 
+_SPACE_WORD = "'[^\\x20\\x09-\\x0D]+'"
+
+OP11_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, {_SPACE_WORD}) AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e, coalesce(good, false) AS good, coalesce(bad, false) AS bad
+  FROM worded LEFT JOIN marks USING (doc_id)),
+counted AS (
+  SELECT part, MAP {{'A': a, 'B': b, 'C': c, 'D': d, 'E': e}} AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails,
+         count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM letters p, letters q, letters r, letters s, letters u
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS earlier FROM orders, range(1, 6) t(step)),
+met AS (
+  SELECT part, filter_order, step, own, n, n_good, n_bad, n_fails, fails[own] AS here,
+         len(list_filter(earlier, lambda x: coalesce(fails[x], false))) > 0 AS gone
+  FROM counted, steps),
+summed AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND here), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (here AND n_fails = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n_good) FILTER (NOT gone AND here), 0)::BIGINT AS good_lost, coalesce(sum(n_bad) FILTER (NOT gone AND here), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM summed
+"""
+
+
+_ITEM_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13_SQL = f"""
+WITH item_words AS (SELECT item_id, regexp_extract_all({_LOWERED}, {_ITEM_WORD}) AS w FROM benchmark),
+cut AS (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS m, unnest(range(1, len(w) - least(len(w), {decontaminate.WINDOW}) + 2)) AS i FROM item_words WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS form FROM cut),
+lengths AS (SELECT DISTINCT m FROM windows),
+doc_words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, {_ITEM_WORD}) AS w FROM documents),
+places AS (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc_words, lengths WHERE len(w) >= m),
+hits AS (SELECT r, i, h.m, item_id FROM (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS form FROM places) p JOIN windows h USING (m, form)),
+hit_words AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS spot FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+
 def queries() -> dict:
     found = [op1_license_scan, op2_packing, op3_media, op4_html_text, op5_topk, op6_lm_score, op7_mixing, op8_near_dup, op9_language_id, op10_quality]
+    found += [op11_filter_audit, op12_whitening, op13_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_near_dup": OP8_SQL}
+    return {"op1_license_scan": OP1_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_near_dup": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_decontamination": OP13_SQL}
