@@ -1,12 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one for each block element); lines of menus, forms and the like carry no
-length. Lengths are summed over sliding windows of lines; where the sum surges the main text begins, where
-it dives the text ends, and all lines between are kept. The same windows decide on every page. In elements that
-name the article themselves (``article``, ``main``) a character counts ``INSIDE`` times, and linked ones once;
-around them lines count where they surge by themselves. A name or a form only makes its lines weigh nothing while
-they are the smaller part: what holds most of the page's text is not skipped.
-Pages are independent: one Arrow pass, no shuffle, in time that grows with the page's length.
+Markup is stripped to lines, one for each block element. A line weighs its length, without links; linked sentences and
+the page's title weigh in full. What an element names as boilerplate (menus, forms, adverts and the like) weighs nothing.
+Weights are summed over sliding windows of lines: where the sum surges the main text begins, where it dives to nothing
+the text ends, and what lies between is kept. The same windows decide on every page, inside articles too: a list of links
+at an article's end is a dive. Around an ``article`` or ``main`` element lines weigh only where they surge by themselves.
+A name or a form only makes its lines weigh nothing while they are the smaller part: what holds most of the page's
+text is not skipped. Pages are independent: one Arrow pass, no shuffle, in time that grows with the page's length.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from normlens.llm.common import row_batches
 
 WINDOW = 3  # lines whose lengths are summed
-SURGE = 80  # characters of text in a window at which the main text begins
-INSIDE = 8  # times that a character in an article element counts
+SURGE = 80  # weight of a window at which the main text begins; half of the largest, on pages without such a window
+SENTENCE = 40  # characters that a linked line needs, and a sentence's end, to weigh as much as another
 TEXT_SCHEMA = "page_id long, url string, text string, n_chars long, n_lines long, n_kept long"
 
 # Elements whose content is never text of the article. To the page's end, if the first six have no end tag.
@@ -57,6 +57,7 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in R
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u2019\u201d\u00bb)\]]*$")
 
 
 def marks(attrs: str, tag: str = "div", article: bool = False) -> frozenset[str]:
@@ -133,7 +134,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Lines:
-    """The page's lines: text, the length that counts for the distribution, and whether inside the article."""
+    """The page's lines: text, weight in the distribution, whether inside the article, and whether void.
+
+    A void line stands for boilerplate, of any length, that lies outside the article: it has no weight and is never kept."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
@@ -157,9 +160,10 @@ class Lines:
         self.settle()
 
     def settle(self) -> None:
-        """Takes out the skipped lines, but not those of names and forms that hold most of the page's text.
+        """Makes skipped lines void, but not those of names and forms that hold most of the page's text.
 
         Comments hold it only where no other text surges, and what lies beside an article never does."""
+        self.void = [False] * len(self.text)
         if not self.kinds:
             return
         held, beside = [0] * len(self.kinds), [False] * len(self.kinds)
@@ -180,8 +184,14 @@ class Lines:
         for k, kind in enumerate(self.kinds):
             small = 2 * held[k] <= total or (kind == "comments" and own >= SURGE) or (article and beside[k])
             gone.append(small or (self.around[k] >= 0 and gone[self.around[k]]))
-        keep = [i for i, k in enumerate(self.skips) if k < 0 or not gone[k]]
-        self.text, self.weight, self.inside = ([column[i] for i in keep] for column in (self.text, self.weight, self.inside))
+        keep: list[int] = []
+        for i, k in enumerate(self.skips):
+            if k >= 0 and gone[k]:
+                if (article and self.inside[i]) or (keep and self.void[keep[-1]]):
+                    continue  # inside an article boilerplate parts nothing
+                self.void[i], self.weight[i] = True, 0
+            keep.append(i)
+        self.text, self.weight, self.inside, self.void = ([column[i] for i in keep] for column in (self.text, self.weight, self.inside, self.void))
 
     def state(self) -> tuple[int, bool]:
         return self.stack[-1][1:] if self.stack else (-1, False)
@@ -200,6 +210,8 @@ class Lines:
 
     def add(self, raw: str) -> None:
         if self.hidden():
+            if raw.strip() and not self.parts and not (self.skips and self.skips[-1] == self.state()[0]):
+                self.line("", 0)
             return
         self.parts.append(raw)
         if any(name == "a" for name, _, _ in self.stack[-4:]):
@@ -210,13 +222,17 @@ class Lines:
             raw = "".join(self.parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                self.text.append(text)
-                self.weight.append(max(0, len(text) - 2 * self.linked))
-                self.inside.append(self.state()[1])
-                self.skips.append(self.state()[0])
+                says = self.places.get("h1") or (len(text) >= SENTENCE and SENTENCE_END.search(text))
+                self.line(text, len(text) if says else max(0, len(text) - 2 * self.linked))
             self.parts.clear()
         self.linked = 0
 
+    def line(self, text: str, weight: int) -> None:
+        self.text.append(text)
+        self.weight.append(weight)
+        self.inside.append(self.state()[1])
+        self.skips.append(self.state()[0])
+
     def last(self, names: Iterable[str]) -> int:
         """Place of the innermost open element with one of these names, or -1."""
         return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
@@ -271,41 +287,37 @@ class Lines:
             self.cut(place)
 
 
-def regions(weight: np.ndarray, surge: int = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of lines between a surge and the next dive of the windowed sums of ``weight``.
-
-    A run begins at the first line with weight of a window that reaches ``surge``, and ends before the first window without any."""
-    if not len(weight):
-        return []
+def block_sums(weight: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The weight of each line and the ``window - 1`` after it."""
     total = np.concatenate([[0], np.cumsum(weight)])
-    ends = np.minimum(np.arange(len(weight)) + window, len(weight))
-    block = total[ends] - total[:-1]
-    runs, i = [], 0
-    while i < len(weight):
-        if block[i] >= surge and weight[i] > 0:
-            j = i
-            while j < len(weight) and block[j] > 0:
-                j += 1
-            runs.append((i, j))
-            i = j
-        else:
-            i += 1
+    return total[np.minimum(np.arange(len(weight)) + window, len(weight))] - total[:-1]
+
+
+def regions(weight: np.ndarray, surge: float = SURGE) -> list[tuple[int, int]]:
+    """Runs of lines without a dive (a window of no weight) in which some window surges, from the first line with weight to the last."""
+    block = block_sums(weight)
+    runs = []
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], block > 0, [False]])))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if block[a:b].max() >= surge:
+            live = a + np.flatnonzero(weight[a:b])
+            runs.append((int(live[0]), int(live[-1]) + 1))
     return runs
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
-    """The main text, the number of lines of the page and of lines kept. Null and empty pages give ''."""
+    """The main text, the number of lines of the page (those that boilerplate stands for count once) and of lines kept.
+
+    Null and empty pages give '', as do those of nothing but links."""
     lines = Lines(page or "")
     weight, inside = np.array(lines.weight, dtype=np.int64), np.array(lines.inside, dtype=bool)
     if inside.any():
-        around, surges = np.where(inside, 0, weight), np.zeros(len(weight), dtype=bool)
-        for a, b in regions(around):
+        surges = np.zeros(len(weight), dtype=bool)
+        for a, b in regions(np.where(inside, 0, weight)):
             surges[a:b] = True
-        weight = np.where(inside, np.maximum(INSIDE * weight, [len(t) for t in lines.text]), np.where(surges, around, 0))
-    runs = regions(weight)
-    if not runs and len(weight):  # a short page has no surge: all its lines that are not links
-        runs = [(0, len(weight))]
-    keep = [i for a, b in runs for i in range(a, b) if weight[i] > 0]
+        weight = np.where(inside | surges, weight, 0)
+    runs = regions(weight, min(SURGE, block_sums(weight).max() / 2)) if weight.any() else []
+    keep = [i for a, b in runs for i in range(a, b) if not lines.void[i] and (weight[i] > 0 or inside[i] or not inside.any())]
     return "\n".join(lines.text[i] for i in keep), len(lines.text), len(keep)
 
 

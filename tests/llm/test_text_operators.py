@@ -223,56 +223,92 @@ def test_surge_and_dive():
 
 
 def slow_main_text(lines):
-    """The distribution by loops, over (text, linked characters, in the article) of each line that is not skipped."""
-    weigh = lambda t, linked: max(0, len(t) - 2 * linked)
-
-    def kept(weights):
-        out, on = [], False
-        for i in range(len(weights)):
-            window = sum(weights[i : i + 3])
-            on = (on and window > 0) or (window >= 80 and weights[i] > 0)
-            out.append(on)
-        return out
-
-    weights = [weigh(t, n) for t, n, _ in lines]
-    if any(inside for _, _, inside in lines):
-        surges = kept([0 if inside else w for w, (_, _, inside) in zip(weights, lines, strict=True)])
-        weights = [max(8 * w, len(t)) if inside else (w if on else 0) for w, (t, _, inside), on in zip(weights, lines, surges, strict=True)]
-    keep = kept(weights)
-    if not any(keep):
-        keep = [True] * len(lines)
-    return "\n".join(t for (t, _, _), on, w in zip(lines, keep, weights, strict=True) if on and w > 0)
+    """The distribution line by line, over (text, linked characters, in the article, void) of each line."""
+    n = len(lines)
+    length = [0 if void else len(t) if len(t) >= 40 and t[-1] in ".!?" else max(0, len(t) - 2 * linked) for t, linked, _, void in lines]
+    has_article = any(inside and not void for _, _, inside, void in lines)
+
+    def after(weights, i):
+        return sum(weights[j] for j in (i, i + 1, i + 2) if j < n)
+
+    def in_text(weights, i, surge):
+        """Whether line i lies between lines with weight of one stretch that has no dive but a surge."""
+        left, right = i, i
+        if not after(weights, i):
+            return False
+        while left > 0 and after(weights, left - 1):
+            left -= 1
+        while right < n - 1 and after(weights, right + 1):
+            right += 1
+        heavy = [j for j in range(left, right + 1) if weights[j]]
+        return heavy[0] <= i <= heavy[-1] and any(after(weights, j) >= surge for j in range(left, right + 1))
+
+    if has_article:
+        beside = [0 if inside else w for w, (_, _, inside, _) in zip(length, lines, strict=True)]
+        length = [w if inside or in_text(beside, i, 80) else 0 for i, (w, (_, _, inside, _)) in enumerate(zip(length, lines, strict=True))]
+    most = max((after(length, i) for i in range(n)), default=0)
+    keep = [i for i in range(n) if most and in_text(length, i, min(80, most / 2)) and not lines[i][3]]
+    return "\n".join(lines[i][0] for i in keep if length[i] or lines[i][2] or not has_article)
 
 
 def test_html_against_loops():
     """Random pages, of which every other has no article or main element, against a slow version."""
     rng = random.Random(8)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n))
-    shown = 0
-    for number in range(300):
+    shown = dived = 0
+    for number in range(400):
         html, lines = ["<html><head><title>no</title><style>p > a { }</style></head><body>"], []
-        for part in range(rng.randint(1, 6)):
-            box = rng.choice(["div", "section"]) if number % 2 else rng.choice(["article", "main", "div"])
+        boxes = [(rng.choice(["div", "section"]) if number % 2 else rng.choice(["article", "main", "div"]), rng.randint(0, 7)) for _ in range(rng.randint(1, 6))]
+        article = any(box in ("article", "main") and n for box, n in boxes)
+        for part, (box, n) in enumerate(boxes):
+            inside = box in ("article", "main")
             html.append(f"<{box}>")
-            for _ in range(rng.randint(0, 7)):
-                kind, text = rng.choice(["p", "p", "h2", "link", "short", "nav", "li", "script"]), words(rng.randint(1, 25))
-                if kind == "link":
-                    html.append(f"<p><a href='/x?a=1>2'>{text}</a></p>")
-                    lines.append((text, len(text), box in ("article", "main")))
+            for _ in range(n):
+                kind, text = rng.choice(["p", "p", "h2", "link", "links", "short", "nav", "li", "script", "said"]), words(rng.randint(1, 25))
+                if kind in ("link", "links", "said"):
+                    for _ in range(4 if kind == "links" else 1):
+                        text = words(rng.randint(1, 25)) + ("." if kind == "said" else "")
+                        html.append(f"<p><a href='/x?a=1>2'>{text}</a></p>")
+                        lines.append((text, len(text), inside, False))
                 elif kind == "nav":
-                    html.append(f"<nav><a>{text[:20]}</a></nav>")
+                    html.append(f"<nav><a>{text[:20]}</a><p>{text}</p></nav>")
+                    if not inside and not (lines and lines[-1][3]):
+                        lines.append(("", 0, inside, True))
                 elif kind == "script":
                     html.append(f"<script>if (a < b) {{ '{text}' }}</script>")
                 else:
                     text = text.split()[0] if kind == "short" else text
                     tag = {"short": "p"}.get(kind, kind)
                     html.append(f"<{tag} class=\"c{part}\">{text.replace(' ', ' &nbsp;', 1)}</{tag}>")
-                    lines.append((text, 0, box in ("article", "main")))
+                    lines.append((text, 0, inside, False))
             html.append(f"</{box}>")
+        if article and not any(inside for _, _, inside, _ in lines):
+            continue  # what holds nothing but boilerplate is no article
         want = slow_main_text(lines)
         assert html_text.main_text("".join(html))[0] == want, number
-        shown += want != "\n".join(t for t, _, _ in lines)
-    assert shown > 100
+        shown += want != "\n".join(t for t, _, _, void in lines if not void)
+        dived += article and want != "\n".join(t for t, _, inside, void in lines if inside and not void)
+    assert shown > 150 and dived > 60
+
+
+def test_windows_decide_inside_articles():
+    body = [f"A paragraph of the story that goes on for a while, and then a little more of it {i}." for i in range(4)]
+    links = "".join(f"<p><a href=/{i}>Other story you may like {i}</a></p>" for i in range(12))
+    said = [f"This whole sentence of the body is a link to its source, as number {i} of some." for i in range(4)]
+    linked = "".join(f"<p><a href=/{i}>{t}</a></p>" for i, t in enumerate(said))
+    paragraphs = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    for box in ("article", "main", "div"):
+        page = lambda inner: html_text.main_text(f"<body><nav><a>Home</a></nav><{box}>{inner}</{box}></body>")[0]  # noqa: B023,E731
+        assert page(paragraphs(body) + links) == "\n".join(body)
+        assert page(links + paragraphs(body)) == "\n".join(body)
+        assert page(paragraphs(body[:2]) + links + paragraphs(body[2:])) == "\n".join(body)
+        assert page(paragraphs(body[:2]) + linked + paragraphs(body[2:])) == "\n".join([*body[:2], *said, *body[2:]])
+        assert page(paragraphs(body[:2]) + "<h3>Why</h3><h4>So</h4><p>Yes.</p><p>No.</p>" + paragraphs(body[2:])) == "\n".join([*body[:2], "Why", "So", "Yes.", "No.", *body[2:]])
+        assert page("<h1><a href=/>The title</a></h1>" + paragraphs(body) + "<p>End.</p>") == "\n".join(["The title", *body, "End."])
+        assert page(paragraphs(body[:2]) + "<p><a>See this</a></p>" + paragraphs(body[2:])) == "\n".join([*body[:2], "See this", *body[2:]])
+        assert page("<p>Short.</p><p>Page.</p>") == "Short.\nPage."
+        assert page(paragraphs(body[:2]) + "<div class=ad><p>Buy<p>now<p>or never<p>ever</div><p>End.</p>") == "\n".join([*body[:2], "End."])
+    assert html_text.main_text(f"<p><a>one</a></p>{links}")[0] == ""
 
 
 @pytest.mark.parametrize("bad", ["<a b=\"x\" c='", "<script ", "<select>", "<span></b>", "<div class=ad>", "<", "<!--", "<a b=", "<td><tr>", "<svg>", "<article><header><p>"])
