@@ -33,7 +33,6 @@ FILTERS = 16
 STEPS, BATCH, RATE = 800, 64, 0.004  # updates, each by windows that come in a random order until all were used
 UNKNOWN = "und"
 BLOCK = 512  # windows scored at once
-LETTER = re.compile(r"[^\W\d_]")
 SCORE_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -48,6 +47,11 @@ class Model:
     out_offset: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits of any kind (superscripts, fractions, circled ones) are none."""
+    return text.isalpha() or any(map(str.isalpha, text))
+
+
 def as_bytes(text: str) -> bytes:
     return text.lower().encode()
 
@@ -153,7 +157,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the mean over all its windows; ``und`` and 0 without a letter."""
-        known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not known or not self.model.languages:
             return lang, score
@@ -181,7 +185,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAM
     ids = within([tuple(r) for r in table.select("doc_id", F.octet_length("text")).collect()], sample_bytes)
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
     found = {r["doc_id"]: (r["text"], r["lang"]) for r in table.join(chosen, "doc_id").toLocalIterator()}
-    rows = [found[i] for i in ids if LETTER.search(found[i][0])]
+    rows = [found[i] for i in ids if has_letter(found[i][0])]
     if not rows:
         return Model([], np.zeros(256, dtype=np.uint8), np.zeros((CLASSES, VECTOR)), [np.zeros((w * VECTOR, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS)] * 3, np.zeros((len(WIDTHS) * FILTERS, 1)), np.zeros(1))
     return train(rows)

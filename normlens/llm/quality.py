@@ -8,6 +8,7 @@ is a sparse dot product for each text, in Arrow batches, with nothing shuffled b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,13 @@ CLASSES = _classes()
 LETTERS = np.isin(CLASSES, (1, 2))
 
 
-def features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed indices of the words and neighbouring word pairs of some texts, and the text that each is of."""
+#: A word: a run of one class.
+RUN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\t-\r ]+")
+WHITE = b"\t\n\v\f\r "
+
+
+def features(raws: list[bytes], words_too: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed indices of the words and neighbouring word pairs of some texts (or of pairs alone), and the text that each is of."""
     buf = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", dtype=np.uint8)
     kind = CLASSES[buf]
     capital = np.concatenate([[0], np.cumsum(kind == 1, dtype=np.int32)])
@@ -61,14 +67,28 @@ def features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shout = np.flatnonzero((capital[ends] - capital[starts] == ends - starts) & (ends - starts >= 2))
     pairs = mix64(hashes[near] * np.uint64(0x9E3779B97F4A7C15) + hashes[near + 1])
     marks = [np.full(len(x), m, dtype=np.uint64) for x, m in ((shout, 0xD1B54A32D192ED03), (same, 0x8CB92BA72F3D8DD7))]
-    index = np.concatenate([hashes, pairs, *marks]) >> np.uint64(64 - BITS)
-    return index.astype(np.int64), np.concatenate([owner, owner[near], owner[shout], owner[same]])
+    parts = [(hashes, owner), (pairs, owner[near]), (marks[0], owner[shout]), (marks[1], owner[same])]
+    index, text = (np.concatenate(x) for x in zip(*(parts if words_too else parts[1::2]), strict=True))
+    return (index >> np.uint64(64 - BITS)).astype(np.int64), text
+
+
+def bridges(raw: bytes) -> Iterator[bytes]:
+    """The last word before and the first word after each cut between segments of a long text."""
+    if len(raw) <= SEGMENT:
+        return
+    last = b""
+    for piece in segments(raw):
+        body = piece.strip(WHITE)
+        if body:
+            if last:
+                yield last + b" " + RUN.match(body)[0]
+            last = RUN.match(body[::-1])[0][::-1]
 
 
 def weighted(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, index and value, sorted by both: the value is the square root of the index's share of its text.
 
-    Texts are taken in groups and long ones in segments (no pair reaches across a segment's end)."""
+    Texts are taken in groups and long ones in segments; the pair across a segment's end is made from the words on either side."""
     keys: list[np.ndarray] = []
     group: list[bytes] = []
     owners: list[int] = []
@@ -85,6 +105,10 @@ def weighted(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if group:
         index, text = features(group)
         keys.append(np.array(owners)[text] << BITS | index)
+    cut = [(i, pair) for i, raw in enumerate(raws) for pair in bridges(raw)]
+    if cut:
+        index, text = features([pair for _, pair in cut], words_too=False)
+        keys.append(np.array([i for i, _ in cut])[text] << BITS | index)
     every = np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else every
     count = np.diff(np.append(first, len(every)))

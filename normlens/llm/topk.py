@@ -86,16 +86,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = S
     """query_id, rank, vec_id, score (and depth, the most list entries read in any shard) for each query row.
 
     ``vectors`` has vec_id and an integer array ``v``; ``is_query`` picks the queries. Every row but those with
-    the query's own id is a candidate. Rows with a null id or vector take no part; nor do rows whose length
-    differs from the commonest (none score against it); an empty table gives no rows. A query id that occurs on
-    several rows is searched once, by its smallest vector. Repeated candidate rows each count as a candidate.
+    the query's own id is a candidate. Rows with a null id or vector take no part; an empty table gives no rows.
+    Vectors of different lengths have no inner product: that is an error. Those without components score 0 with each
+    other. A query id that occurs on several rows is searched once, by its smallest vector. Repeated candidate rows
+    each count as a candidate.
     Comparisons grow with queries times vectors, as they must; rows moved are the vectors once, and each query
     once for each shard. A task holds about ``shard_rows`` vectors; nothing is broadcast or collected.
     """
-    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).select("vec_id", "v", is_query.alias("asks"))
-    sizes = usable.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    dims, n = (sizes["dims"], sizes["count"]) if sizes else (1, 0)
-    usable = usable.where(F.size("v") == dims)
+    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v", is_query.alias("asks"))
+    sizes = usable.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("dims"), F.count(F.lit(1)).alias("n")).first()
+    dims, n = sizes["dims"] or 0, sizes["n"]
+    if n and sizes["least"] != dims:
+        raise ValueError(f"vectors of {sizes['least']} and of {dims} dimensions have no inner product")
     shards = max(1, -(-n // shard_rows), min(SPREAD, n // FEW_ROWS))
 
     shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
@@ -133,7 +135,7 @@ def blocks(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[int,
         if not batch.num_rows:
             continue
         shard, kind, ids = (batch.column(i).to_numpy() for i in range(3))
-        vectors = batch.column(3).flatten().to_numpy().reshape(-1, dims)
+        vectors = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
         starts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])]))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True):
             yield int(shard[a]), int(kind[a]), ids[a:b], vectors[a:b]

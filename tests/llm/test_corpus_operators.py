@@ -61,6 +61,15 @@ def test_topk(spark, n, dims):
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
 
 
+def test_topk_lengths(spark):
+    def run(rows):
+        return topk.search(spark.createDataFrame(rows, "vec_id long, v array<long>"), topk.query_of(F.col("vec_id"))).select("query_id", "rank", "vec_id", "score").collect()
+
+    with pytest.raises(ValueError, match="dimensions"):
+        run([(0, [1, 2]), (1, [3]), (2, [4]), (50, [1, 1])])
+    assert sorted(map(tuple, run([(0, []), (1, []), (50, []), (2, None)]))) == [(0, 1, 1, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0)]
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     vectors = np.floor(256 * rng.exponential(size=(5000, 3)) ** 3).astype(np.int64)

@@ -466,6 +466,26 @@ def test_quality_scores_do_not_depend_on_the_batch():
     assert np.allclose(together, [quality.score_texts([r], *model)[0] for r in raws])
 
 
+def test_quality_pairs_reach_across_segments(monkeypatch):
+    """A text has the same features however it is cut into segments."""
+    from normlens.llm import common
+
+    rng = random.Random(4)
+    texts = [rng.choice(["", " "]).join(rng.choice(["Go", "go", "NOW", "12", "!!", "é", " ", "\n"]) + rng.choice(["", " ", "  "]) for _ in range(n)).encode() for n in (0, 3, 40, 400)]
+    whole = quality.weighted(texts)
+    for size in (5, 17, 90):
+        monkeypatch.setattr(quality, "SEGMENT", size)
+        monkeypatch.setattr(quality, "segments", lambda raw, size=size: common.segments(raw, size))
+        assert all(np.array_equal(a, b) for a, b in zip(quality.weighted(texts), whole, strict=True))
+
+
+def test_only_letters_have_a_language(spark):
+    assert not any(map(langid.has_letter, ["", "½ ² 3", "①②", "12 !?", "_", "\u0301", "٣٤"])) and all(map(langid.has_letter, ["a", "½ x", "ª", "日本", "é1"]))
+    docs = documents(spark, [f"der und nicht mit {i}" for i in range(20)] + ["½ ² 3", "①"])
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert got[20].lang_pred == got[21].lang_pred == "und" and got[20].score == 0
+
+
 def test_word_hashes_against_split():
     import re
 
