@@ -488,10 +488,11 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_others for each row of ``docs``.
 
     The scores are log10 probabilities of the whole text with its end; a null text counts as empty (the end
-    alone). base_score takes all training tokens; score takes those of other documents (or rows). Documents whose id has remainder 0 teach nothing; a null id counts as ''. Without any training
+    alone). base_score and score take all training tokens, a document's own too; score_others is by the same weights without
+    the counts of the document itself, so that training documents and others compare. Documents whose id has remainder 0 teach nothing; a null id counts as ''. Without any training
     document every token is unknown and all estimates fall back to the base. Repeated rows count each time.
     Extra columns are not looked at; an empty table gives no rows. A text of any length is one chunk at most.
     """
@@ -499,7 +500,7 @@ def score(docs: DataFrame) -> DataFrame:
     return counted.mapInArrow(scorer(learn_weights(counted, totals), totals), SCORE_SCHEMA)
 
 
-SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_others double"
 
 
 def scorer(weights: np.ndarray, totals: Totals) -> Callable:
@@ -512,8 +513,10 @@ def scorer(weights: np.ndarray, totals: Totals) -> Callable:
             teaches = parts_of(counted.ids) > 0
             own *= teaches[counted.owner]
             alone = add(counts[0, first] == own[0, first], counted.owner[first])  # words of this document alone
-            others = totals.tokens - np.bincount(counted.owner, minlength=n) * teaches
-            bucket, found = estimates(counts - own, others[counted.owner], (totals.types - alone * teaches)[counted.owner])
+            tokens = totals.tokens - np.bincount(counted.owner, minlength=n) * teaches
+            bucket, found = estimates(counts - own, tokens[counted.owner], (totals.types - alone * teaches)[counted.owner])
+            others = np.log10((weights[bucket].T * found).sum(axis=0))
+            bucket, found = estimates(counts, totals.tokens, totals.types)
             mixed = np.log10((weights[bucket].T * found).sum(axis=0))
             base = np.log10((counts[0] + ALPHA) / (totals.tokens + ALPHA * (totals.types + 1)))
             yield pa.RecordBatch.from_arrays(
@@ -525,8 +528,9 @@ def scorer(weights: np.ndarray, totals: Totals) -> Callable:
                     pa.array([totals.tokens] * n, pa.int64()),
                     pa.array(add(base)),
                     pa.array(add(mixed)),
+                    pa.array(add(others)),
                 ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_others"],
             )
 
     return run

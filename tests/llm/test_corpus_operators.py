@@ -1,5 +1,6 @@
 """Top-k search, language model, mixing, near-duplicates and the pipeline against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -144,9 +145,10 @@ def slow_model(rows):
             w = [a / sum(w) for a in w]
         weights[bucket] = w
     full, scores = counts(lambda p: p > 0), {}
-    for i, t, _ in rows:
-        w, scores[i], model = tokens(t), 0.0, full
-        if part(i):  # without this document
+    for (i, t, _), whole in itertools.product(rows, (True, False)):
+        w, model = tokens(t), full
+        scores[i, whole] = 0.0
+        if part(i) and not whole:  # without this document
             one, two, three = (c.copy() for c in full[:3])
             one.subtract(w[1:])
             two.subtract(zip(w, w[1:], strict=False))
@@ -158,7 +160,7 @@ def slow_model(rows):
             mix = weights.get(bucket, weights["two" if bucket >= 40 else "one"])
             if bucket == 0:
                 mix = [mix[0] / (mix[0] + mix[1]), mix[1] / (mix[0] + mix[1]), 0, 0]
-            scores[i] += math.log10(sum(a * b for a, b in zip(mix, e, strict=True)))
+            scores[i, whole] += math.log10(sum(a * b for a, b in zip(mix, e, strict=True)))
     return weights, scores
 
 
@@ -172,7 +174,7 @@ def test_language_model_against_loops(spark):
     assert all(np.allclose(got[b], w, atol=1e-6) for b, w in want.items() if isinstance(b, int) and b)
     assert np.allclose(got.sum(axis=1), 1) and (got[:, 0] > 0).all()
     for r in lm.score(documents(spark, rows)).collect():
-        assert r.score == pytest.approx(scores[r.doc_id], abs=1e-6)
+        assert (r.score, r.score_others) == (pytest.approx(scores[r.doc_id, True], abs=1e-6), pytest.approx(scores[r.doc_id, False], abs=1e-6))
 
 
 def test_mixture_sums_to_one(spark):
