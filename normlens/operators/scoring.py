@@ -22,6 +22,16 @@ def image_scores(patches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return patches.groupBy("image_id", *keep).agg(F.max("distance").alias("score"), F.count(F.lit(1)).alias("n_patches"))
 
 
+def score_then_filter(patches: DataFrame, least_ratio: float = 0.5) -> DataFrame:
+    """image_id, score_all, score, n_patches, n_valid of scored patches: the greatest distance of all, and of the valid ones alone.
+
+    The score is that of filtering first; it is null for an image without a valid patch."""
+    valid = F.col("valid_ratio") >= least_ratio
+    return patches.groupBy("image_id").agg(
+        F.max("distance").alias("score_all"), F.max(F.when(valid, F.col("distance"))).alias("score"), F.count(F.lit(1)).alias("n_patches"), F.count(F.when(valid, 1)).alias("n_valid")
+    )
+
+
 def images_without_patches(images: DataFrame, scores: DataFrame) -> DataFrame:
     """Images for which no patch was valid, so that no score exists."""
     return images.join(scores.select("image_id"), "image_id", "left_anti")

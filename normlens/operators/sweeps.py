@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from normlens.functions.rates import floored_ratio, ratio
 from normlens.operators.metrics import with_rates
 
+BINS = 4096
+
 
 def linear_sweep(rows: DataFrame, steps: int = 500) -> DataFrame:
     """step, threshold, tn, fp, fn, tp and rates at ``steps`` even thresholds from the least to the greatest score.
@@ -53,7 +55,7 @@ def sweep_choices(sweep: DataFrame, target: float = 0.95) -> DataFrame:
     return best.unionByName(high.withColumn("choice", F.lit("high_recall")))
 
 
-def histogram_sweep(rows: DataFrame, bins: int = 4096) -> DataFrame:
+def histogram_sweep(rows: DataFrame, bins: int = BINS) -> DataFrame:
     """bin, threshold (its left edge), tp, fp, precision, recall, f1, iou, dice for equal bins of the score range.
 
     The last bin is closed. Denominators are at least 1. Bins without rows are left out, as their counts are those of
@@ -63,11 +65,16 @@ def histogram_sweep(rows: DataFrame, bins: int = 4096) -> DataFrame:
     span = F.col("hi") - F.col("lo")
     place = F.when(span > 0, F.least(F.floor((F.col("score") - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(F.lit(0))
     counts = usable.crossJoin(ends).groupBy(place.cast("int").alias("bin"), "lo", "hi").agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg"))
+    return swept(counts, bins)
+
+
+def swept(counts: DataFrame, bins: int) -> DataFrame:
+    """The sweep of a histogram: bin, pos, neg, and the range lo, hi, of at most ``bins`` rows."""
     every = Window.partitionBy(F.lit(0))
     up = every.orderBy(F.desc("bin"))
     summed = counts.select(
         "bin",
-        (F.col("lo") + span / F.lit(float(bins)) * F.col("bin")).alias("threshold"),
+        (F.col("lo") + (F.col("hi") - F.col("lo")) / F.lit(float(bins)) * F.col("bin")).alias("threshold"),
         F.sum("pos").over(up).alias("tp"),
         F.sum("neg").over(up).alias("fp"),
         F.sum("pos").over(every).alias("n_pos"),
@@ -85,9 +92,14 @@ def histogram_sweep(rows: DataFrame, bins: int = 4096) -> DataFrame:
     )
 
 
-def best_overlap(rows: DataFrame, bins: int = 4096) -> DataFrame:
+def best_bin(sweep: DataFrame) -> DataFrame:
+    """The row of the best Dice, the lowest threshold on ties."""
+    return sweep.orderBy(F.desc(F.round("dice", 12)), "threshold").limit(1)
+
+
+def best_overlap(rows: DataFrame, bins: int = BINS) -> DataFrame:
     """Exact counts, IoU and Dice of ``score >= threshold`` at the histogram's best Dice (lowest threshold on ties)."""
-    best = histogram_sweep(rows, bins).orderBy(F.desc(F.round("dice", 12)), "threshold").limit(1).select("threshold")
+    best = best_bin(histogram_sweep(rows, bins)).select("threshold")
     hit, bad = F.col("score") >= F.col("threshold"), F.col("y_true").cast("int") == 1
     total = lambda c: F.sum(F.when(c, 1).otherwise(0))
     usable = rows.where(F.col("score").isNotNull() & F.col("y_true").isNotNull()).crossJoin(F.broadcast(best))

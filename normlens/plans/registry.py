@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from normlens.plans import file_queries, geometry_queries, metric_queries, scoring_queries
+from normlens.plans import file_queries, geometry_queries, metric_queries, pixel_queries, scoring_queries
 
 
 def _all() -> dict:
-    return scoring_queries.QUERIES | metric_queries.QUERIES | file_queries.QUERIES | geometry_queries.QUERIES
+    return scoring_queries.QUERIES | metric_queries.QUERIES | file_queries.QUERIES | geometry_queries.QUERIES | pixel_queries.QUERIES
 
 
 def queries() -> dict:

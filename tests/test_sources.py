@@ -158,7 +158,8 @@ def test_library_stands_without_the_training_data_subpackage(tmp_path):
 
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git"))
-    env = os.environ | {"PYTHONPATH": str(copy)}
+    others = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.abspath(p) != ROOT]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *others])}
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and 'auroc' in q and 'op1_license_scan' not in q and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
     chosen = "nn_distance or test_same_rows[auroc] or valid_cells or ties"
