@@ -125,16 +125,33 @@ def _prints(spark, sf_dir):
     return rows.where("part = 'bank'"), rows.where("part <> 'bank'")
 
 
+def _with_copies(spark, sf_dir):
+    """The fingerprints, and among the others a copy of each of the bank's with up to 15 bits flipped in a row."""
+    bank, others = _prints(spark, sf_dir)
+    shift = lambda n, by: F.call_function("shiftleft", n.cast("long"), by.cast("int"))
+    flips = shift(shift(F.lit(1), F.col("id") % 16) - 1, F.col("id") % 48)
+    copies = bank.select((F.col("id") + COPY_IDS).alias("id"), "part", "product", F.col("fingerprint").bitwiseXOR(flips).alias("fingerprint"))
+    return bank, others.unionByName(copies)
+
+
+COPY_IDS = 1_000_000_000
+
+
 def near_dup_hamming(spark, sf_dir):
     return hamming.theta_join(*_prints(spark, sf_dir), 20, ["product"])
 
 
 def near_dup_strict(spark, sf_dir):
-    return hamming.banded_join(*_prints(spark, sf_dir), 4, ["product"])
+    return hamming.banded_join(*_with_copies(spark, sf_dir), 4, ["product"])
 
 
 def near_dup_blocked(spark, sf_dir):
-    return hamming.banded_join(*_prints(spark, sf_dir), 14, ["product"])
+    return hamming.indexed_join(*_with_copies(spark, sf_dir), 14, ["product"])
+
+
+def near_dup_planned(spark, sf_dir):
+    """Over all products together, by the way that the counts suggest."""
+    return hamming.join(*_with_copies(spark, sf_dir), 8)
 
 
 def near_dup_histogram(spark, sf_dir):
@@ -145,6 +162,12 @@ def near_dup_examples(spark, sf_dir):
     return hamming.theta_join(*_prints(spark, sf_dir), 22, ["product"]).orderBy("distance", "left_id", "right_id").limit(20)
 
 
+def near_dup_candidates(spark, sf_dir):
+    """What the substring tables of ``near_dup_blocked`` find, and what of it is near, by product."""
+    found = hamming.candidates(*_with_copies(spark, sf_dir), 14, ["product"])
+    return found.groupBy("product").agg(F.count(F.lit(1)).alias("n_candidates"), F.count(F.when(F.col("distance") <= 14, 1)).alias("n_near"))
+
+
 def duplicate_paths(spark, sf_dir):
     return ops.duplicate_paths(files(spark, sf_dir)).select("sha256", "chunk", F.concat_ws("|", "paths").alias("paths"))
 
@@ -163,6 +186,12 @@ prints AS (SELECT id, part, list_transform(v, lambda x: (x > mid)::INT) AS bits
 dists AS (SELECT a.id % 7 AS product, a.id AS left_id, b.id AS right_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda p: xor(p[1], p[2])))::INT AS distance
           FROM prints a JOIN prints b ON a.id % 7 = b.id % 7 WHERE a.part = 'bank' AND b.part <> 'bank')"""
 
+COPIES_SQL = PRINTS_SQL[: PRINTS_SQL.index("dists AS")] + f"""
+flipped AS (SELECT id + {COPY_IDS} AS id, 'copy' AS part, id % 7 AS product, list_transform(bits, lambda x, i: xor(x, (i - 1 >= id % 48 AND i - 1 < id % 48 + id % 16)::INT)) AS bits FROM prints WHERE part = 'bank'),
+others AS (SELECT id, id % 7 AS product, bits FROM prints WHERE part <> 'bank' UNION ALL SELECT id, product, bits FROM flipped),
+dists AS (SELECT a.id % 7 AS product, a.id AS left_id, b.id AS right_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda p: xor(p[1], p[2])))::INT AS distance,
+                 list_transform(list_zip(a.bits, b.bits), lambda p: xor(p[1], p[2])) AS diff, b.product AS other FROM prints a, others b WHERE a.part = 'bank')"""
+
 QUERIES = {
     "path_parts": (path_parts, f"""WITH {FILES_SQL} SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension,
 lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.png', '.jpg', '.jpeg', '.bmp', '.tif', '.tiff') AS is_image, split, product, defect_type AS parent, stem, path AS relative FROM files"""),
@@ -192,8 +221,11 @@ SELECT l AS "left", r AS "right", (SELECT count(*) FROM (SELECT sha256 FROM part
 CASE WHEN defect_type = 'good' THEN '' ELSE 'ground_truth/' || defect_type || '/' || stem || '_mask.png' END AS mask_path, sha256, split AS source_split FROM parted"""),
     "missing_masks": (missing_masks, f"WITH {CLEAN_SQL} SELECT path AS image_path, defect_type FROM parted WHERE defect_type <> 'good' AND doc_id % 3 = 0"),
     "near_dup_hamming": (near_dup_hamming, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 20"),
-    "near_dup_strict": (near_dup_strict, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 4"),
-    "near_dup_blocked": (near_dup_blocked, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 14"),
+    "near_dup_strict": (near_dup_strict, f"WITH {COPIES_SQL} SELECT product, left_id, right_id, distance FROM dists WHERE distance <= 4 AND product = other"),
+    "near_dup_blocked": (near_dup_blocked, f"WITH {COPIES_SQL} SELECT product, left_id, right_id, distance FROM dists WHERE distance <= 14 AND product = other"),
+    "near_dup_planned": (near_dup_planned, f"WITH {COPIES_SQL} SELECT left_id, right_id, distance FROM dists WHERE distance <= 8"),
+    "near_dup_candidates": (near_dup_candidates, f"""WITH {COPIES_SQL} SELECT product, count(*) AS n_candidates, count(*) FILTER (distance <= 14) AS n_near FROM dists
+WHERE product = other AND (list_sum(diff[1:16]) <= 3 OR list_sum(diff[17:32]) <= 3 OR list_sum(diff[33:48]) <= 3 OR list_sum(diff[49:64]) <= 2) GROUP BY product"""),
     "near_dup_histogram": (near_dup_histogram, f"WITH {PRINTS_SQL} SELECT distance, count(*) AS n_pairs FROM dists WHERE distance <= 20 GROUP BY distance"),
     "near_dup_examples": (near_dup_examples, f"WITH {PRINTS_SQL} FROM dists WHERE distance <= 22 ORDER BY distance, left_id, right_id LIMIT 20"),
 }
