@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normlens.functions.vectors import l2_normalize
+from normlens.operators.nearest import BANK_ROWS, DIGITS, matrix
+from normlens.scratch import Scratch
 
 PICKS_SCHEMA = "pick int, id long, similarity double"
-BANK_BYTES = 1 << 30  # of vectors that one task selects from
+STATE_SCHEMA = "id long, v array<double>, near double"
+CANDIDATES = 4_096  # vectors that the driver holds in a round of the exact selection
 PART_ROWS = 65_536
 
 
@@ -89,25 +93,75 @@ def greedy(ids: np.ndarray, vectors: np.ndarray, picks: int, start: int = 0) ->
     return order, similarity
 
 
-def farthest_first(bank: DataFrame, share: float = 0.10, picks: int | None = None, start_seed: int | None = None) -> DataFrame:
-    """pick, id, similarity of a coreset of round(share * n) vectors of ``bank`` (id, unit vectors v).
-
-    Selection is sequential by nature, so the bank goes to one task. Its size is checked first: above ``BANK_BYTES`` this
-    raises, and ``distributed_coreset`` is the way. It starts at the smallest id, or at the one that ``start_seed`` draws:
-    the first in the order of MD5 of seed and id. An empty bank gives no rows."""
-    size = bank.agg(F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()[0]
-    if size > BANK_BYTES:
-        raise ValueError(f"a bank of {size} bytes is more than one task selects from; use distributed_coreset")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, vectors = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
-        n = max(1, int(round(len(ids) * share))) if picks is None else picks
-        start = 0 if start_seed is None else min(range(len(ids)), key=lambda i: hashlib.md5(f"{start_seed}|{ids[i]}".encode()).hexdigest())
-        order, similarity = greedy(ids, vectors, n, start)
-        return pd.DataFrame({"pick": np.arange(len(order), dtype=np.int32), "id": ids[order], "similarity": similarity})
-
-    return bank.select("id", "v").where(F.col("v").isNotNull()).groupBy().applyInPandas(run, PICKS_SCHEMA)
+def closer(rows: DataFrame, picked: np.ndarray, vectors: np.ndarray) -> DataFrame:
+    """``rows`` (id, v, near) without the ``picked``, with ``near`` raised to the greatest similarity to any of their vectors."""
+    shared = rows.sparkSession.sparkContext.broadcast((np.sort(picked), vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone, new = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, near = matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).copy()
+            for at in range(0, len(new), BANK_ROWS):
+                near = np.maximum(near, np.round(v @ new[at : at + BANK_ROWS].T, DIGITS).max(axis=1))
+            left = pa.array(~np.isin(batch.column(0).to_numpy(), gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["id", "v", "near"]).filter(left)
+
+    return rows.mapInArrow(run, STATE_SCHEMA)
+
+
+def safe_picks(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, limit: tuple[float, int] | None, most: int) -> tuple[list[int], list[float]]:
+    """Places picked among candidates in turn, as long as none but a candidate can be next, and the similarity of each.
+
+    ``limit`` is (near, id) of the first row that is no candidate. As similarities to the picks only rise, a candidate that
+    comes before it comes before all such rows."""
+    near, taken = near.copy(), np.zeros(len(ids), dtype=bool)
+    places, similarity = [], []
+    while len(places) < min(most, len(ids)):
+        open_near = np.where(taken, np.inf, near)
+        at = int(np.flatnonzero(open_near == open_near.min())[0])  # ids rise
+        if limit is not None and (near[at], ids[at]) > limit:
+            break
+        places.append(at)
+        similarity.append(float(near[at]))
+        taken[at] = True
+        near = np.maximum(near, np.round(vectors @ vectors[at], DIGITS))
+    return places, similarity
+
+
+def farthest_first(bank: DataFrame, share: float = 0.10, picks: int | None = None, start_seed: int | None = None, candidates: int = CANDIDATES) -> DataFrame:
+    """pick, id, similarity of a coreset of round(share * n) vectors of ``bank`` (id, unit vectors v), exactly as one task would pick.
+
+    Each round raises every vector's greatest similarity to the picks, by the picks of the round before, and takes the
+    ``candidates`` least similar vectors to the driver. There picks go on as long as only a candidate can be next, so a
+    round makes many. The bank stays in tables of the shared folder, one at a time; the driver holds the candidates and the
+    ids of the picks. It starts at the smallest id, or at the first in the order of MD5 of ``start_seed`` and id. Rows with a
+    null vector are left out; an empty bank gives no rows."""
+    spark = bank.sparkSession
+    rows = bank.select("id", F.col("v").cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    order = [F.col("id")] if start_seed is None else [F.md5(F.concat_ws("|", F.lit(str(start_seed)), F.col("id").cast("string"))), F.col("id")]
+    found: list[tuple[int, int, float | None]] = []
+    with Scratch(spark) as scratch:
+        state = scratch.table(rows.withColumn("near", F.lit(float("-inf"))), "bank")
+        n = state.count()
+        wanted = min(n, max(1, int(round(n * share))) if picks is None else picks)
+        first = state.orderBy(*order).first() if wanted else None
+        if first is not None:
+            found.append((0, first["id"], None))
+            new_ids, new = np.array([first["id"]]), np.array([first["v"]])
+        while len(found) < wanted:
+            last, state = list(scratch.paths), scratch.table(closer(state, new_ids, new), "bank")
+            for path in last:
+                scratch.remove(path)
+            top = state.orderBy("near", "id").limit(candidates + 1).toArrow().sort_by([("near", "ascending"), ("id", "ascending")])
+            limit = (top["near"][candidates].as_py(), top["id"][candidates].as_py()) if top.num_rows > candidates else None
+            top = top.slice(0, candidates).sort_by("id")
+            ids, vectors = top["id"].to_numpy(), matrix(top["v"].combine_chunks())
+            places, similarity = safe_picks(ids, vectors, top["near"].to_numpy(), limit, wanted - len(found))
+            found += [(len(found) + k, int(ids[at]), s) for k, (at, s) in enumerate(zip(places, similarity, strict=True))]
+            new_ids, new = ids[places], vectors[places]
+    return spark.createDataFrame(found, PICKS_SCHEMA)
 
 
 def distributed_coreset(bank: DataFrame, share: float = 0.10, part_rows: int = PART_ROWS) -> DataFrame:

@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.functions.vectors import dot
-
 DIGITS = 9
 BROADCAST_BYTES = 64 << 20
 BANK_ROWS = 8_192
@@ -109,21 +107,3 @@ def blocked(queries: DataFrame, bank: DataFrame, bank_rows: int = BANK_ROWS * 8,
     found = rows.mapInArrow(run, OUT_SCHEMA)
     best = found.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("bank_id")).alias("minus"))).alias("best"))
     return best.select("query_id", (-F.col("best.minus")).alias("bank_id"), F.col("best.similarity").alias("similarity"))
-
-
-def approximate(queries: DataFrame, bank: DataFrame, bucket: float = 0.5, tables: int = 4, seed: int = 42) -> DataFrame:
-    """``nearest`` among the candidates of locality-sensitive hashing: bank vectors that fall in the query's bucket of a random projection.
-
-    Any query may miss its nearest vector, or have none; measure the recall before use. A wide ``bucket`` and more
-    ``tables`` find more and compare more. On unit vectors without structure nearly all pairs have to be candidates."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    side = lambda df, name: df.where(F.col("v").isNotNull()).select(F.col("id").alias(name), "v", array_to_vector("v").alias("features"))
-    left, right = side(queries, "query_id"), side(bank, "bank_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(right)
-    pairs = model.approxSimilarityJoin(left, right, 2.0, distCol="far")
-    similarity = F.round(dot(F.col("datasetA.v"), F.col("datasetB.v")), DIGITS)
-    pairs = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.bank_id").alias("bank_id"), similarity.alias("similarity"))
-    best = pairs.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("bank_id")).alias("minus"))).alias("best"))
-    return best.select("query_id", (-F.col("best.minus")).alias("bank_id"), F.col("best.similarity").alias("similarity"))

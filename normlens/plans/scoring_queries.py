@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.functions.vectors import distance, dot, l2_normalize, norm
-from normlens.operators import bank, errors, metrics, nearest, scoring
+from normlens.operators import bank, cells, errors, metrics, nearest, scoring
 from normlens.plans.bindings import NEAREST_SQL, PATCHES_SQL, patches, units
+from normlens.scratch import process_scratch
 
 THRESHOLD = 1.1
 
@@ -49,13 +50,34 @@ def nn_blocked(spark, sf_dir):
     return found.select(F.col("query_id").alias("id"), "bank_id", F.round("similarity", 6).alias("similarity"))
 
 
-def nn_lsh(spark, sf_dir):
-    """The nearest bank vector by hashing, which may miss some; see ``nn_distance`` for the exact one."""
+CELLS, PROBES, CELL_ROUNDS = 8, 3, 3
+
+
+def _index(spark, sf_dir):
     rows = units(spark, sf_dir)
-    found = nearest.approximate(rows.where("part <> 'bank'"), rows.where("part = 'bank'"))
+    table = process_scratch(spark).table(rows.where("part = 'bank'").select("id", "v"), "bank")
+    return rows.where("part <> 'bank'"), cells.build(table, CELLS, rounds=CELL_ROUNDS)
+
+
+def nn_cells(spark, sf_dir):
+    """The nearest vector of the three nearest of eight cells, which may miss some; see ``nn_distance`` for the exact one."""
+    queries, index = _index(spark, sf_dir)
+    found = cells.search(queries, index, PROBES)
     return found.select(F.col("query_id").alias("id"), "bank_id", F.round("similarity", 6).alias("similarity"))
 
 
+def nn_pruned(spark, sf_dir):
+    """The exact nearest vector, by cells whose bound admits it."""
+    queries, index = _index(spark, sf_dir)
+    return cells.exact(queries, index).select(F.col("query_id").alias("id"), "bank_id", F.round("similarity", 6).alias("similarity"))
+
+
+def nn_cells_compared(spark, sf_dir):
+    """Pairs that the probing search compares, of all."""
+    queries, index = _index(spark, sf_dir)
+    return cells.compared(queries, index, PROBES)
+
+
 def pair_best_match(spark, sf_dir):
     rows = units(spark, sf_dir)
     found = scoring.pair_best_match(rows.where("label = 0 AND ordinal = 0"), rows.where("label = 3"))
@@ -179,6 +201,25 @@ picks2 AS (
 chosen2 AS (SELECT * FROM picks2 ORDER BY pick DESC LIMIT 1)
 SELECT (i - 1)::INT AS pick, ids[i] AS id, round(sims[i], 6) AS similarity FROM chosen2, range(1, len(ids) + 1) t(i)"""
 
+
+
+def _cells_sql() -> str:
+    """Spherical k-means from the first bank vectors in MD5 order, one step after the other, and each query's nearest cells."""
+    steps = [f"""bank AS (SELECT id, v FROM units WHERE part = 'bank'),
+c0 AS (SELECT (row_number() OVER (ORDER BY md5('42|' || id), id) - 1)::INT AS cell, v FROM bank QUALIFY cell < {CELLS})"""]
+    place = "SELECT * EXCLUDE s FROM (SELECT b.id, b.v, c.cell, round(list_inner_product(b.v, c.v), 9) AS s FROM bank b, c{} c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, cell) = 1"
+    for k in range(CELL_ROUNDS):
+        steps.append(f"""own{k} AS ({place.format(k)}),
+sums{k} AS (SELECT cell, list(x ORDER BY i) AS v FROM (SELECT cell, i, sum(v[i]) AS x FROM own{k}, range(1, 65) t(i) GROUP BY cell, i) GROUP BY cell),
+c{k + 1} AS (SELECT cell, coalesce(list_transform(s.v, lambda x: x / sqrt(list_sum(list_transform(s.v, lambda y: y * y)))), c.v) AS v FROM c{k} c LEFT JOIN sums{k} s USING (cell))""")
+    steps.append(f"""placed AS ({place.format(CELL_ROUNDS)}),
+probed AS (SELECT q.id, q.v, c.cell FROM units q, (SELECT * FROM c{CELL_ROUNDS} WHERE cell IN (SELECT cell FROM placed)) c WHERE q.part <> 'bank'
+           QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.v, c.v), 9) DESC, c.cell) <= {PROBES})""")
+    return PATCHES_SQL + ",\n" + ",\n".join(steps)
+
+
+PROBED_SQL = _cells_sql()
+
 QUERIES = {
     "l2_normalize": (l2_normalized, f"WITH {PATCHES_SQL} SELECT p.id, round(sqrt(list_inner_product(p.v, p.v)), 6) AS length, round(sqrt(list_inner_product(u.v, u.v)), 9) AS unit_length, round(u.v[1], 6) AS first FROM patches p JOIN units u ON p.id = u.id"),
     "nn_distance": (nn_distance, f"WITH {NEAREST_SQL} SELECT id, bank_id, round(similarity, 6) AS similarity, round(distance, 6) AS distance FROM distances"),
@@ -186,7 +227,9 @@ QUERIES = {
     "predict_label": (predict_label, f"WITH {NEAREST_SQL} SELECT image_id, round(score, 6) AS score, CASE WHEN score >= {THRESHOLD} THEN 'defect' ELSE 'good' END AS prediction FROM images"),
     "topk_patches": (topk_patches, f"WITH {NEAREST_SQL} SELECT image_id, place2::INT AS place, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY distance DESC, id) AS place2 FROM distances) WHERE place2 <= 3"),
     "nn_blocked": (nn_blocked, f"WITH {NEAREST_SQL} SELECT id, bank_id, round(similarity, 6) AS similarity FROM nearest"),
-    "nn_lsh": (nn_lsh, None),
+    "nn_cells": (nn_cells, f"WITH {PROBED_SQL}, found AS (SELECT p.id, b.id AS bank_id, round(list_inner_product(p.v, b.v), 9) AS s FROM probed p JOIN placed b USING (cell)), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, bank_id) AS place FROM found) SELECT id, bank_id, round(s, 6) AS similarity FROM best WHERE place = 1"),
+    "nn_pruned": (nn_pruned, f"WITH {NEAREST_SQL} SELECT id, bank_id, round(similarity, 6) AS similarity FROM nearest"),
+    "nn_cells_compared": (nn_cells_compared, f"WITH {PROBED_SQL} SELECT (SELECT count(*) FROM placed) * (SELECT count(DISTINCT id) FROM probed) AS n_pairs, (SELECT count(*) FROM probed JOIN placed USING (cell)) AS n_compared"),
     "pair_best_match": (pair_best_match, f"""WITH {PATCHES_SQL}, pairs AS (SELECT q.id AS query_id, b.id AS bank_id, round(list_inner_product(q.v, b.v), 9) AS s FROM units q, units b WHERE q.label = 3 AND b.label = 0 AND b.ordinal = 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, bank_id) AS place FROM pairs)
 SELECT query_id, bank_id, round(s, 6) AS similarity, round(1 - s, 6) AS anomaly FROM best WHERE place = 1 ORDER BY s, query_id LIMIT 5"""),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normlens.functions import paths
-from normlens.operators import bank, errors, files, geometry, hamming, latency, metrics, nearest, percentiles, scoring, sweeps
+from normlens.operators import bank, cells, errors, files, geometry, hamming, latency, metrics, nearest, percentiles, scoring, sweeps
 
 
 def scored(spark, rows):
@@ -153,6 +153,56 @@ def test_banded_join_leaves_small_bands_to_theta_join(spark):
     assert a == b and "bits" not in hamming.banded_join(rows, rows, 30, ["g"])._jdf.queryExecution().toString()
 
 
+def test_farthest_first_in_rounds(spark):
+    """The picks do not depend on how many candidates a round has, and are those of a greedy loop."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(150, 3))
+    v[40:80] = v[:40]  # copies, and with few dimensions many near ties
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = rng.permutation(1000)[:150]
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)] + [(5000, None)], "id long, v array<double>").repartition(3)
+    order = np.argsort(ids)
+    for picks in (1, 40, 150):
+        places, similarity = bank.greedy(ids[order], v[order], picks)
+        for few in (1, 7, 4096) if picks < 150 else (64,):
+            got = bank.farthest_first(rows, picks=picks, candidates=few).orderBy("pick").collect()
+            assert [r.id for r in got] == ids[order][places].tolist() and [r.pick for r in got] == list(range(picks))
+            assert got[0].similarity is None and [r.similarity for r in got[1:]] == pytest.approx(similarity[1:])
+    assert bank.farthest_first(rows, picks=900).count() == 150 and bank.farthest_first(rows.where("id = 5000")).count() == 0
+
+
+def near_prints(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    left = [(i, int(i % 3), int(x)) for i, x in enumerate(rng.integers(-(2**63), 2**63, n, dtype=np.int64))]
+    right = []
+    for i, p, x in left:
+        flips = sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 24), replace=False))
+        right.append((1000 + i, p if i % 5 else None, (x ^ flips) - (1 << 64) if (x ^ flips) >= 1 << 63 else x ^ (flips - (1 << 64) if flips >= 1 << 63 else flips)))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, product int, fingerprint long")
+    return frame(left), frame(right + [(2000, 0, left[0][2]), (2001, 0, left[0][2]), (2002, 1, None)])
+
+
+@pytest.mark.parametrize(("most", "tables"), [(0, 1), (1, 1), (4, 3), (8, 4), (14, 4), (14, 5), (20, 5), (22, 6), (63, 64)])
+def test_indexed_join_equals_theta_join(spark, most, tables):
+    left, right = near_prints(spark, 40, most)
+    key = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    index = hamming.Index.of(most, tables)
+    assert len(index.masks()) == index.probes
+    for by in (["product"], None):
+        want = key(hamming.theta_join(left, right, most, by))
+        assert key(hamming.indexed_join(left, right, most, by, index)) == want and want
+        assert key(hamming.join(left, right, most, by)) == key(hamming.join(left.union(left.limit(0)), right, most, by)) == want
+
+
+def test_index_follows_from_the_counts():
+    assert hamming.best_index(20, 100, 100, 10_000) is None
+    index = hamming.best_index(8, 10**6, 10**8, 10**14)
+    assert index.share < 0.01 and index.probes < 5_000 and hamming.Index.of(4, 5).radii == (0,) * 5
+    assert hamming.best_index(14, 10**6, 10**8, 10**14).share < 0.2 and hamming.best_index(40, 10**6, 10**8, 10**14) is None
+    with pytest.raises(ValueError, match="probes"):
+        hamming.candidates(None, None, 40, None, hamming.Index.of(40, 3))
+
+
 def test_coreset_of_many_parts(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 6))
@@ -164,17 +214,49 @@ def test_coreset_of_many_parts(spark):
     cover = (v @ picked.T).max(axis=1).min()
     random_cover = np.median([(v @ v[rng.choice(400, len(got), replace=False)].T).max(axis=1).min() for _ in range(20)])
     assert cover > random_cover
-    from unittest.mock import patch
 
-    with patch.object(bank, "BANK_BYTES", 100), pytest.raises(ValueError, match="distributed_coreset"):
-        bank.farthest_first(rows)
 
+def unit_rows(spark, v, first=0):
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").cache()
 
-def test_hashed_search_recall(spark):
-    from normlens.plans import registry
 
-    exact, hashed = ({r.id: r.bank_id for r in registry.queries()[q](spark, "/root/testdata/sf0.001").collect()} for q in ("nn_distance", "nn_lsh"))
-    assert set(hashed) <= set(exact) and np.mean([hashed.get(i) == b for i, b in exact.items()]) >= 0.9
+def test_cells_recall_and_pairs(spark, tmp_path):
+    """Clustered vectors: near cells have what is near; vectors without structure need most cells."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 16))
+    near = lambda n: middles[rng.integers(0, 40, n)] + 0.25 * rng.normal(size=(n, 16))
+    exact = lambda q, b: {r.query_id: r.bank_id for r in nearest.nearest(q, b).collect()}
+    bank, queries = unit_rows(spark, near(3000)), unit_rows(spark, near(300), 10_000)
+    index = cells.build(bank, 40, f"{tmp_path}/index", sample_rows=1000)
+    want = exact(queries, bank)
+    got = {r.query_id: r.bank_id for r in cells.search(queries, index, 3).collect()}
+    share = cells.compared(queries, index, 3).first()
+    assert len(got) == 300 and sum(want[q] == b for q, b in got.items()) / 300 >= 0.9
+    assert share.n_pairs == 900_000 and share.n_compared < 0.25 * share.n_pairs
+    pruned = cells.compared(queries, index).first()
+    assert pruned.n_compared < 0.5 * pruned.n_pairs
+    again = cells.load(spark, f"{tmp_path}/index")
+    assert {r.query_id: r.bank_id for r in cells.exact(queries, again).collect()} == want and again.sizes.sum() == 3000
+    bank, queries = unit_rows(spark, rng.normal(size=(1500, 16))), unit_rows(spark, rng.normal(size=(150, 16)), 10_000)
+    index, want = cells.build(bank, 20), exact(queries, bank)
+    got = {r.query_id: r.bank_id for r in cells.search(queries, index, 14).collect()}
+    assert sum(want[q] == b for q, b in got.items()) / 150 >= 0.9
+    assert {r.query_id: r.bank_id for r in cells.exact(queries, index).collect()} == want
+
+
+def test_cells_edges(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 4))
+    v[20:50] = v[0]  # a hot cell of copies, in several blocks
+    bank = unit_rows(spark, v).union(spark.createDataFrame([(99, None)], "id long, v array<double>"))
+    queries = unit_rows(spark, np.vstack([v[:10], rng.normal(size=(30, 4))]), 1000).union(spark.createDataFrame([(5000, None)], "id long, v array<double>"))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    for n in (1, 3, 200):
+        index = cells.build(bank, n, rounds=2)
+        assert key(cells.exact(queries, index)) == key(nearest.nearest(queries, bank)) == key(cells.search(queries, index, 200))
+    assert cells.exact(queries, cells.build(bank.where("id = 99"), 3)).count() == 0
 
 
 def test_percentiles_against_numpy(spark):
