@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normlens.operators.percentiles import with_percentiles
+from normlens.operators.percentiles import weighted, with_percentiles
 
 TARGET = 256
 # Channel means and deviations of the usual natural-image normalisation.
@@ -72,18 +72,19 @@ def retention(rows: DataFrame, original: str, kept: str) -> DataFrame:
 
 def retention_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of all, fully lost, below 0.9 and below 0.5; mean, median and least retention."""
-    r = F.col("retention_ratio")
-    total = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    sums = [
-        F.count(F.lit(1)).alias("n"),
-        total(F.col("fully_lost")).alias("n_lost"),
-        total(r < 0.9).alias("n_below_90"),
-        total(r < 0.5).alias("n_below_50"),
-        F.avg(r).alias("mean_retention"),
-        F.min(r).alias("min_retention"),
-        F.avg(F.col("fully_lost").cast("double")).alias("lost_rate"),
-    ]
-    return with_percentiles(rows, by or [], "retention_ratio", {"median_retention": 0.5}, sums)
+    r, lost, times = F.col("retention_ratio"), F.col("fully_lost"), F.col("times")
+    total = lambda c: F.coalesce(F.sum(F.when(c, times)), F.lit(0))
+    known = weighted("retention_ratio")
+    sums = {
+        "n": F.coalesce(F.sum(times), F.lit(0)),
+        "n_lost": total(lost),
+        "n_below_90": total(r < 0.9),
+        "n_below_50": total(r < 0.5),
+        "mean_retention": known["mean"],
+        "min_retention": known["min"],
+        "lost_rate": F.sum(lost.cast("double") * times) / F.nullif(total(lost.isNotNull()), F.lit(0)),
+    }
+    return with_percentiles(rows, by or [], "retention_ratio", {"median_retention": 0.5}, sums, ("fully_lost",))
 
 
 def average_pool(grid: DataFrame, factor: int, key: str = "image_id", value: str = "value") -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlens.operators.percentiles import with_percentiles
+from normlens.operators.percentiles import weighted, with_percentiles
 
 
 def summarize(log: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
     """n, mean, median, p95 (linear interpolation), min, max."""
-    x = F.col(value)
-    sums = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max")]
-    return with_percentiles(log.where(x.isNotNull()), by, value, {"median": 0.5, "p95": 0.95}, sums).select(*by, "n", "mean", "median", "p95", "min", "max")
+    rows = log.where(F.col(value).isNotNull())
+    return with_percentiles(rows, by, value, {"median": 0.5, "p95": 0.95}, weighted(value)).select(*by, "n", "mean", "median", "p95", "min", "max")
 
 
 def throughput(log: DataFrame, by: list[str], value: str = "ms") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normlens.functions.rates import ratio
-from normlens.operators.percentiles import with_percentiles
+from normlens.operators.percentiles import weighted, with_percentiles
 from normlens.operators.sweeps import BINS, best_bin, swept
 
 
@@ -183,6 +183,6 @@ def image_auroc(pairs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def auroc_summary(areas: DataFrame) -> DataFrame:
     """One row: images with both classes and without, mean and median of the former's AUROC."""
-    n = lambda c: F.count(F.when(c, 1))
-    sums = [n(F.col("auroc").isNotNull()).alias("n_images"), n(F.col("auroc").isNull()).alias("n_skipped"), F.avg("auroc").alias("mean_auroc")]
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("times"))), F.lit(0))
+    sums = {"n_images": n(F.col("auroc").isNotNull()), "n_skipped": n(F.col("auroc").isNull()), "mean_auroc": weighted("auroc")["mean"]}
     return with_percentiles(areas.select("auroc"), [], "auroc", {"median_auroc": 0.5}, sums).select("n_images", "n_skipped", "mean_auroc", "median_auroc")

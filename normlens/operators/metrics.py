@@ -1,9 +1,9 @@
 """Ranking metrics over scored rows: curves, areas and threshold choices.
 
-Every operator first adds up rows by distinct score, which is a map-side combined aggregate. Running sums
-over the distinct scores are taken in two levels, within ``BINS`` equal bins of the score range and over
-the bins' totals, so that no task sees all scores even if every row has its own. Rows with a null score or
-truth take no part; NaN counts as the highest score.
+Every operator first adds up rows by distinct score, which is a map-side combined aggregate and the only read of the
+rows. Running sums over the distinct scores are taken in two levels, within parts of equal depth of their order and over
+the parts' totals, so that no task sees all scores even if every row has its own. Rows with a null score or truth take
+no part; NaN counts as the highest score.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens.functions.rates import f1, ratio
-from normlens.operators.percentiles import binned, with_percentiles
+from normlens.operators.percentiles import ranged, weighted, with_percentiles
 
 
 def by_score(rows: DataFrame, score: str = "score", truth: str = "y_true", by: list[str] | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def by_score(rows: DataFrame, score: str = "score", truth: str = "y_true", by: l
 def cumulative(rows: DataFrame, score: str = "score", truth: str = "y_true", by: list[str] | None = None) -> DataFrame:
     """The ``by`` columns, and score, pos, neg (rows at the score), tp, fp (rows at or above it), n_pos, n_neg, for each distinct score."""
     by = by or []
-    marked = binned(by_score(rows, score, truth, by), by, "score")
+    marked = ranged(by_score(rows, score, truth, by), by, "score")
     every = Window.partitionBy(*by or [F.lit(0)])
     higher = every.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     tops = marked.groupBy(*by, "bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
@@ -125,5 +125,4 @@ def score_statistics(rows: DataFrame) -> DataFrame:
     """count, mean, median, min, max of the scores of each class."""
     s = F.col("score")
     usable = rows.where(s.isNotNull() & F.col("y_true").isNotNull()).select(F.col("y_true").cast("int").alias("y_true"), "score")
-    sums = [F.count(s).alias("n"), F.avg(s).alias("mean"), F.min(s).alias("min"), F.max(s).alias("max")]
-    return with_percentiles(usable, ["y_true"], "score", {"median": 0.5}, sums).select("y_true", "n", "mean", "median", "min", "max")
+    return with_percentiles(usable, ["y_true"], "score", {"median": 0.5}, weighted("score")).select("y_true", "n", "mean", "median", "min", "max")

@@ -1,8 +1,8 @@
 """Exact percentiles of groups of any size, in two levels.
 
-Rows are added up by distinct value, and values are dealt over ``BINS`` equal bins of their group's range. The bins'
-totals say which bins hold the wanted ranks; only the values of these bins are sorted, bin by bin. So no task
-holds all values of a group, unless nearly all lie in one bin.
+Rows are added up by distinct value, once, and the distinct values are dealt by range over partitions of equal depth (their
+edges come from Spark's own sample of the values, so neither outliers nor heavy tails fill one). The partitions' totals say
+which of them hold the wanted ranks; only their values are sorted. So no task holds all values of a group.
 """
 
 from __future__ import annotations
@@ -12,27 +12,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+from normlens.scratch import process_scratch
 
 
-def bin_of(value: Column, lo: Column, hi: Column, bins: int = BINS) -> Column:
-    """Place of a value among equal bins of its range; NaN has a bin of its own above all others."""
-    plain, span = ~F.isnan(value.cast("double")), (hi - lo).cast("double")
-    place = F.when(plain & (span > 0), F.least(F.floor((value - lo) / span * bins), F.lit(bins - 1)))
-    return F.coalesce(place, F.when(plain, F.lit(0)).otherwise(F.lit(bins))).cast("int")
+def ranged(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts``, kept as a table, with ``bin``: the number of its part of the order of ``keys`` and ``value``; NaN is last."""
+    dealt = counts.repartitionByRange(*keys, value).withColumn("bin", F.spark_partition_id())
+    return process_scratch(counts.sparkSession).table(dealt, "ranged")
 
 
-def binned(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds bin, by the range that ``value`` has in the group ``keys``; the ranges are one row for each group."""
-    ends = counts.where(~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], "lo", "hi")
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
-    return counts.join(ends if keys else F.broadcast(ends), match, "left").withColumn("bin", bin_of(F.col(value), F.col("lo"), F.col("hi"))).drop("lo", "hi", *[f"_{k}" for k in keys])
+def tally(rows: DataFrame, by: list[str], value: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The ``by`` columns, ``value``, ``extra``, times (rows that have them) and bin; the only read of ``rows``."""
+    return ranged(rows.groupBy(*by, value, *extra).agg(F.count(F.lit(1)).alias("times")), by, value)
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The ``by`` columns, and for each name of ``shares`` that percentile (linear between neighbours) of the non-null values."""
-    counts = binned(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times")), by, value)
+def _same(by: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.lit(True))
+
+
+def percentiles(counts: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Of a ``tally``: the ``by`` columns, and for each name of ``shares`` that percentile (linear between neighbours) of the non-null values."""
+    counts = counts.where(F.col(value).isNotNull())
     order = Window.partitionBy(*by or [F.lit(0)]).orderBy("bin")
     tops = counts.groupBy(*by, "bin").agg(F.sum("times").alias("held"))
     tops = tops.withColumn("before", F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -40,10 +40,9 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     place = {name: F.lit(float(p)) * (F.col("total") - 1) for name, p in shares.items()}
     holds = [(F.col("before") <= end(at)) & (end(at) < F.col("before") + F.col("held")) for at in place.values() for end in (F.floor, F.ceil)]
     wanted = tops.where(reduce(lambda a, b: a | b, holds)).select(*[F.col(k).alias(f"_{k}") for k in by], F.col("bin").alias("_bin"), "before", "total")
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.col("bin") == F.col("_bin"))
-    found = counts.join(wanted if by else F.broadcast(wanted), match)
-    last = F.col("before") + F.sum("times").over(Window.partitionBy(*by, "bin").orderBy(value))
-    found = found.withColumn("after", last).withColumn("first", F.col("after") - F.col("times"))
+    found = counts.join(wanted if by else F.broadcast(wanted), _same(by) & (F.col("bin") == F.col("_bin")))
+    up_to = Window.partitionBy(*by, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("after", F.col("before") + F.sum("times").over(up_to)).withColumn("first", F.col("after") - F.col("times"))
     at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("after")), F.col(value)))
     ends = [x for name, p in place.items() for x in (at(F.floor(p)).alias(f"{name}_low"), at(F.ceil(p)).alias(f"{name}_high"))]
     out = found.groupBy(*by).agg(F.max("total").alias("total"), *ends)
@@ -51,8 +50,16 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     return out.select(*by, *[(low(n) + (high(n) - low(n)) * (p - F.floor(p))).cast("double").alias(n) for n, p in place.items()])
 
 
-def with_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], sums: list[Column]) -> DataFrame:
-    """The aggregates ``sums`` of each group, with the percentiles beside them (null for a group without values)."""
-    found = percentiles(rows, by, value, shares).select(*[F.col(k).alias(f"_{k}") for k in by], *shares)
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.lit(True))
-    return rows.groupBy(*by).agg(*sums).join(found if by else F.broadcast(found), match, "left").drop(*[f"_{k}" for k in by])
+def weighted(value: str) -> dict[str, Column]:
+    """Aggregates over a tally of the rows' non-null values: n, mean, min, max."""
+    x = F.col(value)
+    n = F.coalesce(F.sum(F.when(x.isNotNull(), F.col("times"))), F.lit(0))
+    return {"n": n, "mean": F.sum(x.cast("double") * F.col("times")) / F.nullif(n, F.lit(0)), "min": F.min(x), "max": F.max(x)}
+
+
+def with_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], sums: dict[str, Column], extra: tuple[str, ...] = ()) -> DataFrame:
+    """The aggregates ``sums`` of each group of a tally (of ``value`` and ``extra``), and the percentiles beside them (null without values)."""
+    counts = tally(rows, by, value, extra)
+    found = percentiles(counts, by, value, shares).select(*[F.col(k).alias(f"_{k}") for k in by], *shares)
+    summed = counts.groupBy(*by).agg(*[c.alias(name) for name, c in sums.items()])
+    return summed.join(found if by else F.broadcast(found), _same(by), "left").drop(*[f"_{k}" for k in by])

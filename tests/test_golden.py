@@ -265,14 +265,29 @@ def test_percentiles_against_numpy(spark):
     rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("d", None)]
     shares = {"low": 0.0, "quarter": 0.25, "mid": 0.5, "high": 0.95, "top": 1.0}
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: r for r in percentiles.percentiles(df, ["g"], "x", shares).collect()}
+    got = {r.g: r for r in percentiles.percentiles(percentiles.tally(df, ["g"], "x"), ["g"], "x", shares).collect()}
     assert set(got) == set(groups)
     for g, v in groups.items():
         assert [got[g][n] for n in shares] == pytest.approx([np.quantile(v, p) for p in shares.values()])
-    whole = percentiles.percentiles(df, [], "x", shares).first()
+    whole = percentiles.percentiles(percentiles.tally(df, [], "x", ("g",)), [], "x", shares).first()
     every = np.concatenate(list(groups.values()))
     assert [whole[n] for n in shares] == pytest.approx([np.quantile(every, p) for p in shares.values()])
-    assert percentiles.with_percentiles(df, ["g"], "x", {"mid": 0.5}, [F.count("x").alias("n")]).where("g = 'd'").first().mid is None
+    assert percentiles.with_percentiles(df, ["g"], "x", {"mid": 0.5}, percentiles.weighted("x")).where("g = 'd'").first().mid is None
+
+
+def test_outliers_leave_parts_even(spark):
+    """One huge value, and a heavy tail: each part of the order still has its share of the distinct values."""
+    rows = spark.range(200_000).select(F.when(F.col("id") == 7, 1e9).otherwise(F.exp(F.col("id") / 20_000)).alias("ms"), F.lit("s").alias("stage"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows share one part
+    try:
+        counts = percentiles.tally(rows, ["stage"], "ms")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in counts.groupBy("bin").count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) >= 3 and max(sizes) < 2 * 200_000 / len(sizes)
+    want = np.quantile(np.append(np.delete(np.exp(np.arange(200_000) / 20_000), 7), 1e9), [0.5, 0.95])
+    got = latency.summarize(rows, ["stage"]).first()
+    assert [got.median, got.p95] == pytest.approx(want.tolist()) and got.max == 1e9
 
 
 def test_bilinear_against_numpy(spark):
