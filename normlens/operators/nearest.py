@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normlens.scratch import process_scratch
+
 DIGITS = 9
 BROADCAST_BYTES = 64 << 20
 BANK_ROWS = 8_192
@@ -63,10 +65,10 @@ def nearest(queries: DataFrame, bank: DataFrame, limit_bytes: int = BROADCAST_BY
         kinds = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keep)
         return queries.mapInArrow(run, f"{OUT_SCHEMA}, {kinds}" if keep else OUT_SCHEMA)
     if size == 0:
-        bank.unpersist()
         found = queries.sparkSession.createDataFrame([], OUT_SCHEMA)
-    else:  # the bank stays cached for the blocks, and goes when nothing refers to it any more
-        found = blocked(queries, bank)
+    else:
+        found = blocked(queries, process_scratch(bank.sparkSession).table(bank, "bank"))
+    bank.unpersist()
     return found.join(queries.select(F.col("id").alias("query_id"), *keep), "query_id") if keep else found
 
 

@@ -11,6 +11,7 @@ from normlens.plans.bindings import NEAREST_SQL, PATCHES_SQL, patches, units
 from normlens.scratch import process_scratch
 
 THRESHOLD = 1.1
+MISSING = 1.2  # a threshold that misses some defects, for the queries about misses
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ def coreset_score(spark, sf_dir):
 def clean_pipeline_report(spark, sf_dir):
     """Bank, scores, a threshold frozen on validation, and the report of both parts."""
     rows = _images(spark, sf_dir).withColumn("score", F.round("score", 6))
-    rows = rows.select("image_id", "part", "y_true", "score").persist()  # one row an image, read four times below
+    rows = process_scratch(spark).table(rows.select("image_id", "part", "y_true", "score"), "scores")  # one row an image, read four times below
     frozen = metrics.best_f1_threshold(rows.where("part = 'validation'")).select("threshold")
     marked = rows.crossJoin(F.broadcast(frozen))
     counts = metrics.counts_at(marked, F.col("threshold"), ["part", "threshold"])
@@ -156,12 +157,12 @@ def per_type_recall(spark, sf_dir):
 
 
 def fn_by_type(spark, sf_dir):
-    return errors.misses_by_type(errors.with_errors(_images(spark, sf_dir), THRESHOLD), "defect_type")
+    return errors.misses_by_type(errors.with_errors(_images(spark, sf_dir), MISSING), "defect_type")
 
 
-def _worst(kind):
+def _worst(kind, threshold):
     def run(spark, sf_dir):
-        rows = errors.with_errors(_images(spark, sf_dir).withColumn("score", F.round("score", 6)), THRESHOLD)
+        rows = errors.with_errors(_images(spark, sf_dir).withColumn("score", F.round("score", 6)), threshold)
         return errors.worst(rows, kind, 15, "image_id").select("image_id", "defect_type", "score")
 
     return run
@@ -170,7 +171,8 @@ def _worst(kind):
 IMAGE_ERRORS_SQL = f"""{NEAREST_SQL},
 judged AS (SELECT *, (score >= {THRESHOLD})::INT AS y_pred, CASE WHEN y_true = 1 THEN CASE WHEN score >= {THRESHOLD} THEN 'TP' ELSE 'FN' END
                   WHEN score >= {THRESHOLD} THEN 'FP' ELSE 'TN' END AS error_type FROM images)"""
-WORST_SQL = f"WITH {IMAGE_ERRORS_SQL}, rounded AS (SELECT image_id, defect_type, round(score, 6) AS score, error_type FROM judged) SELECT image_id, defect_type, score FROM rounded WHERE error_type = '{{}}' ORDER BY score {{}}, image_id LIMIT 15"
+MISSED_SQL = IMAGE_ERRORS_SQL.replace(f">= {THRESHOLD}", f">= {MISSING}")
+WORST_SQL = "WITH {}, rounded AS (SELECT image_id, defect_type, round(score, 6) AS score, error_type FROM judged) SELECT image_id, defect_type, score FROM rounded WHERE error_type = '{}' ORDER BY score {}, image_id LIMIT 15"
 # The greedy selection as a recursive query: one picked vector in each step.
 GREEDY_SQL = f"""{PATCHES_SQL},
 bank AS (SELECT id, v FROM units WHERE part = 'bank'),
@@ -265,7 +267,7 @@ SELECT part, threshold, tn, fp, fn, tp, round(tp / (tp + fp), 6) AS "precision",
        round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(fp / (fp + tn), 6) AS fpr, round(fn / (fn + tp), 6) AS fnr, round(auroc, 6) AS auroc FROM counts JOIN areas USING (part)"""),
     "error_type": (error_types, f"WITH {IMAGE_ERRORS_SQL} SELECT part, error_type, count(*) AS n FROM judged GROUP BY ALL"),
     "per_type_recall": (per_type_recall, f"WITH {IMAGE_ERRORS_SQL}, t AS (SELECT defect_type, count(*) AS total, sum(y_pred)::BIGINT AS tp FROM judged WHERE y_true = 1 GROUP BY 1) SELECT defect_type, total, tp, total - tp AS fn, round(tp / total, 6) AS recall, round((total - tp) / total, 6) AS miss_rate FROM t"),
-    "fn_by_type": (fn_by_type, f"WITH {IMAGE_ERRORS_SQL} SELECT defect_type, count(*) AS n_missed FROM judged WHERE error_type = 'FN' GROUP BY 1"),
-    "top_false_positives": (_worst("FP"), WORST_SQL.format("FP", "DESC")),
-    "top_false_negatives": (_worst("FN"), WORST_SQL.format("FN", "ASC")),
+    "fn_by_type": (fn_by_type, f"WITH {MISSED_SQL} SELECT defect_type, count(*) AS n_missed FROM judged WHERE error_type = 'FN' GROUP BY 1"),
+    "top_false_positives": (_worst("FP", THRESHOLD), WORST_SQL.format(IMAGE_ERRORS_SQL, "FP", "DESC")),
+    "top_false_negatives": (_worst("FN", MISSING), WORST_SQL.format(MISSED_SQL, "FN", "ASC")),
 }

@@ -7,6 +7,7 @@ one function from pixels to descriptors that the caller supplies, used alike for
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from normlens.operators.geometry import DEVIATION, MEAN
 
 
-def decode(content: bytes, mode: str = "RGB") -> np.ndarray | None:
-    """Height x width (x channels) bytes; None for what is not an image. Netpbm (P5, P6) needs no codec."""
+def decode(content: bytes | None, mode: str = "RGB") -> np.ndarray | None:
+    """Height x width (x channels) bytes; None for what is not an image, whatever is wrong with it. Netpbm (P5, P6) needs no codec."""
+    if not content:
+        return None
     if content[:2] in (b"P5", b"P6"):
         return _netpbm(content, mode)
     try:
@@ -28,20 +31,29 @@ def decode(content: bytes, mode: str = "RGB") -> np.ndarray | None:
         raise RuntimeError("decoding this format needs Pillow") from error
     try:
         return np.asarray(Image.open(io.BytesIO(content)).convert(mode))
-    except OSError:
+    except Exception:  # noqa: BLE001 - codecs raise all kinds of errors; a broken file is a row, not the job's end
         return None
 
 
+#: Width, height and greatest value, between white space and comments, and the one byte of white space before the pixels.
+NETPBM = re.compile(rb"P([56])" + rb"(?:\s|#[^\n\r]*[\n\r])+(\d{1,9})" * 3 + rb"(?:#[^\n\r]*)?\s")
+
+
 def _netpbm(content: bytes, mode: str) -> np.ndarray | None:
-    head = content.split(maxsplit=4)
-    if len(head) < 4 or head[3] != b"255":
+    head = NETPBM.match(content)
+    if not head:
+        return None
+    channels = 1 if head[1] == b"5" else 3
+    width, height, top = (int(x) for x in head.groups()[1:])
+    if not width or not height or not 0 < top < 1 << 16:
         return None
-    width, height, channels = int(head[1]), int(head[2]), 1 if head[0] == b"P5" else 3
-    start = content.index(b"255", len(b" ".join(head[:3]))) + 4
-    raw = np.frombuffer(content, dtype=np.uint8, offset=start)
-    if len(raw) < width * height * channels:
+    kind = np.dtype(np.uint8 if top < 256 else ">u2")
+    n = width * height * channels
+    if len(content) - head.end() < n * kind.itemsize:
         return None
-    pixels = raw[: width * height * channels].reshape(height, width, channels)
+    pixels = np.frombuffer(content, dtype=kind, count=n, offset=head.end()).reshape(height, width, channels)
+    if top != 255:
+        pixels = np.rint(np.minimum(pixels, top) * (255.0 / top)).astype(np.uint8)
     if mode == "L":
         return pixels[:, :, 0] if channels == 1 else np.rint(pixels @ [0.299, 0.587, 0.114]).astype(np.uint8)
     return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels
@@ -152,7 +164,7 @@ def attributes(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [decode(bytes(c)) for c in batch["content"]]
+            found = [decode(c and bytes(c)) for c in batch["content"]]
             size = [(None, None) if p is None else (p.shape[1], p.shape[0]) for p in found]
             yield pd.DataFrame({"path": batch["path"], "width": pd.array([w for w, _ in size], "Int32"), "height": pd.array([h for _, h in size], "Int32"), "corrupt": [p is None for p in found]})
 
@@ -164,7 +176,7 @@ def fingerprints(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(p, decode(bytes(c), "L")) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            found = [(p, decode(c and bytes(c), "L")) for p, c in zip(batch["path"], batch["content"], strict=True)]
             rows = [(p, perceptual_hash(g)) for p, g in found if g is not None]
             yield pd.DataFrame(rows, columns=["id", "fingerprint"])
 
@@ -198,7 +210,7 @@ def extract_patches(images: DataFrame, features: Callable[[np.ndarray], np.ndarr
         for frame in frames:
             for at in range(0, len(frame), batch):
                 some = frame.iloc[at : at + batch]
-                read = [(k, decode(bytes(c)) if c is not None else None) for k, c in zip(some[key], some["content"], strict=True)]
+                read = [(k, decode(c and bytes(c))) for k, c in zip(some[key], some["content"], strict=True)]
                 good = [(k, p) for k, p in read if p is not None]
                 bad = [(k, "undecodable") for k, p in read if p is None]
                 if good:

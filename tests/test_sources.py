@@ -108,6 +108,77 @@ def test_predict(spark):
     assert {r.status for r in scorer.predict(requests, bank, 0.5, pixels.cell_statistics, ready=False).collect()} == {503}
 
 
+BROKEN = [b"P5", b"P5 abc def 255\n", b"P5 2 2", b"P5 2 2 255", b"P5 2 2 255 \x01", b"P5 0 2 255 ", b"P5 2 2 0 abcd", b"P5 2 2 99999 abcd", b"P6 2 2 255 abcd", b"P5 -1 2 255 abcd", b"P5 999999999 999999999 255 a", b"P5\xff\xff"]
+
+
+@pytest.mark.parametrize("content", [None, b"", *BROKEN])
+def test_broken_images_are_rows(content):
+    assert pixels.decode(content) is None
+
+
+def test_netpbm_headers():
+    plain = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    raw = plain.tobytes()
+    for head in (b"P5 3 2 255\n", b"P5\n# a comment\n3 2\n# 9 9\n255\n", b"P5\t3\r\n2 255 ", b"P5 3 2 255#x\n"):
+        assert (pixels.decode(head + raw + b"more", "L") == plain).all(), head
+    assert (pixels.decode(b"P5 3 2 5\n" + raw, "L") == plain * 51).all()
+    wide = (np.arange(6) * 13107).astype(">u2").tobytes()
+    assert (pixels.decode(b"P5 3 2 65535\n" + wide, "L") == plain * 51).all()
+    assert pixels.decode(b"P6 1 2 255\n" + raw).shape == (2, 1, 3)
+
+
+def test_broken_files_do_not_end_jobs(spark):
+    images = spark.createDataFrame([(f"f{i}", c) for i, c in enumerate([None, b"", *BROKEN, netpbm(np.ones((8, 8, 3)))])], "path string, content binary")
+    assert [r.corrupt for r in pixels.attributes(images).orderBy("path").collect()].count(False) == 1
+    assert pixels.fingerprints(images).count() == 1
+
+
+def uploads(first, at, image, kind="image/png"):
+    from datetime import datetime
+
+    return [(i, datetime(2024, 1, 1, *at), kind, image) for i in first]
+
+
+def test_stream_of_uploads(spark, tmp_path):
+    """Replayed uploads: repeats are answered once, late ones not at all, and a new bank holds from the next batch on."""
+    rng = np.random.default_rng(3)
+    image, other = (netpbm(rng.integers(0, 255, (64, 64, 3))) for _ in range(2))
+    schema = "request_id long, sent timestamp, content_type string, content binary"
+
+    def bank(content):
+        rows = spark.createDataFrame([("x", content)], "path string, content binary")
+        patches = pixels.extract_patches(rows, pixels.cell_statistics)
+        return patches.select(F.col("patch").cast("long").alias("id"), F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).alias("v"))
+
+    models = [scorer.Model("one", bank(image), 1e-5), scorer.Model("two", bank(other), 1e-5), scorer.Model("three", bank(other), 1e-5, ready=False)]
+    batches = [
+        uploads([1, 2, 1], (10, 0), image) + uploads([3], (10, 1), b"P5 abc def 255\n") + uploads([4], (10, 1), image, "text/plain"),
+        uploads([2, 5], (10, 5), image) + uploads([6], (11, 0), other),
+        uploads([7], (10, 1), image) + uploads([6], (11, 1), image) + uploads([8], (11, 2), image),
+    ]
+    folder = tmp_path / "in"
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        scorer.predict_stream(stream, lambda now=models[number]: now, pixels.cell_statistics, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = sorted((r.request_id, r.status, r.prediction, r.version) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    status = {i: (s, p) for i, s, p, _ in got}
+    assert sorted(status) == [1, 2, 3, 4, 5, 6, 8] and len(got) == 7
+    assert status[1] == status[2] == (200, "good") and status[3] == (400, None) and status[4] == (400, None)
+    assert status[5] == (200, "defect") and status[6] == (200, "good") and status[8] == (503, None)
+    assert {v for i, _, _, v in got if i < 5} == {"one"} and {v for i, _, _, v in got if i in (5, 6)} == {"two"}
+
+
+def test_predictions_have_two_values(spark):
+    def run(*row):
+        return scorer.checked(spark.createDataFrame([row], "status int, prediction string")).collect()
+
+    assert run(200, "good") and run(200, "defect") and run(400, None)
+    for bad in ((200, "bad"), (200, None), (400, "good"), (200, "GOOD")):
+        with pytest.raises(Exception, match="no such prediction"):
+            run(*bad)
+
+
 def test_perceptual_hash_sees_structure():
     a = np.random.default_rng(2).uniform(0, 100, (64, 48))
     assert pixels.perceptual_hash(a) == pixels.perceptual_hash(a * 2 + 8)
