@@ -80,6 +80,43 @@ def roc_curve(rows: DataFrame) -> DataFrame:
     return curve.unionByName(origin)
 
 
+def roc_corners(rows: DataFrame) -> DataFrame:
+    """``roc_curve`` without the points that lie within a straight run of equal steps: the area is the same.
+
+    A point goes if the step to it (positives and negatives at its score) equals the step after it. The step after a part's
+    last score is that of the next part's first, from a table of one row a part; the first and the last point stay."""
+    marked = ranged(by_score(rows), [], "score")
+    step = F.struct("pos", "neg")
+    every = Window.partitionBy(F.lit(0)).orderBy(F.desc("bin"))
+    tops = marked.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max(F.struct("score", step.alias("step")))["step"].alias("head"))
+    higher = every.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.sum(c).over(Window.partitionBy(F.lit(0)))
+    tops = tops.select(
+        F.col("bin").alias("of_bin"),
+        F.lead("head").over(every).alias("after_part"),
+        (F.row_number().over(every) == 1).alias("is_first"),
+        F.coalesce(F.sum("p").over(higher), F.lit(0)).alias("pos_above"),
+        F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("neg_above"),
+        total("p").alias("n_pos"),
+        total("n").alias("n_neg"),
+    )
+    down = Window.partitionBy("bin").orderBy(F.desc("score"))
+    placed = marked.join(F.broadcast(tops), F.col("bin") == F.col("of_bin")).select(
+        "score",
+        step.alias("step"),
+        F.coalesce(F.lead(step).over(down), F.col("after_part")).alias("next"),
+        (F.col("is_first") & (F.row_number().over(down) == 1)).alias("head"),
+        (F.sum("pos").over(down) + F.col("pos_above")).alias("tp"),
+        (F.sum("neg").over(down) + F.col("neg_above")).alias("fp"),
+        "n_pos",
+        "n_neg",
+    )
+    kept = placed.where(F.col("head") | F.col("next").isNull() | (F.col("next") != F.col("step")))
+    curve = kept.select(F.col("score").alias("threshold"), ratio(F.col("fp"), F.col("n_neg")).alias("fpr"), ratio(F.col("tp"), F.col("n_pos")).alias("tpr"))
+    origin = rows.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return curve.unionByName(origin)
+
+
 def pr_curve(rows: DataFrame) -> DataFrame:
     """threshold, precision, recall of each distinct score (the closing point without a threshold is left out)."""
     return cumulative(rows).select(

@@ -40,6 +40,10 @@ def roc_curve(spark, sf_dir):
     return _r(metrics.roc_curve(scores(spark, sf_dir)), "threshold", "fpr", "tpr")
 
 
+def roc_corners(spark, sf_dir):
+    return _r(metrics.roc_corners(scores(spark, sf_dir)), "threshold", "fpr", "tpr")
+
+
 def pr_curve(spark, sf_dir):
     return _r(metrics.pr_curve(scores(spark, sf_dir)), "threshold", "precision", "recall")
 
@@ -120,6 +124,8 @@ QUERIES = {
     "mean_group_auroc": (mean_group_auroc, f"WITH {SCORES_SQL}, {AREA_SQL} SELECT round(avg(auroc), 6) AS mean_auroc, round(median(auroc), 6) AS median_auroc, count(auroc) AS n_groups FROM areas"),
     "average_precision": (average_precision, f"WITH {CURVE_SQL} SELECT round(sum((tp - before) / n_pos * tp / (tp + fp)), 6) AS average_precision FROM (SELECT *, lag(tp, 1, 0) OVER (ORDER BY score DESC) AS before FROM curve)"),
     "roc_curve": (roc_curve, f"WITH {CURVE_SQL} SELECT round(score, 6) AS threshold, round(fp / n_neg, 6) AS fpr, round(tp / n_pos, 6) AS tpr FROM curve UNION ALL SELECT NULL, 0.0, 0.0"),
+    "roc_corners": (roc_corners, f"""WITH {CURVE_SQL}, steps AS (SELECT c.*, pos, neg, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, row_number() OVER w AS place FROM curve c JOIN bins b ON c.score = b.score WINDOW w AS (ORDER BY c.score DESC))
+SELECT round(score, 6) AS threshold, round(fp / n_neg, 6) AS fpr, round(tp / n_pos, 6) AS tpr FROM steps WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg UNION ALL SELECT NULL, 0.0, 0.0"""),
     "pr_curve": (pr_curve, f'WITH {CURVE_SQL} SELECT round(threshold, 6) AS threshold, round("precision", 6) AS "precision", round(recall, 6) AS recall FROM points'),
     "best_f1_threshold": (best_f1_threshold, f'WITH {POINTS_F1_SQL} SELECT round(threshold, 6) AS threshold, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM best ORDER BY round(best.f1, 12) DESC, best.threshold LIMIT 1'),
     "recall95_threshold": (recall95_threshold, f'WITH {CURVE_SQL} SELECT round(threshold, 6) AS threshold, round("precision", 6) AS "precision", round(recall, 6) AS recall FROM points WHERE recall >= 0.95 ORDER BY round(points."precision", 12) DESC, points.threshold DESC LIMIT 1'),

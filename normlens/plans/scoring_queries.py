@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.functions.vectors import distance, dot, l2_normalize, norm
-from normlens.operators import bank, cells, errors, metrics, nearest, scoring
+from normlens.operators import bank, cells, errors, metrics, nearest, scoring, timing
 from normlens.plans.bindings import NEAREST_SQL, PATCHES_SQL, patches, units
 from normlens.scratch import process_scratch
 
@@ -79,6 +79,34 @@ def nn_cells_compared(spark, sf_dir):
     return cells.compared(queries, index, PROBES)
 
 
+def search_variants(spark, sf_dir):
+    """Stages of three exact searches: the queries, each one's nearest bank vector, and the images' scores."""
+    rows = units(spark, sf_dir)
+
+    def stages(search):
+        return [
+            ("prepare", lambda made: rows.where("part <> 'bank'").select("id", "v", "image_id")),
+            ("search", lambda made: search(made["prepare"], rows.where("part = 'bank'").select("id", "v"))),
+            ("score", lambda made: scoring.image_scores(made["search"].join(made["prepare"].select(F.col("id").alias("query_id"), "image_id"), "query_id").withColumn("distance", distance(F.col("similarity"))))),
+        ]
+
+    return {
+        "broadcast": stages(nearest.nearest),
+        "blocked": stages(lambda q, b: nearest.blocked(q, b, 64, 1024)),
+        "pruned": stages(lambda q, b: cells.exact(q, cells.build(b, CELLS, rounds=CELL_ROUNDS))),
+    }
+
+
+def search_benchmark(spark, sf_dir):
+    """Measured stages of three searches: runs and rows of each stage, and how far the variant's scores agree with the first one's.
+
+    The times themselves are in ``timing.measure``'s log; they differ from run to run, so they are no part of this result."""
+    log, results = timing.measure(spark, search_variants(spark, sf_dir), process_scratch(spark), runs=2)
+    agree = timing.agreement(results, "image_id", "score").select("variant", F.round("agreement", 6).alias("agreement"))
+    runs = log.groupBy("variant", "stage").agg(F.count("ms").alias("n_runs"), F.max("n_rows").alias("n_rows"), F.min(F.col("ms") > 0).alias("timed"))
+    return runs.join(agree, "variant").select("variant", "stage", "n_runs", "n_rows", "timed", "agreement")
+
+
 def pair_best_match(spark, sf_dir):
     rows = units(spark, sf_dir)
     found = scoring.pair_best_match(rows.where("label = 0 AND ordinal = 0"), rows.where("label = 3"))
@@ -232,6 +260,8 @@ QUERIES = {
     "nn_cells": (nn_cells, f"WITH {PROBED_SQL}, found AS (SELECT p.id, b.id AS bank_id, round(list_inner_product(p.v, b.v), 9) AS s FROM probed p JOIN placed b USING (cell)), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, bank_id) AS place FROM found) SELECT id, bank_id, round(s, 6) AS similarity FROM best WHERE place = 1"),
     "nn_pruned": (nn_pruned, f"WITH {NEAREST_SQL} SELECT id, bank_id, round(similarity, 6) AS similarity FROM nearest"),
     "nn_cells_compared": (nn_cells_compared, f"WITH {PROBED_SQL} SELECT (SELECT count(*) FROM placed) * (SELECT count(DISTINCT id) FROM probed) AS n_pairs, (SELECT count(*) FROM probed JOIN placed USING (cell)) AS n_compared"),
+    "search_benchmark": (search_benchmark, f"""WITH {NEAREST_SQL}, n(stage, n_rows) AS (SELECT unnest(['prepare', 'search']), count(*) FROM nearest UNION ALL SELECT unnest(['score', 'total']), count(*) FROM images)
+SELECT variant, stage, 2::BIGINT AS n_runs, n_rows, TRUE AS timed, 1.0::DOUBLE AS agreement FROM n, (VALUES ('broadcast'), ('blocked'), ('pruned')) v(variant)"""),
     "pair_best_match": (pair_best_match, f"""WITH {PATCHES_SQL}, pairs AS (SELECT q.id AS query_id, b.id AS bank_id, round(list_inner_product(q.v, b.v), 9) AS s FROM units q, units b WHERE q.label = 3 AND b.label = 0 AND b.ordinal = 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, bank_id) AS place FROM pairs)
 SELECT query_id, bank_id, round(s, 6) AS similarity, round(1 - s, 6) AS anomaly FROM best WHERE place = 1 ORDER BY s, query_id LIMIT 5"""),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normlens.functions import paths
-from normlens.operators import bank, cells, errors, files, geometry, hamming, latency, metrics, nearest, percentiles, scoring, sweeps
+from normlens.operators import bank, cells, errors, files, geometry, hamming, latency, metrics, nearest, percentiles, scoring, sweeps, timing
 
 
 def scored(spark, rows):
@@ -290,6 +290,43 @@ def test_outliers_leave_parts_even(spark):
     assert [got.median, got.p95] == pytest.approx(want.tolist()) and got.max == 1e9
 
 
+def test_roc_corners(spark):
+    """Points equal those of second differences over the whole curve; the area is that of all points."""
+    rng = np.random.default_rng(6)
+    rows = [(float(x), int(rng.random() < x / 60)) for x in rng.integers(0, 60, 90)] + [(100.0 + i, 1) for i in range(9)] + [(-1.0 - i, 0) for i in range(9)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((tuple(r) for r in metrics.roc_corners(scored(spark, rows)).where("threshold IS NOT NULL").collect()), reverse=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    levels = sorted({s for s, _ in rows}, reverse=True)
+    tp = np.array([sum(s >= t and y for s, y in rows) for t in levels])
+    fp = np.array([sum(s >= t and not y for s, y in rows) for t in levels])
+    keep = np.r_[True, (np.diff(fp, 2) != 0) | (np.diff(tp, 2) != 0), True]
+    assert got == [(t, f / fp[-1], p / tp[-1]) for t, f, p, k in zip(levels, fp, tp, keep, strict=True) if k] and not keep.all()
+    x, y = np.array([0, *(r[1] for r in got)]), np.array([0, *(r[2] for r in got)])
+    assert np.trapezoid(y, x) == pytest.approx(metrics.auroc(scored(spark, rows)).first().auroc)
+    assert metrics.roc_corners(scored(spark, [(1.0, 1)])).count() == 2 and metrics.roc_corners(scored(spark, [])).count() == 1
+
+
+def test_measured_stages(spark, tmp_path):
+    from normlens.scratch import Scratch
+
+    calls = []
+    stages = lambda n: [("a", lambda made: calls.append(n) or spark.range(n).select("id", F.col("id").cast("double").alias("x"))), ("b", lambda made: made["a"].where("id > 0"))]
+    with Scratch(spark) as scratch:
+        log, results = timing.measure(spark, {"one": stages(5), "two": stages(4)}, scratch, runs=2, warm_up=1)
+        rows = log.collect()
+        assert calls == [5, 4] * 3 and len(rows) == 2 * 2 * 3 and {r.run for r in rows} == {0, 1}
+        assert {(r.variant, r.stage, r.n_rows) for r in rows} == {("one", "a", 5), ("one", "b", 4), ("one", "total", 4), ("two", "a", 4), ("two", "b", 3), ("two", "total", 3)}
+        total = {(r.variant, r.run): r.ms for r in rows if r.stage == "total"}
+        assert all(total[v, k] == pytest.approx(sum(r.ms for r in rows if (r.variant, r.run) == (v, k) and r.stage != "total")) for v, k in total)
+        assert latency.summarize(log, ["variant", "stage"]).count() == 6
+        assert {tuple(r) for r in timing.agreement(results, "id", "x").collect()} == {("one", 4, 1.0), ("two", 3, 0.75)}
+        assert len(scratch.paths) == 2
+    assert scratch.paths == []
+
+
 def test_bilinear_against_numpy(spark):
     from normlens.sources.pixels import bilinear
 
