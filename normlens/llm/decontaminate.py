@@ -26,27 +26,28 @@ WINDOW = 10
 SHINGLE = 3
 BROADCAST_ROWS = 500_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words before A-Z are lower-cased: what stands between them is ASCII, and neither digit nor letter.
-RAW_WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
+#: What stands between words: ASCII, and neither digit nor letter.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text as they are written; none for null."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(RAW_WORD)), F.array().cast("array<string>"))
+    """The words of a text, with A-Z lower-cased and no other letter; none for null.
 
+    Texts and words of ASCII alone take the fast ``lower``, which would change other capitals too."""
+    plain = lambda c: F.length(c) == F.octet_length(c)
+    one = lambda w: F.when(plain(w), F.lower(w)).otherwise(F.translate(w, CAPITALS, SMALL))
+    cut = F.when(plain(text), F.split(F.lower(text), BETWEEN)).otherwise(F.transform(F.split(text, BETWEEN), one))
+    return F.coalesce(F.array_remove(cut, ""), F.array().cast("array<string>"))
 
-def shingle_key(words: Column, at: Column, size: int) -> Column:
-    """Hash of ``size`` words from place ``at`` (from 0), without regard to case; null where the words end before.
 
-    Words that are equal with A-Z lower-cased have equal keys; others may too, which the verification sorts out."""
-    key = F.xxhash64(F.lit(size), *[F.lower(F.get(words, at + i)) for i in range(size)])
-    return F.when(at + size <= F.size(words), key)
+def shingle_key(words: Column, at: Column, size: int) -> Column:
+    """Hash of ``size`` words from place ``at`` (from 0); null where the words end before. Equal words have equal keys."""
+    return F.when((at >= 0) & (at + size <= F.size(words)), F.xxhash64(F.lit(size), *[F.get(words, at + i) for i in range(size)]))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """words (joined by one space, A-Z lower-cased), length, items (sorted ids): each different window once."""
-    words = F.transform(words_of(F.col("text")), lambda w: F.translate(w, CAPITALS, SMALL))
-    worded = items.select("item_id", words.alias("w")).where(F.size("w") > 0)
+    worded = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.lit(window), F.size("w"))
     placed = worded.select("item_id", "w", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("w") - length + 1)).alias("at"))
     cut = placed.select("item_id", "length", F.array_join(F.slice("w", F.col("at"), F.col("length")), " ").alias("words"))
@@ -62,12 +63,14 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
 
 
 def document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """Each place of each document with the keys of the shingles that begin there. Columns ride along by reference."""
-    placed = docs.select("*", F.posexplode("w").alias("at", "word")).drop("word")
+    """Each place of each document with the keys of the shingles that begin there, and place -1 without any key.
+
+    The columns of a document ride along by reference."""
+    placed = docs.select("*", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
     keys = [shingle_key(F.col("w"), F.col("at"), s) for s in sizes]
     if len(keys) == 1:
         return placed.withColumn("key", keys[0])
-    return placed.select("*", F.explode(F.array(*keys)).alias("key"))
+    return placed.select("*", F.explode(F.when(F.col("at") >= 0, F.array(*keys)).otherwise(F.array(F.lit(None).cast("long")))).alias("key"))
 
 
 def in_parts(table: DataFrame, rows: int, key: str) -> list[DataFrame]:
@@ -85,14 +88,18 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def rarest(shingles: DataFrame, docs: DataFrame, sizes: list[int], rows: int) -> DataFrame:
-    """Of each window the shingle that occurs least often in the documents, the first of equals."""
+def rarest(shingles: DataFrame, docs: DataFrame, sizes: list[int], shingle: int, rows: int) -> DataFrame:
+    """Of each window the shingle that occurs least often in the documents, the first of equals.
+
+    Windows with a shingle that occurs nowhere are left out."""
     own = materialise(shingles.select(F.col("key").alias("item_key")).distinct(), "keys")
     met = [document_shingles(docs.select("w"), sizes).join(part, F.col("key") == F.col("item_key")).select("key") for part in in_parts(own, rows, "item_key")]
     counts = materialise(union(met).groupBy("key").agg(F.count(F.lit(1)).alias("occurs")), "counts")
     joined = shingles.join(counts.withColumnRenamed("key", "counted"), F.col("key") == F.col("counted"))
     first = F.min(F.struct("occurs", "place", "key")).alias("first")
-    found = materialise(joined.groupBy("words", "length").agg(first, F.first("items").alias("items")).select("words", "length", "items", "first.place", F.col("first.key").alias("prefix")), "prefixes")
+    chosen = joined.groupBy("words", "length").agg(first, F.first("items").alias("items"), F.count(F.lit(1)).alias("seen"))
+    chosen = chosen.where(F.col("seen") == F.greatest(F.lit(1), F.col("length") - shingle + 1))
+    found = materialise(chosen.select("words", "length", "items", "first.place", F.col("first.key").alias("prefix")), "prefixes")
     forget(own)
     forget(counts)
     return found
@@ -110,23 +117,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     windows = materialise(item_windows(items, window), "windows")
     lengths = [r[0] for r in windows.select(F.least("length", F.lit(shingle))).distinct().collect()]  # at most ``shingle`` of them
     sizes = sorted(lengths, reverse=True) or [shingle]
-    prefixes = rarest(window_shingles(windows, shingle), worded, sizes, broadcast_rows)
+    prefixes = rarest(window_shingles(windows, shingle), worded, sizes, shingle, broadcast_rows)
     forget(windows)
 
     digest = F.unhex(F.sha2(text, 256))
-    hits = []
-    for part in in_parts(prefixes, broadcast_rows, "prefix"):
+    met = []
+    for number, part in enumerate(in_parts(prefixes, broadcast_rows, "prefix")):
         begin = F.col("at") - F.col("place")
         inside = (begin >= 0) & (begin + F.col("length") <= F.size("w"))
-        own = F.translate(F.array_join(F.slice("w", begin + 1, F.col("length")), " "), CAPITALS, SMALL)
-        met = document_shingles(worded, sizes).join(part, (F.col("key") == F.col("prefix")) & inside)
-        met = met.where(F.when(inside, own == F.col("words")))
-        hits.append(met.select("doc_id", digest.alias("digest"), F.struct(begin.alias("begin"), F.col("length")).alias("span"), "items"))
-    none = {"span": "struct<begin:int,length:int>", "items": "array<bigint>"}
-    each = worded.select("doc_id", digest.alias("digest"), F.size("w").cast("long").alias("n_words"), F.lit(1).alias("copies"))
-    each = each.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    met = union(hits).select("doc_id", "digest", F.lit(None).cast("long").alias("n_words"), F.lit(0).alias("copies"), F.col("span").cast(none["span"]), F.col("items").cast(none["items"]))
-    found = each.unionByName(met).groupBy("doc_id", "digest").agg(
+        holds = F.when(inside, F.array_join(F.slice("w", begin + 1, F.col("length")), " ") == F.col("words"))
+        first = (F.col("at") == -1) & F.lit(number == 0)  # one row for each document, hit or not
+        rows = document_shingles(worded, sizes).join(part, (F.col("key") == F.col("prefix")) & inside, "left").where(first | holds)
+        span = F.when(~first, F.struct(begin.alias("begin"), F.col("length")))
+        met.append(rows.select("doc_id", digest.alias("digest"), F.size("w").cast("long").alias("n_words"), first.cast("int").alias("copies"), span.alias("span"), "items"))
+    found = union(met).groupBy("doc_id", "digest").agg(
         F.max("n_words").alias("n_words"),
         F.sum("copies").alias("copies"),
         F.array_sort(F.collect_set("span")).alias("spans"),
