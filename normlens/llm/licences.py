@@ -30,7 +30,7 @@ def _other_word(words: list[str], ended: str = "") -> str:
 _HOLDER = (
     r"(?:copyright[ \t:]*(?:\(c\)|©|[0-9])|copyright[ \t:]+(?:by[ \t]|the[ \t][^\n]*\b(?:authors|contributors|developers|team|foundation|project)\b|"
     r"[^\x00-\x7F]|" + _other_word(NOT_HOLDERS) + r")"
-    r"|\(c\)[ \t]*(?:copyright|[0-9])|©|all rights reserved)[^\n]*"
+    r"|\(c\)[ \t]*(?:copyright|[0-9])|©|all rights reserved)(?:[^\n]*(?:,|&|[ \t]and)[ \t\r]*\n)?[^\n]*"  # holders may go on in a second line
 )
 _PREFIX = r"[ \t#*/;>.|-]*"
 _TITLE = (
@@ -40,6 +40,12 @@ _TITLE = (
 )
 # A short licence's title on the first line, and lines that name holders or years, not terms.
 COPYRIGHT_LINE = rf"\A[ \t\r\n#*/=-]*{_TITLE}[^a-z0-9\n]*(?:\n[ \t\r\n#*/;>.|=-]*{_HOLDER})*(?:\n|\z)|(^|\n){_PREFIX}{_HOLDER}"
+# A line that tags the file with an id, and addresses at the text's end.
+TAG_LINE = rf"(\A|\n){_PREFIX}spdx-license-identifier:[^\n]*"
+LAST_ADDRESS = r"(?:\n[ \t\r\n#*/;>.|-]*(?:see[ \t:]+)?<?https?://[^ \t\r\n]+)+[ \t\r\n]*\z"
+# Who must not be named, in the canonical form, and the usual wording.
+NAMED = r"neither the names? of (?:[^ ]+ ){1,12}?nor the names of its contributors"
+UNNAMED = "neither the name of the copyright holder nor the names of its contributors"
 # Spellings that count as the same, each with the form it takes.
 SPELLINGS = (
     ("licence", "license"),
@@ -107,15 +113,23 @@ KNOWN = {
 }
 # The full texts as published, by file name. Ids without -text are those of the notices above.
 KNOWN |= {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "known").glob("*.txt"))}
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+KNOWN |= {
+    "Apache-2.0-text-terms": KNOWN["Apache-2.0-text"].split(_TERMS_END)[0],
+    "Apache-2.0-text-terms-end": KNOWN["Apache-2.0-text"].split(_TERMS_END)[0] + _TERMS_END,
+}
 
 
 def canonical(text: Column) -> Column:
-    """The text's canonical form: lower case, no title, copyright lines or list marks, one spelling, words parted by one space."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    """The text's canonical form: lower case, no title, tag, copyright lines, last address or list marks, one spelling and
+    one way to leave holders unnamed, words parted by one space."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for form in (TAG_LINE, LAST_ADDRESS, COPYRIGHT_LINE):
+        out = F.regexp_replace(out, form, "\n")
     for found, form in SPELLINGS:
         out = F.replace(out, F.lit(found), F.lit(form))
     out = F.regexp_replace(out, LIST_MARK, " ")
-    return F.trim(F.regexp_replace(out, NOT_WORD, " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(out, NOT_WORD, " ")), NAMED, UNNAMED)
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -127,7 +141,7 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
 
     Null, empty and purely formal texts have the empty canonical form and match nothing, on either side.
     If several known texts share a form, the smallest id stands for them, so each row stays one row. Repeated
-    rows are kept. The known side is joined as it is: Spark broadcasts it only if its size is below the session's threshold.
+    rows and null ids are kept, an empty table gives no rows, texts of any length are read whole, and other columns are not read. The known side is joined as it is: Spark broadcasts it only if its size is below the session's threshold.
     """
     known = known_licences(docs.sparkSession) if licences is None else licences
     forms = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")

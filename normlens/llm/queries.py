@@ -77,11 +77,13 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"lower(coalesce({text}, ''))"
+    for form in (licences.TAG_LINE, licences.LAST_ADDRESS, licences.COPYRIGHT_LINE):
+        out = f"regexp_replace({out}, {_quoted(form)}, chr(10), 'g')"
     for found, form in licences.SPELLINGS:
         out = f"replace({out}, {_quoted(found)}, {_quoted(form)})"
     out = f"regexp_replace({out}, {_quoted(licences.LIST_MARK)}, ' ', 'g')"
-    return f"trim(regexp_replace({out}, {_quoted(licences.NOT_WORD)}, ' ', 'g'))"
+    return f"regexp_replace(trim(regexp_replace({out}, {_quoted(licences.NOT_WORD)}, ' ', 'g')), {_quoted(licences.NAMED)}, {_quoted(licences.UNNAMED)}, 'g')"
 
 
 OP1_SQL = f"""

@@ -96,6 +96,39 @@ def test_licence_signs_and_lists(spark):
     assert {i: (k, d) for i, k, d in con.execute(f"SELECT doc_id, license_id, digest FROM ({OP1_SQL})").fetchall()} == got
 
 
+def test_licence_variants(spark):
+    """Usual files that differ in holders, tags and addresses match; changed terms do not. Spark and DuckDB agree."""
+    k = licences.KNOWN
+    holder = lambda name: k["BSD-3-Clause"].replace("the name of the copyright holder", f"the name of {name}")
+    apache = k["Apache-2.0-text"]
+    cases = [
+        ("BSD-3-Clause", holder("Acme Inc.")),
+        ("BSD-3-Clause", holder("the University of California, Berkeley")),
+        ("BSD-3-Clause", holder("the <organization>")),
+        (None, holder(" ".join(["word"] * 13))),
+        (None, holder("Acme Inc.").replace("may be used", "may always be used")),
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Foo, Bar and\nBaz, Inc.\n\n" + wrapped(k["MIT"], 78)),
+        ("MIT", "Copyright (c) 2020 Foo Bar,\n   Inc. <foo@example.org>\n" + k["MIT"]),
+        ("MIT", k["MIT"] + "\n\nhttps://opensource.org/licenses/MIT\n"),
+        ("MIT", k["MIT"] + "\n// See <http://a.example/x>\nhttps://b.example"),
+        (None, k["MIT"] + "\nhttps://a.example and more"),
+        ("MIT", "SPDX-License-Identifier: MIT\n" + k["MIT"]),
+        ("ISC", "// SPDX-License-Identifier: ISC\r\n// Copyright 2020 X\r\n" + k["ISC"]),
+        ("Apache-2.0-text-terms", apache.split("END OF TERMS")[0]),
+        ("Apache-2.0-text-terms-end", apache.split("   APPENDIX:")[0]),
+        ("Apache-2.0-text", apache),
+        (None, "SPDX-License-Identifier: MIT"),
+        (None, "x\nhttps://only.example"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.digest) for r in licences.scan(rows).collect()}
+    assert [(i, got[i][0]) for i in range(len(cases))] == [(i, want) for i, (want, _) in enumerate(cases)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(cases)])
+    assert {i: (n, d) for i, n, d in con.execute(f"SELECT doc_id, license_id, digest FROM ({OP1_SQL})").fetchall()} == got
+
+
 def test_licence_full_texts(spark):
     names = ["Apache-2.0-text", "CC0-1.0-text", "GPL-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "LGPL-3.0-text", "MPL-2.0-text"]
     texts = [licences.KNOWN[n] for n in names]
