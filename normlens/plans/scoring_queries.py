@@ -36,6 +36,19 @@ def anomaly_image_score(spark, sf_dir):
     return _images(spark, sf_dir).select("image_id", "defect_type", "part", "y_true", F.round("score", 6).alias("score"), "n_patches")
 
 
+BUCKETS = 8
+
+
+def stored_scores(spark, sf_dir):
+    """Image scores from stored patch scores, and joined with stored images: buckets by image, so nothing is exchanged."""
+    scratch = process_scratch(spark)
+    scored = scratch.by_key(_scored(spark, sf_dir).select("image_id", "id", "distance"), "scored", "image_id", BUCKETS)
+    known = patches(spark, sf_dir).groupBy("image_id", "defect_type", "part").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_stored"))
+    known = scratch.by_key(known, "images", "image_id", BUCKETS)
+    best = scored.groupBy("image_id").agg(F.max("distance").alias("score"), F.count(F.lit(1)).alias("n_patches"))
+    return known.join(best.hint("merge"), "image_id").select("image_id", "defect_type", "part", F.round("score", 6).alias("score"), "n_patches", "n_stored")
+
+
 def predict_label(spark, sf_dir):
     rows = _images(spark, sf_dir)
     return rows.select("image_id", F.round("score", 6).alias("score"), scoring.label_from_score(F.col("score"), F.lit(THRESHOLD)).alias("prediction"))
@@ -254,6 +267,7 @@ QUERIES = {
     "l2_normalize": (l2_normalized, f"WITH {PATCHES_SQL} SELECT p.id, round(sqrt(list_inner_product(p.v, p.v)), 6) AS length, round(sqrt(list_inner_product(u.v, u.v)), 9) AS unit_length, round(u.v[1], 6) AS first FROM patches p JOIN units u ON p.id = u.id"),
     "nn_distance": (nn_distance, f"WITH {NEAREST_SQL} SELECT id, bank_id, round(similarity, 6) AS similarity, round(distance, 6) AS distance FROM distances"),
     "anomaly_image_score": (anomaly_image_score, f"WITH {NEAREST_SQL} SELECT image_id, defect_type, part, y_true, round(score, 6) AS score, n_patches FROM images"),
+    "stored_scores": (stored_scores, f"WITH {NEAREST_SQL} SELECT image_id, defect_type, part, round(score, 6) AS score, n_patches, n_patches AS n_stored FROM images"),
     "predict_label": (predict_label, f"WITH {NEAREST_SQL} SELECT image_id, round(score, 6) AS score, CASE WHEN score >= {THRESHOLD} THEN 'defect' ELSE 'good' END AS prediction FROM images"),
     "topk_patches": (topk_patches, f"WITH {NEAREST_SQL} SELECT image_id, place2::INT AS place, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY distance DESC, id) AS place2 FROM distances) WHERE place2 <= 3"),
     "nn_blocked": (nn_blocked, f"WITH {NEAREST_SQL} SELECT id, bank_id, round(similarity, 6) AS similarity FROM nearest"),

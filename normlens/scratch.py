@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from normlens.session import remove_folder, shared_dir
+from normlens.sources.tables import save_by_key
 
 
 class Scratch:
@@ -19,6 +20,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
+        self.names: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, written as Parquet and read back; an empty table keeps its columns."""
@@ -27,6 +29,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def by_key(self, df: DataFrame, name: str, key: str, buckets: int, order: tuple[str, ...] = ("id",)) -> DataFrame:
+        """``df`` as a bucketed table of the catalog, dropped with the others."""
+        self.names.append(f"normlens_{name}_{uuid.uuid4().hex}")
+        return save_by_key(df, self.names[-1], key, buckets, order)
+
     def remove(self, path: str) -> None:
         self.paths.remove(path)
         remove_folder(self.spark, path)
@@ -34,6 +41,8 @@ class Scratch:
     def close(self) -> None:
         while self.paths:
             remove_folder(self.spark, self.paths.pop())
+        while self.names and self.spark.sparkContext._jsc is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()}")
 
     def __enter__(self) -> Scratch:
         return self

@@ -76,6 +76,15 @@ def load_vectors(spark: SparkSession, path: str, normalize: bool = True) -> tupl
     return rows, spark.read.parquet(f"{path}/facts").first().asDict()
 
 
+def save_by_key(rows: DataFrame, name: str, key: str, buckets: int, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``rows`` as a table of the catalog in ``buckets`` by ``key``, each one file, sorted by key and ``order``.
+
+    Aggregates by the key, and joins with another table of as many buckets by the same key, then need no exchange and no
+    sort. Choose the number by the table's size: a bucket is what one task reads."""
+    rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *order).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at ``path`` if it is complete, else what ``make`` returns, written there first."""
     jvm = spark.sparkContext._jvm

@@ -179,6 +179,24 @@ def test_predictions_have_two_values(spark):
             run(*bad)
 
 
+def test_stored_by_key_needs_no_exchange(spark, tmp_path):
+    from normlens.scratch import Scratch
+
+    rows = spark.range(500).select("id", (F.col("id") % 37).alias("image_id"), F.rand(1).alias("distance"))
+    with Scratch(spark) as scratch:
+        scored = scratch.by_key(rows, "scored", "image_id", 4)
+        known = scratch.by_key(rows.groupBy("image_id").agg(F.min("id").alias("id")), "known", "image_id", 4)
+        names = list(scratch.names)
+        best = scored.groupBy("image_id").agg(F.max("distance").alias("score"))
+        joined = known.join(best.hint("merge"), "image_id").join(scored.select("image_id", F.col("id").alias("patch")).hint("merge"), "image_id")
+        assert joined.count() == 500 and best.count() == 37
+        for df in (best, joined):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+        assert tables.save_by_key(rows, names[0], "image_id", 2).count() == 500
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
 def test_perceptual_hash_sees_structure():
     a = np.random.default_rng(2).uniform(0, 100, (64, 48))
     assert pixels.perceptual_hash(a) == pixels.perceptual_hash(a * 2 + 8)
