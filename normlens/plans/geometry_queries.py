@@ -56,6 +56,27 @@ def crop_audit_by_type(spark, sf_dir):
     return geometry.retention_summary(_crop(spark, sf_dir), ["defect_type"]).withColumns({c: F.round(c, 6) for c in SUMMARY})
 
 
+def _mask_files(spark, sf_dir):
+    """A manifest, and its mask files: grey netpbm images with a white rectangle, a quarter of the size on either side; every 29th is missing."""
+    part = lambda c, k: F.floor(F.col(c) * k / 100).cast("int")
+    p = F.col("image_id")
+    rows = images(spark, sf_dir).select("image_id", "defect_type", F.floor(F.col("width") / 4).cast("int").alias("w"), F.floor(F.col("height") / 4).cast("int").alias("h"))
+    rows = rows.withColumns({"left": part("w", p * 17 % 90), "top": part("h", p * 29 % 90), "across": part("w", p % 12), "down": part("h", p % 9)})
+    black, white = (lambda n: F.repeat(F.lit("00"), n)), (lambda n: F.repeat(F.lit("FF"), n))
+    line = F.concat(black(F.col("left")), white(F.col("across")), black(F.col("w") - F.col("left") - F.col("across")))
+    body = F.concat(black(F.col("w") * F.col("top")), F.repeat(line, F.col("down")), black(F.col("w") * (F.col("h") - F.col("top") - F.col("down"))))
+    head = F.concat(F.lit("P5\n"), F.col("w").cast("string"), F.lit(" "), F.col("h").cast("string"), F.lit("\n255\n")).cast("binary")
+    path = F.concat_ws("/", F.lit("ground_truth"), "defect_type", F.concat(p.cast("string"), F.lit("_mask.pgm")))
+    manifest = rows.select(p.cast("string").alias("image_path"), F.lit(1).alias("label"), path.alias("mask_path"))
+    return manifest, rows.where(p % 29 != 0).select(path.alias("path"), F.concat(head, F.unhex(body)).alias("content"))
+
+
+def mask_retention(spark, sf_dir):
+    """Pixels of each mask file, letterboxed and cropped, and what share of the whole image's defect the crop keeps."""
+    areas = pixels.mask_areas(pixels.load_masks(*_mask_files(spark, sf_dir)))
+    return areas.select(F.col("image_path").cast("long").alias("image_id"), *pixels.AREAS, ((F.col("original_pixels") > 0) & (F.col("cropped_pixels") == 0)).alias("fully_lost"))
+
+
 def letterbox_audit_summary(spark, sf_dir):
     rows = geometry.letterbox(images(spark, sf_dir))
     scaled = lambda c: F.floor(F.col(c) * F.col("scale")).cast("int")
@@ -206,6 +227,18 @@ axis AS (SELECT t::INT AS t, s::INT AS s, greatest(0.0, 1 - abs(greatest(0.0, le
 used AS (SELECT * FROM axis WHERE w > 0)
 SELECT image_id, r.t AS "row", c.t AS col, round(sum(r.w * c.w * value), 6) AS value FROM grid JOIN used r ON r.s = grid."row" JOIN used c ON c.s = grid.col GROUP BY ALL"""
 
+# Nearest pixels go by axis, so a rectangle's pixels are those of its columns times those of its rows.
+MASKS_SQL = f"""{IMAGES_SQL},
+small AS (SELECT image_id, width // 4 AS w, height // 4 AS h FROM imgs),
+rects AS (SELECT *, floor(w * (image_id * 17 % 90) / 100)::INT AS l, floor(h * (image_id * 29 % 90) / 100)::INT AS t, floor(w * (image_id % 12) / 100)::INT AS across, floor(h * (image_id % 9) / 100)::INT AS down FROM small),
+sized AS (SELECT *, greatest(1, round_even(w * least(256.0::DOUBLE / w, 256.0::DOUBLE / h), 0)::INT) AS bw, greatest(1, round_even(h * least(256.0::DOUBLE / w, 256.0::DOUBLE / h), 0)::INT) AS bh,
+                 CASE WHEN w <= h THEN 256 ELSE 256 * w // h END AS cw, CASE WHEN w <= h THEN 256 * h // w ELSE 256 END AS ch FROM rects),
+cornered AS (SELECT *, round_even((cw - 224) / 2, 0)::INT AS cl, round_even((ch - 224) / 2, 0)::INT AS ct FROM sized),
+counted AS (SELECT image_id, across * down AS original_pixels,
+                   len(list_filter(range(0, bw), lambda i: floor((i + 0.5) * w / bw) >= l AND floor((i + 0.5) * w / bw) < l + across)) * len(list_filter(range(0, bh), lambda i: floor((i + 0.5) * h / bh) >= t AND floor((i + 0.5) * h / bh) < t + down)) AS letterboxed_pixels,
+                   len(list_filter(range(cl, cl + 224), lambda i: floor((i + 0.5) * w / cw) >= l AND floor((i + 0.5) * w / cw) < l + across)) * len(list_filter(range(ct, ct + 224), lambda i: floor((i + 0.5) * h / ch) >= t AND floor((i + 0.5) * h / ch) < t + down)) AS cropped_pixels
+            FROM cornered)"""
+
 QUERIES = {
     "letterbox_geometry": (letterbox_geometry, f"WITH {LETTERBOX_SQL} SELECT image_id, round(scale, 9) AS scale, new_width, new_height, pad_left, pad_top FROM boxed"),
     "valid_cells": (valid_cells, f"WITH {CELLS_SQL} SELECT image_id, count(*) FILTER (valid_ratio >= 0.5) AS n_valid, round(sum(valid_ratio), 6) AS area FROM cells GROUP BY image_id"),
@@ -215,6 +248,8 @@ QUERIES = {
     "crop_audit_by_type": (crop_audit_by_type, f"WITH {CROP_SQL} SELECT defect_type, {SUMMARY_SQL} FROM crops GROUP BY defect_type"),
     "letterbox_audit_summary": (letterbox_audit_summary, f"""WITH {LETTERBOX_SQL}, kept AS (SELECT *, box_w * box_h AS o, floor(box_w * scale)::INT * floor(box_h * scale)::INT AS k FROM boxed)
 SELECT defect_type, count(*) AS n, count(*) FILTER (o > 0 AND k = 0) AS n_lost, round(avg((o > 0 AND k = 0)::INT), 6) AS lost_rate FROM kept GROUP BY defect_type"""),
+    "mask_retention": (mask_retention, f"""WITH {MASKS_SQL} SELECT image_id, CASE WHEN image_id % 29 <> 0 THEN original_pixels END::BIGINT AS original_pixels, CASE WHEN image_id % 29 <> 0 THEN letterboxed_pixels END::BIGINT AS letterboxed_pixels,
+CASE WHEN image_id % 29 <> 0 THEN cropped_pixels END::BIGINT AS cropped_pixels, CASE WHEN image_id % 29 <> 0 THEN original_pixels > 0 AND cropped_pixels = 0 END AS fully_lost FROM counted"""),
     "recovered_cases": (recovered_cases, f"""WITH {CROP_SQL}, s AS (SELECT defect_type, ((image_id * 31) % 100) / 100.0::DOUBLE >= 0.5 AS hit FROM crops WHERE fully_lost),
 g AS (SELECT defect_type, hit FROM s UNION ALL SELECT '(all)', hit FROM s)
 SELECT defect_type, count(*) AS total, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fn, round(avg(hit::INT), 6) AS recall, round(avg((NOT hit)::INT), 6) AS miss_rate FROM g GROUP BY defect_type"""),

@@ -257,3 +257,28 @@ def load_masks(manifest: DataFrame, files: DataFrame, missing: str = "none") ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["image_path", "width", "height", "mask"])
 
     return rows.select("image_path", "content").mapInArrow(run, "image_path string, width int, height int, mask binary")
+
+
+def mask_areas(masks: DataFrame, target: int = 256, shorter: int = 256, crop: int = 224) -> DataFrame:
+    """image_path, original_pixels, letterboxed_pixels, cropped_pixels of ``load_masks``: defect pixels before and after both ways to resize.
+
+    The letterbox keeps all of the image; the crop takes the centre after the shorter side is resized. An image without a
+    mask has nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for width, height, mask in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if mask is None:
+                    out.append((None, None, None))
+                    continue
+                pixels = np.frombuffer(mask, dtype=np.uint8).reshape(height, width) * np.uint8(255)
+                kept = (letterboxed_mask(pixels, target), centre_cropped(pixels, shorter, crop, mask=True))
+                out.append((int(np.count_nonzero(pixels)), *(int(k.sum()) for k in kept)))
+            columns = zip(*out, strict=True) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["image_path", *AREAS])
+
+    return masks.select("image_path", "width", "height", "mask").mapInArrow(run, "image_path string, " + ", ".join(f"{c} long" for c in AREAS))
+
+
+AREAS = ("original_pixels", "letterboxed_pixels", "cropped_pixels")
