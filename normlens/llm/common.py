@@ -10,6 +10,7 @@ import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,18 @@ def forget_since(begun: set[str], *keep: DataFrame) -> None:
         _quiet_remove(_tables.pop(path)[0], path)
 
 
+@contextmanager
+def scratch_scope(*keep: DataFrame) -> Iterator[None]:
+    """Tables that operators write in this block, in this thread, go at its end: results have to be read or written inside.
+
+    Without it they go when the process ends; a driver that is killed leaves them in the shared folder."""
+    begun = tables_now()
+    try:
+        yield
+    finally:
+        forget_since(begun, *keep)
+
+
 def tables_now() -> set[str]:
     return set(_tables)
 

@@ -140,6 +140,9 @@ def landmarks(payloads: list[bytes], tables: np.ndarray) -> list[tuple[int, np.n
 def fingerprint(media: DataFrame) -> DataFrame:
     """Reads the stored blobs back and computes their features; one row for each row of ``media``.
 
+    A null or empty text is a blob of blanks; repeated rows and null ids are kept as they are; a text of any length is one
+    blob; an empty table gives no rows; other columns are not looked at.
+
     payload_* describe the bytes read back, tail_crc32 their last 16; fp_time and fp_hash are parallel
     arrays, sorted by time; feature is the number of frames and of pairs and a digest of both arrays."""
 

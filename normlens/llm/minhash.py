@@ -509,7 +509,7 @@ def near_duplicates(
 
     component_id is the smallest doc_id among the documents reachable by links, itself included; kept says
     that it is the row's own. Null and empty texts and texts without words have an empty set and link with
-    nothing. Repeated rows have equal results. A row with a null id takes part in links but cannot name a
+    nothing; texts of any length are read whole, in segments. Repeated rows have equal results. A row with a null id takes part in links but cannot name a
     component, and is not kept. Extra columns of ``docs`` are not looked at; an empty table gives no rows. The
     three limits bound what one task holds; the result does not depend on them.
     """

@@ -105,7 +105,8 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_docs: int =
     the first ``quota mod blocks`` of that order once more. So a document is taken at most ``MOST`` times
     its size, and a source misses its target by half a block a shard and one partial block a shard at most.
     Repeated rows are documents of their own; they share a seeded place and are told apart by their size
-    only, which cannot change the sums. An empty table gives no rows.
+    only, which cannot change the sums. A null id has the place of ''. A text of any length is counted whole, whatever its
+    share of the source. An empty table gives no rows; other columns are not looked at.
     """
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("place"))

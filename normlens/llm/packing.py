@@ -179,7 +179,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     Columns: doc_id; start (the document's ids before the piece); length; ids_crc32 (over little-endian
     unsigned 32-bit ids); doc_tokens; sequence_id; offset (in the sequence); ids (the piece's ids, binary,
     unsigned 32 bit). Pieces of a sequence leave no gap, and every sequence but the last is full, so only
-    the last needs padding. An empty table gives no rows. Extra columns of ``docs`` are not looked at.
+    the last needs padding. A null or empty text is its end id alone; repeated rows and ids, and null ids, are documents
+    like any other; a very long text is cut over as many sequences as it needs. An empty table gives no rows. Extra
+    columns of ``docs`` are not looked at.
     The driver holds one total for each partition of the token table, not more.
     """
     width = WordTokenizer(tokenizer_path).dtype.itemsize

@@ -5,7 +5,8 @@ component into lists, and then takes the queries, all of them, as a stream. So c
 copies of a query are as many as shards. For one query the lists are read from their favourable end, in rounds
 of doubling depth; vectors seen for the first time are scored in full; reading stops when the bound, the sum over
 dimensions of query times the component at the current depth, cannot beat the k-th score (nor tie with it).
-Shards' winners meet by query, k rows from each shard.
+Shards' winners meet by query, k rows from each shard. Above ``GROUP_QUERIES`` queries a shard is read by several tasks,
+each with a group of the queries, so neither a task's rows nor its time grow with the table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ K = 5
 SCALE = 256
 EVERY = 50
 SHARD_ROWS = 131_072
+GROUP_QUERIES = 8_192
 FEW_ROWS, SPREAD = 2_048, 16  # smaller tables take a shard for every FEW_ROWS, up to SPREAD
 FIRST_DEPTH = 16
 PAIR_SCHEMA = "query_id long, vec_id long, score long, depth long"
@@ -82,7 +84,7 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     return F.when(vector.isNotNull() & good, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score (and depth, the most list entries read in any shard) for each query row.
 
     ``vectors`` has vec_id and an integer array ``v``; ``is_query`` picks the queries. Every row but those with
@@ -90,20 +92,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = S
     Vectors of different lengths have no inner product: that is an error. Those without components score 0 with each
     other. A query id that occurs on several rows is searched once, by its smallest vector. Repeated candidate rows
     each count as a candidate.
-    Comparisons grow with queries times vectors, as they must; rows moved are the vectors once, and each query
-    once for each shard. A task holds about ``shard_rows`` vectors; nothing is broadcast or collected.
+    Comparisons grow with queries times vectors, as they must; rows moved are the vectors once for each group of
+    ``group_queries`` queries, and each query once for each shard. A task holds about ``shard_rows`` vectors; nothing is
+    broadcast or collected.
     """
     usable = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v", is_query.alias("asks"))
-    sizes = usable.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("dims"), F.count(F.lit(1)).alias("n")).first()
+    sizes = usable.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("dims"), F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).first()
     dims, n = sizes["dims"] or 0, sizes["n"]
     if n and sizes["least"] != dims:
         raise ValueError(f"vectors of {sizes['least']} and of {dims} dimensions have no inner product")
     shards = max(1, -(-n // shard_rows), min(SPREAD, n // FEW_ROWS))
 
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
-    candidates = usable.select(shard.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    queries = usable.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).select(every, F.lit(1).alias("kind"), "vec_id", "v")
+    groups = max(1, -(-sizes["asking"] // group_queries))
+
+    # A task's number is its shard's times the groups, and its group of queries.
+    shard, group = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    candidates = usable.select((shard * groups).alias("first"), every(groups).alias("group"), "vec_id", "v")
+    candidates = candidates.select((F.col("first") + F.col("group")).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    queries = usable.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).select(every(shards).alias("number"), group.alias("group"), "vec_id", "v")
+    queries = queries.select((F.col("number") * groups + F.col("group")).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, lists = None, [], None
@@ -122,7 +130,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = S
                 columns = [np.repeat(ids, many), lists.ids[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found]), np.repeat([f[2] for f in found], many)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score", "depth"])
 
-    rows = candidates.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    rows = candidates.unionByName(queries).repartition(shards * groups, "shard").sortWithinPartitions("shard", "kind")
     found = rows.mapInArrow(run, PAIR_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

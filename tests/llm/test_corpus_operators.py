@@ -57,11 +57,22 @@ def test_topk(spark, n, dims):
         rows += [(1000, None), (1050, [float("nan")] * dims), (1100, [float("inf")] * dims), (1150, [0.0] * dims), (1200, [None] * dims)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "score": F.lit(2)})
     v = df.select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
-    for shard_rows in (16384, 40):
-        got = topk.search(v, topk.query_of(F.col("vec_id")), shard_rows=shard_rows)
+    for shard_rows, group in ((16384, 8192), (40, 2)):
+        got = topk.search(v, topk.query_of(F.col("vec_id")), shard_rows=shard_rows, group_queries=group)
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
 
 
+def test_scratch_scope(spark):
+    from normlens.llm import common
+
+    outer = common.materialise(spark.range(3).toDF("id"), "outer")
+    with common.scratch_scope():
+        got = mixing.mix(documents(spark, [(1, "a b", "s"), (2, "c", "t")])).count()
+        assert got == 2 and len(common._tables) > 1
+    assert outer._normlens_path in common._tables and outer.count() == 3
+    common.forget(outer)
+
+
 def test_topk_lengths(spark):
     def run(rows):
         return topk.search(spark.createDataFrame(rows, "vec_id long, v array<long>"), topk.query_of(F.col("vec_id"))).select("query_id", "rank", "vec_id", "score").collect()
