@@ -18,12 +18,15 @@ Counting and look-up are one exchange between text chunks and count buckets:
 4. The tokens that tune the weights are written as their distinct counts. Each round of expectation-maximisation
    is one pass over them, from which a few sums for each bucket return. Last, each chunk scores its texts.
 
-No task holds more than a chunk or a bucket; a very common word costs a bucket one entry for each chunk. Messages are
-as many as chunks times buckets while both are few, and never more than the chunks' distinct n-grams.
+No task holds more than a chunk or the distinct keys of a bucket. Messages are as many as chunks times buckets while both
+are few, and never more than the chunks' distinct n-grams; a very common word sends a bucket one from each chunk. Messages
+of more than ``HELD_BYTES`` go to a temporary file of the task, from which they are added up and answered in turn.
 """
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,8 @@ DEV = 1
 ALPHA = 0.1
 CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 2_000_000
+HELD_BYTES = 192 << 20  # of a bucket's messages, as they came, in memory
+FOLDED = 2_000_000  # entries added to a bucket's sums at once, if its messages are in a file
 TAG_BITS, SPARE_BITS, LEAST_BITS = 24, 16, 40
 CONTEXT_BUCKETS = 40  # octaves of a context's frequency; first those of words, then those of bigrams
 ROUNDS = 20
@@ -232,19 +237,99 @@ def ask(table: DataFrame, key_bits: int, unigram_bits: int, bigram_bits: int) ->
     return table.mapInArrow(run, ASK_SCHEMA)
 
 
-def answerer(unigram_bits: int) -> Callable:
+def read_message(r: dict, words: bool) -> list[np.ndarray]:
+    """Sorted keys and the chunk's counts of both parts; of bigrams also their numbers of trigrams, the tags, and counts."""
+    kinds = [(r["n"], "<u8"), (r["n"], "<u4"), (r["n"], "<u4")] + ([] if words else [(r["n"], "<u4")] + [(r["n_tri"], "<u4")] * 3)
+    found = unpack(r["message"], *kinds)
+    found[0] = np.cumsum(found[0], dtype=np.uint64)
+    return found
+
+
+class Spool:
+    """A bucket's messages in a temporary file of the task, which goes with it. They can be read again and again."""
+
+    def __init__(self, rows: list[dict]):
+        self.file = tempfile.TemporaryFile()
+        for r in rows:
+            self.add(r)
+
+    def add(self, r: dict) -> None:
+        pickle.dump((r["bucket"], r["chunk"], r["n"], r["n_tri"], r["message"]), self.file)
+
+    def __iter__(self) -> Iterator[dict]:
+        self.file.seek(0)
+        while True:
+            try:
+                yield dict(zip(("bucket", "chunk", "n", "n_tri", "message"), pickle.load(self.file), strict=True))  # noqa: S301 - what this task wrote
+            except EOFError:
+                return
+
+
+class Sums:
+    """Sorted keys with two sums, to which entries are added many at once."""
+
+    def __init__(self, folded: int):
+        self.keys, self.fit, self.dev = np.zeros(0, "<u8"), np.zeros(0, "<u8"), np.zeros(0, "<u8")
+        self.parts: list[tuple] = []
+        self.waiting, self.folded = 0, folded
+
+    def add(self, keys: np.ndarray, fit: np.ndarray, dev: np.ndarray) -> None:
+        self.parts.append((keys, fit, dev))
+        self.waiting += len(keys)
+        if self.waiting >= max(self.folded, len(self.keys)):
+            self.fold()
+
+    def fold(self) -> None:
+        keys, fit, dev = (np.concatenate([x.astype("<u8") for x in c]) for c in zip((self.keys, self.fit, self.dev), *self.parts, strict=True))
+        self.keys, index = np.unique(keys, return_inverse=True)
+        self.fit, self.dev = (np.zeros(len(self.keys), "<u8") for _ in range(2))
+        np.add.at(self.fit, index, fit)
+        np.add.at(self.dev, index, dev)
+        self.parts, self.waiting = [], 0
+
+
+def spooled_answers(spool: Spool, words: bool, folded: int = FOLDED) -> Iterator[tuple]:
+    """The rows of a bucket's answers, with no more in memory than its distinct keys and a few messages."""
+    pairs, triples = Sums(folded), Sums(folded)
+    for r in spool:
+        pairs.add(*read_message(r, words)[:3])
+    pairs.fold()
+
+    def codes(m: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]:
+        own = np.searchsorted(pairs.keys, m[0])
+        return own, None if words else np.repeat(own.astype(np.uint64), m[3]) << np.uint64(TAG_BITS) | m[4]
+
+    if not words:
+        for r in spool:
+            m = read_message(r, words)
+            triples.add(codes(m)[1], m[5], m[6])
+        triples.fold()
+    known, known_fit = int(np.count_nonzero(pairs.fit + pairs.dev)), int(np.count_nonzero(pairs.fit))
+    for r in spool:
+        own, third = codes(read_message(r, words))
+        back = [pairs.fit[own], pairs.dev[own]]
+        if not words:
+            at = np.searchsorted(triples.keys, third)
+            back += [triples.fit[at], triples.dev[at]]
+        yield r["chunk"], r["bucket"], r["n"], r["n_tri"], pack(*back), known, known_fit
+
+
+def answerer(unigram_bits: int, held_bytes: int = HELD_BYTES) -> Callable:
     """Adds up a bucket's counts over all chunks and answers each chunk; rows come sorted by bucket.
 
     Each answer also tells how many keys the bucket has (of all training, and of its counted part)."""
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in ANSWER_SCHEMA.split(", ")])
+
     def sums(index: np.ndarray, columns: list[list[np.ndarray]], n: int) -> list[np.ndarray]:
         return [np.bincount(index, weights=np.concatenate(c), minlength=n).astype("<u8") for c in columns]
 
     def reply(asked: list[dict]) -> pa.RecordBatch:
         words = asked[0]["bucket"] < 1 << unigram_bits
-        kinds = lambda r: [(r["n"], "<u8"), (r["n"], "<u4"), (r["n"], "<u4")] + ([] if words else [(r["n"], "<u4")] + [(r["n_tri"], "<u4")] * 3)
-        read = [unpack(r["message"], *kinds(r)) for r in asked]
-        unique, index = np.unique(np.concatenate([np.cumsum(m[0], dtype=np.uint64) for m in read]), return_inverse=True)
+        read = [read_message(r, words) for r in asked]
+        unique, index = np.unique(np.concatenate([m[0] for m in read]), return_inverse=True)
         fit, dev = sums(index, [[m[1] for m in read], [m[2] for m in read]], len(unique))
         known, known_fit = int(np.count_nonzero(fit + dev)), int(np.count_nonzero(fit))
         if not words:
@@ -260,18 +345,38 @@ def answerer(unigram_bits: int) -> Callable:
                 back += [tri_fit[third], tri_dev[third]]
             rows.append((r["chunk"], r["bucket"], r["n"], r["n_tri"], pack(*back), known, known_fit))
             at, to = at + r["n"], to + r["n_tri"]
-        types = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in ANSWER_SCHEMA.split(", ")])
+        return table(rows)
+
+    def answer(held: list[dict], spool: Spool | None) -> Iterator[pa.RecordBatch]:
+        if spool is None:
+            yield reply(held)
+            return
+        words = next(iter(spool))["bucket"] < 1 << unigram_bits
+        rows: list[tuple] = []
+        for row in spooled_answers(spool, words):
+            rows.append(row)
+            if len(rows) >= 1_000 or len(row[4]) > 1 << 20:
+                yield table(rows)
+                rows = []
+        if rows:
+            yield table(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        spool, bucket, size = None, None, 0
         for row in rows_of(batches):
-            if held and row["bucket"] != held[0]["bucket"]:
-                yield reply(held)
-                held = []
+            if bucket is not None and row["bucket"] != bucket:
+                yield from answer(held, spool)
+                held, spool, size = [], None, 0
+            bucket, size = row["bucket"], size + len(row["message"]) + 256
+            if spool is not None:
+                spool.add(row)
+                continue
             held.append(row)
-        if held:
-            yield reply(held)
+            if size > held_bytes:
+                held, spool = [], Spool(held)
+        if bucket is not None:
+            yield from answer(held, spool)
 
     return run
 
@@ -455,7 +560,7 @@ def learn_weights(counted: DataFrame, totals: Totals, rounds: int = ROUNDS) -> n
     return last_weights(weights, sums[:-2, 4] > 0)
 
 
-def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
+def exchange(docs: DataFrame, held_bytes: int = HELD_BYTES) -> tuple[DataFrame, Totals]:
     """The chunks as counts of their tokens, and the corpus totals."""
     table = materialise(chunks(docs), "lm-chunks")
     sums = table.agg(F.sum("n_words").alias("words"), F.sum("n_docs").alias("docs"), F.sum("n_unique").alias("unique")).first()
@@ -464,7 +569,7 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
     unigram_bits, bigram_bits = bits(sums["unique"] or 0), bits(2 * tokens)
     key_bits = min(64, max(LEAST_BITS, tokens.bit_length() + SPARE_BITS))
     asked = ask(table, key_bits, unigram_bits, bigram_bits).repartition("bucket").sortWithinPartitions("bucket")
-    answers = materialise(asked.mapInArrow(answerer(unigram_bits), ANSWER_SCHEMA), "lm-answers")
+    answers = materialise(asked.mapInArrow(answerer(unigram_bits, held_bytes), ANSWER_SCHEMA), "lm-answers")
     del asked
     known = answers.where(F.col("bucket") < 1 << unigram_bits).groupBy("bucket").agg(F.max("n_known").alias("all"), F.max("n_known_fit").alias("fit"))
     types = known.agg(F.sum("all").alias("all"), F.sum("fit").alias("fit")).first()
@@ -487,7 +592,7 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, Totals]:
     return counted, totals
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_others for each row of ``docs``.
 
     The scores are log10 probabilities of the whole text with its end; a null text counts as empty (the end
@@ -496,7 +601,7 @@ def score(docs: DataFrame) -> DataFrame:
     document every token is unknown and all estimates fall back to the base. Repeated rows count each time.
     Extra columns are not looked at; an empty table gives no rows. A text of any length is one chunk at most.
     """
-    counted, totals = exchange(docs)
+    counted, totals = exchange(docs, held_bytes)
     return counted.mapInArrow(scorer(learn_weights(counted, totals), totals), SCORE_SCHEMA)
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,36 @@ def test_language_model_against_loops(spark):
         assert (r.score, r.score_others) == (pytest.approx(scores[r.doc_id, True], abs=1e-6), pytest.approx(scores[r.doc_id, False], abs=1e-6))
 
 
+def test_messages_in_a_file_give_the_same_answers():
+    """A bucket whose messages do not fit in memory is answered from a file, in any number of folds."""
+    rng = np.random.default_rng(2)
+    for words in (True, False):
+        rows, bits = [], 1
+        for chunk in range(40):
+            keys = np.unique(rng.integers(0, 300, 60)).astype(np.uint64)
+            n, many = len(keys), rng.integers(0, 3, len(keys)).astype("<u4")
+            if chunk == 7:
+                keys, n, many = keys[:0], 0, many[:0]
+            tags = np.concatenate([np.sort(rng.choice(5, k, replace=False)) for k in many] + [np.zeros(0)]).astype("<u4")
+            count = lambda k: rng.integers(0, 4, k).astype("<u4")
+            parts = [lm.steps(keys), count(n), count(n)] + ([] if words else [many, tags, count(len(tags)), count(len(tags))])
+            rows.append({"bucket": 0 if words else 5, "chunk": chunk, "n": n, "n_tri": 0 if words else len(tags), "message": lm.pack(*parts)})
+        batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.int64()) for c in ("bucket", "chunk", "n", "n_tri")] + [("message", pa.binary())]))
+        key = lambda batches: sorted((tuple(r.values()) for b in batches for r in b.to_pylist()))
+        want = key(lm.answerer(bits)([batch]))
+        assert len(want) == 40 and key(lm.answerer(bits, 0)([batch])) == key(lm.answerer(bits, 3_000)([batch])) == want
+        names = [c.split()[0] for c in lm.ANSWER_SCHEMA.split(", ")]
+        for folded in (1, 500):
+            assert sorted(lm.spooled_answers(lm.Spool(rows), words, folded)) == want, names
+
+
+def test_language_model_from_files(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 20))), "s") for i in range(60)]
+    key = lambda df: sorted((r.doc_id, r.n_known, round(r.score, 9), round(r.score_others, 9)) for r in df.collect())
+    assert key(lm.score(documents(spark, rows), 0)) == key(lm.score(documents(spark, rows)))
+
+
 def test_mixture_sums_to_one(spark):
     """Over all known words and the one unknown, every context's probabilities sum to 1."""
     rows = [(i, " ".join("abcde"[(i * k) % 5] for k in range(1, 12)), "s") for i in range(60)]
