@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from normlens.functions import paths
 from normlens.operators import files as ops
-from normlens.operators import hamming
+from normlens.operators import hamming, sieve
 from normlens.plans.bindings import FILES_SQL, PATCHES_SQL, files, images, patches, IMAGES_SQL
+from normlens.scratch import process_scratch
 
 
 def path_parts(spark, sf_dir):
@@ -77,6 +78,13 @@ def leakage_anti_join(spark, sf_dir):
     return ops.without_leaks(test, train).select("path", "sha256")
 
 
+def leakage_sieved(spark, sf_dir):
+    """The same by way of a stored filter of train's digests."""
+    train, test = _parts(spark, sf_dir)
+    stored = process_scratch(spark).table(sieve.build(train, "sha256"), "filter")
+    return sieve.without_leaks_sieved(test, train, stored).select("path", "sha256")
+
+
 def leakage_examples(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     return ops.leaked(test, train).select("path", "sha256").orderBy("path").limit(10)
@@ -210,6 +218,7 @@ FROM e UNION ALL FROM r UNION ALL FROM c"""),
     "duplicate_summary": (duplicate_summary, f"WITH {GROUPS_SQL} SELECT count(*) AS n_groups, coalesce(sum(n_files), 0)::BIGINT AS n_files, count(*) FILTER (in_train AND in_test) AS n_leaked, count(*) FILTER (n_products > 1) AS n_cross_product FROM groups"),
     "canonical_rows": (canonical_rows, f"WITH {FILES_SQL} SELECT sha256, path, split, defect_type, n - 1 AS n_removed FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS rn, count(*) OVER (PARTITION BY sha256) AS n FROM files) WHERE rn = 1"),
     "leakage_anti_join": (leakage_anti_join, f"WITH {FILES_SQL} SELECT path, sha256 FROM files WHERE split = 'test' AND sha256 NOT IN (SELECT sha256 FROM files WHERE split = 'train')"),
+    "leakage_sieved": (leakage_sieved, f"WITH {FILES_SQL} SELECT path, sha256 FROM files WHERE split = 'test' AND sha256 NOT IN (SELECT sha256 FROM files WHERE split = 'train')"),
     "leakage_examples": (leakage_examples, f"WITH {FILES_SQL} SELECT path, sha256 FROM files WHERE split = 'test' AND sha256 IN (SELECT sha256 FROM files WHERE split = 'train') ORDER BY path LIMIT 10"),
     "overlap_check": (overlap_check, f"""WITH {CLEAN_SQL}, parts AS (SELECT 'train' AS p, sha256 FROM train UNION ALL SELECT part, sha256 FROM parted),
 names(l, r) AS (VALUES ('test', 'train'), ('test', 'validation'), ('train', 'validation'))

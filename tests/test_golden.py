@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normlens.functions import paths
-from normlens.operators import bank, cells, errors, files, geometry, hamming, latency, metrics, nearest, percentiles, scoring, sweeps, timing
+from normlens.operators import bank, cells, errors, files, geometry, hamming, latency, metrics, nearest, percentiles, scoring, sieve, sweeps, timing
 
 
 def scored(spark, rows):
@@ -327,6 +327,27 @@ def test_measured_stages(spark, tmp_path):
     assert scratch.paths == []
 
 
+def test_stored_filter(spark):
+    """No key is missed; few others pass; the exact join gives the rows of the plain one, and is left out where nothing passes."""
+    digest = lambda k: F.sha2(k.cast("string"), 256)
+    train = spark.range(20_000).select(digest(F.col("id")).alias("sha256"))
+    test = spark.range(15_000, 45_000).select(F.concat(F.lit("p"), F.col("id")).alias("path"), F.when(F.col("id") % 97 > 0, digest(F.col("id"))).alias("sha256"))
+    stored = sieve.build(train.union(train.limit(50)), "sha256").cache()
+    assert stored.count() == stored.first().blocks == 10 and stored.where("length(bits) <> 4096").count() == 0
+    asked = sieve.ask(test, "sha256", stored)
+    known = asked.join(train.distinct(), "sha256", "left_semi")
+    assert asked.count() == 30_000 and known.count() == known.where("maybe").count() > 4_900
+    wrong = asked.where("maybe").count() - known.count()
+    assert 0 <= wrong < 250  # below one in a hundred
+    key = lambda df: sorted(map(repr, (tuple(r) for r in df.select("path", "sha256").collect())))
+    assert key(sieve.without_leaks_sieved(test, train, stored)) == key(files.without_leaks(test, train))
+    unread = train.select(F.raise_error(F.lit("train was read")).cast("string").alias("sha256"))
+    far = test.where("sha256 IS NULL")
+    assert key(sieve.without_leaks_sieved(far, unread, stored)) == key(far) and far.count() > 300
+    none = sieve.build(train.where("sha256 IS NULL"), "sha256")
+    assert none.count() == 0 and key(sieve.without_leaks_sieved(test, unread, none)) == key(test)
+
+
 def test_bilinear_against_numpy(spark):
     from normlens.sources.pixels import bilinear
 
