@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +26,25 @@ def build_session(app: str = "normlens", cpus: int | None = None) -> SparkSessio
     )
 
 
+#: Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    A local session without that setting gets a temporary folder; a cluster's session has to name one."""
+    A local session without that setting gets a temporary folder, which goes with the process; a cluster's session has to
+    name one. (The setting itself cannot be changed while a session runs.)"""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="normlens-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="normlens-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own_folders[app] = "file://" + folder
+        where = _own_folders[app]
     return where.rstrip("/")
 
 

@@ -242,6 +242,22 @@ def test_responses(spark):
     assert {r.status for r in scorer.responses(requests, bank, 0.5, ready=False).collect()} == {503}
 
 
+def test_session_without_a_shared_folder(tmp_path):
+    """A local session that names no folder works in a temporary one, which goes with the process."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from normlens.session import shared_dir\n"
+        "from normlens.scratch import process_scratch\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert process_scratch(spark).table(spark.range(3), 't').count() == 3 and shared_dir(spark) == shared_dir(spark)\n"
+        "print(shared_dir(spark))"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}
+    folder = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=env, stdout=subprocess.PIPE, text=True).stdout.strip().splitlines()[-1]
+    assert folder.startswith("file://") and not os.path.exists(folder.removeprefix("file://"))
+
+
 def test_library_stands_without_the_training_data_subpackage(tmp_path):
     import shutil
 
