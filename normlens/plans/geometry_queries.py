@@ -209,6 +209,22 @@ def streaming_scores(spark, sf_dir):
     return scorer.score_table_as_stream(spark, sf_dir)
 
 
+# Pixels are the texts' bytes; rows shrink or grow to 32 with a Lanczos filter of reach 3, then come 8 x 8 cosine coefficients.
+HASH_SQL = f"""{FILES_SQL},
+raw AS (SELECT f.doc_id, f.path, greatest(1, f.n_bytes // 32)::INT AS h, regexp_extract_all(hex(encode(d.text)) || repeat('20', 32), '..') AS b
+        FROM files f JOIN documents d USING (doc_id) WHERE doc_id % 23 <> 0),
+bytes AS (SELECT doc_id, path, h, unnest(b) AS b, unnest(range(len(b))) AS i FROM raw),
+grey AS (SELECT doc_id, path, h, (i // 32)::INT AS y, (i % 32)::INT AS x, ('0x' || b)::INT AS v FROM bytes WHERE i < h * 32),
+centres AS (SELECT h, t::INT AS t, (t + 0.5::DOUBLE) * h / 32 AS c, greatest(1.0::DOUBLE, h / 32) AS wide FROM (SELECT DISTINCT h FROM raw), range(32) r(t)),
+taps AS (SELECT h, t, c, wide, unnest(range(greatest(0, floor(c - 3 * wide + 0.5))::INT, least(h, floor(c + 3 * wide + 0.5))::INT))::INT AS s FROM centres),
+bells AS (SELECT h, t, s, abs((s + 0.5::DOUBLE - c) / wide) * pi() AS a FROM taps),
+kernel AS (SELECT h, t, s, CASE WHEN a = 0 THEN 1.0 WHEN a < 3 * pi() THEN sin(a) / a * sin(a / 3) / (a / 3) ELSE 0.0 END AS w FROM bells),
+weights AS (SELECT h, t, s, w / sum(w) OVER (PARTITION BY h, t) AS w FROM kernel),
+small AS (SELECT path, t, x, least(255, greatest(0, floor(round(sum(w * v), 9) + 0.5))) AS v FROM grey JOIN weights ON weights.h = grey.h AND s = y GROUP BY path, t, x),
+across AS (SELECT path, t, k AS e, sum(v * cos(pi() * k * (2 * x + 1) / 64)) AS v FROM small, range(8) r(k) GROUP BY ALL),
+low AS (SELECT path, k * 8 + e AS i, round(sum(v * cos(pi() * k * (2 * t + 1) / 64)), 6) AS v FROM across, range(8) r(k) GROUP BY ALL),
+halves AS (SELECT path, i, v > median(v) OVER (PARTITION BY path) AS bit FROM low),
+prints AS (SELECT path AS id, sum(CASE WHEN bit THEN 1::HUGEINT << (63 - i)::INT ELSE 0 END)::HUGEINT AS n FROM halves GROUP BY path)"""
 CROP_SQL = f"""{IMAGES_SQL},
 resized AS (SELECT *, CASE WHEN width <= height THEN 256 ELSE floor(256 * width / height)::INT END AS nw, CASE WHEN width <= height THEN floor(256 * height / width)::INT ELSE 256 END AS nh FROM imgs),
 corners AS (SELECT *, round_even((nw - 224) / 2.0, 0)::INT AS cl, round_even((nh - 224) / 2.0, 0)::INT AS ct, floor(box_left * nw / width)::INT AS x, floor(box_top * nh / height)::INT AS y,
@@ -280,7 +296,7 @@ SELECT image_id, count(*) FILTER (scaled >= 0.5) AS n_hot, round(max(value), 6)
     "lost_examples": (lost_examples, f"WITH {CROP_SQL} SELECT image_id, defect_type, original_pixels FROM crops WHERE fully_lost ORDER BY image_id LIMIT 20"),
     "image_attributes": (image_attributes, f"WITH {FILES_SQL} SELECT path, CASE WHEN doc_id % 23 <> 0 THEN 32 END AS width, CASE WHEN doc_id % 23 <> 0 THEN greatest(1, n_bytes // 32)::INT END AS height, doc_id % 23 = 0 AS corrupt FROM files"),
     "corrupt_examples": (corrupt_examples, f"WITH {FILES_SQL} SELECT path FROM files WHERE doc_id % 23 = 0 ORDER BY path LIMIT 20"),
-    "image_hashes": (image_hashes, None),
+    "image_hashes": (image_hashes, f"WITH {HASH_SQL} SELECT id, (CASE WHEN n >= 1::HUGEINT << 63 THEN n - (1::HUGEINT << 64) ELSE n END)::BIGINT AS fingerprint FROM prints"),
     "image_file_scores": (image_file_scores, None),
     # A patch is valid if the letterboxed image covers half of some cell of 64 x 64 pixels.
     "predict_requests": (predict_requests, f"""WITH {FILES_SQL}, tall AS (SELECT *, greatest(1, n_bytes // 32) AS h FROM files WHERE split = 'test'),
