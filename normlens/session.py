@@ -56,5 +56,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full address of a path, as Spark would read it: with its scheme, also where the path names none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toUri().toString()
+    return "file:///" + found[5:].lstrip("/") if found.startswith("file:") else found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
