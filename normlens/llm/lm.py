@@ -25,6 +25,7 @@ of more than ``HELD_BYTES`` go to a temporary file of the task, from which they
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -246,10 +247,12 @@ def read_message(r: dict, words: bool) -> list[np.ndarray]:
 
 
 class Spool:
-    """A bucket's messages in a temporary file of the task, which goes with it. They can be read again and again."""
+    """A bucket's messages in a temporary file of the task, which goes with it. They can be read again and again.
+
+    It lies where Spark spills, in the executor's own folders; a task that is run again elsewhere writes its own."""
 
     def __init__(self, rows: list[dict]):
-        self.file = tempfile.TemporaryFile()
+        self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         for r in rows:
             self.add(r)
 
