@@ -68,12 +68,14 @@ def _mask_files(spark, sf_dir):
     head = F.concat(F.lit("P5\n"), F.col("w").cast("string"), F.lit(" "), F.col("h").cast("string"), F.lit("\n255\n")).cast("binary")
     path = F.concat_ws("/", F.lit("ground_truth"), "defect_type", F.concat(p.cast("string"), F.lit("_mask.pgm")))
     manifest = rows.select(p.cast("string").alias("image_path"), F.lit(1).alias("label"), path.alias("mask_path"))
-    return manifest, rows.where(p % 29 != 0).select(path.alias("path"), F.concat(head, F.unhex(body)).alias("content"))
+    # Dealt out first: the table is small and in few splits, but its masks are large.
+    dealt = rows.where(p % 29 != 0).repartition(4 * spark.sparkContext.defaultParallelism, "image_id")
+    return manifest, dealt.select(path.alias("path"), F.concat(head, F.unhex(body)).alias("content"))
 
 
 def mask_retention(spark, sf_dir):
     """Pixels of each mask file, letterboxed and cropped, and what share of the whole image's defect the crop keeps."""
-    areas = pixels.mask_areas(pixels.load_masks(*_mask_files(spark, sf_dir)))
+    areas = pixels.file_areas(*_mask_files(spark, sf_dir))
     return areas.select(F.col("image_path").cast("long").alias("image_id"), *pixels.AREAS, ((F.col("original_pixels") > 0) & (F.col("cropped_pixels") == 0)).alias("fully_lost"))
 
 
