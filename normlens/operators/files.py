@@ -35,7 +35,8 @@ def duplicate_paths(files: DataFrame, most: int = 1_000) -> DataFrame:
     groups = files.groupBy("sha256").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     runs = F.ceil(F.col("_n") / F.lit(most / 2)).cast("long")
     run = F.when(F.col("_n") <= most, F.lit(0)).otherwise(F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long") % runs)
-    rows = files.select("sha256", "path").join(groups, "sha256").withColumn("chunk", run.cast("int"))
+    same = F.col("sha256").eqNullSafe(F.col("_digest"))  # files without a digest are a group, as for ``duplicate_groups``
+    rows = files.select("sha256", "path").join(groups.withColumnRenamed("sha256", "_digest"), same).withColumn("chunk", run.cast("int"))
     return rows.groupBy("sha256", "chunk").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 

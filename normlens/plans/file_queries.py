@@ -212,7 +212,10 @@ r AS (SELECT 'resolution' AS attribute, width || 'x' || height AS value, count(*
 c AS (SELECT 'channels' AS attribute, CASE image_id % 5 WHEN 1 THEN 'Grayscale' WHEN 3 THEN 'RGB/BGR' WHEN 4 THEN 'RGBA/BGRA' ELSE 'Other' END AS value, count(*) AS n FROM imgs GROUP BY ALL)
 FROM e UNION ALL FROM r UNION ALL FROM c"""),
     "exact_duplicate_groups": (exact_duplicate_groups, f"WITH {GROUPS_SQL} FROM groups"),
-    "duplicate_paths": (duplicate_paths, f"WITH {FILES_SQL} SELECT sha256, 0 AS chunk, string_agg(path, '|' ORDER BY path) AS paths FROM files GROUP BY sha256 HAVING count(*) > 1"),
+    # Groups above 1,000 paths are dealt over runs of about 500 by the first 8 digits of their paths' MD5.
+    "duplicate_paths": (duplicate_paths, f"""WITH {FILES_SQL}, sized AS (SELECT sha256, path, count(*) OVER (PARTITION BY sha256) AS n FROM files),
+dealt AS (SELECT sha256, path, (CASE WHEN n <= 1000 THEN 0 ELSE ('0x' || substr(md5(path), 1, 8))::BIGINT % ceil(n / 500)::BIGINT END)::INT AS chunk FROM sized WHERE n > 1)
+SELECT sha256, chunk, string_agg(path, '|' ORDER BY path) AS paths FROM dealt GROUP BY sha256, chunk"""),
     "leakage_groups": (leakage_groups, f"WITH {GROUPS_SQL} FROM groups WHERE in_train AND in_test"),
     "cross_group_duplicates": (cross_group_duplicates, f"WITH {GROUPS_SQL} FROM groups WHERE n_products > 1"),
     "duplicate_summary": (duplicate_summary, f"WITH {GROUPS_SQL} SELECT count(*) AS n_groups, coalesce(sum(n_files), 0)::BIGINT AS n_files, count(*) FILTER (in_train AND in_test) AS n_leaked, count(*) FILTER (n_products > 1) AS n_cross_product FROM groups"),
