@@ -53,3 +53,19 @@ def test_few_pairs_on_the_sphere(monkeypatch):
 def test_blocks_do_not_copy_the_other_side_more_often_as_tables_grow():
     assert [nearest.block_count(n, 64, nearest.BLOCK_ROWS) for n in (30, 128, 16_000, 200_000)] == [1, 2, 4, 4]
     assert nearest.block_count(10 * nearest.BLOCK_ROWS, 64, nearest.BLOCK_ROWS) == 10
+
+
+@pytest.mark.parametrize("dims", (4, 64))
+def test_large_bank_keeps_every_query(spark, monkeypatch, dims):
+    """An id may stand for several queries, as patch 3 does in every image; by cells in 4 dimensions, by blocks in 64."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 50)
+    ways = []
+    monkeypatch.setattr(nearest, "blocked", lambda *a, way=nearest.blocked: ways.append("blocked") or way(*a))
+    rng = np.random.default_rng(dims)
+    bank, queries = units(rng, 3_000, dims), units(rng, 120, dims)
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(bank)], "id long, v array<double>")
+    q = spark.createDataFrame([(i % 4, v.tolist(), i) for i, v in enumerate(queries)], "id long, v array<double>, image long")
+    want = np.round(queries @ bank.T, 9)
+    got = nearest.nearest(q, b, limit_bytes=0, keep=("image",)).collect()
+    assert sorted((r.image, r.query_id, r.bank_id) for r in got) == [(i, i % 4, int(s.argmax())) for i, s in enumerate(want)]
+    assert ways == (["blocked"] if dims == 64 else [])

@@ -94,6 +94,27 @@ def test_masks(spark, tree):
     assert [r.path for r in catalog.listed(rows).collect()] == sorted(r.path for r in rows.collect())
 
 
+def test_descriptors_against_plain_sums(spark):
+    """Each image's statistics as loops would take them, and what grey images need: one channel resized for all three."""
+    rng = np.random.default_rng(6)
+    grey = np.repeat(rng.integers(0, 255, (70, 32, 1), dtype=np.uint8), 3, axis=2)
+    image = pixels.letterboxed(grey)
+    assert np.abs(pixels.normalised(grey) - (grey / 255 - pixels.MEAN) / pixels.DEVIATION).max() == 0
+    got = pixels.cell_statistics(image[None], 4)[0]
+    cell = image[64:128, 128:192]
+    steps = np.abs(np.diff(image, axis=1, append=image[:, -1:]))[64:128, 128:192], np.abs(np.diff(image, axis=0, append=image[-1:]))[64:128, 128:192]
+    want = np.concatenate([cell.mean(axis=(0, 1)), cell.std(axis=(0, 1)), *(x.mean(axis=(0, 1)) for x in steps)])
+    assert np.abs(got[1, 2] - want).max() < 1e-12
+    sized = []
+    whole = pixels.resample_weights
+    pixels.resample_weights = lambda *a: sized.append(a) or whole(*a)
+    try:
+        pixels.resized(grey, 100, 50)
+        assert len(sized) == 2  # six for three channels
+    finally:
+        pixels.resample_weights = whole
+
+
 def test_mask_contents_are_not_broadcast(spark):
     """Spark guesses a computed column at 100 bytes a row; a plan that broadcasts 40 KB a row ends a driver of 1.5 GB at 120,000 rows."""
     ids = spark.range(30)
