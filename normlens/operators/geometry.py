@@ -44,16 +44,27 @@ def cells(boxes: DataFrame, grid: int = 32, target: int = TARGET) -> DataFrame:
     """One row for each grid cell: row, col and valid_ratio, the share of the cell that the pasted image covers.
 
     The overlap of two intervals in each direction equals average-pooling the 0/1 mask. ``target`` is a multiple of ``grid``."""
-    size = target // grid
-    axis = lambda name: F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias(name)
-    rows = boxes.select("*", axis("row")).select("*", axis("col"))
-    part = lambda at, start, length: F.greatest(F.lit(0), F.least((F.col(at) + 1) * size, F.col(start) + F.col(length)) - F.greatest(F.col(at) * size, F.col(start)))
-    covered = part("row", "pad_top", "new_height") * part("col", "pad_left", "new_width")
-    return rows.withColumn("valid_ratio", covered / F.lit(float(size * size)))
+    rows = boxes.select("*", _axis("row", grid)).select("*", _axis("col", grid))
+    covered = _covered("row", "pad_top", "new_height", target // grid) * _covered("col", "pad_left", "new_width", target // grid)
+    return rows.withColumn("valid_ratio", covered / F.lit(float((target // grid) ** 2)))
+
+
+def _axis(name: str, grid: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias(name)
+
+
+def _covered(at: str, start: str, length: str, size: int) -> Column:
+    """How many of the ``size`` pixels from ``at`` * size the interval shares."""
+    return F.greatest(F.lit(0), F.least((F.col(at) + 1) * size, F.col(start) + F.col(length)) - F.greatest(F.col(at) * size, F.col(start)))
 
 
 def valid_cells(boxes: DataFrame, grid: int = 32, target: int = TARGET, least: float = 0.5) -> DataFrame:
-    return cells(boxes, grid, target).where(F.col("valid_ratio") >= least)
+    """The ``cells`` with a valid_ratio of at least ``least``. A row of cells that the image covers less than that has none, whatever
+    their columns, and goes before it becomes ``grid`` cells."""
+    size = target // grid
+    rows = boxes.select("*", _axis("row", grid)).withColumn("_down", _covered("row", "pad_top", "new_height", size)).where(F.col("_down") >= least * size)
+    rows = rows.select("*", _axis("col", grid)).withColumn("valid_ratio", F.col("_down") * _covered("col", "pad_left", "new_width", size) / F.lit(float(size * size)))
+    return rows.where(F.col("valid_ratio") >= least).drop("_down")
 
 
 def overlap_area(left: Column, top: Column, width: Column, height: Column, box: tuple[Column, Column, Column, Column]) -> Column:

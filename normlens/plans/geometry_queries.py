@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from functools import partial
 
 from normlens.functions.vectors import concat_features, dot, l2_normalize
-from normlens.operators import errors, geometry, scoring
+from normlens.operators import errors, geometry, maps, scoring
 from normlens.plans.bindings import FILES_SQL, GRID_SQL, IMAGES_SQL, LETTERBOX_SQL, PATCHES_SQL, grid, image_files, images, units
 from normlens.session import table
 from normlens.sources import pixels
@@ -27,8 +27,11 @@ def valid_cells(spark, sf_dir):
 
 
 def cell_ratios(spark, sf_dir):
-    rows = geometry.valid_cells(geometry.letterbox(images(spark, sf_dir)))
-    return rows.select("image_id", "row", "col", F.round("valid_ratio", 6).alias("valid_ratio"))
+    """Cells of 8 x 8 pixels: a ratio is a number of 64ths, which six decimals hold, so there is nothing to round."""
+    boxes = geometry.letterbox(images(spark, sf_dir)).select("image_id", "new_width", "new_height", "pad_left", "pad_top")
+    # Dealt out first: the table is small and in few splits, but each of its rows becomes hundreds.
+    rows = geometry.valid_cells(boxes.repartition(4 * spark.sparkContext.defaultParallelism, "image_id"))
+    return rows.select("image_id", "row", "col", "valid_ratio")
 
 
 def _crop(spark, sf_dir):
@@ -118,15 +121,19 @@ def pixel_normalize(spark, sf_dir):
     return rows.select("image_id", *[F.round(geometry.normalized_pixel(F.col("pixel"), c), 6).alias(f"c{c}") for c in range(3)])
 
 
-def _anomaly_map(cells, size):
-    """Patch values enlarged to a pixel map, scaled to its range; how much of each image is at or above half of it."""
-    pixels = geometry.bilinear_upsample(cells, size, 4)
-    rows = geometry.min_max(pixels, "image_id", "value").withColumn("scaled", F.round("scaled", 6))
-    return rows.groupBy("image_id").agg(F.sum((F.col("scaled") >= 0.5).cast("int")).alias("n_hot"), F.round(F.max("value"), 6).alias("peak"))
+def _anomaly_map(grids, size):
+    """Patch values (one array an image) enlarged to a pixel map, scaled to its range; how much of each image is at or above half of it."""
+    rows = maps.enlarge(grids, size, 4, digits=None)
+    low, high = F.array_min("map"), F.array_max("map")
+    # Rounded to six decimals it is 0.5 or more from here on; to round each pixel takes longer than all the rest.
+    hot = F.expr("aggregate(map, 0L, (n, x) -> n + IF((x - low) / (high - low + 1e-8D) >= 0.4999995D, 1L, 0L))")
+    return rows.withColumns({"low": low, "high": high}).select("image_id", hot.alias("n_hot"), F.round("high", 6).alias("peak"))
 
 
 def anomaly_map(spark, sf_dir):
-    return _anomaly_map(grid(spark, sf_dir), 8)
+    """The grid of an embedding is its array, row by row, so nothing is exchanged."""
+    rows = table(spark, sf_dir, "embeddings")
+    return _anomaly_map(rows.select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("grid")), 8)
 
 
 def pair_anomaly_map(spark, sf_dir):
@@ -138,9 +145,8 @@ def pair_anomaly_map(spark, sf_dir):
     cells = rows.select(F.col("vec_id").alias("image_id"), F.inline(patch))
     first = rows.orderBy("vec_id").limit(1).select(patch.alias("patches"))
     best = F.array_max(F.transform("patches", lambda p: F.round(dot(F.col("v"), p["v"]), 9)))
-    row, col = geometry.row_col(F.col("cell"), 4)
-    scored = cells.join(F.broadcast(first)).select("image_id", row.alias("row"), col.alias("col"), (1 - best).alias("value"))
-    return _anomaly_map(scored, 4)
+    scored = cells.join(F.broadcast(first)).select("image_id", "cell", (1 - best).alias("value"))
+    return _anomaly_map(maps.collect_grid(scored, ("image_id",), value="value"), 4)
 
 
 def patch_positions(spark, sf_dir):

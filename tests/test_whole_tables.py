@@ -28,3 +28,12 @@ def test_every_pair_of_an_image(spark):
 def test_no_sql_keeps_the_cut():
     sql = registry.oracle_sql()
     assert all(cut not in sql[name] for name in [*WHOLE, "cosine_pairs"] for cut in ("image_id <= 40", "image_id < 100", "vec_id < 50", "ordinal = 0"))
+
+
+def test_maps_and_cells_do_not_grow_rows_before_they_need(spark):
+    """An embedding's map is made where it lies; cells are dealt out before they become rows, and their 64ths are not rounded one by one."""
+    plan = lambda name: registry.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan("anomaly_map") and "Generate" not in plan("anomaly_map")
+    assert "round(valid_ratio" not in plan("cell_ratios") and "REPARTITION_BY_NUM" in plan("cell_ratios")
+    ratios = {r[0] for r in registry.queries()["cell_ratios"](spark, DIR).select("valid_ratio").distinct().collect()}
+    assert ratios and all(x * 64 == int(x * 64) and x == round(x, 6) for x in ratios)
