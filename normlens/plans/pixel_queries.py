@@ -55,10 +55,11 @@ def _r(df, *columns):
 def patch_score_map(spark, sf_dir):
     """The map of each image's patch scores: its peak, mean and the pixels at or above half of its range."""
     rows = _maps(spark, sf_dir)
-    low, high = F.array_min("map"), F.array_max("map")
-    hot = F.size(F.filter("map", lambda x: F.round((x - low) / (high - low + 1e-8), 6) >= 0.5))
+    # Bound as one struct an image: inside the filter's function the ends would be sought again for each pixel.
+    ends = F.array(F.struct(F.array_min("map").alias("low"), F.array_max("map").alias("high")))
+    hot = F.transform(ends, lambda e: F.size(F.filter("map", lambda x: F.round((x - e["low"]) / (e["high"] - e["low"] + 1e-8), 6) >= 0.5)))[0]
     mean = F.aggregate("map", F.lit(0.0), lambda a, x: a + x) / F.size("map")
-    return rows.select("image", "defect_type", F.round(high, 6).alias("peak"), F.round(mean, 6).alias("mean"), hot.alias("n_hot"))
+    return rows.select("image", "defect_type", F.round(F.array_max("map"), 6).alias("peak"), F.round(mean, 6).alias("mean"), hot.alias("n_hot"))
 
 
 def pixel_map_sweep(spark, sf_dir):

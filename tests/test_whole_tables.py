@@ -37,3 +37,9 @@ def test_maps_and_cells_do_not_grow_rows_before_they_need(spark):
     assert "round(valid_ratio" not in plan("cell_ratios") and "REPARTITION_BY_NUM" in plan("cell_ratios")
     ratios = {r[0] for r in registry.queries()["cell_ratios"](spark, DIR).select("valid_ratio").distinct().collect()}
     assert ratios and all(x * 64 == int(x * 64) and x == round(x, 6) for x in ratios)
+
+
+def test_ends_of_a_map_are_not_sought_for_each_pixel(spark):
+    plan = registry.queries()["patch_score_map"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    hot = next(line for line in plan.splitlines() if "n_hot" in line)
+    assert "array_min" in hot and "array_min" not in hot.split("filter(", 1)[1]
