@@ -50,6 +50,22 @@ def test_few_pairs_on_the_sphere(monkeypatch):
     assert sum(pairs) < 0.05 * 2_000 * 40_000
 
 
+def test_tiles_that_cannot_win_are_not_searched(monkeypatch):
+    """A tile's places are sought for the queries that it can raise; nearly equal values go to the smaller id or cell, as rounded."""
+    rng, sought = np.random.default_rng(3), []
+    bank, queries = units(rng, 40_000, 64), units(rng, 256, 64)
+    bank[30_000:30_010], bank[39_999] = queries[0], queries[0]
+    bank[35_000] = queries[1] * (1 + 1e-10)
+    bank[35_001] = queries[1]
+    seek = layout.at_least
+    monkeypatch.setattr(layout, "at_least", lambda s, floor: sought.append(len(s)) or seek(s, floor))
+    where, _ = layout.plain(np.arange(40_000), bank).best(queries)
+    assert (where == np.round(queries @ bank.T, 9).argmax(axis=1)).all() and (where[0], where[1]) == (30_000, 35_000)
+    assert sum(sought) < 0.4 * 256 * 20  # 20 tiles
+    centroids = np.vstack([bank[:50], bank[:50] * (1 + 1e-11)])
+    assert (layout.own_cells(bank, centroids)[0] == np.round(bank @ centroids.T, 9).argmax(axis=1)).all()
+
+
 def test_blocks_do_not_copy_the_other_side_more_often_as_tables_grow():
     assert [nearest.block_count(n, 64, nearest.BLOCK_ROWS) for n in (30, 128, 16_000, 200_000)] == [1, 2, 4, 4]
     assert nearest.block_count(10 * nearest.BLOCK_ROWS, 64, nearest.BLOCK_ROWS) == 10
