@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from functools import partial
-
 from normlens.functions.vectors import concat_features, dot, l2_normalize
 from normlens.operators import errors, geometry, maps, scoring
 from normlens.plans.bindings import FILES_SQL, GRID_SQL, IMAGES_SQL, LETTERBOX_SQL, PATCHES_SQL, grid, image_files, images, units
@@ -13,7 +11,7 @@ from normlens.session import table
 from normlens.sources import pixels
 from normlens.streaming import scorer
 
-CELLS = partial(pixels.cell_statistics, grid=4)
+CELLS = pixels.CellStatistics(4)
 
 
 def letterbox_geometry(spark, sf_dir):

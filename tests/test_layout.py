@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from normlens.operators import layout, nearest
+from normlens.operators import cells, layout, nearest
 
 
 def units(rng, n, dims):
@@ -50,6 +50,44 @@ def test_few_pairs_on_the_sphere(monkeypatch):
     assert sum(pairs) < 0.05 * 2_000 * 40_000
 
 
+def bent(rng, n):
+    """Unit vectors of 12 dimensions on a sheet of three, dense in its middle and thin outside, so that cells have wide radii."""
+    t = rng.normal(size=(n, 3)) * rng.choice([0.05, 0.3], (n, 1))
+    v = np.hstack([t + 1, np.sin(3 * t), t**2, np.abs(t)])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_planes_leave_few_cells(monkeypatch):
+    """Balls of neighbouring cells overlap, so that they alone admit ten cells and more here; the planes between centroids do not."""
+    rng, pairs = np.random.default_rng(11), []
+    bank, queries = bent(rng, 30_000), bent(rng, 1_000)
+    made = layout.laid_out(np.arange(30_000), bank)
+    whole = layout.raise_best
+    monkeypatch.setattr(layout, "raise_best", lambda where, best, rows, queries, bank, ids: pairs.append((len(rows), len(bank))) or whole(where, best, rows, queries, bank, ids))
+    where, best = made.best(queries)
+    s = np.round(queries @ bank.T, 9)
+    assert (where == s.argmax(axis=1)).all() and np.abs(best - s.max(axis=1)).max() < 1e-12
+    assert sum(n for n, _ in pairs) < 5 * 1_000
+
+
+def test_cells_are_read_in_one_pass(spark, monkeypatch):
+    """Bounds and the choice of the way come from a broadcast part of the bank; samples are the same with a bound on their hashes."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 50)
+    met, meet = [], cells._meet
+    monkeypatch.setattr(cells, "_meet", lambda visits, index: met.append(len(index.sizes)) or meet(visits, index))
+    rng = np.random.default_rng(12)
+    bank, queries = bent(rng, 2_000), bent(rng, 90)
+    frame = lambda v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    monkeypatch.setattr(nearest, "FLOOR_BYTES", 40_000)  # a fifth of the bank
+    got = {r.query_id: r.bank_id for r in nearest.nearest(frame(queries), frame(bank), limit_bytes=0).collect()}
+    assert got == dict(enumerate(np.round(queries @ bank.T, 9).argmax(axis=1).tolist())) and met == [40]
+    monkeypatch.setattr(nearest, "FLOOR_BYTES", 1)
+    assert {r.query_id: r.bank_id for r in nearest.nearest(frame(queries), frame(bank), limit_bytes=0).collect()} == got
+    with_rows, without = (cells.fit_centroids(frame(bank), 8, 60, 2, rows=n) for n in (2_000, 0))
+    assert (with_rows == without).all() and (cells.fit_centroids(frame(bank), 8, 60, 2, rows=10**7) == without).all()
+    assert [nearest.cell_count(n) for n in (100, 2_000, 14_000_000)] == [2, 40, 531]
+
+
 def test_tiles_that_cannot_win_are_not_searched(monkeypatch):
     """A tile's places are sought for the queries that it can raise; nearly equal values go to the smaller id or cell, as rounded."""
     rng, sought = np.random.default_rng(3), []

@@ -115,6 +115,36 @@ def test_descriptors_against_plain_sums(spark):
         pixels.resample_weights = whole
 
 
+def test_descriptors_from_whole_bytes():
+    """The statistics of bytes are those of the letterboxed floats: grey and coloured, wide, tall, shrunk and as large as the box."""
+    rng = np.random.default_rng(8)
+    sizes = ((100, 32), (32, 100), (3, 32), (256, 256), (255, 256), (254, 254), (300, 500), (1, 1), (513, 40))
+    images = [rng.integers(0, 256, (*size, 3), dtype=np.uint8) for size in sizes]
+    images += [np.broadcast_to(x[:, :, :1], x.shape) for x in images] + [np.repeat(images[0][:, :, :1], 3, axis=2), np.full((90, 60, 3), 9, dtype=np.uint8)]
+    for grid in (1, 4, 32):
+        want = pixels.cell_statistics(np.stack([pixels.letterboxed(x) for x in images]), grid)
+        assert np.abs(pixels.CellStatistics(grid).of_images(images) - want).max() < 1e-12
+    for x in images:
+        box = pixels.letterboxed_mask(np.full(x.shape[:2], 255, dtype=np.uint8))
+        assert (pixels.valid_share(*x.shape[:2], 4) == box.reshape(4, 64, 4, 64).mean(axis=(1, 3))).all()
+
+
+def test_only_images_with_a_valid_cell_are_described(spark):
+    rng = np.random.default_rng(9)
+    shapes = [(64, 64, 3), (1, 64, 3), (70, 32, 3), (400, 32, 3)] * 5
+    rows = [(i, netpbm(rng.integers(0, 255, shape)) if i != 8 else b"P6 broken") for i, shape in enumerate(shapes)]
+    images = spark.createDataFrame(rows, "path long, content binary").coalesce(1)
+
+    def counted(batch):
+        return np.full((len(batch), 4, 4, 1), float(len(batch)))
+
+    found = pixels.extract_patches(images, counted, 4, batch=3).collect()
+    assert {r.v[0] for r in found if r.error is None} == {3.0}  # nine described ones, in threes
+    assert {r.path: r.error for r in found if r.error} == {i: "undecodable" if i == 8 else "failed: no valid patch" for i in range(20) if i % 2 or i == 8}
+    by = [{(r.path, r.patch): r.v for r in pixels.extract_patches(images, f, 4, batch=3).collect() if r.error is None} for f in (pixels.CellStatistics(4), lambda x: pixels.cell_statistics(x, 4))]
+    assert by[0].keys() == by[1].keys() and all(np.abs(np.subtract(v, by[1][k])).max() < 1e-12 for k, v in by[0].items())
+
+
 def test_mask_contents_are_not_broadcast(spark):
     """Spark guesses a computed column at 100 bytes a row; a plan that broadcasts 40 KB a row ends a driver of 1.5 GB at 120,000 rows."""
     ids = spark.range(30)
