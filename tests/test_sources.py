@@ -174,6 +174,22 @@ def test_predict(spark):
     assert {r.status for r in scorer.predict(requests, bank, 0.5, pixels.cell_statistics, ready=False).collect()} == {503}
 
 
+def test_predict_describes_from_bytes(spark, monkeypatch):
+    """Uploads answered from whole bytes as from floats, also by a bank that is searched by cells; one without a valid patch is not described."""
+    rng = np.random.default_rng(14)
+    rows = [(i, "image/png", netpbm(rng.integers(0, 1 + i * 6, (20 + 5 * i, 32, 3)))) for i in range(40)]
+    requests = spark.createDataFrame(rows, "request_id long, content_type string, content binary")
+    some = pixels.extract_patches(requests.where("request_id % 2 = 0"), pixels.CellStatistics(4), 4, key="request_id").where("error IS NULL")
+    bank = some.select((F.col("request_id") * 16 + F.col("patch")).alias("id"), F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).alias("v"))
+    key = lambda features: sorted((r.request_id, r.status, r.detail, r.prediction, round(r.anomaly_score or 0, 4)) for r in scorer.predict(requests, bank, 0.2, features, 4).collect())
+    want = key(lambda x: pixels.cell_statistics(x, 4))
+    assert key(pixels.CellStatistics(4)) == want and {s for _, s, *_ in want} == {200, 500}
+    monkeypatch.setattr(nearest.nearest, "__defaults__", (0, ()))
+    assert key(pixels.CellStatistics(4)) == want
+    failed = {r.request_id: r.detail for r in scorer.predict(requests.where("request_id > 20"), bank, 0.2, lambda batch: batch / "x", 4).collect()}
+    assert failed[39] == "failed: no valid patch" and failed[21] != failed[39]
+
+
 BROKEN = [b"P5", b"P5 abc def 255\n", b"P5 2 2", b"P5 2 2 255", b"P5 2 2 255 \x01", b"P5 0 2 255 ", b"P5 2 2 0 abcd", b"P5 2 2 99999 abcd", b"P6 2 2 255 abcd", b"P5 -1 2 255 abcd", b"P5 999999999 999999999 255 a", b"P5\xff\xff"]
 
 
